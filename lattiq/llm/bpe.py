@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattiq.llm.chunks import ChunkEncoder
 from lattiq.llm.common import by_bytes, ship, texts
@@ -204,18 +205,18 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, digests: bool = False) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, keep_decoded: bool = False, digests: bool = False) -> DataFrame:
     """Encodes every text by the ranks of the file at `path`, and decodes the ids again.
 
-    Returns doc_id, n_tokens, and with keep_ids: ids (array of int), decoded (binary); with digests:
-    ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256.
+    Returns doc_id, n_tokens, and with keep_ids: ids (array of int); with keep_decoded: decoded (binary); with
+    digests: ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256.
     One row per row of docs, repeated rows included; a null text is an empty one and gives no ids; a null
     doc_id stays null; other columns are ignored. Long texts are handled whole: memory follows the
     longest text. An empty table gives an empty result.
     """
     ship(spark)
     data = vocabulary(spark, path)
-    schema = "doc_id bigint, n_tokens bigint" + ", ids array<int>, decoded binary" * keep_ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    schema = "doc_id bigint, n_tokens bigint" + ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded + ", ids_sha256 string, decoded_sha256 string" * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, chunked = encoder(data.value, pattern)
@@ -224,12 +225,14 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, keep_i
             for batch in by_bytes(whole):
                 ids, offsets = chunked.flat(batch.column(1))
                 decoded, bounds = replay.decode(ids, offsets), offsets.tolist()
-                out = {"doc_id": batch.column(0).cast(pa.int64()), "n_tokens": pa.array(np.diff(offsets), pa.int64())}
+                out = {"doc_id": batch.column(0), "n_tokens": pa.array(np.diff(offsets), pa.int64())}
                 if keep_ids:
-                    out |= {"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))), "decoded": pa.array(decoded, pa.binary())}
+                    out |= {"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))}
+                if keep_decoded:
+                    out |= {"decoded": pa.array(decoded, pa.binary())}
                 if digests:
                     raw = ids.astype("<u4").tobytes()
                     out |= {"ids_sha256": pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded])}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, schema)

@@ -67,12 +67,15 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
     Between two lengths the total is that of the next greater one, less the difference for each text it holds;
     beyond the greatest it is the full total."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit bigint")
-    best = sums.join(F.broadcast(asked), F.col("n_tokens") >= F.col("limit"), "right")
-    best = best.groupBy("limit").agg(F.min_by(F.col("truncated_tokens") - F.col("docs_at_least") * (F.col("n_tokens") - F.col("limit")), "n_tokens").alias("v"))
-    total = sums.agg(F.max("tokens_at_least").alias("all_tokens"))
-    return best.join(F.broadcast(total), F.lit(True), "left").select("limit", F.coalesce("v", "all_tokens", F.lit(0)).alias("truncated_tokens"))
+    parts = []
+    for limit in limits:
+        near = sums.filter(F.col("n_tokens") >= limit).agg(F.min_by(F.col("truncated_tokens") - F.col("docs_at_least") * (F.col("n_tokens") - limit), "n_tokens").alias("v"))
+        total = sums.agg(F.max("tokens_at_least").alias("v"))
+        parts.append(near.unionByName(total).agg(F.lit(int(limit)).cast("bigint").alias("limit"), F.coalesce(F.min("v"), F.lit(0)).alias("truncated_tokens")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
