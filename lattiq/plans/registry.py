@@ -1,4 +1,8 @@
-"""Queries and oracle SQL of the volumetric operators."""
+"""All queries of the volumetric operators and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from lattiq.plans import volume_queries  # noqa: F401
+from lattiq.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
