@@ -103,7 +103,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, trees: int = 2, leaf_part: float = 1 / 64, part: float = 0.45) -> DataFrame:
+def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, trees: int = 2, leaf_part: float = 1 / 64, part: float = 0.6) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every` its k best others found.
 
     Ties go to the smaller vec_id. A query is no candidate of its own. Vectors that take no part (see vectors())
