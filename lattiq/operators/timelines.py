@@ -52,7 +52,7 @@ def crossfade(events: DataFrame, ticks: DataFrame, key: list[str], half: int) ->
     t = ticks.withColumn("_b", F.floor(F.col("frame") / size))
     near = t.join(e, [*key, "_b"]).filter(F.abs(F.col("frame") - F.col("at")) <= half)
     last = near.groupBy(*key, "frame").agg(F.max("at").alias("at"))
-    return ticks.join(last, [*key, "frame"], "left").withColumn("ramp", smootherstep((F.col("frame") - F.col("at") + half) / (2 * half)))
+    return ticks.join(last, [*key, "frame"], "left").withColumn("ramp", F.when(F.col("at").isNotNull(), smootherstep((F.col("frame") - F.col("at") + half) / (2 * half))))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.plans import track_queries, volume_queries  # noqa: F401
+from lattiq.plans import field_queries, track_queries, volume_queries  # noqa: F401
 from lattiq.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
