@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash fingerprints, found through anchor points of a covering code.
 
-A fingerprint of 64 bits is cut into three blocks. Two fingerprints at distance 4 or less differ in at most
-one bit of some block. In each block the anchors are the words of a covering code: a Hamming code on 15 bits
+A fingerprint of 64 bits is cut into blocks, each with a share of the threshold: if the shares, plus one each,
+sum to more than the threshold, two linked fingerprints keep to the share in some block. In each block the anchors are the words of a covering code: a Hamming code on 15 bits
 (every word is within 1 of exactly one code word) beside free bits. A fingerprint is owned by the anchor
 nearest to it, and copied to every anchor within the covering radius plus the block's share of the
 threshold; so the owner's anchor sees all its partners, and only fingerprints that share an anchor are
@@ -25,8 +25,10 @@ from lattiq.llm.common import Scratch, by_bytes, ship
 from lattiq.llm.components import stars
 
 HAMMING, RADIUS = 15, 1
-#: (first bit, bits) of the blocks.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
+#: (first bit, bits, share of the threshold) of the blocks: for 4 bits, and for 8 bits with few and with many fingerprints.
+BLOCKS_4 = ((0, 21, 1), (21, 21, 1), (42, 22, 1))
+BLOCKS_8 = ((0, 16, 2), (16, 16, 1), (32, 16, 1), (48, 16, 1))
+BLOCKS_8_MANY = ((0, 21, 2), (21, 21, 2), (42, 22, 2))
 #: Rows of an anchor that meet in one piece of work; an anchor with more is dealt out to a grid of pieces.
 PIECE = 8192
 PAIRS = 1 << 21
@@ -91,17 +93,16 @@ def moves(bits: int, reach: int) -> list[list[int]]:
     return out
 
 
-def anchors(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """key, fp, own: each fingerprint at each of its anchors; the anchor that owns it has own = true."""
-    share = threshold // len(BLOCKS)
+def anchors(prints: DataFrame, blocks: tuple, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, fp, the columns of carry, own: each fingerprint at each of its anchors; own is true at the one that owns it."""
     checks = [sum(1 << j for j in range(HAMMING) if j + 1 >> k & 1) for k in range(4)]
     rows = None
-    for number, (first, bits) in enumerate(BLOCKS):
+    for number, (first, bits, share) in enumerate(blocks):
         block = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
         s = sum((F.bit_count(F.col("b").bitwiseAND(F.lit(c))) % 2 * (1 << k) for k, c in enumerate(checks)), F.lit(0))
         table = F.array(*(F.array(*(F.lit(m).cast("bigint") for m in ms)) for ms in moves(bits, RADIUS + share)))
-        part = prints.select("fp", block.alias("b")).select("fp", "b", F.posexplode(F.element_at(table, (s + 1).cast("int"))).alias("i", "m"))
-        part = part.select((F.col("b").bitwiseXOR(F.col("m")) + F.lit(number << 24)).alias("key"), "fp", (F.col("i") == 0).alias("own"))
+        part = prints.select("fp", *carry, block.alias("b")).select("fp", *carry, "b", F.posexplode(F.element_at(table, (s + 1).cast("int"))).alias("i", "m"))
+        part = part.select((F.col("b").bitwiseXOR(F.col("m")) + F.lit(number << 24)).alias("key"), "fp", *carry, (F.col("i") == 0).alias("own"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -124,106 +125,243 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[parent[moved]]
 
 
-def compare(key: np.ndarray, fp: np.ndarray, own: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between owned rows and the other rows of the same key (keys are sorted)."""
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The numbers of links that form a spanning forest of least weight (Boruvka's rounds; equal weights by place)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    rank = np.empty(len(a), np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(a))
+    number, part, chosen = np.argsort(rank), np.arange(len(nodes)), []
+    while True:
+        pa_, pb = part[a], part[b]
+        open_ = pa_ != pb
+        if not open_.any():
+            return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        a, b, rank, pa_, pb = a[open_], b[open_], rank[open_], pa_[open_], pb[open_]
+        best = np.full(len(nodes), len(number))
+        np.minimum.at(best, pa_, rank)
+        np.minimum.at(best, pb, rank)
+        picked = np.isin(rank, best)
+        chosen.append(number[rank[picked]])
+        moved, root = forest(pa_[picked], pb[picked])
+        to = np.arange(len(nodes))
+        to[moved] = root
+        part = to[part]
+
+
+def meetings(key: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of an owned row with a row of the same key (keys are sorted), about PAIRS at a time."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
     group = np.repeat(np.arange(len(starts)), sizes)
     mine = np.flatnonzero(own)
     theirs = sizes[group[mine]]
-    us, vs = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends = np.cumsum(theirs)
-    at = 0
+    ends, at = np.cumsum(theirs), 0
     while at < len(mine):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
         m, n = mine[at:stop], theirs[at:stop]
         first = np.repeat(starts[group[m]] - (np.cumsum(n) - n), n)
-        x, y = np.repeat(fp[m], n), fp[first + np.arange(len(first))]
-        close = (np.bitwise_count((x ^ y).view(np.uint64)) <= threshold) & (x != y)
-        if close.any():
-            us, vs = forest(np.concatenate([us, x[close]]), np.concatenate([vs, y[close]]))
+        yield np.repeat(m, n), first + np.arange(len(first))
         at = stop
-    return us, vs
 
 
-def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, threshold: int = 4) -> DataFrame:
-    """u, v (u > v): links that connect whatever is connected among different fingerprints (column fp).
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+class Links:
+    """Links of the fingerprints themselves: any spanning forest will do."""
+
+    def __init__(self, threshold: int):
+        self.threshold, self.u, self.v = threshold, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray, fp: np.ndarray) -> None:
+        x, y = fp[i], fp[j]
+        close = (_apart(x, y) <= self.threshold) & (x != y)
+        if close.any():
+            self.u, self.v = forest(np.concatenate([self.u, x[close]]), np.concatenate([self.v, y[close]]))
+
+
+class LikelyCopies:
+    """Links of texts (nid) whose word fingerprints (fp) and shingle fingerprints (sfp) are near and whose sizes agree.
+
+    Kept is a spanning forest of least shingle distance: its links are real pairs, the most similar ones first."""
+
+    def __init__(self, threshold: int, shingle_bits: int, similarity: float):
+        self.threshold, self.bits, self.similarity = threshold, shingle_bits, similarity
+        self.u, self.v, self.w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray, fp: np.ndarray, nid: np.ndarray, sfp: np.ndarray, size: np.ndarray) -> None:
+        close = np.flatnonzero(_apart(fp[i], fp[j]) <= self.threshold)
+        i, j = i[close], j[close]
+        w = _apart(sfp[i], sfp[j]).astype(np.int64)
+        ok = (w <= self.bits) & (nid[i] != nid[j]) & (np.minimum(size[i], size[j]) >= self.similarity * np.maximum(size[i], size[j]))
+        if ok.any():
+            u, v, w = (np.concatenate(x) for x in ((self.u, nid[i[ok]]), (self.v, nid[j[ok]]), (self.w, w[ok])))
+            keep = spanning(u, v, w)
+            self.u, self.v, self.w = u[keep], v[keep], w[keep]
+
+
+def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, finder, blocks: tuple, carry: tuple[str, ...] = ()) -> DataFrame:
+    """u, v: what `finder` (made anew in each task) keeps of the pairs that share an anchor.
 
     An anchor with more than PIECE rows is dealt out: its owned rows and all its rows are cut into parts, and
     each pair of parts is a piece of work of its own, so no task holds an anchor's whole group.
     """
-    rows = anchors(prints, threshold)
+    rows = anchors(prints, blocks, carry)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("o")).filter(F.col("n") > PIECE)
     hot = scratch.keep(sizes.select("key", F.ceil(F.col("n") / PIECE).alias("nj"), F.greatest(F.ceil(F.col("o") / PIECE), F.lit(1)).alias("ni")), "hot")
     n_hot = hot.count()
     if n_hot:
         rows = rows.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "key", "left")
-        part = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
+        part = lambda n: F.pmod(F.xxhash64("fp", *carry), F.col(n))
         as_one = rows.filter("own").withColumn("i", part("ni")).withColumn("j", F.explode(F.expr("sequence(0L, coalesce(nj, 1L) - 1)")))
         as_all = rows.withColumn("j", part("nj")).withColumn("i", F.explode(F.expr("sequence(0L, coalesce(ni, 1L) - 1)")))
         place = F.when(F.col("ni").isNull(), F.col("key")).otherwise(F.col("key") + (F.col("i") * F.col("nj") + F.col("j") + 1) * F.lit(1 << 26))
-        rows = as_one.select(place.alias("key"), "fp", F.lit(True).alias("own")).unionByName(as_all.select(place.alias("key"), "fp", F.lit(False).alias("own")))
-    ordered = rows.repartition("key").sortWithinPartitions("key")
+        rows = as_one.select(place.alias("key"), "fp", *carry, F.lit(True).alias("own")).unionByName(as_all.select(place.alias("key"), "fp", *carry, F.lit(False).alias("own")))
+    ordered = rows.select("key", "own", "fp", *carry).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        us, vs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = finder()
 
-        def settle(key, fp, own):
-            nonlocal us, vs
-            u, v = compare(key, fp, own, threshold)
-            if len(u):
-                us, vs = forest(np.concatenate([us, u]), np.concatenate([vs, v]))
+        def settle(parts: list[tuple]) -> None:
+            key, own, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for i, j in meetings(key, own):
+                found.add(i, j, *values)
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            if not batch.num_rows:
+                continue
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             key = held[-1][0]
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                parts = [*held[:-1], tuple(x[:cut] for x in held[-1])]
-                held = [tuple(x[cut:] for x in held[-1])]
-                settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                last = held[-1]
+                settle([*held[:-1], tuple(x[:cut] for x in last)])
+                held = [tuple(x[cut:] for x in last)]
             elif len(held) > 1 and held[-2][0][-1] < key[0]:
-                parts, held = held[:-1], held[-1:]
-                settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                settle(held[:-1])
+                held = held[-1:]
         if held:
-            settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+            settle(held)
+        yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(found.u, found.v), pa.int64()), "v": pa.array(np.minimum(found.u, found.v), pa.int64())})
 
     return ordered.mapInArrow(run, "u bigint, v bigint")
 
 
-def representatives(spark: SparkSession, hashed: DataFrame, scratch: Scratch, threshold: int = 4) -> DataFrame:
-    """fp, component_id, component_fp: each fingerprint of `hashed` (doc_id, fp) with its component's least doc_id
-    and the fingerprint of that document. Null ids come last; a component without any other has a null."""
-    prints = scratch.keep(hashed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "prints")
-    root = stars(spark, links(spark, prints.select("fp"), scratch, threshold), scratch)
-    rooted = prints.join(root, prints.fp == root.u, "left").select("fp", "doc_id", F.coalesce("v", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("f"))
-    return rooted.join(first, "root").select("fp", F.col("f.doc_id").alias("component_id"), F.col("f.fp").alias("component_fp"))
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 4, words: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id: the least doc_id that can be reached by links
-    of at most `threshold` differing bits. One row per row of docs; rows of equal fingerprint are linked, empty
-    texts (fingerprint zero) too. A null text is an empty one; an empty table gives an empty result.
+    of at most `threshold` differing bits (4, or up to 8). One row per row of docs; rows of equal fingerprint are linked,
+    empty texts (fingerprint zero) too. A null text is an empty one; null ids come last, and a component without any other
+    has a null; an empty table gives an empty result.
     """
+    if not 0 <= threshold <= 8:
+        raise ValueError("the blocks serve thresholds of at most 8 bits")
     scratch = Scratch(spark, "simhash")
     hashed = scratch.keep(with_fingerprint(spark, docs, words, name="fp", keep=["doc_id"]), "hashed")
-    found = representatives(spark, hashed, scratch, threshold)
+    prints = scratch.keep(hashed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "prints")
+    found = links(spark, prints.select("fp"), scratch, lambda: Links(threshold), BLOCKS_4 if threshold <= 4 else BLOCKS_8)
+    root = stars(spark, found, scratch)
+    rooted = prints.join(root, prints.fp == root.u, "left").select("fp", "doc_id", F.coalesce("v", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = rooted.join(first, "root").select("fp", "component_id")
     return hashed.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, threshold: int = 4, words: int = 4) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id; one of equal rows stays. Columns as in docs."""
+def shingles_of(text: str, words: int) -> set[str]:
+    """The shingles of a text's lower-cased words; the whole sequence if there are fewer; none of an empty text."""
+    w = text.lower().split()
+    return {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {" ".join(w)} if w else set()
+
+
+def _set_prints(values: list[set[bytes]], seed: int) -> np.ndarray:
+    hashed, out = xxhash.xxh64_intdigest, np.zeros(len(values), np.uint64)
+    for i, v in enumerate(values):
+        if v:
+            bits = np.unpackbits(np.array([hashed(x, seed) for x in v], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            out[i] = np.packbits(2 * bits > len(v), bitorder="little").view("<u8")[0]
+    return out
+
+
+def sketched(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, nid, fp, sfp, size of each text: a hash of its lower-cased words in order, the SimHash of its set of words
+    (without full stops and commas at their ends), that of its shingles, and its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole):
+                split = [t.encode().split() for t in (x.lower() for x in batch.column(1).to_pylist())]
+                nid = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in split], np.uint64)
+                fp = _set_prints([{x.strip(b".,") for x in w} for w in split], 7)
+                sfp = _set_prints([set(map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))) if len(w) >= words else {b" ".join(w)} - {b""} for w in split], 42)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "nid": pa.array(nid.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "sfp": pa.array(sfp.view(np.int64)), "size": pa.array([len(w) for w in split], pa.int64())})
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, nid bigint, fp bigint, sfp bigint, size bigint")
+
+
+def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u, v of the pairs (u, v, tu, tv) whose texts share at least `similarity` of their shingles (Jaccard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                a, b = (shingles_of(batch.column(c)[k].as_py(), words) for c in (2, 3))
+                both = len(a & b)
+                keep[k] = both >= similarity * (len(a) + len(b) - both)
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["u", "v"])
+
+    return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 8, shingle_bits: int = 22, many: int = 5_000_000) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least doc_id; one of equal rows stays. Columns as in docs.
+
+    Two texts are linked if they share `similarity` of their shingles of `words` words (Jaccard). Candidates are pairs whose
+    SimHashes over the set of words differ in at most `threshold` bits (a change of one word moves five shingles, but
+    one word only) and whose SimHashes over shingles differ in at most shingle_bits. Of the candidates that meet in
+    a task a spanning forest of least shingle distance is verified on the texts, so links are in proportion to texts.
+    Texts of equal words are one text from the start. Above `many` different texts larger blocks are taken: more
+    copies at anchors, fewer comparisons, the same pairs. A null text counts as empty; null ids come last.
+    """
+    ship(spark)
     scratch = Scratch(spark, "dedup")
     columns = docs.columns
-    hashed = scratch.keep(with_fingerprint(spark, docs, words, name="__fp__"), "documents")
-    narrow = hashed.select("doc_id", F.col("__fp__").alias("fp"))
-    found = representatives(spark, narrow, scratch, threshold)
-    kept = scratch.keep(found.select(F.col("component_id").alias("__id__"), F.col("component_fp").alias("__kept__")).distinct(), "kept")
-    out = hashed.join(kept, (hashed["__fp__"] == kept["__kept__"]) & hashed["doc_id"].eqNullSafe(kept["__id__"]), "left_semi")
-    repeated = narrow.groupBy("doc_id", "fp").count().filter("count > 1").limit(1).count()
-    if repeated:  # rows that share id and fingerprint: one of them stays
-        out = out.dropDuplicates(["doc_id", "__fp__"])
+    hashed = scratch.keep(sketched(spark, docs, words), "sketches")
+    nodes = scratch.keep(hashed.groupBy("nid").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("fp", "sfp", "size"))), "nodes")
+    blocks = BLOCKS_8 if nodes.count() <= many else BLOCKS_8_MANY
+    pairs = links(spark, nodes, scratch, lambda: LikelyCopies(threshold, shingle_bits, similarity), blocks, ("nid", "sfp", "size"))
+    pairs = scratch.keep(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct().join(nodes.select("nid", F.col("doc_id").alias("_d")), "nid")
+    text = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    text = scratch.keep(ids.join(text, "_d").select("nid", "t"), "texts").dropDuplicates(["nid"])
+    pairs = pairs.join(text.select(F.col("nid").alias("u"), F.col("t").alias("tu")), "u").join(text.select(F.col("nid").alias("v"), F.col("t").alias("tv")), "v")
+    root = stars(spark, scratch.keep(verified(pairs, words, similarity), "verified"), scratch)
+    rooted = nodes.join(root, nodes.nid == root.u, "left").select("nid", "doc_id", F.coalesce("v", "nid").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nid")).alias("f"))
+    kept = scratch.keep(first.select(F.col("f.doc_id").alias("_d")).distinct(), "kept")
+    # rows that share an id: only the first of equal texts, or of different ones, can be the group's; see below
+    out = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(kept["_d"]), "left_semi")
+    if not hashed.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = _one_of_equal(spark, out, rooted, first, words)
     return out.select(columns)
+
+
+def _one_of_equal(spark: SparkSession, out: DataFrame, rooted: DataFrame, first: DataFrame, words: int) -> DataFrame:
+    """Where ids repeat: of the rows left only those whose words are a group's first, and one row of each."""
+    columns = out.columns
+    name = "__words__"
+    schema = T.StructType([*out.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.string()), "").to_pylist()
+            nid = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().encode().split()), 7) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nid.view(np.int64))], names=[*columns, name])
+
+    chosen = first.select(F.col("f.nid").alias(name), F.col("f.doc_id").alias("_d"))
+    rows = out.mapInArrow(run, schema)
+    return rows.join(chosen, (rows[name] == chosen[name]) & rows["doc_id"].cast("bigint").eqNullSafe(chosen["_d"]), "left_semi").dropDuplicates([name]).select(columns)
