@@ -74,16 +74,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it in any case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Only the key and the text, null texts as empty: other columns can clash with nothing."""
     return docs.select(F.col(key).alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+def by_bytes(batch: pa.RecordBatch, column: str | int = "text", limit: int = 4 << 20):
     """Slices of a record batch whose texts hold about `limit` bytes; a longer text comes alone."""
     if not batch.num_rows:
         return
-    size = batch.column(batch.schema.get_field_index(column))
+    size = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column))
     lengths = pa.compute.binary_length(size).fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
     start, held = 0, 0
     for i, n in enumerate(lengths):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import by_bytes, ship
+from lattiq.llm.common import by_bytes, ship, unused
 
 WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -190,11 +190,11 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in by_bytes(whole, "__text__"):
+                for batch in by_bytes(whole, len(columns)):
                     keep = np.ones(batch.num_rows, bool)
                     keep[[f[0] for f in items.value.matches(batch.column(len(columns)), coverage)]] = False
                     kept = batch.filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=columns)
 
-        docs = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text__")).mapInArrow(run, schema)
+        docs = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(unused(columns, "text_"))).mapInArrow(run, schema)
     return docs

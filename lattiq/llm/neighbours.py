@@ -94,13 +94,13 @@ def vectors(table: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, trees: int, leaf_part: float, seed: int = 7) -> Forest:
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    x = np.array([r.embedding for r in sample], np.float64).reshape(len(sample), -1)
-    x = np.unique(x, axis=0) if len(x) else x
+    x = np.unique(np.array([r.embedding for r in sample], np.float64), axis=0) if sample else np.zeros((0, 1))
     return Forest(x, trees, max(8, int(len(x) * leaf_part)), seed)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, trees: int = 2, leaf_part: float = 1 / 64, part: float = 0.6) -> DataFrame:

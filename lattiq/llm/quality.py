@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm.common import Scratch, by_bytes, ship
+from lattiq.llm.common import Scratch, by_bytes, ship, unused
 
 #: At most so many labelled texts are learned from: those of the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -196,11 +196,11 @@ def scored(spark: SparkSession, docs: DataFrame, model: Trees, keep: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, "__scored__"):
+            for b in by_bytes(whole, len(keep)):
                 score = shared.value.score(matrix(b.column(len(keep)).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*keep, name])
 
-    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__scored__")).mapInArrow(run, schema)
+    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(unused(keep, "text_"))).mapInArrow(run, schema)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -216,4 +216,5 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows scored below the threshold; columns as in docs."""
     columns = docs.columns
-    return scored(spark, docs, train(spark, docs, labels, sample), name="__score__").filter(F.col("__score__") >= threshold).select(columns)
+    score = unused(columns, "score")
+    return scored(spark, docs, train(spark, docs, labels, sample), name=score).filter(F.col(score) >= threshold).select(columns)

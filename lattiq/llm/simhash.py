@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm.common import Scratch, by_bytes, ship
+from lattiq.llm.common import Scratch, by_bytes, ship, unused
 from lattiq.llm.components import stars
 
 HAMMING, RADIUS = 15, 1
@@ -64,11 +64,11 @@ def with_fingerprint(spark: SparkSession, docs: DataFrame, words: int = 4, seed:
     ship(spark)
     keep = docs.columns if keep is None else keep
     schema = T.StructType([*docs.select(keep).schema.fields, T.StructField(name, T.LongType())])
-    carried = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__hashed__"))
+    carried = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(unused(keep, "text_")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "__hashed__"):
+            for batch in by_bytes(whole, len(keep)):
                 found = fingerprints(pc.cast(batch.column(len(keep)), pa.binary()).to_pylist(), words, seed)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*keep, name])
 
@@ -175,6 +175,9 @@ class Links:
     def __init__(self, threshold: int):
         self.threshold, self.u, self.v = threshold, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def begin(self, fp: np.ndarray) -> None:
+        pass
+
     def add(self, i: np.ndarray, j: np.ndarray, fp: np.ndarray) -> None:
         x, y = fp[i], fp[j]
         close = (_apart(x, y) <= self.threshold) & (x != y)
@@ -182,24 +185,73 @@ class Links:
             self.u, self.v = forest(np.concatenate([self.u, x[close]]), np.concatenate([self.v, y[close]]))
 
 
+class Parts:
+    """Components of the nodes seen so far: each node's label is the least node of its component."""
+
+    def __init__(self):
+        self.nodes, self.label = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        new = np.setdiff1d(nodes, self.nodes)
+        if len(new):
+            every = np.union1d(self.nodes, new)
+            label = every.copy()
+            label[np.searchsorted(every, self.nodes)] = self.label
+            self.nodes, self.label = every, label
+        return self.label[np.searchsorted(self.nodes, nodes)]
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        moved, root = forest(self.of(u), self.of(v))
+        if len(moved):
+            at = np.minimum(np.searchsorted(moved, self.label), len(moved) - 1)
+            self.label = np.where(moved[at] == self.label, root[at], self.label)
+
+
 class LikelyCopies:
     """Links of texts (nid) whose word fingerprints (fp) and shingle fingerprints (sfp) are near and whose sizes agree.
 
-    Kept is a spanning forest of least shingle distance: its links are real pairs, the most similar ones first."""
+    Kept are real pairs that form two forests: one of pairs at most `close_bits` apart in their shingles, and one that
+    joins its parts by pairs up to `bits` apart, the nearest of those at hand first. Pairs within a part are not looked
+    at again, so a large group of copies costs few links."""
+
+    def __init__(self, threshold: int, bits: int, similarity: float, close_bits: int = 10):
+        self.threshold, self.bits, self.similarity, self.close_bits = threshold, bits, similarity, close_bits
+        self.near, self.far = Parts(), Parts()
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def __init__(self, threshold: int, shingle_bits: int, similarity: float):
-        self.threshold, self.bits, self.similarity = threshold, shingle_bits, similarity
-        self.u, self.v, self.w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    @property
+    def u(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(k[0] for k in self.kept)])
+
+    @property
+    def v(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(k[1] for k in self.kept)])
+
+    def begin(self, fp: np.ndarray, nid: np.ndarray, sfp: np.ndarray, size: np.ndarray) -> None:
+        self.near_label, self.far_label = self.near.of(nid), self.far.of(nid)
 
     def add(self, i: np.ndarray, j: np.ndarray, fp: np.ndarray, nid: np.ndarray, sfp: np.ndarray, size: np.ndarray) -> None:
-        close = np.flatnonzero(_apart(fp[i], fp[j]) <= self.threshold)
+        other = self.near_label[i] != self.near_label[j]
+        i, j = i[other], j[other]
+        close = _apart(fp[i], fp[j]) <= self.threshold
         i, j = i[close], j[close]
         w = _apart(sfp[i], sfp[j]).astype(np.int64)
-        ok = (w <= self.bits) & (nid[i] != nid[j]) & (np.minimum(size[i], size[j]) >= self.similarity * np.maximum(size[i], size[j]))
-        if ok.any():
-            u, v, w = (np.concatenate(x) for x in ((self.u, nid[i[ok]]), (self.v, nid[j[ok]]), (self.w, w[ok])))
-            keep = spanning(u, v, w)
-            self.u, self.v, self.w = u[keep], v[keep], w[keep]
+        ok = (w <= self.bits) & (np.minimum(size[i], size[j]) >= self.similarity * np.maximum(size[i], size[j]))
+        i, j, w = i[ok], j[ok], w[ok]
+        self._keep(i, j, w, w <= self.close_bits, nid)
+        self._keep(i, j, w, self.far_label[i] != self.far_label[j], nid)
+
+    def _keep(self, i: np.ndarray, j: np.ndarray, w: np.ndarray, mask: np.ndarray, nid: np.ndarray) -> None:
+        if not mask.any():
+            return
+        i, j, w = i[mask], j[mask], w[mask]
+        chosen = spanning(nid[i], nid[j], w)
+        u, v = nid[i[chosen]], nid[j[chosen]]
+        self.kept.append((u, v))
+        close = w[chosen] <= self.close_bits
+        self.near.join(u[close], v[close])
+        self.far.join(u, v)
+        self.near_label, self.far_label = self.near.of(nid), self.far.of(nid)
 
 
 def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, finder, blocks: tuple, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -219,7 +271,7 @@ def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, finder, bloc
         as_all = rows.withColumn("j", part("nj")).withColumn("i", F.explode(F.expr("sequence(0L, coalesce(ni, 1L) - 1)")))
         place = F.when(F.col("ni").isNull(), F.col("key")).otherwise(F.col("key") + (F.col("i") * F.col("nj") + F.col("j") + 1) * F.lit(1 << 26))
         rows = as_one.select(place.alias("key"), "fp", *carry, F.lit(True).alias("own")).unionByName(as_all.select(place.alias("key"), "fp", *carry, F.lit(False).alias("own")))
-    ordered = rows.select("key", "own", "fp", *carry).repartition("key").sortWithinPartitions("key")
+    ordered = rows.select("key", "own", "fp", *carry).repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -227,6 +279,7 @@ def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, finder, bloc
 
         def settle(parts: list[tuple]) -> None:
             key, own, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found.begin(*values)
             for i, j in meetings(key, own):
                 found.add(i, j, *values)
 
@@ -335,9 +388,10 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
     blocks = BLOCKS_8 if nodes.count() <= many else BLOCKS_8_MANY
     pairs = links(spark, nodes, scratch, lambda: LikelyCopies(threshold, shingle_bits, similarity), blocks, ("nid", "sfp", "size"))
     pairs = scratch.keep(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct().join(nodes.select("nid", F.col("doc_id").alias("_d")), "nid")
-    text = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    text = scratch.keep(ids.join(text, "_d").select("nid", "t"), "texts").dropDuplicates(["nid"])
+    ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct().join(nodes.select("nid", "doc_id"), "nid")
+    text = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = _words_hashed(ids.join(text, ids.doc_id.eqNullSafe(text["_d"])).select("nid", "text"), "words").filter("words = nid")
+    text = scratch.keep(text.select("nid", F.col("text").alias("t")), "texts").dropDuplicates(["nid"])
     pairs = pairs.join(text.select(F.col("nid").alias("u"), F.col("t").alias("tu")), "u").join(text.select(F.col("nid").alias("v"), F.col("t").alias("tv")), "v")
     root = stars(spark, scratch.keep(verified(pairs, words, similarity), "verified"), scratch)
     rooted = nodes.join(root, nodes.nid == root.u, "left").select("nid", "doc_id", F.coalesce("v", "nid").alias("root"))
@@ -346,22 +400,26 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
     # rows that share an id: only the first of equal texts, or of different ones, can be the group's; see below
     out = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(kept["_d"]), "left_semi")
     if not hashed.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = _one_of_equal(spark, out, rooted, first, words)
+        out = _one_of_equal(out, first)
     return out.select(columns)
 
 
-def _one_of_equal(spark: SparkSession, out: DataFrame, rooted: DataFrame, first: DataFrame, words: int) -> DataFrame:
-    """Where ids repeat: of the rows left only those whose words are a group's first, and one row of each."""
-    columns = out.columns
-    name = "__words__"
-    schema = T.StructType([*out.schema.fields, T.StructField(name, T.LongType())])
+def _words_hashed(df: DataFrame, name: str) -> DataFrame:
+    """Adds the hash of the text's lower-cased words in order, as sketched() has it."""
+    columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.string()), "").to_pylist()
+            texts = pc.fill_null(batch.column(columns.index("text")).cast(pa.string()), "").to_pylist()
             nid = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().encode().split()), 7) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nid.view(np.int64))], names=[*columns, name])
 
-    chosen = first.select(F.col("f.nid").alias(name), F.col("f.doc_id").alias("_d"))
-    rows = out.mapInArrow(run, schema)
-    return rows.join(chosen, (rows[name] == chosen[name]) & rows["doc_id"].cast("bigint").eqNullSafe(chosen["_d"]), "left_semi").dropDuplicates([name]).select(columns)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def _one_of_equal(out: DataFrame, first: DataFrame) -> DataFrame:
+    """Where ids repeat: of the rows left only those whose words are a group's first, and one row of each."""
+    columns, name = out.columns, unused(out.columns, "words")
+    chosen = first.select(F.col("f.nid").alias(name), F.col("f.doc_id").alias("group_id"))
+    rows = _words_hashed(out, name)
+    return rows.join(chosen, (rows[name] == chosen[name]) & rows["doc_id"].cast("bigint").eqNullSafe(chosen["group_id"]), "left_semi").dropDuplicates([name]).select(columns)

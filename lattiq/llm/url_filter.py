@@ -83,18 +83,20 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> Data
 
 
 def shrink(hosts: DataFrame, z: float = 1.645) -> DataFrame:
-    """The posterior of each host from its counts (host, n, bad). Of the whole table only five numbers come to the driver."""
+    """The posterior of each host from its counts (host, n, bad). Of the whole table only a few numbers come to the driver."""
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
-    overall = F.lit(float(suffixes.agg(F.coalesce((F.sum("sbad") + 1) / (F.sum("sn") + 2), F.lit(0.5))).first()[0]))
-    ws = F.lit(suffixes.agg(_weight("sn", "sbad", overall)).first()[0])
-    suffixes = suffixes.select("suffix", ((F.col("sbad") + ws * overall) / (F.col("sn") + ws)).alias("smean"))
+    overall, total = suffixes.agg(F.coalesce((F.sum("sbad") + 1) / (F.sum("sn") + 2), F.lit(0.5)), F.coalesce(F.sum("sn"), F.lit(0))).first()
+    overall = F.lit(float(overall))
+    # a prior weighs no more than the pages it was drawn from
+    ws = F.lit(float(min(suffixes.agg(_weight("sn", "sbad", overall)).first()[0], total + 2)))
+    suffixes = suffixes.select("suffix", ((F.col("sbad") + ws * overall) / (F.col("sn") + ws)).alias("smean"), (F.col("sn") + ws).alias("behind"))
     domains = domains.join(suffixes, "suffix")
-    wd = F.lit(domains.agg(_weight("dn", "dbad", F.col("smean"))).first()[0])
-    domains = domains.select("domain", ((F.col("dbad") + wd * F.col("smean")) / (F.col("dn") + wd)).alias("dmean"))
+    wd = F.least(F.lit(domains.agg(_weight("dn", "dbad", F.col("smean"))).first()[0]), F.col("behind"))
+    domains = domains.select("domain", ((F.col("dbad") + wd * F.col("smean")) / (F.col("dn") + wd)).alias("dmean"), (F.col("dn") + wd).alias("behind"))
     hosts = hosts.join(domains, "domain")
-    wh = F.lit(hosts.agg(_weight("n", "bad", F.col("dmean"))).first()[0])
+    wh = F.least(F.lit(hosts.agg(_weight("n", "bad", F.col("dmean"))).first()[0]), F.col("behind"))
     a, b = F.col("bad") + wh * F.col("dmean"), F.col("n") - F.col("bad") + wh * (1 - F.col("dmean"))
     mean = a / (a + b)
     return hosts.select("host", "n", "bad", mean.alias("posterior"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"))
