@@ -94,4 +94,26 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(12 + length(role) + 1 + length(body) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
-ORACLE_SQL: dict[str, str] = {"op9_chat_format": _OP9}
+
+
+def _weight(n: str, bad: str, rate: str, of: str) -> str:
+    rho = f"(sum(({bad} - {n} * {rate}) ** 2) FILTER ({n} > 1) - sum({rate} * (1 - {rate}) * {n}) FILTER ({n} > 1)) / nullif(sum({rate} * (1 - {rate}) * {n} * ({n} - 1)) FILTER ({n} > 1), 0)"
+    return f"(SELECT CASE WHEN rho IS NULL THEN 10 WHEN rho <= 0.001 THEN 999 ELSE least(1000, greatest(1, (1 - rho) / rho)) END AS w FROM (SELECT {rho} AS rho FROM {of}))"
+
+
+_DOMAIN = r"CASE WHEN regexp_extract(host, '([^.]+\.example\.[^.]+)$', 1) <> '' THEN regexp_extract(host, '([^.]+\.example\.[^.]+)$', 1) ELSE regexp_extract(host, '([^.]*\.?[^.]*)$', 1) END"
+_FITS = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN" for r in sorted(RULES, key=lambda r: -len(r.name))]
+_OP8 = f"""
+WITH pg AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+lab AS (SELECT doc_id AS page_id, CASE WHEN avg(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) >= 0.5 THEN 1 ELSE 0 END AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, {_DOMAIN} AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(*) AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN lab USING (page_id) GROUP BY ALL),
+d AS (SELECT suffix, domain, sum(n)::DOUBLE AS dn, sum(bad) AS dbad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(dn) AS sn, sum(dbad) AS sbad FROM d GROUP BY ALL),
+t AS (SELECT coalesce((sum(sbad) + 1) / (sum(sn) + 2), 0.5) AS rate, coalesce(sum(sn), 0) AS total FROM s),
+sw AS (SELECT least(w, total + 2) AS ws FROM {_weight("sn", "sbad", "rate", "s, t")}, t), s2 AS (SELECT suffix, (sbad + ws * rate) / (sn + ws) AS smean, sn + ws AS behind FROM s, t, sw),
+d1 AS (SELECT d.*, smean, behind FROM d JOIN s2 USING (suffix)), d2 AS (SELECT domain, (dbad + least(w, behind) * smean) / (dn + least(w, behind)) AS dmean, dn + least(w, behind) AS behind FROM d1, {_weight("dn", "dbad", "smean", "d1")}),
+h1 AS (SELECT h.*, dmean, behind FROM h JOIN d2 USING (domain)), h2 AS (SELECT host, bad + least(w, behind) * dmean AS a, n - bad + least(w, behind) * (1 - dmean) AS b FROM h1, {_weight("n", "bad", "dmean", "h1")}),
+r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound FROM h2)
+SELECT page_id, host, path, CASE {" ".join(f"{f} '{r.name}'" for f, r in zip(_FITS, sorted(RULES, key=lambda r: -len(r.name)), strict=True))} END AS rule,
+CASE {" ".join(f"{f} '{r.verdict}'" for f, r in zip(_FITS, sorted(RULES, key=lambda r: -len(r.name)), strict=True))} WHEN lower_bound > 0.4 THEN 'block' ELSE 'allow' END AS verdict FROM pg LEFT JOIN r USING (host)
+"""
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": _OP8, "op9_chat_format": _OP9}

@@ -68,7 +68,8 @@ def _weight(n: str, bad: str, rate: Column) -> Column:
     base = F.sum(F.when(F.col(n) > 1, rate * (1 - rate) * F.col(n)))
     more = F.sum(F.when(F.col(n) > 1, rate * (1 - rate) * F.col(n) * (F.col(n) - 1)))
     rho = F.try_divide(seen - base, more)
-    return F.coalesce(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.when(rho <= 0.001, 999.0).otherwise(F.try_divide(1 - rho, rho)))), F.lit(10.0))
+    found = F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.when(rho <= 0.001, 999.0).otherwise(F.try_divide(1 - rho, rho))))
+    return F.when(rho.isNull(), 10.0).otherwise(found)
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:

@@ -117,6 +117,11 @@ def test_events_fold_render_and_read_back(spark):
     assert chat.digests(chat.render(chat.fold(df.limit(0)))).count() == 0
 
 
+def test_url_query_equals_its_sql(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        assert difference(queries.op8_url_filter(spark, sf), queries.ORACLE_SQL["op8_url_filter"], sf) is None
+
+
 def test_chat_query_equals_its_sql(spark):
     assert difference(queries.op9_chat_format(spark, SF), queries.ORACLE_SQL["op9_chat_format"], SF) is None
     r = queries.op9_chat_format(spark, SF).filter("conv_id = -7").first()

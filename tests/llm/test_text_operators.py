@@ -108,7 +108,7 @@ def test_fingerprints(odd):
     assert simhash.fingerprints([t.encode() for t in values]).tolist() == [brute_print(t) for t in values]
 
 
-@pytest.mark.parametrize(("blocks", "threshold"), [(simhash.BLOCKS_4, 4), (simhash.BLOCKS_8, 8), (simhash.BLOCKS_8_MANY, 8)])
+@pytest.mark.parametrize(("blocks", "threshold"), [(simhash.BLOCKS_4, 4), (simhash.BLOCKS_7, 7), (simhash.BLOCKS_7_MANY, 7)])
 def test_every_pair_within_the_threshold_meets_at_an_anchor(blocks, threshold):
     assert sum(b[2] + 1 for b in blocks) > threshold and sum(b[1] for b in blocks) == 64
     rng = np.random.default_rng(3)
