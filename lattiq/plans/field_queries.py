@@ -47,7 +47,7 @@ def harmonic_potential(spark, sf_dir):
     """The potential by conjugate gradients between the first and the last planes, with its passage time."""
     area, edges, n = _edges(spark, sf_dir, 30)
     fixed = area.filter((F.col("z") < 2) | (F.col("z") >= n - 2)).select(graph.linear(n).alias("node"), F.when(F.col("z") < 2, 0.0).otherwise(1.0).alias("u"))
-    u = fields.harmonic(edges, fixed, 1e-2, 15)
+    u = fields.harmonic(edges, fixed)
     return u.select("node", F.round("u", 3).alias("u"), F.round(fields.passage_time(F.col("u")), 3).alias("t_simple"))
 
 

@@ -165,7 +165,7 @@ def field_bundle(spark, sf_dir):
     v, _ = vox(spark, sf_dir)
     cube = spark.range(8**3).select((F.col("id") / 64).cast("bigint").alias("z"), ((F.col("id") / 8).cast("bigint") % 8).alias("y"), (F.col("id") % 8).alias("x"))
     area = cube.join(v.filter("v >= 49").select(*ZYX), ZYX, "left_anti")
-    return builds.field_bundle(area, area.filter("z = 0"), area.filter("z = 7"), 8, tolerance=1e-2, most=12)
+    return builds.field_bundle(area, area.filter("z = 0"), area.filter("z = 7"), 8)
 
 
 @query()
