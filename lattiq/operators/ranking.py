@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: How games are ranked; a game that is not listed ranks by time_asc.
-SCORE_TYPES = {"catch_flux": "points_desc", "photo_safari": "points_desc"}
+#: How the known games are ranked; a game that is not listed ranks by time_asc.
+SCORE_TYPES = {
+    "le_messager": "time_asc",
+    "cross_the_beast": "time_asc",
+    "catch_flux": "points_desc",
+    "safari_photo": "points_desc",
+    "circuit": "time_asc",
+    "the_savior": "time_asc",
+    "root_dive": "time_asc",
+    "membrane_surfer": "points_desc",
+    "aero_census": "points_desc",
+    "infection": "time_asc",
+}
 
 
 def directed(score: Column, kind: Column) -> Column:
@@ -14,6 +25,11 @@ def directed(score: Column, kind: Column) -> Column:
     return F.when(kind == "points_desc", -score).otherwise(score)
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """game_id, score_type of the known games."""
+    return spark.createDataFrame(list(SCORE_TYPES.items()), "game_id string, score_type string")
+
+
 def leaderboard(scores: DataFrame, games: DataFrame, k: int = 10) -> DataFrame:
     """The k best rows of each game, rank from 1; ties in the order of insertion (column idx).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -213,9 +215,13 @@ def travel_directions(spark, sf_dir):
     return paths.travel_directions(_points(spark, sf_dir), "path_id", "i", ["pz", "py", "px"])
 
 
-@query()
+_G = [(k, math.exp(-0.5 * k * k)) for k in range(-4, 5)]
+_GSUM = " + ".join(f"{w / sum(x for _, x in _G)!r} * " + (f"coalesce(lag(px, {-k}) OVER w, first_value(px) OVER f)" if k < 0 else f"coalesce(lead(px, {k}) OVER w, last_value(px) OVER f)" if k else "px") for k, w in _G)
+
+
+@query(f"WITH {_PTS} SELECT path_id, i, round({_GSUM}, 5) AS smooth FROM pts WINDOW w AS (PARTITION BY path_id ORDER BY i), f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def gaussian_positions(spark, sf_dir):
-    return timelines.gaussian_smoothed(_points(spark, sf_dir), ["path_id"], "i", "px", 1.0, "smooth").select("path_id", "i", "smooth")
+    return timelines.gaussian_smoothed(_points(spark, sf_dir), ["path_id"], "i", "px", 1.0, "smooth").select("path_id", "i", F.round("smooth", 5).alias("smooth"))
 
 
 _SC = "sc AS (SELECT event_id AS idx, event_type AS game_id, 'Player ' || (user_id % 50) || CASE WHEN user_id % 3 = 0 THEN ' ' ELSE '' END AS player_name, round(value, 1) AS score, CASE WHEN event_type IN ('click', 'view') THEN 'points_desc' ELSE 'time_asc' END AS score_type FROM events)"
