@@ -25,10 +25,10 @@ from lattiq.llm.common import Scratch, by_bytes, ship, unused
 from lattiq.llm.components import stars
 
 HAMMING, RADIUS = 15, 1
-#: (first bit, bits, share of the threshold) of the blocks: for 4 bits, and for 8 bits with few and with many fingerprints.
-BLOCKS_4 = ((0, 21, 1), (21, 21, 1), (42, 22, 1))
-BLOCKS_8 = ((0, 16, 2), (16, 16, 1), (32, 16, 1), (48, 16, 1))
-BLOCKS_8_MANY = ((0, 21, 2), (21, 21, 2), (42, 22, 2))
+#: (first bit, bits, share of the threshold) of the blocks: for 4 bits, and for 7 bits with few and with many fingerprints.
+BLOCKS_4 = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+BLOCKS_7 = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
+BLOCKS_7_MANY = ((0, 21, 2), (21, 21, 2), (42, 22, 1))
 #: Rows of an anchor that meet in one piece of work; an anchor with more is dealt out to a grid of pieces.
 PIECE = 8192
 PAIRS = 1 << 21
@@ -305,16 +305,16 @@ def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, finder, bloc
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: int = 4, words: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id: the least doc_id that can be reached by links
-    of at most `threshold` differing bits (4, or up to 8). One row per row of docs; rows of equal fingerprint are linked,
+    of at most `threshold` differing bits (4, or up to 7). One row per row of docs; rows of equal fingerprint are linked,
     empty texts (fingerprint zero) too. A null text is an empty one; null ids come last, and a component without any other
     has a null; an empty table gives an empty result.
     """
-    if not 0 <= threshold <= 8:
-        raise ValueError("the blocks serve thresholds of at most 8 bits")
+    if not 0 <= threshold <= 7:
+        raise ValueError("the blocks serve thresholds of at most 7 bits")
     scratch = Scratch(spark, "simhash")
     hashed = scratch.keep(with_fingerprint(spark, docs, words, name="fp", keep=["doc_id"]), "hashed")
     prints = scratch.keep(hashed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "prints")
-    found = links(spark, prints.select("fp"), scratch, lambda: Links(threshold), BLOCKS_4 if threshold <= 4 else BLOCKS_8)
+    found = links(spark, prints.select("fp"), scratch, lambda: Links(threshold), BLOCKS_4 if threshold <= 4 else BLOCKS_7)
     root = stars(spark, found, scratch)
     rooted = prints.join(root, prints.fp == root.u, "left").select("fp", "doc_id", F.coalesce("v", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -370,7 +370,7 @@ def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 8, shingle_bits: int = 22, many: int = 5_000_000) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 7, shingle_bits: int = 22, many: int = 5_000_000) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id; one of equal rows stays. Columns as in docs.
 
     Two texts are linked if they share `similarity` of their shingles of `words` words (Jaccard). Candidates are pairs whose
@@ -385,20 +385,20 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
     columns = docs.columns
     hashed = scratch.keep(sketched(spark, docs, words), "sketches")
     nodes = scratch.keep(hashed.groupBy("nid").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("fp", "sfp", "size"))), "nodes")
-    blocks = BLOCKS_8 if nodes.count() <= many else BLOCKS_8_MANY
+    blocks = BLOCKS_7 if nodes.count() <= many else BLOCKS_7_MANY
     pairs = links(spark, nodes, scratch, lambda: LikelyCopies(threshold, shingle_bits, similarity), blocks, ("nid", "sfp", "size"))
     pairs = scratch.keep(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct().join(nodes.select("nid", "doc_id"), "nid")
     text = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = _words_hashed(ids.join(text, ids.doc_id.eqNullSafe(text["_d"])).select("nid", "text"), "words").filter("words = nid")
+    text = _words_hashed(ids.join(text.hint("merge"), ids.doc_id.eqNullSafe(text["_d"])).select("nid", "text"), "words").filter("words = nid")
     text = scratch.keep(text.select("nid", F.col("text").alias("t")), "texts").dropDuplicates(["nid"])
-    pairs = pairs.join(text.select(F.col("nid").alias("u"), F.col("t").alias("tu")), "u").join(text.select(F.col("nid").alias("v"), F.col("t").alias("tv")), "v")
+    pairs = pairs.join(text.select(F.col("nid").alias("u"), F.col("t").alias("tu")).hint("merge"), "u").join(text.select(F.col("nid").alias("v"), F.col("t").alias("tv")).hint("merge"), "v")
     root = stars(spark, scratch.keep(verified(pairs, words, similarity), "verified"), scratch)
     rooted = nodes.join(root, nodes.nid == root.u, "left").select("nid", "doc_id", F.coalesce("v", "nid").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nid")).alias("f"))
     kept = scratch.keep(first.select(F.col("f.doc_id").alias("_d")).distinct(), "kept")
     # rows that share an id: only the first of equal texts, or of different ones, can be the group's; see below
-    out = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(kept["_d"]), "left_semi")
+    out = docs.join(kept.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(kept["_d"]), "left_semi")
     if not hashed.groupBy("doc_id").count().filter("count > 1").isEmpty():
         out = _one_of_equal(out, first)
     return out.select(columns)
