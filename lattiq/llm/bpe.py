@@ -221,18 +221,19 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str, keep_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, chunked = encoder(data.value, pattern)
         for whole in batches:
-            chunked.lengths(whole.column(1))  # learns the chunks of the whole batch in one replay
-            for batch in by_bytes(whole):
-                ids, offsets = chunked.flat(batch.column(1))
-                decoded, bounds = replay.decode(ids, offsets), offsets.tolist()
-                out = {"doc_id": batch.column(0), "n_tokens": pa.array(np.diff(offsets), pa.int64())}
-                if keep_ids:
-                    out |= {"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))}
-                if keep_decoded:
-                    out |= {"decoded": pa.array(decoded, pa.binary())}
-                if digests:
-                    raw = ids.astype("<u4").tobytes()
-                    out |= {"ids_sha256": pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded])}
-                yield pa.RecordBatch.from_pydict(out)
+            for part in by_bytes(whole, limit=8 << 20):
+                chunked.lengths(part.column(1))  # learns the chunks of some MB in one replay
+                for batch in by_bytes(part):
+                    ids, offsets = chunked.flat(batch.column(1))
+                    decoded, bounds = replay.decode(ids, offsets), offsets.tolist()
+                    out = {"doc_id": batch.column(0), "n_tokens": pa.array(np.diff(offsets), pa.int64())}
+                    if keep_ids:
+                        out |= {"ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))}
+                    if keep_decoded:
+                        out |= {"decoded": pa.array(decoded, pa.binary())}
+                    if digests:
+                        raw = ids.astype("<u4").tobytes()
+                        out |= {"ids_sha256": pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded])}
+                    yield pa.RecordBatch.from_pydict(out)
 
     return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, schema)

@@ -86,7 +86,7 @@ def texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def by_bytes(batch: pa.RecordBatch, column: str | int = "text", limit: int = 4 << 20):
+def by_bytes(batch: pa.RecordBatch, column: str | int = "text", limit: int = 1 << 20):
     """Slices of a record batch whose texts hold about `limit` bytes; a longer text comes alone."""
     if not batch.num_rows:
         return

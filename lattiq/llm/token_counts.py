@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.llm.bpe import encoder, vocabulary
-from lattiq.llm.common import Scratch, ship, texts
+from lattiq.llm.common import Scratch, by_bytes, ship, texts
 
 #: Lengths of one block of the suffix sums; the blocks are summed first, then the lengths within each.
 BLOCK = 1024
@@ -31,9 +31,10 @@ def histogram(spark: SparkSession, docs: DataFrame, path: str, pattern: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, chunked = encoder(data.value, pattern)
         held: dict[int, int] = {}
-        for batch in batches:
-            for length, n in zip(*(x.tolist() for x in np.unique(chunked.lengths(batch.column(0)), return_counts=True)), strict=True):
-                held[length] = held.get(length, 0) + n
+        for whole in batches:
+            for batch in by_bytes(whole, limit=8 << 20):
+                for length, n in zip(*(x.tolist() for x in np.unique(chunked.lengths(batch.column(0)), return_counts=True)), strict=True):
+                    held[length] = held.get(length, 0) + n
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(held), pa.int64()), "n_docs": pa.array(list(held.values()), pa.int64())})
 
     parts = texts(docs.withColumn("doc_id", F.lit(0))).select("text").mapInArrow(run, "n_tokens bigint, n_docs bigint")
