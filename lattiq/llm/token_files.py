@@ -1,7 +1,7 @@
 """Token ids in fixed-width bit packing.
 
 A token file is a set of Parquet rows, one for each block of whole documents, in the order of the corpus:
-shard, block (their order), n_ids, width, payload (the ids, `width` bits each, little-endian bit order),
+shard, block (their order), inside (the ids before it in its shard), n_ids, width, payload (the ids, `width` bits each, little-endian bit order),
 keys and sizes (the documents of the block and their numbers of ids). An id's place is arithmetic: bit
 i * width of the payload, so any run of ids can be unpacked alone. Parquet is only the container that
 Spark can commit safely when executors are lost.
@@ -26,7 +26,7 @@ from lattiq.llm.common import Scratch, by_bytes, ship, texts
 
 #: About as many ids are kept in a block; a longer document makes a longer one.
 BLOCK_IDS = 1 << 16
-FILE = "shard int, block int, n_ids bigint, width int, payload binary, keys array<bigint>, sizes array<bigint>"
+FILE = "shard int, block int, inside bigint, n_ids bigint, width int, payload binary, keys array<bigint>, sizes array<bigint>"
 
 
 def width_for(vocabulary_size: int) -> int:
@@ -118,17 +118,17 @@ def write(spark: SparkSession, docs: DataFrame, path: str, pattern: str, target:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chunked, shard, block = _encoder(data.value, pattern), TaskContext.get().partitionId(), 0
-        keys, held, total = [], [], 0
+        keys, held, total, inside = [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "width": pa.array([width], pa.int32()),
+                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "inside": pa.array([inside], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "width": pa.array([width], pa.int32()),
                 "payload": pa.array([pack(ids, width)], pa.binary()), "keys": pa.array([keys], pa.list_(pa.int64())), "sizes": pa.array([[len(x) for x in held]], pa.list_(pa.int64())),
             })
 
         for whole in batches:
-            for batch in by_bytes(whole, limit=16 << 20):
+            for batch in by_bytes(whole, limit=8 << 20):
                 ids, offsets = chunked.flat(batch.column(1))
                 for key, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     keys.append(key)
@@ -136,7 +136,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, pattern: str, target:
                     total += b - a + 1
                     if total >= BLOCK_IDS:
                         yield row()
-                        keys, held, total, block = [], [], 0, block + 1
+                        keys, held, total, inside, block = [], [], 0, inside + total, block + 1
         if held:
             yield row()
 
@@ -146,14 +146,12 @@ def write(spark: SparkSession, docs: DataFrame, path: str, pattern: str, target:
 def open_file(spark: SparkSession, target: str) -> DataFrame:
     """The blocks of a token file with the number of ids before each (first_id).
 
-    The sums run over the shards first (one row each) and then inside every shard."""
+    A block knows the ids before it in its shard; only the shards' totals are summed, and joined to the blocks."""
     blocks = spark.read.schema(FILE).parquet(target)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = blocks.select("shard", "block", "n_ids").withColumn("inside", inside).join(before, "shard")
-    places = places.select("shard", "block", (F.col("inside") + F.col("before")).alias("first_id"))
-    return blocks.join(places, ["shard", "block"])
+    # one row of two numbers for each shard, and a shard is a write task: as bounded as the list of tasks
+    return blocks.join(F.broadcast(before), "shard").withColumn("first_id", F.col("before") + F.col("inside")).drop("before")
 
 
 def read_run(spark: SparkSession, target: str, start: int, count: int) -> np.ndarray:
