@@ -186,25 +186,27 @@ class Links:
 
 
 class Parts:
-    """Components of the nodes seen so far: each node's label is the least node of its component."""
+    """Components of the nodes that have links: each one's label is the least node of its component; others are alone."""
 
     def __init__(self):
         self.nodes, self.label = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, nodes: np.ndarray) -> np.ndarray:
-        new = np.setdiff1d(nodes, self.nodes)
-        if len(new):
-            every = np.union1d(self.nodes, new)
-            label = every.copy()
-            label[np.searchsorted(every, self.nodes)] = self.label
-            self.nodes, self.label = every, label
-        return self.label[np.searchsorted(self.nodes, nodes)]
+        if not len(self.nodes):
+            return nodes
+        at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
+        return np.where(self.nodes[at] == nodes, self.label[at], nodes)
 
     def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        if not len(u):
+            return
         moved, root = forest(self.of(u), self.of(v))
+        every = np.union1d(self.nodes, np.concatenate([u, v]))
+        label = self.of(every)
         if len(moved):
-            at = np.minimum(np.searchsorted(moved, self.label), len(moved) - 1)
-            self.label = np.where(moved[at] == self.label, root[at], self.label)
+            at = np.minimum(np.searchsorted(moved, label), len(moved) - 1)
+            label = np.where(moved[at] == label, root[at], label)
+        self.nodes, self.label = every, label
 
 
 class LikelyCopies:
