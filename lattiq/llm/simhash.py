@@ -10,6 +10,7 @@ compared. Only different fingerprints are compared: copies meet in an aggregate
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -125,30 +126,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[parent[moved]]
 
 
-def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The numbers of links that form a spanning forest of least weight (Boruvka's rounds; equal weights by place)."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    rank = np.empty(len(a), np.int64)
-    rank[np.argsort(weight, kind="stable")] = np.arange(len(a))
-    number, part, chosen = np.argsort(rank), np.arange(len(nodes)), []
-    while True:
-        pa_, pb = part[a], part[b]
-        open_ = pa_ != pb
-        if not open_.any():
-            return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-        a, b, rank, pa_, pb = a[open_], b[open_], rank[open_], pa_[open_], pb[open_]
-        best = np.full(len(nodes), len(number))
-        np.minimum.at(best, pa_, rank)
-        np.minimum.at(best, pb, rank)
-        picked = np.isin(rank, best)
-        chosen.append(number[rank[picked]])
-        moved, root = forest(pa_[picked], pb[picked])
-        to = np.arange(len(nodes))
-        to[moved] = root
-        part = to[part]
-
-
 def meetings(key: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of all pairs of an owned row with a row of the same key (keys are sorted), about PAIRS at a time."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -185,77 +162,6 @@ class Links:
             self.u, self.v = forest(np.concatenate([self.u, x[close]]), np.concatenate([self.v, y[close]]))
 
 
-class Parts:
-    """Components of the nodes that have links: each one's label is the least node of its component; others are alone."""
-
-    def __init__(self):
-        self.nodes, self.label = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def of(self, nodes: np.ndarray) -> np.ndarray:
-        if not len(self.nodes):
-            return nodes
-        at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
-        return np.where(self.nodes[at] == nodes, self.label[at], nodes)
-
-    def join(self, u: np.ndarray, v: np.ndarray) -> None:
-        if not len(u):
-            return
-        moved, root = forest(self.of(u), self.of(v))
-        every = np.union1d(self.nodes, np.concatenate([u, v]))
-        label = self.of(every)
-        if len(moved):
-            at = np.minimum(np.searchsorted(moved, label), len(moved) - 1)
-            label = np.where(moved[at] == label, root[at], label)
-        self.nodes, self.label = every, label
-
-
-class LikelyCopies:
-    """Links of texts (nid) whose word fingerprints (fp) and shingle fingerprints (sfp) are near and whose sizes agree.
-
-    Kept are real pairs that form two forests: one of pairs at most `close_bits` apart in their shingles, and one that
-    joins its parts by pairs up to `bits` apart, the nearest of those at hand first. Pairs within a part are not looked
-    at again, so a large group of copies costs few links."""
-
-    def __init__(self, threshold: int, bits: int, similarity: float, close_bits: int = 10):
-        self.threshold, self.bits, self.similarity, self.close_bits = threshold, bits, similarity, close_bits
-        self.near, self.far = Parts(), Parts()
-        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-    @property
-    def u(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(k[0] for k in self.kept)])
-
-    @property
-    def v(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(k[1] for k in self.kept)])
-
-    def begin(self, fp: np.ndarray, nid: np.ndarray, sfp: np.ndarray, size: np.ndarray) -> None:
-        self.near_label, self.far_label = self.near.of(nid), self.far.of(nid)
-
-    def add(self, i: np.ndarray, j: np.ndarray, fp: np.ndarray, nid: np.ndarray, sfp: np.ndarray, size: np.ndarray) -> None:
-        other = self.near_label[i] != self.near_label[j]
-        i, j = i[other], j[other]
-        close = _apart(fp[i], fp[j]) <= self.threshold
-        i, j = i[close], j[close]
-        w = _apart(sfp[i], sfp[j]).astype(np.int64)
-        ok = (w <= self.bits) & (np.minimum(size[i], size[j]) >= self.similarity * np.maximum(size[i], size[j]))
-        i, j, w = i[ok], j[ok], w[ok]
-        self._keep(i, j, w, w <= self.close_bits, nid)
-        self._keep(i, j, w, self.far_label[i] != self.far_label[j], nid)
-
-    def _keep(self, i: np.ndarray, j: np.ndarray, w: np.ndarray, mask: np.ndarray, nid: np.ndarray) -> None:
-        if not mask.any():
-            return
-        i, j, w = i[mask], j[mask], w[mask]
-        chosen = spanning(nid[i], nid[j], w)
-        u, v = nid[i[chosen]], nid[j[chosen]]
-        self.kept.append((u, v))
-        close = w[chosen] <= self.close_bits
-        self.near.join(u[close], v[close])
-        self.far.join(u, v)
-        self.near_label, self.far_label = self.near.of(nid), self.far.of(nid)
-
-
 def links(spark: SparkSession, prints: DataFrame, scratch: Scratch, finder, blocks: tuple, carry: tuple[str, ...] = ()) -> DataFrame:
     """u, v: what `finder` (made anew in each task) keeps of the pairs that share an anchor.
 
@@ -330,30 +236,151 @@ def shingles_of(text: str, words: int) -> set[str]:
     return {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {" ".join(w)} if w else set()
 
 
-def _set_prints(values: list[set[bytes]], seed: int) -> np.ndarray:
-    hashed, out = xxhash.xxh64_intdigest, np.zeros(len(values), np.uint64)
-    for i, v in enumerate(values):
-        if v:
-            bits = np.unpackbits(np.array([hashed(x, seed) for x in v], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[i] = np.packbits(2 * bits > len(v), bitorder="little").view("<u8")[0]
-    return out
+def _hashes(text: str, words: int) -> np.ndarray:
+    """The XXH64 of each shingle of shingles_of."""
+    found = shingles_of(text, words)
+    return np.fromiter((xxhash.xxh64_intdigest(s.encode(), 42) for s in found), np.uint64, len(found)).view(np.int64)
+
 
+def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are common in a sample of docs (doc_id, text), each with its rank from 1, the commonest last.
 
-def sketched(spark: SparkSession, docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, nid, fp, sfp, size of each text: a hash of its lower-cased words in order, the SimHash of its set of words
-    (without full stops and commas at their ends), that of its shingles, and its number of words."""
+    They only set the order in which shingles are looked at; any order gives the same pairs."""
+    share = max(1, docs.count() // sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole):
-                split = [t.encode().split() for t in (x.lower() for x in batch.column(1).to_pylist())]
-                nid = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in split], np.uint64)
-                fp = _set_prints([{x.strip(b".,") for x in w} for w in split], 7)
-                sfp = _set_prints([set(map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))) if len(w) >= words else {b" ".join(w)} - {b""} for w in split], 42)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "nid": pa.array(nid.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "sfp": pa.array(sfp.view(np.int64)), "size": pa.array([len(w) for w in split], pa.int64())})
+                found = [_hashes(t, words) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([np.zeros(0, np.int64), *found]))})
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, nid bigint, fp bigint, sfp bigint, size bigint")
+    keys = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(run, "key bigint")
+    rows = keys.groupBy("key").count().filter("count >= 4").orderBy(F.desc("count"), "key").limit(most).toArrow()
+    keys = rows.column("key").to_numpy()[::-1]
+    order = np.argsort(keys)
+    return keys[order], (order + 1).astype(np.int64)
+
+
+def sketched(spark: SparkSession, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, nid, size, prefix of each text: a hash of its lower-cased words in order, its number of distinct shingles,
+    and the hashes of its rarest shingles, the rarest first, as many as must hold one of every text that is similar."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    common = spark.sparkContext.broadcast(common_shingles(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = common.value
+        for whole in batches:
+            for batch in by_bytes(whole):
+                nid, sizes, prefix = [], [], []
+                for t in batch.column(1).to_pylist():
+                    nid.append(xxhash.xxh64_intdigest(b" ".join(t.lower().encode().split()), 7))
+                    h = _hashes(t, words)
+                    weight = np.zeros(len(h), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        weight = np.where(known[at] == h, rank[at], 0)
+                    sizes.append(len(h))
+                    prefix.append(h[np.lexsort((h, weight))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]])
+                offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "nid": pa.array(np.array(nid, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "prefix": lists})
+
+    return docs.mapInArrow(run, "doc_id bigint, nid bigint, size int, prefix array<bigint>")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """The rows whose key another row has too; rows are dealt by key once, and only their neighbours are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, again = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            key = batch.column(0).to_numpy()
+            same = key[1:] == key[:-1]
+            keep = np.concatenate([[again], same]) | np.concatenate([same, [False]])
+            last, again = batch.slice(batch.num_rows - 1), bool(keep[-1])
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        if last is not None and again:
+            yield last
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, rows.schema)
+
+
+def across(key: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of rows of one key and different parts (sorted by both), about PAIRS at a time."""
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    new_part = new_key | np.concatenate([[True], part[1:] != part[:-1]])
+    end_key, end_part = (np.repeat(at[1:], np.diff(at)) for at in (np.append(np.flatnonzero(x), len(key)) for x in (new_key, new_part)))
+    theirs = end_key - end_part
+    mine = np.flatnonzero(theirs)
+    ends, at = np.cumsum(theirs[mine]), 0
+    while at < len(mine):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        m, n = mine[at:stop], theirs[mine[at:stop]]
+        first = np.repeat(end_part[m] - (np.cumsum(n) - n), n)
+        yield np.repeat(m, n), first + np.arange(len(first))
+        at = stop
+
+
+def possible(a: tuple, b: tuple, similarity: float):
+    """Whether texts of (size, place of their first common shingle) a and b can be similar; numpy arrays or columns."""
+    least, need = (np.minimum, np.ceil) if isinstance(a[0], np.ndarray) else (F.least, F.ceil)
+    need = need(similarity / (1 + similarity) * (a[0] + b[0]) - 1e-9)
+    return (a[0] >= similarity * b[0] - 1e-9) & (b[0] >= similarity * a[0] - 1e-9) & (least(a[0] - a[1], b[0] - b[1]) >= need)
+
+
+def to_the_least(meet: DataFrame, similarity: float) -> DataFrame:
+    """u, v (u > v): each text with the least one that it meets at a key, where the two can be similar."""
+    centre = meet.groupBy("key").agg(F.min(F.struct("nid", "size", "pos")).alias("c"))
+    pairs = meet.join(centre, "key").filter(F.col("nid") > F.col("c.nid"))
+    return pairs.filter(possible((F.col("size"), F.col("pos")), (F.col("c.size"), F.col("c.pos")), similarity)).select(F.col("nid").alias("u"), F.col("c.nid").alias("v")).distinct()
+
+
+def between_parts(meet: DataFrame, root: DataFrame, hot: DataFrame, similarity: float, one_of: int) -> DataFrame:
+    """u, v (u > v): all pairs of texts of different parts that meet at a key and can be similar; of these one in `one_of`.
+
+    A key of more than PIECE rows (hot: key, np) is dealt out: each pair of pieces of its rows is work of its own."""
+    rows = meet.join(root.select(F.col("u").alias("nid"), F.col("v").alias("part")), "nid", "left").withColumn("part", F.coalesce("part", "nid"))
+    rows = rows.join(hot, "key", "left").withColumn("p", F.coalesce(F.pmod(F.xxhash64("nid"), "np"), F.lit(0)))
+    rows = rows.withColumn("c", F.explode(F.expr("sequence(0L, coalesce(np, 1L) - 1)")))
+    place = F.when(F.col("np").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("p", "c"), F.greatest("p", "c")))
+    role = F.when(F.col("p") == F.col("c"), 0).when(F.col("p") < F.col("c"), 1).otherwise(2)
+    ordered = rows.select(place.alias("key"), "part", role.alias("role"), "nid", "size", "pos").repartition("key").sortWithinPartitions("key", "part")
+
+    def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, role, nid, size, pos = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(6))
+        for i, j in across(key, part):
+            ok = (role[i] + role[j]) % 3 == 0
+            ok &= ((role[i] == 0) == (role[j] == 0)) & possible((size[i], pos[i]), (size[j], pos[j]), similarity)
+            u, v = np.maximum(nid[i[ok]], nid[j[ok]]), np.minimum(nid[i[ok]], nid[j[ok]])
+            if one_of > 1:
+                mixed = (u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ v.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)
+                u, v = u[mixed % np.uint64(one_of) == 0], v[mixed % np.uint64(one_of) == 0]
+            if len(u):
+                uv = np.unique(np.stack([u, v]), axis=1)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(uv[0]), "v": pa.array(uv[1])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if held and held[-1].column(0)[-1].as_py() != key[0]:
+                yield from pairs_of(held)
+                held = []
+            if cut:
+                yield from pairs_of([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from pairs_of(held)
+
+    return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -362,8 +389,15 @@ def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
+            last: dict[int, tuple] = {}
             for k in range(batch.num_rows):
-                a, b = (shingles_of(batch.column(c)[k].as_py(), words) for c in (2, 3))
+                sets = []
+                for c in (0, 1):
+                    nid = batch.column(c)[k].as_py()
+                    if c not in last or last[c][0] != nid:
+                        last[c] = (nid, shingles_of(batch.column(c + 2)[k].as_py(), words))
+                    sets.append(last[c][1])
+                a, b = sets
                 both = len(a & b)
                 keep[k] = both >= similarity * (len(a) + len(b) - both)
             kept = batch.filter(pa.array(keep))
@@ -372,30 +406,50 @@ def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 7, shingle_bits: int = 22, many: int = 5_000_000) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id; one of equal rows stays. Columns as in docs.
 
-    Two texts are linked if they share `similarity` of their shingles of `words` words (Jaccard). Candidates are pairs whose
-    SimHashes over the set of words differ in at most `threshold` bits (a change of one word moves five shingles, but
-    one word only) and whose SimHashes over shingles differ in at most shingle_bits. Of the candidates that meet in
-    a task a spanning forest of least shingle distance is verified on the texts, so links are in proportion to texts.
-    Texts of equal words are one text from the start. Above `many` different texts larger blocks are taken: more
-    copies at anchors, fewer comparisons, the same pairs. A null text counts as empty; null ids come last.
+    Two texts are linked if they share `similarity` of their distinct shingles of `words` words (Jaccard). Such texts have a
+    shingle in common among the rarest of either, 1 - similarity of its shingles and one more, so all pairs that meet at one of those are
+    candidates but for those that sizes and places rule out. Every pair is verified on the texts before it joins
+    anything: first each text with the least it meets, then all pairs of what are still different parts, in growing shares
+    where there are many, until none is left. Texts of equal words are one text from the start. A null text counts as
+    empty; null ids come last.
     """
     ship(spark)
     scratch = Scratch(spark, "dedup")
     columns = docs.columns
-    hashed = scratch.keep(sketched(spark, docs, words), "sketches")
-    nodes = scratch.keep(hashed.groupBy("nid").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("fp", "sfp", "size"))), "nodes")
-    blocks = BLOCKS_7 if nodes.count() <= many else BLOCKS_7_MANY
-    pairs = links(spark, nodes, scratch, lambda: LikelyCopies(threshold, shingle_bits, similarity), blocks, ("nid", "sfp", "size"))
-    pairs = scratch.keep(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct().join(nodes.select("nid", "doc_id"), "nid")
+    hashed = scratch.keep(sketched(spark, docs, words, similarity), "sketches")
+    nodes = scratch.keep(hashed.groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
+    meet = scratch.keep(met(nodes.select("nid", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "nid", "size", "pos")), "meet")
     text = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = _words_hashed(ids.join(text.hint("merge"), ids.doc_id.eqNullSafe(text["_d"])).select("nid", "text"), "words").filter("words = nid")
-    text = scratch.keep(text.select("nid", F.col("text").alias("t")), "texts").dropDuplicates(["nid"])
-    pairs = pairs.join(text.select(F.col("nid").alias("u"), F.col("t").alias("tu")).hint("merge"), "u").join(text.select(F.col("nid").alias("v"), F.col("t").alias("tv")).hint("merge"), "v")
-    root = stars(spark, scratch.keep(verified(pairs, words, similarity), "verified"), scratch)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct().join(nodes.select("nid", "doc_id"), "nid")
+        t = _words_hashed(ids.join(text.hint("merge"), ids.doc_id.eqNullSafe(text["_d"])).select("nid", "text"), "words").filter("words = nid")
+        t = scratch.keep(t.select("nid", F.col("text").alias("t")), "texts")
+        one = t.dropDuplicates(["nid"])
+        both = pairs.join(one.select(F.col("nid").alias("u"), F.col("t").alias("tu")).hint("merge"), "u").join(one.select(F.col("nid").alias("v"), F.col("t").alias("tv")).hint("merge"), "v")
+        found = scratch.keep(verified(both, words, similarity), "verified")
+        scratch.drop(t)
+        return found
+
+    tested = scratch.keep(to_the_least(meet, similarity), "pairs")
+    found = links_of(tested)
+    root = stars(spark, found, scratch)
+    counts = meet.groupBy("key").agg(F.count("*").alias("n"))
+    hot = scratch.keep(counts.filter(F.col("n") > PIECE).select("key", F.ceil(F.col("n") / PIECE).alias("np")), "hot")
+    work, one_of = counts.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0, 1
+    while work / one_of > max(1_000_000, 4 * nodes.count()):
+        one_of *= 8
+    while True:
+        pairs = scratch.keep(between_parts(meet, root, hot, similarity, one_of).join(tested, ["u", "v"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tested, found = tested.unionByName(pairs), found.unionByName(links_of(pairs))
+            root = stars(spark, found, scratch)
+        if one_of == 1:
+            break
+        one_of //= 8
     rooted = nodes.join(root, nodes.nid == root.u, "left").select("nid", "doc_id", F.coalesce("v", "nid").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nid")).alias("f"))
     kept = scratch.keep(first.select(F.col("f.doc_id").alias("_d")).distinct(), "kept")
