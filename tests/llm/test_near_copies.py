@@ -47,3 +47,13 @@ def test_cut_and_appended_copies_are_found(spark):
             texts += [a, [*a, *drawn(int(0.2 * n))], a[: int(0.83 * n)], a[: int(0.7 * n)]]
     rows = numbered(texts)
     assert kept(spark, rows) == expected(rows)
+
+
+def test_lines_repeated_a_different_number_of_times(spark):
+    texts = []
+    for _ in range(5):
+        lines = [drawn(8) for _ in range(3)]
+        a = sum(lines, [])
+        texts += [a * 4, a * 2, a * 9, drawn(40)]
+    rows = numbered(texts)
+    assert kept(spark, rows) == expected(rows) == sorted(i for i in range(len(rows)) if i % 4 in (0, 3))
