@@ -1,6 +1,7 @@
 """The near-duplicate stage against all pairs of a small table: cut, appended, repeated and chained copies."""
 
 import numpy as np
+import pytest
 
 from lattiq.llm import simhash
 
@@ -57,3 +58,27 @@ def test_lines_repeated_a_different_number_of_times(spark):
         texts += [a * 4, a * 2, a * 9, drawn(40)]
     rows = numbered(texts)
     assert kept(spark, rows) == expected(rows) == sorted(i for i in range(len(rows)) if i % 4 in (0, 3))
+
+
+def families(count, size, edits, n=150):
+    texts = []
+    for _ in range(count):
+        a = drawn(n)
+        for _ in range(size):
+            copy = [*a]
+            for at in rng.choice(n, edits, replace=False):
+                copy[at] = drawn(1)[0]
+            texts.append(copy)
+    return texts
+
+
+@pytest.mark.parametrize(("size", "edits"), [(6, 2), (20, 2), (20, 3)])
+def test_failed_pairs_do_not_split_families(spark, size, edits):
+    rows = numbered(families(20, size, edits))
+    assert kept(spark, rows) == expected(rows)
+
+
+def test_chains_and_dealt_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 16)
+    rows = numbered([*(drawn(0) or a[k : k + 150] for a in [drawn(600)] for k in range(0, 450, 12)), *families(2, 60, 3)])
+    assert kept(spark, rows) == expected(rows)
