@@ -61,33 +61,41 @@ def traversing(labels: DataFrame, source: DataFrame, target: DataFrame) -> DataF
     return labels.join(ids(source).intersect(ids(target)), "cid", "left_semi")
 
 
-def cheapest(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
+def cheapest(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, cost, via: least cost from any start node (node, cost) and the predecessor on the way (least node on ties).
 
-    edges: u, v, w. Each round relaxes the nodes that changed; it ends when none does."""
+    edges: u, v, w. Each round relaxes the nodes that changed; it ends when none does. More than `rounds` rounds, or more
+    than there are nodes (a cycle of negative cost), are an error."""
     space = Workspace(edges.sparkSession, "paths")
     best = space.keep(start.groupBy("node").agg(F.min("cost").alias("cost")).withColumn("via", F.lit(-1).cast("bigint")))
-    front = best
-    for _ in range(rounds):
+    front, old, done = best, best, 0
+    while True:
         step = front.join(edges, front.node == edges.u).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("via"))
         offers = step.groupBy("node").agg(F.min(F.struct("cost", "via")).alias("o"))
         both = best.join(offers, "node", "full")
         better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")))
         new = space.keep(both.select("node", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.via")).otherwise(F.col("via")).alias("via"), better.alias("changed")))
-        best, front = new.drop("changed"), new.filter("changed").drop("changed")
+        space.drop(old)
+        best, front, old, done = new.drop("changed"), new.filter("changed").drop("changed"), new, done + 1
         if front.isEmpty():
-            break
-    return best
+            return best
+        if done == rounds or done % 100 == 0 and done > best.count():
+            raise ValueError(f"costs still fall after {done} rounds")
+
 
+def traced(paths: DataFrame, ends: DataFrame, rounds: int | None = None) -> DataFrame:
+    """path_id, step, node: the way from each end node (path_id, node) back to a start, by following via.
 
-def traced(paths: DataFrame, ends: DataFrame, rounds: int = 200) -> DataFrame:
-    """path_id, step, node: the way from each end node (path_id, node) back to a start, by following via."""
+    Ways of more than `rounds` steps, or of more than there are nodes (a cycle), are an error."""
     space = Workspace(paths.sparkSession, "trace")
     at = space.keep(ends.select("path_id", F.lit(0).cast("bigint").alias("step"), "node"))
-    out = at
-    for _ in range(rounds):
+    out, done = at, 0
+    while True:
         at = space.keep(at.join(paths.select("node", "via"), "node").filter("via >= 0").select("path_id", (F.col("step") + 1).alias("step"), F.col("via").alias("node")))
         if at.isEmpty():
-            break
-        out = out.unionByName(at)
-    return out
+            return out
+        out, done = out.unionByName(at), done + 1
+        if done % 50 == 0:
+            out = space.keep(out)
+        if rounds is not None and done > rounds or done % 200 == 0 and done > paths.count():
+            raise ValueError(f"a way goes on after {done} steps")
