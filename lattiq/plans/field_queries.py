@@ -129,24 +129,25 @@ def crown_watershed(spark, sf_dir):
 
 def _flow(spark, sf_dir):
     """Directions, speed and area of a smooth field on the grid: towards growing z, swirling a little."""
-    n = 24
+    v, n = vox(spark, sf_dir)
     z, y, x = (F.col(a).cast("double") for a in ZYX)
-    grid = voxels.dense(vox(spark, sf_dir)[0].filter("z < 24 and y < 24 and x < 24"), n)
-    vy, vx = (x - 11.5) / 40, (F.lit(11.5) - y) / 40
-    return grid.select(*ZYX, F.lit(0.9).alias("vz"), vy.alias("vy"), vx.alias("vx"), (z / (n - 1)).alias("u"), F.sqrt(0.81 + vy * vy + vx * vx).alias("speed"), F.lit(1.0).alias("area"), F.least(y, F.lit(23.0) - y, x, F.lit(23.0) - x).alias("wall")), n
+    grid = voxels.dense(v, n)
+    last, middle = float(n - 1), (n - 1) / 2
+    vy, vx = (x - middle) / 40, (F.lit(middle) - y) / 40
+    return grid.select(*ZYX, F.lit(0.9).alias("vz"), vy.alias("vy"), vx.alias("vx"), (z / (n - 1)).alias("u"), F.sqrt(0.81 + vy * vy + vx * vx).alias("speed"), F.lit(1.0).alias("area"), F.least(y, F.lit(last) - y, x, F.lit(last) - x).alias("wall")), n
 
 
 @query()
 def streamlines(spark, sf_dir):
     field, n = _flow(spark, sf_dir)
-    seeds = vox(spark, sf_dir)[0].filter("z = 1 and y < 24 and x < 24 and v >= 40").select((F.col("y") * 64 + F.col("x")).alias("path_id"), *ZYX)
+    seeds = vox(spark, sf_dir)[0].filter("z = 1 and v >= 40").select((F.col("y") * max(n, 64) + F.col("x")).alias("path_id"), *ZYX)
     return fields.streamlines(seeds, field, n)
 
 
 @query()
 def particles(spark, sf_dir):
     field, n = _flow(spark, sf_dir)
-    seeds = fields.seeded(fields.seed_weights(field.filter("z < 12"), "ch4"), 200)
+    seeds = fields.seeded(fields.seed_weights(field.filter(F.col("z") < n // 2), "ch4"), 200)
     return fields.particles(seeds, field, n, frames=20)
 
 
@@ -174,8 +175,7 @@ def shell_membership(spark, sf_dir):
 def iso_surface(spark, sf_dir):
     """The surface of the plane-wise means' field, by tetrahedra, with areas and normals, one row a face."""
     v, n = vox(spark, sf_dir)
-    small = v.filter("z < 10 and y < 10 and x < 10").select(*ZYX, "v")
-    verts, faces = geometry.welded(geometry.iso_triangles(small, 10, 25.0))
+    verts, faces = geometry.welded(geometry.iso_triangles(v.select(*ZYX, "v"), n, 25.0))
     return geometry.face_vectors(geometry.corners(verts, faces)).select("fid", "area")
 
 
