@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lattiq.llm import simhash
 
 rng = np.random.default_rng(4)
@@ -82,3 +83,14 @@ def test_chains_and_dealt_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PIECE", 16)
     rows = numbered([*(drawn(0) or a[k : k + 150] for a in [drawn(600)] for k in range(0, 450, 12)), *families(2, 60, 3)])
     assert kept(spark, rows) == expected(rows)
+
+
+def test_pipeline_stage_equals_brute_force(spark):
+    a, line = drawn(200), drawn(8)
+    copies = [a, a[:170], [*a, *drawn(40)], line * 4, line * 9, *(drawn(0) or c for c in families(3, 6, 2)), *([*a[k:], *a[:k]] for k in (10, 40, 70))]
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    first = max(i for i, _ in docs) + 1
+    rows = [*docs, *((first + i, t) for i, t in numbered(copies))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert sorted(r.doc_id for r in stage(spark, table, "/root/testdata/sf0.001").collect()) == expected(rows)
