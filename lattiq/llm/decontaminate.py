@@ -11,9 +11,9 @@ with every slice, so there is no shuffle of documents and no limit on the benchm
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from lattiq.llm.common import by_bytes, ship, unused
 
 WORD = re.compile(r"[^\W_]+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Texts of more characters have their words counted one by one.
+LONG = 1 << 20
 #: Bytes of benchmark text that one broadcast may hold.
 SLICE_BYTES = 16 << 20
 
@@ -33,55 +34,116 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def rolled(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes (modulo 2**64) of all windows of `size` ids."""
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    out = x[:n].copy()
-    for k in range(1, size):
-        out = out * BASE + x[k : k + n]
-    return out
+def ids_of(texts: list[str], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words of all texts in one array (-1: unknown), and the offsets of the texts in it.
+
+    The words of a text are not held at once, so a long one costs 8 bytes a word."""
+    get, parts = number.get, []
+    for text in texts:
+        lower = text.lower()
+        if len(lower) > LONG:
+            parts.append(np.fromiter((get(m.group(), -1) for m in WORD.finditer(lower)), np.int64))
+        else:
+            found = WORD.findall(lower)
+            parts.append(np.fromiter(map(get, found, repeat(-1)), np.int64, len(found)))
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+
+
+class Hashes:
+    """Karp-Rabin hashes modulo 2**64 of a sequence of ids: those of all windows of any size, from one running sum."""
+
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, ids: np.ndarray, base: int = 0x9E3779B97F4A7C15):
+        n = len(ids)
+        up, down = self._powers.get(base, (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+        if len(up) <= n:
+            size = max(1 << 12, 2 * n)
+            up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+            if size <= 1 << 20:
+                self._powers[base] = up, down
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        self.up, self.sums = up[: n + 1], np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * down[:n], dtype=np.uint64)])
+
+    def windows(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return (self.sums[size:] - self.sums[:n]) * self.up[:n] if n > 0 else np.zeros(0, np.uint64)
+
 
+def shared_runs(ids: np.ndarray, other: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ids that lie in a window of `least` ids whose hash occurs in other too, and the ids there, runs parted by -1."""
+    mine, theirs = Hashes(ids).windows(least), np.sort(Hashes(other).windows(least))
+    if not len(mine) or not len(theirs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hit = theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
+    part = np.concatenate([hit, np.zeros(least, np.int64)]).astype(np.int64)
+    part[least:] -= hit
+    at = np.flatnonzero((np.cumsum(part)[:-1] > 0) & (ids >= 0))
+    cut = np.flatnonzero(np.diff(at) > 1) + 1
+    return np.insert(at, cut, -1), np.insert(ids[at], cut, -1)
 
-def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int, base: int = 0x9E3779B97F4A7C15) -> list[tuple[int, int, int]]:
     """The tiles (start in doc, start in item, length) of a greedy tiling; ids below 0 match nothing.
 
-    Longest first; among equals the earliest in the item, then in the document.
+    Longest first; among equals the earliest in the item, then in the document. The greatest length that still has a match
+    on free words is found by bisection on running hashes, and all tiles of that length are marked in one pass over the
+    item; so time and memory follow the two lengths, however often words repeat.
     """
-    hd, hi = rolled(doc, least), rolled(item, least)
-    bad = np.convolve(doc < 0, np.ones(least, np.int64))[least - 1 : len(doc)] > 0 if len(hd) else np.zeros(0, bool)
-    order = np.argsort(hi, kind="stable")
-    a, b = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
-    n = np.where(bad, 0, b - a)
-    d = np.repeat(np.arange(len(hd)), n)
-    i = order[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(hd) else d
-    same = np.ones(len(d), bool)
-    for k in range(least):  # the hash only proposes
-        same &= doc[d + k] == item[i + k]
-    d, i = d[same], i[same]
-    by_diagonal = np.lexsort((d, i - d))
-    d, i = d[by_diagonal], i[by_diagonal]
-    if not len(d):
-        return []
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 1) | (np.diff(i) != 1)]))
-    run = np.diff(np.concatenate([starts, [len(d)]]))
-    queue = [(-(int(r) + least - 1), int(y), int(x)) for r, x, y in zip(run, d[starts], i[starts], strict=True)]
-    heapq.heapify(queue)
-    in_doc, in_item, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while queue:
-        length, y, x = heapq.heappop(queue)
-        length = -length
-        free = ~(in_doc[x : x + length] | in_item[y : y + length])
-        if free.all():
-            in_doc[x : x + length] = in_item[y : y + length] = True
-            out.append((x, y, length))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= least:
-                heapq.heappush(queue, (a - b, y + a, x + a))
+    (at_doc, d), (at_item, i) = shared_runs(doc, item, least), shared_runs(item, doc, least)
+    hd, hi, out = Hashes(d, base), Hashes(i, base), []
+    used_d, used_i = d < 0, i < 0
+
+    def open_windows(size: int) -> tuple[np.ndarray, ...]:
+        """Places and hashes of the windows of free words, in both."""
+        found = []
+        for used, h in ((used_d, hd), (used_i, hi)):
+            taken = np.concatenate([[0], np.cumsum(used)])
+            place = np.flatnonzero(taken[size:] == taken[: len(used) - size + 1]) if len(used) >= size else np.zeros(0, np.int64)
+            found += [place, h.windows(size)[place] if len(place) else np.zeros(0, np.uint64)]
+        return tuple(found)
+
+    def longest(used: np.ndarray) -> int:
+        stops = np.flatnonzero(np.concatenate([[True], used, [True]]))
+        return int(np.diff(stops).max()) - 1
+
+    def some(size: int) -> bool:
+        _, x, _, y = open_windows(size)
+        return bool(len(x) and len(y) and np.isin(y, x).any())
+
+    top = min(longest(used_d), longest(used_i)) if len(d) and len(i) else 0
+    while top >= least:
+        if not some(top):
+            low, high = least - 1, top  # a match of `low` words is there (or none at all), one of `high` is not
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if some(middle) else (low, middle)
+            top = low
+            if top < least:
+                break
+        place_d, x, place_i, y = open_windows(top)
+        order = np.argsort(x, kind="stable")
+        x, place_d = x[order], place_d[order]
+        begin, end = np.searchsorted(x, y, "left"), np.searchsorted(x, y, "right")
+        after: dict[int, int] = {}
+        for k in np.flatnonzero(end > begin).tolist():
+            p = int(place_i[k])
+            if used_i[p] or used_i[p + top - 1]:  # marks are as long as the window, so its ends tell
+                continue
+            b, e = int(begin[k]), int(end[k])
+            c = after.get(b, b)
+            while c < e and (used_d[place_d[c]] or used_d[place_d[c] + top - 1]):
+                c += 1
+            after[b] = c
+            if c == e:
+                continue
+            q = int(place_d[c])
+            if not np.array_equal(d[q : q + top], i[p : p + top]):  # two windows of one hash: begin anew with another base
+                return tiles(doc, item, least, (base * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1)
+            used_d[q : q + top] = used_i[p : p + top] = True
+            out.append((int(at_doc[q]), int(at_item[p]), top))
+        top = min(top - 1, longest(used_d), longest(used_i))
     return out
 
 
@@ -99,7 +161,7 @@ class Items:
         by_size: dict[int, list] = {}
         for k, ids in enumerate(self.ids):
             size = min(least, len(ids))
-            h = rolled(ids, size)
+            h = Hashes(ids).windows(size)
             by_size.setdefault(size, []).append((h, np.full(len(h), k)))
         self.seeds = {}
         for size, parts in by_size.items():
@@ -110,17 +172,14 @@ class Items:
     def candidates(self, ids: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, seed size) of the texts that share a seed with an item."""
         out: set[tuple[int, int, int]] = set()
-        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        known, hashes = np.concatenate([[0], np.cumsum(ids >= 0)]), Hashes(ids)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         for size, (h, k) in self.seeds.items():
             n = len(ids) - size + 1
             if n <= 0:
                 continue
             at = np.flatnonzero((known[size:] - known[:n] == size) & (owner[:n] == owner[size - 1 :]))
-            x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            v = x[at].copy()
-            for j in range(1, size):
-                v = v * BASE + x[at + j]
+            v = hashes.windows(size)[at]
             a, b = np.searchsorted(h, v, "left"), np.searchsorted(h, v, "right")
             hit = np.flatnonzero(b > a)
             for t, p, q in zip(owner[at[hit]].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
@@ -129,10 +188,7 @@ class Items:
 
     def matches(self, column: pa.Array, coverage: float) -> list[tuple]:
         """(text, item key, coverage, words covered, words of the item, tiles) at or above the coverage."""
-        values = [words(t) for t in column.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(w) for w in values])])
-        get = self.number.get
-        ids = np.fromiter((get(x, -1) for w in values for x in w), np.int64, int(offsets[-1]))
+        ids, offsets = ids_of(column.to_pylist(), self.number)
         out = []
         for t, k, size in self.candidates(ids, offsets):
             item = self.ids[k]
@@ -144,13 +200,13 @@ class Items:
 
 
 def slices(spark: SparkSession, benchmark: DataFrame, least: int, limit: int = SLICE_BYTES) -> Iterator:
-    """The benchmark's items in broadcasts of about `limit` bytes of text each."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """The benchmark's different items in broadcasts of about `limit` bytes of text each; an empty benchmark gives one without items."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-total // limit))
     for i in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
-        rows = sorted(set(map(tuple, part.collect())), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         yield spark.sparkContext.broadcast(Items(rows, least))
 
 
@@ -183,7 +239,10 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, limit: int = SLICE_BYTES) -> DataFrame:
-    """docs without the rows into which an item leaked; columns as in docs, no shuffle."""
+    """docs without the rows into which an item leaked; columns as in docs, no shuffle.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; repeated rows stay or go together; an empty table
+    stays empty; columns may have any names."""
     ship(spark)
     columns, schema = docs.columns, docs.schema
     for items in slices(spark, benchmark, least, limit):
