@@ -182,7 +182,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, schema)  # broadcast: `sample` pairs of numbers at most
-    found = sorted({r.doc_id: (r.doc_id, r.y, r.x) for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.x), reverse=True)}.values())
+    found = found.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x"))  # one row an id, however often it repeats
+    found = sorted(tuple(r) for r in found.collect())
     x = np.array([r[2] for r in found]).reshape(len(found), len(NAMES))
     return fit(x, np.array([r[1] for r in found], np.int64))
 
@@ -214,7 +215,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows scored below the threshold; columns as in docs."""
+    """docs without the rows scored below the threshold; columns as in docs.
+
+    A null text is scored as an empty one; repeated rows stay or go together; an empty table stays empty, and without
+    labels every score is 0.5; columns may have any names."""
     columns = docs.columns
     score = unused(columns, "score")
     return scored(spark, docs, train(spark, docs, labels, sample), name=score).filter(F.col(score) >= threshold).select(columns)
