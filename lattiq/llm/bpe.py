@@ -163,9 +163,9 @@ class MergeReplay:
                     heapq.heappush(queue, (q, k))
         return np.array([t for t, a in zip(token, alive, strict=True) if a], np.int32)
 
-    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         number: dict[str, int] = {}
-        found = [self.pattern.findall(c) for c in chunks]
+        found = [self.pattern.findall(c) for c in chunks.to_pylist()]
         of = np.fromiter((number.setdefault(p, len(number)) for x in found for p in x), np.int64)
         ids, sizes = self.replay([p.encode() for p in number])
         flat, ends = _gather(ids, np.cumsum(sizes) - sizes, sizes, of)

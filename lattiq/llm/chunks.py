@@ -9,6 +9,7 @@ pre-tokenizer's own pieces instead.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,40 +19,58 @@ import regex
 
 #: White space in the sense of Unicode, and four control characters that some engines count as such.
 _WS = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WS = f"[^{_WS[1:]}"
 
 
 class ChunkEncoder:
     """Encodes record batches of texts.
 
-    encode: for a list of distinct chunks, their ids in one flat array, and the number of ids of each.
+    encode: for an array of distinct chunks, their ids in one flat array, and the number of ids of each.
     pattern: the pre-tokenizer's pattern, for texts that cannot be cut at spaces.
-    remember: bound on the number of chunks kept between batches; beyond it the memory starts anew.
+    remember: bound on the number of chunks kept between batches; beyond it the half that was met in most batches stays.
+    whole: strings that the encoder takes for tokens of their own; a text that holds one is a chunk by itself.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pattern: str, remember: int = 600_000):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], pattern: str, remember: int = 1_000_000, whole: tuple[str, ...] = ()):
         self.encode, self.pattern, self.remember = encode, regex.compile(pattern), remember
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.whole = "|".join(map(re.escape, sorted(whole)))
+        self.known = pa.array([], pa.string())
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def _learn(self, chunks: list[str]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if not new:
-            return
-        ids, sizes = self.encode(new)
-        while self.used + sizes.sum() > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+    def _forget(self) -> None:
+        """Keeps the chunks that were met most often, those learned last among equals."""
         n = len(self.known)
-        while n + len(new) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.start[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.length[n : n + len(new)] = sizes
-        self.pool[self.used : self.used + sizes.sum()] = ids
-        self.used += int(sizes.sum())
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        kept = np.sort(np.argsort(self.met, kind="stable")[max(0, n - self.remember // 2) :])
+        length = self.length[kept]
+        ends = np.cumsum(length, dtype=np.int64)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.pool = self.pool[np.repeat(self.start[kept] - (ends - length), length) + np.arange(self.used)]
+        self.known = self.known.take(pa.array(kept))
+        self.start, self.length, self.met = ends - length, length, (self.met[kept] + 1) // 2
+
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The numbers of chunks in the memory; those it lacks are encoded first."""
+        at = pc.index_in(chunks, value_set=self.known)
+        if at.null_count:
+            lacking = chunks.filter(at.is_null())
+            new = pc.unique(lacking)
+            ids, sizes = self.encode(new)
+            if self.used + len(ids) > len(self.pool):
+                more = np.zeros(max(2 * len(self.pool), self.used + len(ids)), np.uint32)
+                more[: self.used] = self.pool[: self.used]
+                self.pool = more
+            self.pool[self.used : self.used + len(ids)] = ids
+            places = pc.add(pc.index_in(lacking, value_set=new), pa.scalar(len(self.known), pa.int32()))
+            self.known = pa.concat_arrays([self.known, new])
+            self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
+            self.length = np.concatenate([self.length, sizes.astype(np.int32)])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+            self.used += len(ids)
+            at = pc.replace_with_mask(at, at.is_null(), places)
+        out = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met[out] += 1  # once for each, however often it stands in the batch
+        return out
 
     def elements(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the numbers of its chunks: one flat array, and the offsets of the texts in it."""
@@ -59,25 +78,31 @@ class ChunkEncoder:
             self._forget()
         column = pc.fill_null(column, "")
         odd = pc.match_substring_regex(column, f" {_WS}|{_WS} ").to_numpy(zero_copy_only=False)
+        own = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False) if self.whole else np.zeros(len(column), bool)
+        odd = odd | own
         parts = pc.split_pattern(column, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets, flat = offsets - offsets[0], parts.flatten()
         coded = pc.dictionary_encode(flat)
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         first = np.zeros(len(at), bool)
         first[offsets[:-1]] = True
         of_odd = np.repeat(odd, np.diff(offsets))
-        spaced = np.unique(at[~first & ~of_odd])
-        leading = np.unique(at[first & ~of_odd])
-        pieces = {int(i): self.pattern.findall(column[int(i)].as_py()) for i in np.flatnonzero(odd)}
-        spaced_words, leading_words = [" " + words[i] for i in spaced], [words[i] for i in leading]
-        self._learn([*spaced_words, *(w for w in leading_words if w), *(p for x in pieces.values() for p in x)])
+        seen = np.zeros((2, len(words)), bool)
+        seen[first[~of_odd].astype(np.int8), at[~of_odd]] = True
+        spaced, leading = np.flatnonzero(seen[0]), np.flatnonzero(seen[1])
+        leading = leading[pc.binary_length(words.take(pa.array(leading))).to_numpy(zero_copy_only=False) > 0]  # nothing stands before a leading space
+        pieces = {int(i): [column[int(i)].as_py()] if own[i] else self.pattern.findall(column[int(i)].as_py()) for i in np.flatnonzero(odd)}
+        wanted = [pc.binary_join_element_wise("", words.take(pa.array(spaced)), " "), words.take(pa.array(leading)), pa.array([p for x in pieces.values() for p in x], pa.string())]
+        numbers = np.split(self._numbers(pa.concat_arrays(wanted)), np.cumsum([len(x) for x in wanted])[:-1])
         to = np.full((2, len(words) + 1), -1, np.int64)
-        to[0, spaced] = [self.known[w] for w in spaced_words]
-        to[1, leading] = [self.known[w] if w else -1 for w in leading_words]
+        to[0, spaced], to[1, leading] = numbers[0], numbers[1]
         out = to[first.astype(np.int8), at]
         if pieces:
-            rows = [np.fromiter((self.known[p] for p in pieces[i]), np.int64, len(pieces[i])) if i in pieces else out[offsets[i] : offsets[i + 1]] for i in range(len(column))]
+            of_piece = np.split(numbers[2], np.cumsum([len(x) for x in pieces.values()])[:-1])
+            rows = [out[offsets[i] : offsets[i + 1]] for i in range(len(column))]
+            for i, x in zip(pieces, of_piece, strict=True):
+                rows[i] = x
             out, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         return out, offsets
 

@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.llm.bpe import vocabulary
-from lattiq.llm.chunks import ChunkEncoder
+from lattiq.llm.chunks import NOT_WS, ChunkEncoder
 from lattiq.llm.common import Scratch, by_bytes, ship, texts
 
 #: About as many ids are kept in a block; a longer document makes a longer one.
@@ -58,57 +60,74 @@ class LibraryEncoder:
 
     Chunks that start with a space before a letter or sign and end in one are encoded joined (there the
     pre-tokenizer cuts anyway) and told apart by the bytes that their ids stand for; the others one by one.
+    plain: whether the strings of special tokens are ordinary text; by default the library finds the tokens.
     """
 
-    def __init__(self, data: bytes, joined: int = 400):
+    def __init__(self, data: bytes, joined: int = 64, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.joined = Tokenizer.from_str(data.decode()), joined
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.whole = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special))
         model = json.loads(data)["model"]["vocab"]
-        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        self.size = np.zeros(size_of(data), np.int64)
         for token, i in model.items():  # each character of a token stands for one byte
             self.size[i] = len(token)
 
-    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        alike = np.fromiter((len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks), bool, len(chunks))
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        alike = pc.match_substring_regex(column, rf"^ {NOT_WS}(?s:.*{NOT_WS})?$")
+        if self.whole:
+            alike = pc.and_not(alike, pc.match_substring_regex(column, "|".join(map(re.escape, self.whole))))
+        alike = alike.to_numpy(zero_copy_only=False)
         together, alone = np.flatnonzero(alike), np.flatnonzero(~alike)
-        groups = [together[i : i + self.joined] for i in range(0, len(together), self.joined)]
-        texts = ["".join(chunks[i] for i in g) for g in groups] + [chunks[i] for i in alone]
+        cuts = np.append(np.arange(0, len(together), self.joined), len(together)).astype(np.int32)
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), column.take(pa.array(together))), "")
+        texts = groups.to_pylist() + column.take(pa.array(alone)).to_pylist()
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         order = np.concatenate([together, alone]).astype(np.int64)
-        long = np.fromiter((len(chunks[i].encode()) for i in order), np.int64, len(order))
-        ends = np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(long)) + 1 if len(flat) else np.zeros(len(order), np.int64)
-        counts = np.diff(np.concatenate([[0], ends]))
-        sizes = np.zeros(len(chunks), np.int64)
+        long = pc.binary_length(column).to_numpy()[together].astype(np.int64)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.searchsorted(np.cumsum(self.size[flat[: counts[: len(groups)].sum()]]), np.cumsum(long)) + 1
+        counts = np.concatenate([np.diff(np.concatenate([[0], ends])), counts[len(groups) :]]).astype(np.int64)
+        ends = np.cumsum(counts)
+        sizes = np.zeros(len(column), np.int64)
         sizes[order] = counts
-        starts = np.zeros(len(chunks), np.int64)
+        starts = np.zeros(len(column), np.int64)
         starts[order] = ends - counts
         at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
         return flat[at + np.arange(len(flat))], sizes
 
 
+def size_of(data: bytes) -> int:
+    """One more than the greatest id of a tokenizer's file, added tokens included."""
+    found = json.loads(data)
+    return 1 + max([*found["model"]["vocab"].values(), *(t["id"] for t in found.get("added_tokens") or [])], default=0)
+
+
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
-def _encoder(data: bytes, pattern: str) -> ChunkEncoder:
-    key = (hashlib.md5(data).digest(), pattern)
+def _encoder(data: bytes, pattern: str, plain: bool) -> ChunkEncoder:
+    key = (hashlib.md5(data).digest(), pattern, plain)
     if key not in _encoders:
-        _encoders[key] = ChunkEncoder(LibraryEncoder(data), pattern)
+        library = LibraryEncoder(data, plain=plain)
+        _encoders[key] = ChunkEncoder(library, pattern, whole=library.whole)
     return _encoders[key]
 
 
-def write(spark: SparkSession, docs: DataFrame, path: str, pattern: str, target: str, end_id: int = 0, vocabulary_size: int = 50_257, shards: int | None = None) -> None:
-    """Encodes every text with the tokenizers library (no special tokens), appends end_id, and writes the token file.
+def write(spark: SparkSession, docs: DataFrame, path: str, pattern: str, target: str, end_id: int = 0, shards: int | None = None, plain: bool = False) -> None:
+    """Encodes every text with the tokenizers library (add_special_tokens=False), appends end_id, and writes the token file.
 
+    An id takes the fewest bits that hold every id of the vocabulary at `path`, and end_id. plain: whether the strings of
+    special tokens in a text are ordinary text; by default they become those tokens, as in the library.
     Documents stand in ascending doc_id, equal ids by their text's hash and text, a null id first. Rows are
     ranged by (doc_id, hash) before they are encoded, so one id that many rows share is still split. A null
     text is an empty one; repeated rows are written as often as they occur; an empty table writes no block.
     """
     ship(spark)
     data = vocabulary(spark, path)
-    width = width_for(vocabulary_size)
+    width = width_for(max(size_of(data.value), end_id + 1))
     docs = texts(docs).withColumn("h", F.xxhash64("text"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = docs.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
@@ -117,7 +136,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, pattern: str, target:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunked, shard, block = _encoder(data.value, pattern), TaskContext.get().partitionId(), 0
+        chunked, shard, block = _encoder(data.value, pattern, plain), TaskContext.get().partitionId(), 0
         keys, held, total, inside = [], [], 0, 0
 
         def row() -> pa.RecordBatch:
@@ -146,7 +165,8 @@ def write(spark: SparkSession, docs: DataFrame, path: str, pattern: str, target:
 def open_file(spark: SparkSession, target: str) -> DataFrame:
     """The blocks of a token file with the number of ids before each (first_id).
 
-    A block knows the ids before it in its shard; only the shards' totals are summed, and joined to the blocks."""
+    A block knows the ids before it in its shard; only the shards' totals are summed, and joined to the blocks. A file
+    without blocks gives no rows."""
     blocks = spark.read.schema(FILE).parquet(target)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -165,7 +185,10 @@ def read_run(spark: SparkSession, target: str, start: int, count: int) -> np.nda
 
 
 def documents(blocks: DataFrame) -> DataFrame:
-    """Per document of open_file()'s blocks: doc_id, start, n_tokens (with the end id), ids_crc32."""
+    """Per document of open_file()'s blocks: doc_id, start, n_tokens (with the end id), ids_crc32.
+
+    A row for each row that was written: repeated and null ids as often as they were given, empty texts with the end
+    id alone; no blocks give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +203,7 @@ def documents(blocks: DataFrame) -> DataFrame:
 
 
 def write_and_read(spark: SparkSession, docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
+    """write() to the shared folder, then documents() of what stands there; nulls, repeated rows and empty tables as there."""
     scratch = Scratch(spark, "token-file")
     target = scratch.path("file")
     write(spark, docs, path, pattern, target, end_id)
