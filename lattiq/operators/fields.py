@@ -11,57 +11,44 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattiq.operators.tables import Workspace
+from lattiq.operators.blocks import advected, sampled  # noqa: F401
+from lattiq.operators.tables import Workspace, quantiles
 from lattiq.operators.voxels import AXES, SIX, moved
 
 
-def line_distances(f: np.ndarray) -> np.ndarray:
-    """The lower envelope of parabolas: min over j of f[j] + (i - j)^2, in linear time."""
-    n = len(f)
-    finite = np.flatnonzero(np.isfinite(f))
-    out = np.full(n, np.inf)
-    if not len(finite):
-        return out
-    at, edge = [int(finite[0])], [-np.inf]
-    for q in finite[1:].tolist():
-        while True:
-            p = at[-1]
-            s = ((f[q] + q * q) - (f[p] + p * p)) / (2 * q - 2 * p)
-            if s > edge[-1]:
-                break
-            at.pop()
-            edge.pop()
-        at.append(q)
-        edge.append(s)
-    edge.append(np.inf)
-    k = 0
-    for i in range(n):
-        while edge[k + 1] < i:
-            k += 1
-        out[i] = (i - at[k]) ** 2 + f[at[k]]
+def line_distances(lines: np.ndarray) -> np.ndarray:
+    """For each line (the last axis) min over j of line[j] + (i - j)^2, one j at a time for all lines at once."""
+    i = np.arange(lines.shape[-1], dtype=float)
+    out = np.full(lines.shape, np.inf)
+    for j in np.flatnonzero(np.isfinite(lines).reshape(-1, len(i)).any(0)):
+        np.minimum(out, lines[..., j : j + 1] + (i - j) ** 2, out=out)
     return out
 
 
-def squared_distance(background: DataFrame, n: int, planes: tuple[str, ...] = AXES) -> DataFrame:
-    """z, y, x, d2: the exact squared distance of every voxel of an n**3 grid to the nearest background voxel.
+def grid_of(spark: SparkSession, n: int) -> DataFrame:
+    """z, y, x of all voxels of an n**3 grid."""
+    return spark.range(n**3).select((F.col("id") / (n * n)).cast("bigint").alias("z"), ((F.col("id") / n).cast("bigint") % n).alias("y"), (F.col("id") % n).alias("x"))
 
-    One pass an axis: each line is a group, and takes the envelope of the parabolas of the pass before."""
-    spark = background.sparkSession
-    spine = spark.range(n**3).select((F.col("id") / (n * n)).cast("bigint").alias("z"), ((F.col("id") / n).cast("bigint") % n).alias("y"), (F.col("id") % n).alias("x"))
-    out = spine.join(background.select(*AXES, F.lit(0.0).alias("d2")), list(AXES), "left").withColumn("d2", F.coalesce("d2", F.lit(float("inf"))))
 
-    def along(axis: str):
-        def line(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(axis)
-            return pdf.assign(d2=line_distances(pdf["d2"].to_numpy()))
+def squared_distance(background: DataFrame, n: int) -> DataFrame:
+    """z, y, x, d2: the exact squared distance of every voxel of an n**3 grid to the nearest background voxel (infinite without any).
 
-        return line
+    One pass an axis over planes that hold all its lines; each takes the least parabola of the pass before."""
+    marks = background.select(*AXES, F.lit(0.0).alias("d2")).distinct()
+    out = grid_of(background.sparkSession, n).join(marks, list(AXES), "left").withColumn("d2", F.coalesce("d2", F.lit(float("inf"))))
 
-    for axis in planes:
-        out = out.groupBy(*(a for a in AXES if a != axis)).applyInPandas(along(axis), "z bigint, y bigint, x bigint, d2 double")
+    def along(axis: str, across: str):
+        def plane(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([across, axis])
+            return pdf.assign(d2=line_distances(pdf["d2"].to_numpy().reshape(n, n)).ravel())
+
+        return plane
+
+    for axis, across, plane in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y")):  # the first two keep to the planes of z
+        out = out.groupBy(plane).applyInPandas(along(axis, across), "z bigint, y bigint, x bigint, d2 double")
     return out
 
 
@@ -246,60 +233,34 @@ def travel_times(speed: np.ndarray, area: np.ndarray, source: np.ndarray) -> np.
     return t
 
 
-def sampled(field: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Trilinear values of a dense field at points (n, 3); corners outside it count as 0."""
-    low = np.floor(points).astype(int)
-    f = points - low
-    out = np.zeros((len(points), *field.shape[3:]))
-    for corner in np.ndindex(2, 2, 2):
-        at = low + corner
-        ok = ((at >= 0) & (at < field.shape[:3])).all(1)
-        w = np.where(corner, f, 1 - f).prod(1)
-        value = field[tuple(at[ok].T)]
-        out[ok] += w[ok].reshape(-1, *[1] * (value.ndim - 1)) * value
-    return out
-
-
-def dense_of(rows: list, n: int, columns: int) -> np.ndarray:
-    out = np.zeros((n, n, n, columns))
-    if rows:
-        a = np.array(rows, float)
-        out[tuple(a[:, :3].astype(int).T)] = a[:, 3 : 3 + columns]
-    return out
-
-
-def streamlines(seeds: DataFrame, field: DataFrame, n: int, step: float = 0.5, most: int = 500, arrive: float = 0.98) -> DataFrame:
+def streamlines(seeds: DataFrame, field: DataFrame, n: int, step: float = 0.5, most: int = 500, arrive: float = 0.98, side: int = 32) -> DataFrame:
     """path_id, i, z, y, x: Euler steps along the trilinear direction from each seed (path_id, z, y, x), until u reaches
     `arrive`, the direction vanishes, the grid ends or `most` steps are made.
 
-    field: z, y, x, vz, vy, vx, u on a grid of n**3 <= 2**21 voxels, which is broadcast; larger grids are cut first."""
-    if n**3 > 1 << 21:
-        raise ValueError("cut the field into blocks of at most 2**21 voxels")
-    shared = field.sparkSession.sparkContext.broadcast(dense_of([tuple(r) for r in field.select(*AXES, "vz", "vy", "vx", "u").collect()], n, 4))
-
-    def run(batches):
-        grid = shared.value
-        for pdf in batches:
-            at, ids = pdf[list(AXES)].to_numpy(float), pdf["path_id"].to_numpy()
-            yield pd.DataFrame({"path_id": ids, "i": 0, **{a: at[:, k] for k, a in enumerate(AXES)}})
-            live = np.ones(len(at), bool)
-            for i in range(1, most + 1):
-                v = sampled(grid, at)
-                size = np.linalg.norm(v[:, :3], axis=1)
-                live &= (v[:, 3] < arrive) & (size > 1e-6) & (at >= 0).all(1) & (at <= n - 1).all(1)
-                if not live.any():
-                    break
-                at = at + np.where(live[:, None], v[:, :3] / np.maximum(size, 1e-9)[:, None] * step, 0)
-                yield pd.DataFrame({"path_id": ids[live], "i": i, **{a: at[live, k] for k, a in enumerate(AXES)}})
-
-    return seeds.select("path_id", *(F.col(a).cast("double").alias(a) for a in AXES)).mapInPandas(run, "path_id bigint, i bigint, z double, y double, x double")
+    field: z, y, x, vz, vy, vx, u on a grid of n**3 voxels of any size; lines are handed from block to block."""
+
+    def follow(rows: pd.DataFrame, sample, mine) -> pd.DataFrame:
+        at, who, i = rows[list(AXES)].to_numpy(float), rows["path_id"].to_numpy(), rows["i"].to_numpy()
+        out = [rows.iloc[:0]]
+        while len(at):
+            v = sample(at)
+            size = np.linalg.norm(v[:, :3], axis=1)
+            go = (i < most) & (v[:, 3] < arrive) & (size > 1e-6) & ((at >= 0) & (at <= n - 1)).all(1)
+            at, who, i = at[go] + v[go, :3] * (step / size[go])[:, None], who[go], i[go] + 1
+            here = mine(at)
+            out.append(pd.DataFrame({"path_id": who, "i": i, **{a: at[:, k] for k, a in enumerate(AXES)}, "open": ~here}))
+            at, who, i = at[here], who[here], i[here]
+        return pd.concat(out)
+
+    starts = seeds.select(F.col("path_id").cast("bigint").alias("path_id"), F.lit(0).cast("bigint").alias("i"), *(F.col(a).cast("double").alias(a) for a in AXES), F.lit(True).alias("open"))
+    return advected(starts, field, ["vz", "vy", "vx", "u"], "path_id", follow, side).drop("open")
 
 
 def seed_weights(df: DataFrame, species: str) -> DataFrame:
     """Adds w: o2 by speed, floored at a tenth of its median; ch4 by 1.3 / (wall + 1), floored at 0.4 of its median."""
     raw, part = (F.col("speed"), 0.1) if species == "o2" else (1.3 / (F.col("wall") + 1), 0.4)
     df = df.withColumn("w", raw)
-    median = df.agg(F.percentile("w", F.lit(0.5))).first()[0] or 0.0
+    median = quantiles(df, "w", [0.5])[0] or 0.0
     return df.withColumn("w", F.greatest("w", F.lit(part * median)))
 
 
@@ -317,32 +278,64 @@ def seeded(df: DataFrame, count: int) -> DataFrame:
     return rows.withColumn("pid", F.explode(F.sequence("a", "b"))).select("pid", *AXES)
 
 
-def particles(seeds: DataFrame, field: DataFrame, n: int, frames: int = 60, sign: int = 1, speed: float = 0.5, substeps: int = 1) -> DataFrame:
-    """template_id, frame, z, y, x, alive: Euler integration of a species (o2: sign 1, ch4: sign -1) through the field
-    (vz, vy, vx, speed, area), each substep a full step, speeds over their 95th percentile cut to 2; a particle dies out
-    of bounds, out of the area or nearly at rest, and keeps its last place."""
-    if n**3 > 1 << 21:
-        raise ValueError("cut the field into blocks of at most 2**21 voxels")
-    p95 = field.filter("area > 0").agg(F.percentile("speed", F.lit(0.95))).first()[0] or 1.0
-    shared = field.sparkSession.sparkContext.broadcast(dense_of([tuple(r) for r in field.select(*AXES, "vz", "vy", "vx", "speed", "area").collect()], n, 5))
-
-    def run(batches):
-        grid = shared.value
-        for pdf in batches:
-            at, ids = pdf[list(AXES)].to_numpy(float), pdf["pid"].to_numpy()
-            alive = np.ones(len(at), bool)
-            for frame in range(frames):
-                yield pd.DataFrame({"template_id": ids, "frame": frame, **{a: at[:, k] for k, a in enumerate(AXES)}, "alive": alive})
-                new, rel = at, np.ones(len(at))
-                for _ in range(substeps):
-                    v = sampled(grid, new)
-                    rel = np.clip(v[:, 3] / p95, 0, 2)
-                    new = new + v[:, :3] * (sign * speed * rel)[:, None]
-                inside = ((new >= 0) & (new < n - 1)).all(1)
-                alive = alive & inside & (sampled(grid, np.where(inside[:, None], new, 0))[:, 4] > 0.5) & (rel >= 0.02)
-                at = np.where(alive[:, None], new, at)
-
-    return seeds.select("pid", *(F.col(a).cast("double").alias(a) for a in AXES)).mapInPandas(run, "template_id bigint, frame bigint, z double, y double, x double, alive boolean")
+#: How often o2 dies at a wall, and how fast that falls with the distance to it (voxels).
+WALL_KILL = {"o2": (0.05, 4.0), "ch4": (0.0, 1.0)}
+
+
+def particles(seeds: DataFrame, field: DataFrame, n: int, frames: int = 60, sign: int = 1, speed: float = 0.5, substeps: int = 1, lives: int = 1, kill: tuple[float, float] = (0.0, 1.0), side: int = 32) -> DataFrame:
+    """template_id, frame, z, y, x, alive: each template lives `lives` times for `frames` frames, every life from a seed of its own.
+
+    seeds: pid, z, y, x; with several lives the template of pid 0, 1, ... is pid modulo their number (seeds over lives). field: z, y, x, vz, vy, vx, speed, area
+    and wall, if kill has a rate. A frame is `substeps` full steps along the direction (o2: sign 1, ch4: -1), as long as the
+    speed over its 95th percentile, cut to 2, says. A particle ends where it would leave the grid or the area, where it
+    hardly moves (0.02), or at a wall with chance rate * exp(-wall / tau), drawn by a hash of template and frame; it then
+    keeps its last place. Particles are handed from block to block, so the grid may be of any size."""
+    p95 = quantiles(field.filter("area > 0"), "speed", [0.95])[0] or 1.0
+    rate, tau = kill
+    columns = ["vz", "vy", "vx", "speed", "area", *(["wall"] if rate else [])]
+    longest = field.agg(F.max(F.sqrt(sum((F.col(f"v{a}") * F.col(f"v{a}") for a in AXES), F.lit(0.0))))).first()[0] or 0.0
+
+    def live(rows: pd.DataFrame, sample, mine) -> pd.DataFrame:
+        at = rows[list(AXES)].to_numpy(float)
+        who, frame, stop = (rows[c].to_numpy() for c in ("template_id", "frame", "stop"))
+        out = [rows.iloc[:0]]
+
+        def add(who, frame, at, alive, stop, goes_on) -> None:
+            out.append(pd.DataFrame({"template_id": who, "frame": frame, **{a: at[:, k] for k, a in enumerate(AXES)}, "alive": alive, "stop": stop, "open": goes_on}))
+
+        while len(at):
+            to = at
+            for _ in range(substeps):
+                v = sample(to)
+                pace = np.minimum(v[:, 3] / p95, 2)
+                to = to + sign * speed * pace[:, None] * v[:, :3]
+            inside = ((to >= 0) & (to < n - 1)).all(1)
+            there = sample(np.where(inside[:, None], to, at))
+            ok = inside & (there[:, 4] > 0.5) & (pace >= 0.02)
+            if rate:
+                ok &= drawn(who, frame) >= rate * np.exp(-there[:, 5] / tau)
+            rest = (stop - frame)[~ok]  # frames that the dead still have
+            first = np.repeat(np.cumsum(rest) - rest, rest)
+            add(np.repeat(who[~ok], rest), np.repeat(frame[~ok], rest) + 1 + np.arange(rest.sum()) - first, np.repeat(at[~ok], rest, axis=0), False, np.repeat(stop[~ok], rest), False)
+            at, who, frame, stop = to[ok], who[ok], frame[ok] + 1, stop[ok]
+            here = mine(at)
+            add(who, frame, at, True, stop, ~here & (frame < stop))
+            on = here & (frame < stop)
+            at, who, frame, stop = at[on], who[on], frame[on], stop[on]
+        return pd.concat(out)
+
+    templates = max(1, seeds.count() // lives)
+    life, template = (F.floor(F.col("pid") / templates), F.col("pid") % templates) if lives > 1 else (F.lit(0), F.col("pid"))
+    starts = seeds.filter(life < lives).select(template.cast("bigint").alias("template_id"), (life * frames).cast("bigint").alias("frame"), *(F.col(a).cast("double").alias(a) for a in AXES), F.lit(True).alias("alive"), ((life + 1) * frames - 1).cast("bigint").alias("stop"), F.lit(frames > 1).alias("open"))
+    return advected(starts, field, columns, "template_id", live, side, math.ceil(2 * speed * substeps * longest) + 2).drop("stop", "open")
+
+
+def drawn(who: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each pair, the same on every run."""
+    x = who.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + frame.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).astype(float) / 2.0**64
 
 
 def opened_slices(mask: DataFrame, n: int, rounds: int = 2) -> DataFrame:
@@ -356,27 +349,28 @@ def opened_slices(mask: DataFrame, n: int, rounds: int = 2) -> DataFrame:
     return out.filter(F.col("y").between(0, n - 1) & F.col("x").between(0, n - 1))
 
 
-def shell_schedule(most: float, growth: float, hold: float) -> tuple[list[tuple[float, float]], int, int, int]:
-    """Frames (d0, d1) of a shell that grows from 0.1, holds, and then empties from within; and the frames of each phase.
-
-    Every phase ends exactly at its bound: a last step shorter than a quarter of the others is joined to the one before."""
-
-    def stops(first: float, last: float) -> list[float]:
-        values = [first + growth * k for k in range(max(0, math.ceil((last + 1e-6 - first) / growth)))]
-        if not values or abs(values[-1] - last) > 1e-6:
-            if values and last - values[-1] < growth / 4:
-                values[-1] = last
-            else:
-                values.append(last)
-        return values
-
-    growth = growth if growth > 0 else 0.5
-    top = most - 0.1
-    if top < 0.3:
-        return [], 0, 0, 0
-    grow = [(0.1, d) for d in stops(0.2, top)]
-    empty = [(d, top) for d in stops(0.1 + growth, top - 0.1)] if top - 0.1 > 0.1 + 1e-6 else []
-    return grow + empty, len(grow), max(0, round((len(grow) + len(empty)) * hold)), len(empty)
+def stops(first: Column, last: Column, step: float) -> Column:
+    """first, first + step, ... and at its end `last`: a stop nearer to it than a quarter of a step gives way to it."""
+    whole = F.greatest(F.ceil((last + 1e-6 - first) / step), F.lit(1))  # stops before `last`, itself included if it is one
+    short = last - (first + step * (whole - 1))
+    n = whole + F.when(short >= step / 4, 1).otherwise(0)
+    return F.transform(F.sequence(F.lit(1), n.cast("int")), lambda k: F.when(k == n, last).otherwise(first + step * (k - 1)))
+
+
+def shell_schedules(columns: DataFrame, growth: float, hold: float) -> DataFrame:
+    """column_id, frame, phase, d0, d1: the three phases of each column (column_id, most: its greatest distance).
+
+    The shell grows from 0.1 outwards to most - 0.1 (phase 0), rests for round(hold * frames of both other phases) frames
+    (phase 1), and empties from within until 0.1 is left (phase 2). Each phase ends exactly at its bound. Columns of less
+    than 0.4 have none."""
+    step, top = growth if growth > 0 else 0.5, F.col("most") - 0.1
+    rows = columns.select("column_id", "most").filter(top >= 0.3)
+    shell = lambda phase, low, high: F.struct(F.lit(phase).alias("phase"), low.alias("d0"), high.alias("d1"))
+    grow = F.transform(stops(F.lit(0.2), top, step), lambda d: shell(0, F.lit(0.1), d))
+    empty = F.when(top - 0.1 > 0.1 + 1e-6, F.transform(stops(F.lit(0.1 + step), top - 0.1, step), lambda d: shell(2, d, top))).otherwise(F.array().cast("array<struct<phase:int,d0:double,d1:double>>"))
+    rows = rows.withColumn("grow", grow).withColumn("empty", empty)
+    rest = F.array_repeat(shell(1, F.lit(0.1), top), F.bround((F.size("grow") + F.size("empty")) * F.lit(float(hold))).cast("int"))
+    return rows.select("column_id", F.posexplode(F.concat("grow", rest, "empty")).alias("frame", "s")).select("column_id", F.col("frame").cast("bigint").alias("frame"), "s.phase", "s.d0", "s.d1")
 
 
 def shell_members(df: DataFrame, shells: DataFrame) -> DataFrame:

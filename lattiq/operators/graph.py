@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.operators.tables import Workspace
@@ -61,26 +65,85 @@ def traversing(labels: DataFrame, source: DataFrame, target: DataFrame) -> DataF
     return labels.join(ids(source).intersect(ids(target)), "cid", "left_semi")
 
 
-def cheapest(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
-    """node, cost, via: least cost from any start node (node, cost) and the predecessor on the way (least node on ties).
+def blocked(node: Column, n: int, side: int = 16) -> Column:
+    """The number of the cube of side**3 voxels that holds a voxel of an n**3 grid (node: its scan-order index)."""
+    per = -(-n // side)
+    z, y, x = F.floor(node / (n * n)), F.floor(node / n) % n, node % n
+    return ((F.floor(z / side) * per + F.floor(y / side)) * per + F.floor(x / side)).cast("bigint")
+
 
-    edges: u, v, w. Each round relaxes the nodes that changed; it ends when none does. More than `rounds` rounds, or more
+def cheapest(edges: DataFrame, start: DataFrame, rounds: int | None = None, block: Callable[[Column], Column] | None = None) -> DataFrame:
+    """node, cost, via: least cost from any start node (node, cost) and the predecessor on the way (-1 at a start), the least
+    one where several of lower cost give the same.
+
+    edges: u, v, w. Nodes are dealt to blocks (block: column to column; by default by a hash of the node, about 50,000 edges
+    each). A round settles each block that got offers from outside by itself and passes offers on over the edges that leave it, so
+    there are as many rounds as a way crosses blocks. It ends when no offer is better. More than `rounds` rounds, or more
     than there are nodes (a cycle of negative cost), are an error."""
     space = Workspace(edges.sparkSession, "paths")
-    best = space.keep(start.groupBy("node").agg(F.min("cost").alias("cost")).withColumn("via", F.lit(-1).cast("bigint")))
-    front, old, done = best, best, 0
-    while True:
-        step = front.join(edges, front.node == edges.u).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("via"))
-        offers = step.groupBy("node").agg(F.min(F.struct("cost", "via")).alias("o"))
-        both = best.join(offers, "node", "full")
-        better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")))
-        new = space.keep(both.select("node", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.via")).otherwise(F.col("via")).alias("via"), better.alias("changed")))
-        space.drop(old)
-        best, front, old, done = new.drop("changed"), new.filter("changed").drop("changed"), new, done + 1
-        if front.isEmpty():
-            return best
-        if done == rounds or done % 100 == 0 and done > best.count():
+    edges = edges.select("u", "v", "w")
+    if block is None:
+        many = max(1, edges.count() // 50_000)
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(many))
+    local = space.keep(edges.select(block(F.col("u")).cast("bigint").alias("b"), "u", "v", "w", block(F.col("v")).cast("bigint").alias("bv")).repartition("b"))
+    kind = dict(edges.dtypes)["w"]
+    of_cost = "double" if kind in ("double", "float") else "bigint"
+
+    def settle(_, inside: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.unique(np.concatenate([known["node"].to_numpy(), inside["u"].to_numpy(), inside["v"].to_numpy()[(inside["bv"] == inside["b"]).to_numpy()]]))
+        big = np.inf if of_cost == "double" else np.int64(2**62)
+        cost = np.full(len(nodes), big, float if of_cost == "double" else np.int64)
+        np.minimum.at(cost, np.searchsorted(nodes, known["node"].to_numpy()), known["cost"].to_numpy())
+        before = cost.copy()
+        before[np.searchsorted(nodes, known["node"].to_numpy()[known["offer"].to_numpy()])] = big
+        old = known[~known["offer"]]
+        before[np.searchsorted(nodes, old["node"].to_numpy())] = old["cost"].to_numpy()
+        u, w, stays = np.searchsorted(nodes, inside["u"].to_numpy()), inside["w"].to_numpy(), (inside["bv"] == inside["b"]).to_numpy()
+        own_u, own_w, own_v = u[stays], w[stays], np.searchsorted(nodes, inside["v"].to_numpy()[stays])
+        moved = cost < before
+        for done in range(len(nodes) + 2):
+            step = np.flatnonzero(moved[own_u])
+            offer = cost[own_u[step]] + own_w[step]
+            better = offer < cost[own_v[step]]
+            if not better.any():
+                break
+            if done > len(nodes):
+                raise ValueError("costs fall for ever: a cycle of negative cost")
+            moved = np.zeros(len(nodes), bool)
+            np.minimum.at(cost, own_v[step][better], offer[better])
+            moved[own_v[step][better]] = True
+        leaves = ~stays & (cost < before)[u]
+        reached = cost < big
+        b = _[0]
+        return pd.concat([
+            pd.DataFrame({"b": b, "node": nodes[reached], "cost": cost[reached], "offer": False}),
+            pd.DataFrame({"b": inside["bv"].to_numpy()[leaves], "node": inside["v"].to_numpy()[leaves], "cost": cost[u[leaves]] + w[leaves], "offer": True}),
+        ])
+
+    shape = f"b bigint, node bigint, cost {of_cost}, offer boolean"
+    offers = space.keep(start.groupBy("node").agg(F.min("cost").cast(of_cost).alias("cost")).select(block(F.col("node")).cast("bigint").alias("b"), "node", "cost", F.lit(True).alias("offer")))
+    settled, done, bound = offers.limit(0), 0, None
+    while not offers.isEmpty():
+        busy = offers.select("b").distinct()
+        known = settled.join(busy, "b", "left_semi").unionByName(offers)
+        out = space.keep(local.join(busy, "b", "left_semi").groupBy("b").cogroup(known.groupBy("b")).applyInPandas(settle, shape))
+        settled = space.keep(settled.join(busy, "b", "left_anti").unionByName(out.filter("not offer")))
+        best = out.filter("offer").groupBy("b", "node").agg(F.min("cost").alias("cost"))
+        have = settled.select("b", "node", F.col("cost").alias("_c"))
+        offers = space.keep(best.join(have, ["b", "node"], "left").filter("_c is null or cost < _c").select("b", "node", "cost", F.lit(True).alias("offer")))
+        done += 1
+        if done == rounds and not offers.isEmpty():
             raise ValueError(f"costs still fall after {done} rounds")
+        if done % 100 == 0:
+            bound = bound or edges.select("u").union(edges.select("v")).distinct().count()
+            if done > bound:
+                raise ValueError(f"costs still fall after {done} rounds")
+    costs = settled.select("node", "cost")
+    way = local.join(costs.select(F.col("node").alias("u"), F.col("cost").alias("_u")), "u").join(costs.select(F.col("node").alias("v"), F.col("cost").alias("_v")), "v")
+    via = way.filter("_u + w = _v and _u < _v").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("via"))
+    first = start.groupBy("node").agg(F.min("cost").cast(of_cost).alias("_s"))
+    out = costs.join(first, "node", "left").join(via, "node", "left")
+    return space.keep(out.select("node", "cost", F.when(F.col("_s") == F.col("cost"), F.lit(-1).cast("bigint")).otherwise(F.coalesce("via", F.lit(-1).cast("bigint"))).alias("via")))
 
 
 def traced(paths: DataFrame, ends: DataFrame, rounds: int | None = None) -> DataFrame:
