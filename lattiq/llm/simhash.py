@@ -11,6 +11,7 @@ compared. Only different fingerprints are compared: copies meet in an aggregate
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,13 +27,15 @@ from lattiq.llm.common import Scratch, by_bytes, ship, unused
 from lattiq.llm.components import stars
 
 HAMMING, RADIUS = 15, 1
-#: (first bit, bits, share of the threshold) of the blocks: for 4 bits, and for 7 bits with few and with many fingerprints.
+#: (first bit, bits, share of the threshold) of the blocks: for 4 bits and for 7.
 BLOCKS_4 = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 BLOCKS_7 = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
-BLOCKS_7_MANY = ((0, 21, 2), (21, 21, 2), (42, 22, 1))
 #: Rows of an anchor that meet in one piece of work; an anchor with more is dealt out to a grid of pieces.
 PIECE = 8192
 PAIRS = 1 << 21
+#: Bytes of a text beyond which its words are taken part by part.
+PART = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def fingerprints(values: list[bytes], words: int = 4, seed: int = 42) -> np.ndarray:
@@ -40,26 +43,57 @@ def fingerprints(values: list[bytes], words: int = 4, seed: int = 42) -> np.ndar
 
     A to Z are lower-cased, words are runs without ASCII white space; each shingle of `words` words, joined by
     spaces and counted as often as it occurs, votes with its XXH64. Fewer words make one shingle, none gives 0.
+    A long text votes in parts, so its words are not held at once.
     """
     hashed = xxhash.xxh64_intdigest
+    out = np.zeros(len(values), np.uint64)
+    short = [i for i, value in enumerate(values) if len(value) <= PART]
     votes: list[int] = []
-    counts = np.zeros(len(values), np.int64)
-    for i, value in enumerate(values):
-        w = value.lower().split()
-        shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)] if w else []
+    counts = np.zeros(len(short), np.int64)
+    for k, i in enumerate(short):
         before = len(votes)
-        votes += [hashed(s, seed) for s in shingles]
-        counts[i] = len(votes) - before
-    out = np.zeros(len(values), np.uint64)
+        votes += [hashed(s, seed) for s in _shingles(values[i].lower().split(), words)]
+        counts[k] = len(votes) - before
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(np.array(votes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = (np.cumsum(counts) - counts)[some]
-        total = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * total > counts[some, None], axis=1, bitorder="little").view("<u8").ravel()
+        out[np.array(short)[some]] = _majority(np.add.reduceat(_bits(votes), starts, axis=0, dtype=np.int32), counts[some])
+    for i in set(range(len(values))).difference(short):
+        total, n = np.zeros((1, 64), np.int64), 0
+        for w in _parts(values[i], words):
+            votes = [hashed(s, seed) for s in _shingles(w, words)]
+            total, n = total + _bits(votes).sum(0, dtype=np.int64), n + len(votes)
+        if n:
+            out[i] = _majority(total, np.array([n]))[0]
     return out
 
 
+def _shingles(w: list[bytes], words: int) -> Iterator[bytes]:
+    return map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)] if w else [])
+
+
+def _parts(value: bytes, words: int) -> Iterator[list[bytes]]:
+    """The words of a long text in parts that overlap so that each shingle stands in one; too few words come in one part."""
+    at, carried, few = 0, [], True
+    while at < len(value):
+        m = _SPACE.search(value, at + PART)
+        stop = m.end() if m else len(value)
+        carried, at = carried + value[at:stop].lower().split(), stop
+        if len(carried) >= words:
+            yield carried
+            carried, few = carried[len(carried) - words + 1 :], False
+    if few and carried:
+        yield carried
+
+
+def _bits(votes: list[int] | np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.array(votes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _majority(total: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * total > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def with_fingerprint(spark: SparkSession, docs: DataFrame, words: int = 4, seed: int = 42, name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default: all) and the fingerprint of text as a bigint; null texts count as empty."""
     ship(spark)
@@ -262,8 +296,9 @@ def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: int
 
 
 def sketched(spark: SparkSession, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, nid, size, prefix of each text: a hash of its lower-cased words in order, its number of distinct shingles,
-    and the hashes of its rarest shingles, the rarest first, as many as must hold one of every text that is similar."""
+    """doc_id, nid, fp, size, prefix of each text: a hash of its lower-cased words in order, the fingerprint of its distinct
+    shingles, their number, and the hashes of its rarest shingles, the rarest first, as many as must hold one of every
+    text that is similar. A row for each row of docs; null texts count as empty (no shingle, fingerprint 0)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(docs, words))
 
@@ -271,10 +306,11 @@ def sketched(spark: SparkSession, docs: DataFrame, words: int, similarity: float
         known, rank = common.value
         for whole in batches:
             for batch in by_bytes(whole):
-                nid, sizes, prefix = [], [], []
+                nid, prints, sizes, prefix = [], [], [], []
                 for t in batch.column(1).to_pylist():
                     nid.append(xxhash.xxh64_intdigest(b" ".join(t.lower().encode().split()), 7))
                     h = _hashes(t, words)
+                    prints.append(_majority(_bits(h.view(np.uint64)).sum(0, dtype=np.int64)[None, :], np.array([len(h)]))[0] if len(h) else 0)
                     weight = np.zeros(len(h), np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -283,9 +319,9 @@ def sketched(spark: SparkSession, docs: DataFrame, words: int, similarity: float
                     prefix.append(h[np.lexsort((h, weight))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]])
                 offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "nid": pa.array(np.array(nid, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "prefix": lists})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "nid": pa.array(np.array(nid, np.uint64).view(np.int64)), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "prefix": lists})
 
-    return docs.mapInArrow(run, "doc_id bigint, nid bigint, size int, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, nid bigint, fp bigint, size int, prefix array<bigint>")
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -342,18 +378,18 @@ def to_the_least(meet: DataFrame, similarity: float) -> DataFrame:
 def between_parts(meet: DataFrame, root: DataFrame, hot: DataFrame, similarity: float, one_of: int) -> DataFrame:
     """u, v (u > v): all pairs of texts of different parts that meet at a key and can be similar; of these one in `one_of`.
 
-    A key of more than PIECE rows (hot: key, np) is dealt out: each pair of pieces of its rows is work of its own."""
+    Two texts with the same key before this one met there already, so a run of shared keys gives a pair but once. A key of more than PIECE rows (hot: key, np) is dealt out: each pair of pieces of its rows is work of its own."""
     rows = meet.join(root.select(F.col("u").alias("nid"), F.col("v").alias("part")), "nid", "left").withColumn("part", F.coalesce("part", "nid"))
     rows = rows.join(hot, "key", "left").withColumn("p", F.coalesce(F.pmod(F.xxhash64("nid"), "np"), F.lit(0)))
     rows = rows.withColumn("c", F.explode(F.expr("sequence(0L, coalesce(np, 1L) - 1)")))
     place = F.when(F.col("np").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("p", "c"), F.greatest("p", "c")))
     role = F.when(F.col("p") == F.col("c"), 0).when(F.col("p") < F.col("c"), 1).otherwise(2)
-    ordered = rows.select(place.alias("key"), "part", role.alias("role"), "nid", "size", "pos").repartition("key").sortWithinPartitions("key", "part")
+    ordered = rows.select(place.alias("key"), "part", role.alias("role"), "nid", "size", "pos", "prev").repartition("key").sortWithinPartitions("key", "part")
 
     def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, part, role, nid, size, pos = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(6))
+        key, part, role, nid, size, pos, prev = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(7))
         for i, j in across(key, part):
-            ok = (role[i] + role[j]) % 3 == 0
+            ok = ((role[i] + role[j]) % 3 == 0) & (prev[i] != prev[j])
             ok &= ((role[i] == 0) == (role[j] == 0)) & possible((size[i], pos[i]), (size[j], pos[j]), similarity)
             u, v = np.maximum(nid[i[ok]], nid[j[ok]]), np.minimum(nid[i[ok]], nid[j[ok]])
             if one_of > 1:
@@ -383,6 +419,15 @@ def between_parts(meet: DataFrame, root: DataFrame, hot: DataFrame, similarity:
     return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def near_prints(spark: SparkSession, nodes: DataFrame, scratch: Scratch, threshold: int = 4) -> DataFrame:
+    """u, v (u > v): texts (nid) with the least one of their own fingerprint, and least ones of fingerprints that anchors link."""
+    prints = scratch.keep(nodes.groupBy("fp").agg(F.min("nid").alias("least")), "prints")
+    same = nodes.join(prints, "fp").filter("nid > least").select(F.col("nid").alias("u"), F.col("least").alias("v"))
+    found = links(spark, prints.select("fp"), scratch, lambda: Links(threshold), BLOCKS_4 if threshold <= 4 else BLOCKS_7)
+    ends = prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), prints.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    return same.unionByName(found.join(ends[0], "u").join(ends[1], "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
 def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """u, v of the pairs (u, v, tu, tv) whose texts share at least `similarity` of their shingles (Jaccard)."""
 
@@ -409,19 +454,26 @@ def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id; one of equal rows stays. Columns as in docs.
 
-    Two texts are linked if they share `similarity` of their distinct shingles of `words` words (Jaccard). Such texts have a
-    shingle in common among the rarest of either, 1 - similarity of its shingles and one more, so all pairs that meet at one of those are
-    candidates but for those that sizes and places rule out. Every pair is verified on the texts before it joins
-    anything: first each text with the least it meets, then all pairs of what are still different parts, in growing shares
-    where there are many, until none is left. Texts of equal words are one text from the start. A null text counts as
-    empty; null ids come last.
+    Two texts are linked if they share `similarity` of their distinct shingles of `words` words (Jaccard). The anchors find those
+    whose fingerprints lie near each other. Fingerprints do not cover all similar texts, so there is an exact complement:
+    similar texts have a shingle in common among the rarest of either, 1 - similarity of its shingles and one more, so all
+    pairs that meet at one of those are candidates too, but for those that sizes and places rule out. Every pair is
+    verified on the texts before it joins anything: first what the anchors link, and each text with the least it meets,
+    then all pairs of what are still different parts, in growing shares where there are many, until none is left. Texts of
+    equal words are one text from the start. A null text counts as empty, and so does one without words; null ids come
+    last; an empty table stays empty; columns may have any names.
     """
     ship(spark)
     scratch = Scratch(spark, "dedup")
     columns = docs.columns
     hashed = scratch.keep(sketched(spark, docs, words, similarity), "sketches")
-    nodes = scratch.keep(hashed.groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "nodes")
-    meet = scratch.keep(met(nodes.select("nid", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "nid", "size", "pos")), "meet")
+    repeated = not hashed.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    first = scratch.keep(hashed.groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "first")
+    scratch.drop(hashed)
+    keys = F.transform("prefix", lambda x, i: F.struct(x.alias("key"), F.when(i > 0, F.get("prefix", i - 1)).otherwise(F.col("nid")).alias("prev")))
+    meet = scratch.keep(met(first.select("nid", "size", F.posexplode(keys).alias("pos", "k")).select("k.key", "nid", "size", "pos", "k.prev")), "meet")
+    nodes = scratch.keep(first.select("nid", "doc_id", "fp"), "nodes")
+    scratch.drop(first)
     text = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -434,7 +486,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
         scratch.drop(t)
         return found
 
-    tested = scratch.keep(to_the_least(meet, similarity), "pairs")
+    tested = scratch.keep(near_prints(spark, nodes, scratch).unionByName(to_the_least(meet, similarity)).distinct(), "pairs")
     found = links_of(tested)
     root = stars(spark, found, scratch)
     counts = meet.groupBy("key").agg(F.count("*").alias("n"))
@@ -455,7 +507,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
     kept = scratch.keep(first.select(F.col("f.doc_id").alias("_d")).distinct(), "kept")
     # rows that share an id: only the first of equal texts, or of different ones, can be the group's; see below
     out = docs.join(kept.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(kept["_d"]), "left_semi")
-    if not hashed.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if repeated:
         out = _one_of_equal(out, first)
     return out.select(columns)
 
