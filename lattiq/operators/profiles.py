@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.operators.tables import quantiles
+
 HALF_TURN = 3.141592653589793
 
 
@@ -90,16 +94,17 @@ def majority(a: Column, b: Column, c: Column) -> Column:
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
-    c = F.col(value)
-    ps = {f"p{int(q * 100)}": F.percentile(c, F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)}
-    return df.agg(F.min(c).alias("v_min"), F.avg(c).alias("v_mean"), *ps.values(), F.max(c).alias("v_max"))
+    """v_min, v_mean, p50, p90, p95, p99, v_max of a column, in one row."""
+    c, shares = F.col(value), (0.5, 0.9, 0.95, 0.99)
+    ps = [F.lit(q).cast("double").alias(f"p{round(s * 100)}") for s, q in zip(shares, quantiles(df, value, list(shares)), strict=True)]
+    return df.agg(F.min(c).alias("v_min"), F.avg(c).alias("v_mean"), F.max(c).alias("v_max")).select("v_min", "v_mean", *ps, "v_max")
 
 
 def median_deviation(df: DataFrame, value: str) -> DataFrame:
     """median, mad, mean and population standard deviation of a column, in one row."""
-    m = df.agg(F.percentile(value, F.lit(0.5))).first()[0]
-    c = F.col(value)
-    return df.agg(F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(F.abs(c - F.lit(m)), F.lit(0.5)).alias("mad"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"))
+    (m,), c = quantiles(df, value, [0.5]), F.col(value)
+    (mad,) = quantiles(df.select(F.abs(c - F.lit(m).cast("double")).alias("_d")), "_d", [0.5])
+    return df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).select(F.lit(m).cast("double").alias("median"), F.lit(mad).cast("double").alias("mad"), "mean", "std")
 
 
 def nearest_centre(points: DataFrame, centres: list[tuple], axes: list[str]) -> DataFrame:
@@ -121,17 +126,35 @@ def farthest_seeds(points: DataFrame, k: int, axes: list[str], first: tuple) ->
 
 
 def medoids(points: DataFrame, k: int, axes: list[str], first: tuple, rounds: int = 50, drift: float = 1e-6) -> list[tuple]:
-    """K-medoids: seeds by distance, then means snapped to the nearest point, until no centre moves."""
+    """K-medoids: seeds by distance, then means snapped to the nearest point, until the centres' ways sum to less than `drift`.
+
+    A centre without points begins anew at one of the points farthest from all centres."""
     centres = farthest_seeds(points, k, axes, first)
     for _ in range(rounds):
-        means = nearest_centre(points, centres, axes).groupBy("centre").agg(*(F.avg(a).alias(a) for a in axes)).collect()
-        moved = list(centres)
-        for r in means:
-            moved[r.centre] = tuple(r[a] for a in axes)
+        near = nearest_centre(points, centres, axes)
+        means = {r.centre: tuple(r[a] for a in axes) for r in near.groupBy("centre").agg(*(F.avg(a).alias(a) for a in axes)).collect()}
+        if not means:
+            break
+        lone = [i for i in range(len(centres)) if i not in means]
+        far = [tuple(float(r[a]) for a in axes) for r in near.orderBy(F.desc("d2"), *axes).limit(len(lone)).collect()] if lone else []
+        moved = [means[i] if i in means else far[lone.index(i)] for i in range(len(centres))]
         d = [sum(((F.col(a) - m) * (F.col(a) - m) for a, m in zip(axes, c, strict=True)), F.lit(0.0)) for c in moved]
         row = points.agg(*(F.min(F.struct(x.alias("d"), *axes)).alias(f"c{i}") for i, x in enumerate(d))).first()
         snapped = [tuple(float(row[f"c{i}"][a]) for a in axes) for i in range(len(moved))]
-        if max((sum((p - q) ** 2 for p, q in zip(a, b, strict=True)) for a, b in zip(snapped, centres, strict=True)), default=0) < drift:
-            break
+        way = sum(math.dist(a, b) for a, b in zip(snapped, centres, strict=True))
         centres = snapped
+        if way < drift:
+            break
     return centres
+
+
+def particle_stats(df: DataFrame, template: str, frame: str, axes: list[str], alive: str, frozen: float = 0.01) -> DataFrame:
+    """One row on the steps of particles that are alive before and after: n_alive of n_steps, mean, p5, p50, p95 and greatest
+    length, mean and greatest way of a template, and the share of steps shorter than `frozen` in percent."""
+    w = Window.partitionBy(template).orderBy(frame)
+    way = F.sqrt(sum(((F.col(a) - F.lag(a).over(w)) * (F.col(a) - F.lag(a).over(w)) for a in axes), F.lit(0.0)))
+    steps = df.withColumn("_d", way).withColumn("_both", F.col(alive) & F.lag(alive).over(w)).filter("_d is not null").select(template, F.when(F.col("_both"), F.col("_d")).alias("step"))
+    p5, p50, p95 = quantiles(steps, "step", [0.05, 0.5, 0.95])
+    per = steps.groupBy(template).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("way"), F.count("*").alias("n"), F.count("step").alias("k"), F.max("step").alias("most"), F.count_if(F.col("step") < frozen).alias("still"))
+    out = per.agg(F.sum("k").alias("n_alive"), F.sum("n").alias("n_steps"), (F.sum("way") / F.sum("k")).alias("mean"), F.max("most").alias("v_max"), F.avg("way").alias("path_mean"), F.max("way").alias("path_max"), (100 * F.sum("still") / F.sum("k")).alias("frozen_pct"))
+    return out.select("n_alive", "n_steps", "mean", *(F.lit(q).cast("double").alias(k) for k, q in (("p5", p5), ("p50", p50), ("p95", p95))), "v_max", "path_mean", "path_max", "frozen_pct")

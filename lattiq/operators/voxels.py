@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.operators.tables import quantiles
+
 AXES = ("z", "y", "x")
 
 
@@ -19,7 +21,8 @@ def same_extent(a: DataFrame, b: DataFrame) -> bool:
 def profile(df: DataFrame, value: str = "v") -> DataFrame:
     """One row: count, least, greatest, mean, median, 95th percentile, positive values, distinct values."""
     c = F.col(value)
-    return df.agg(F.count("*").alias("n"), F.min(c).alias("v_min"), F.max(c).alias("v_max"), F.avg(c).alias("v_mean"), F.percentile(c, F.lit(0.5)).alias("p50"), F.percentile(c, F.lit(0.95)).alias("p95"), F.count_if(c > 0).alias("n_pos"), F.countDistinct(c).alias("n_values"))
+    p50, p95 = (F.lit(q).cast("double").alias(f"p{s}") for s, q in zip((50, 95), quantiles(df, value, [0.5, 0.95]), strict=True))
+    return df.agg(F.count("*").alias("n"), F.min(c).alias("v_min"), F.max(c).alias("v_max"), F.avg(c).alias("v_mean"), F.count_if(c > 0).alias("n_pos"), F.countDistinct(c).alias("n_values")).select("n", "v_min", "v_max", "v_mean", p50, p95, "n_pos", "n_values")
 
 
 def combined(a: DataFrame, b: DataFrame, name: str, check: bool = True) -> DataFrame:
@@ -75,7 +78,7 @@ def cleaning_counts(value: Column, most: float) -> list[Column]:
 
 def without_sentinels(df: DataFrame, factor: float = 100.0, share: float = 0.999) -> DataFrame:
     """Values above `factor` times the given percentile of the positive values become 0."""
-    top = df.filter("v > 0").agg(F.percentile("v", F.lit(share))).first()[0]
+    (top,) = quantiles(df.filter("v > 0"), "v", [share])
     return df if top is None else df.withColumn("v", F.when(F.col("v") > factor * top, 0.0).otherwise(F.col("v")))
 
 
@@ -103,7 +106,7 @@ def chunk_of(index: Column, total: int, chunks: int) -> Column:
 
 def stretched(df: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """v rescaled so that the two percentiles become 0 and 255, cut off beyond them."""
-    a, b = df.agg(F.percentile("v", F.array(F.lit(low), F.lit(high)))).first()[0] or (0.0, 0.0)
+    a, b = (q or 0.0 for q in quantiles(df, "v", [low, high]))
     return df.withColumn("v", F.least(F.greatest((F.col("v") - a) / max(b - a, 1e-9), F.lit(0.0)), F.lit(1.0)) * 255)
 
 

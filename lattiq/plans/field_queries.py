@@ -17,11 +17,11 @@ def _edges(spark, sf_dir, level=40):
     return area, fields.neighbour_edges(area, n), n
 
 
-@query(VOX + ", g AS (SELECT a.range AS y, b.range AS x FROM p, range((SELECT n FROM p)) a, range((SELECT n FROM p)) b), bg AS (SELECT y, x FROM vox WHERE z = 5 AND v >= 45) SELECT g.y, g.x, min((g.y - bg.y) * (g.y - bg.y) + (g.x - bg.x) * (g.x - bg.x))::DOUBLE AS d2 FROM g, bg GROUP BY g.y, g.x")
-def edt_slice(spark, sf_dir):
+@query(VOX + ", g AS (SELECT a.range AS z, b.range AS y, c.range AS x FROM range((SELECT n FROM p)) a, range((SELECT n FROM p)) b, range((SELECT n FROM p)) c), bg AS (SELECT z, y, x FROM vox WHERE v >= 45) SELECT g.z, g.y, g.x, min((g.z - bg.z) * (g.z - bg.z) + (g.y - bg.y) * (g.y - bg.y) + (g.x - bg.x) * (g.x - bg.x))::DOUBLE AS d2 FROM g, bg GROUP BY g.z, g.y, g.x")
+def edt_volume(spark, sf_dir):
+    """The squared distance of every voxel of the grid to the nearest one of 45 or more."""
     v, n = vox(spark, sf_dir)
-    seeds = v.filter("z = 5 and v >= 45").withColumn("z", F.lit(0).cast("bigint"))
-    return fields.squared_distance(seeds, n, ("y", "x")).filter("z = 0").select("y", "x", "d2")
+    return fields.squared_distance(v.filter("v >= 45"), n)
 
 
 @query(VOX + ", a AS (SELECT z, y, x FROM vox WHERE v >= 48), b AS (SELECT z, y, x FROM vox WHERE v < 3) SELECT z, y, x FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE (a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 4)")
@@ -33,13 +33,15 @@ def dual_separation(spark, sf_dir):
 _J = ", ".join(f"j{k} AS (SELECT j.id, coalesce(CASE WHEN m.z = 0 THEN 0.0 WHEN m.z >= n - 2 THEN 1.0 END, (SELECT avg(q.u) FROM e JOIN j{k - 1} q ON q.id = e.w WHERE e.u = j.id), j.u) AS u FROM j{k - 1} j JOIN m USING (id), p)" for k in (1, 2, 3))
 
 
-@query(VOX + _IDS + ", j0 AS (SELECT id, CASE WHEN z = 0 THEN 0.0 WHEN z >= n - 2 THEN 1.0 ELSE 0.5 END::DOUBLE AS u FROM m, p WHERE id IN (SELECT u FROM e) OR z = 0 OR z >= n - 2), " + _J + " SELECT id AS node, round(u, 6) AS u FROM j3")
+@query(VOX + _IDS + ", j0 AS (SELECT id, CASE WHEN z = 0 THEN 0.0 WHEN z >= n - 2 THEN 1.0 ELSE 0.5 END::DOUBLE AS u FROM m, p WHERE id IN (SELECT u FROM e) OR z = 0 OR z >= n - 2), " + _J + " SELECT id AS node, round(u, 9) AS u FROM j3")
 def laplace_jacobi(spark, sf_dir):
-    """Three Jacobi steps of Laplace's equation: 0 on the first plane, 1 on the last two."""
+    """Three Jacobi steps of Laplace's equation: 0 on the first plane, 1 on the last two.
+
+    The values are fractions of at most seven decimals or none that end, so nine digits have no half to round."""
     area, edges, n = _edges(spark, sf_dir)
     node = graph.linear(n)
     fixed = area.filter((F.col("z") == 0) | (F.col("z") >= n - 2)).select(node.alias("node"), F.when(F.col("z") == 0, 0.0).otherwise(1.0).alias("u"))
-    return fields.jacobi(edges, fixed, 3).withColumn("u", F.round("u", 6))
+    return fields.jacobi(edges, fixed, 3).withColumn("u", F.round("u", 9))
 
 
 @query()
@@ -58,7 +60,7 @@ def _paths(spark, sf_dir):
     area, edges, n = _edges(spark, sf_dir)
     cost = area.select(graph.linear(n).alias("v"), (F.lit(60) - F.col("v")).cast("bigint").alias("w"))
     start = area.filter("z = 0").select(graph.linear(n).alias("node"), F.lit(0).cast("bigint").alias("cost"))
-    return graph.cheapest(edges.join(cost, "v").select("u", "v", "w"), start), n
+    return graph.cheapest(edges.join(cost, "v").select("u", "v", "w"), start, block=lambda c: graph.blocked(c, n)), n
 
 
 @query(_COST + " SELECT node, cost FROM b")
@@ -67,18 +69,18 @@ def bellman_ford_cost(spark, sf_dir):
     return _paths(spark, sf_dir)[0].select("node", "cost")
 
 
-@query()
+@query(_COST + ", via AS (SELECT c.w AS node, min(c.u) AS via FROM c JOIN b p1 ON p1.node = c.u JOIN b p2 ON p2.node = c.w WHERE p1.cost + c.k = p2.cost AND p1.cost < p2.cost GROUP BY c.w), t(path_id, step, node) AS (SELECT node, 0::BIGINT, node FROM b WHERE cost > 0 UNION ALL SELECT t.path_id, t.step + 1, via.via FROM t JOIN via USING (node)) SELECT path_id, step, node FROM t")
 def path_traceback(spark, sf_dir):
+    """The way of every reached voxel back to the first plane."""
     paths, n = _paths(spark, sf_dir)
-    paths = fields.Workspace(spark, "costs").keep(paths)
     ends = paths.filter("cost > 0").select(F.col("node").alias("path_id"), "node")
     return graph.traced(paths, ends)
 
 
-@query(VOX + ", m AS (SELECT z, y, x, v FROM vox WHERE v >= 30 AND z < 6), k AS (SELECT r.range - 2 AS d, exp(-0.5 * ((r.range - 2) / 0.5) ** 2) AS w FROM range(5) r), a AS (SELECT z + d AS z, y, x, sum(v * w) AS num, sum(w) AS den FROM m, k GROUP BY ALL), b AS (SELECT z, y + d AS y, x, sum(num * w) AS num, sum(den * w) AS den FROM a, k GROUP BY ALL), c AS (SELECT z, y, x + d AS x, sum(num * w) AS num, sum(den * w) AS den FROM b, k GROUP BY ALL) SELECT c.z, c.y, c.x, round(num / den, 5) AS v FROM c JOIN m USING (z, y, x)")
+@query(VOX + ", m AS (SELECT z, y, x, v FROM vox WHERE v >= 30), k AS (SELECT r.range - 2 AS d, exp(-0.5 * ((r.range - 2) / 0.5) ** 2) AS w FROM range(5) r), a AS (SELECT z + d AS z, y, x, sum(v * w) AS num, sum(w) AS den FROM m, k GROUP BY ALL), b AS (SELECT z, y + d AS y, x, sum(num * w) AS num, sum(den * w) AS den FROM a, k GROUP BY ALL), c AS (SELECT z, y, x + d AS x, sum(num * w) AS num, sum(den * w) AS den FROM b, k GROUP BY ALL) SELECT c.z, c.y, c.x, round(num / den, 5) AS v FROM c JOIN m USING (z, y, x)")
 def masked_gaussian(spark, sf_dir):
     v, _ = vox(spark, sf_dir)
-    m = v.filter("v >= 30 and z < 6").select(*ZYX, "v")
+    m = v.filter("v >= 30").select(*ZYX, "v")
     return fields.masked_gaussian(m, m, 0.5).withColumn("v", F.round("v", 5))
 
 
@@ -89,18 +91,46 @@ def nearest_centroid(spark, sf_dir):
     return profiles.nearest_centre(v.filter("v >= 45").select(*ZYX), [(3, 3, 3), (12, 12, 12), (20, 5, 15)], ZYX)
 
 
-@query()
+def _d2(p: str, c: str) -> str:
+    return " + ".join(f"({p}.{a} - {c}.{a}) * ({p}.{a} - {c}.{a})" for a in ZYX)
+
+
+def _seeds(k: int) -> str:
+    """CTEs s0 ... of one row each: the first is given, each other is the point of m farthest from those before."""
+    out = "s0 AS (SELECT 0.0::DOUBLE AS z, 0.0::DOUBLE AS y, 0.0::DOUBLE AS x)"
+    for j in range(1, k):
+        near = ", ".join(_d2("m", f"s{i}") for i in range(j))
+        out += f", s{j} AS MATERIALIZED (SELECT m.z::DOUBLE AS z, m.y::DOUBLE AS y, m.x::DOUBLE AS x FROM m, {', '.join(f's{i}' for i in range(j))} ORDER BY least({near}, 1e300) DESC, m.z, m.y, m.x LIMIT 1)"
+    return out
+
+
+_M45 = ", m AS MATERIALIZED (SELECT z, y, x FROM vox WHERE v >= 45), "
+
+
+@query(VOX + _M45 + _seeds(5) + " " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS seed, z, y, x FROM s{i}" for i in range(5)))
 def farthest_point_seeds(spark, sf_dir):
     v, _ = vox(spark, sf_dir)
     seeds = profiles.farthest_seeds(v.filter("v >= 45"), 5, ZYX, (0, 0, 0))
     return spark.createDataFrame([(i, *s) for i, s in enumerate(seeds)], "seed int, z double, y double, x double")
 
 
-@query()
+def _rounds(k: int, rounds: int) -> str:
+    """CTEs c0 ... of k centres each: means of the nearest points (the first centre on ties), moved to the nearest point.
+
+    Once no centre moves, further rounds change nothing; no cluster of these data is ever empty."""
+    out = "c0 AS (" + " UNION ALL ".join(f"SELECT {i}::BIGINT AS i, z, y, x FROM s{i}" for i in range(k)) + ")"
+    for r in range(1, rounds + 1):
+        out += f""", a{r} AS MATERIALIZED (SELECT m.z, m.y, m.x, c.i FROM m, c{r - 1} c QUALIFY row_number() OVER (PARTITION BY m.z, m.y, m.x ORDER BY {_d2("m", "c")}, c.i) = 1),
+g{r} AS (SELECT i, avg(z) AS z, avg(y) AS y, avg(x) AS x FROM a{r} GROUP BY i),
+c{r} AS MATERIALIZED (SELECT g.i, m.z::DOUBLE AS z, m.y::DOUBLE AS y, m.x::DOUBLE AS x FROM g{r} g, m QUALIFY row_number() OVER (PARTITION BY g.i ORDER BY {_d2("m", "g")}, m.z, m.y, m.x) = 1)"""
+    return out
+
+
+@query(VOX + _M45 + _seeds(3) + ", " + _rounds(3, 50) + " SELECT i::INTEGER AS centre, z, y, x FROM c50")
 def kmedoids(spark, sf_dir):
     v, _ = vox(spark, sf_dir)
     m = fields.Workspace(spark, "crown").keep(v.filter("v >= 45").select(*ZYX))
-    centres = profiles.medoids(m, 3, ZYX, (0, 0, 0), rounds=5)
+    centres = profiles.medoids(m, 3, ZYX, (0, 0, 0))
     return spark.createDataFrame([(i, *s) for i, s in enumerate(centres)], "centre int, z double, y double, x double")
 
 
@@ -139,6 +169,7 @@ def _flow(spark, sf_dir):
 
 @query()
 def streamlines(spark, sf_dir):
+    """Lines through the whole field from every voxel of 40 or more in its second plane."""
     field, n = _flow(spark, sf_dir)
     seeds = vox(spark, sf_dir)[0].filter("z = 1 and v >= 40").select((F.col("y") * max(n, 64) + F.col("x")).alias("path_id"), *ZYX)
     return fields.streamlines(seeds, field, n)
@@ -146,9 +177,10 @@ def streamlines(spark, sf_dir):
 
 @query()
 def particles(spark, sf_dir):
+    """200 o2 particles of three lives each, which may end at the walls."""
     field, n = _flow(spark, sf_dir)
-    seeds = fields.seeded(fields.seed_weights(field.filter(F.col("z") < n // 2), "ch4"), 200)
-    return fields.particles(seeds, field, n, frames=20)
+    seeds = fields.seeded(fields.seed_weights(field, "o2"), 600)
+    return fields.particles(seeds, field, n, frames=20, lives=3, kill=fields.WALL_KILL["o2"])
 
 
 @query("WITH e AS (SELECT event_id, event_id % 11 AS z, event_id % 13 AS y, (event_id % 7 + 1)::DOUBLE AS w FROM events), c AS (SELECT *, sum(w) OVER (ORDER BY z, y, event_id ROWS UNBOUNDED PRECEDING) AS c1, sum(w) OVER () AS t FROM e) SELECT k.range AS pid, event_id AS x FROM c, range(50) k WHERE k.range >= ceil((c1 - w) / t * 50 - 0.5) AND k.range <= ceil(c1 / t * 50 - 0.5) - 1")
@@ -179,12 +211,12 @@ def iso_surface(spark, sf_dir):
     return geometry.face_vectors(geometry.corners(verts, faces)).select("fid", "area")
 
 
-_MESH = ", f AS (SELECT l_orderkey AS fid, l_orderkey % 3 AS mesh_id, l_partkey % 40 AS a, (l_partkey * 3 + 1) % 40 AS b, (l_suppkey * 7 + 2) % 40 AS c FROM lineitem WHERE l_linenumber = 1), g AS (SELECT * FROM f WHERE a <> b AND b <> c AND a <> c)"
+_MESH = ", f AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_orderkey % 3 AS mesh_id, l_partkey % 40 AS a, (l_partkey * 3 + 1) % 40 AS b, (l_suppkey * 7 + 2) % 40 AS c FROM lineitem), g AS (SELECT * FROM f WHERE a <> b AND b <> c AND a <> c)"
 
 
 def _mesh(spark, sf_dir):
-    k = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    f = k.select(F.col("l_orderkey").alias("fid"), (F.col("l_orderkey") % 3).alias("mesh_id"), (F.col("l_partkey") % 40).alias("a"), ((F.col("l_partkey") * 3 + 1) % 40).alias("b"), ((F.col("l_suppkey") * 7 + 2) % 40).alias("c")).filter("a <> b and b <> c and a <> c")
+    k = table(spark, sf_dir, "lineitem")
+    f = k.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fid"), (F.col("l_orderkey") % 3).alias("mesh_id"), (F.col("l_partkey") % 40).alias("a"), ((F.col("l_partkey") * 3 + 1) % 40).alias("b"), ((F.col("l_suppkey") * 7 + 2) % 40).alias("c")).filter("a <> b and b <> c and a <> c")
     verts = spark.range(120).select((F.col("id") / 40).cast("bigint").alias("mesh_id"), (F.col("id") % 40).alias("vid"), (F.col("id") % 7).cast("double").alias("z"), (F.col("id") % 11).cast("double").alias("y"), (F.col("id") % 13).cast("double").alias("x"))
     return verts, f
 
@@ -216,23 +248,25 @@ def mesh_union(spark, sf_dir):
     return geometry.merged(*_mesh(spark, sf_dir))[1].select("fid", "a", "b", "c")
 
 
-@query()
+@query("WITH z0 AS (SELECT 1)" + _MESH + _V + ", k AS (SELECT mesh_id, vid, floor(z / 4) * 100 + floor(y / 4) * 10 + floor(x / 4) AS cell FROM v), h AS (SELECT g.mesh_id, fid, list_sort([p.cell, q.cell, r.cell]) AS s FROM g JOIN k p ON p.mesh_id = g.mesh_id AND p.vid = a JOIN k q ON q.mesh_id = g.mesh_id AND q.vid = b JOIN k r ON r.mesh_id = g.mesh_id AND r.vid = c WHERE p.cell <> q.cell AND q.cell <> r.cell AND p.cell <> r.cell) SELECT mesh_id, min(fid) AS fid FROM h GROUP BY mesh_id, s")
 def vertex_clustering(spark, sf_dir):
     return geometry.decimated(*_mesh(spark, sf_dir), 4.0)[1].select("mesh_id", "fid")
 
 
-@query("WITH RECURSIVE z0 AS (SELECT 1)" + _MESH.replace("l_partkey % 40 AS a, (l_partkey * 3 + 1) % 40 AS b, (l_suppkey * 7 + 2) % 40 AS c", "l_orderkey * 3 AS a, l_orderkey * 3 + l_partkey % 5 + 1 AS b, l_orderkey * 3 + l_suppkey % 4 + 6 AS c") + ", h AS (SELECT * FROM g WHERE l_ok), e AS (SELECT DISTINCT unnest([a, b, b, c, a, c]) AS u, unnest([b, a, c, b, c, a]) AS w FROM h), cc(id, part) USING KEY (id) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.w, min(cc.part) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.w WHERE cc.part < r.part GROUP BY e.w) SELECT part, count(*) AS n FROM cc GROUP BY part HAVING count(*) >= 4".replace("WHERE l_ok", "WHERE fid % 9 < 3"))
+_LONG = _MESH.replace("l_partkey % 40 AS a, (l_partkey * 3 + 1) % 40 AS b, (l_suppkey * 7 + 2) % 40 AS c", "l_orderkey * 3 AS a, l_orderkey * 3 + l_partkey % 5 + 1 AS b, l_orderkey * 3 + l_suppkey % 4 + 6 AS c")
+
+
+@query("WITH RECURSIVE z0 AS (SELECT 1)" + _LONG + ", e AS (SELECT DISTINCT unnest([a, b, b, c, a, c]) AS u, unnest([b, a, c, b, c, a]) AS w FROM g), cc(id, part) USING KEY (id) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.w, min(cc.part) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.w WHERE cc.part < r.part GROUP BY e.w) SELECT part, count(*) AS n FROM cc GROUP BY part HAVING count(*) >= 4")
 def mesh_parts(spark, sf_dir):
     """Connected parts of a mesh and their vertices, parts under four vertices left out."""
-    k = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 9 < 3")
-    o = F.col("l_orderkey") * 3
-    f = k.select(F.col("l_orderkey").alias("fid"), F.lit(0).cast("bigint").alias("mesh_id"), o.alias("a"), (o + F.col("l_partkey") % 5 + 1).alias("b"), (o + F.col("l_suppkey") % 4 + 6).alias("c")).filter("a <> b and b <> c and a <> c")
+    k, o = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") * 3
+    f = k.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fid"), F.lit(0).cast("bigint").alias("mesh_id"), o.alias("a"), (o + F.col("l_partkey") % 5 + 1).alias("b"), (o + F.col("l_suppkey") % 4 + 6).alias("c")).filter("a <> b and b <> c and a <> c")
     return geometry.parts(f, 4).select("part", F.explode(F.array("a", "b", "c")).alias("v")).distinct().groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("WITH f AS (SELECT l_orderkey AS fid, l_suppkey % 7 AS column_id, l_quantity::BIGINT AS time_id FROM lineitem WHERE l_linenumber = 1), t AS (SELECT column_id, min(time_id) AS t0 FROM f GROUP BY column_id) SELECT fid, column_id, time_id, (column_id * 5 + time_id - t0) % 24 AS step_id FROM f JOIN t USING (column_id)")
+@query("WITH f AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_suppkey % 7 AS column_id, l_quantity::BIGINT AS time_id FROM lineitem), t AS (SELECT column_id, min(time_id) AS t0 FROM f GROUP BY column_id) SELECT fid, column_id, time_id, (column_id * 5 + time_id - t0) % 24 AS step_id FROM f JOIN t USING (column_id)")
 def packed_mesh(spark, sf_dir):
-    k = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    f = k.select(F.col("l_orderkey").alias("fid"), (F.col("l_suppkey") % 7).alias("column_id"), F.col("l_quantity").cast("bigint").alias("time_id"))
+    k = table(spark, sf_dir, "lineitem")
+    f = k.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fid"), (F.col("l_suppkey") % 7).alias("column_id"), F.col("l_quantity").cast("bigint").alias("time_id"))
     starts = f.select("column_id").distinct().withColumn("tstart", F.col("column_id") * 5)
     return geometry.packed(f, starts, 24)

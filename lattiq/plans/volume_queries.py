@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattiq.operators import graph, profiles, voxels
+from lattiq.operators import graph, profiles, scene, voxels
 from lattiq.plans.base import REC, VOX, query, table, vox
 
 ZYX = ["z", "y", "x"]
@@ -263,11 +263,11 @@ def divergence_field(spark, sf_dir):
     return voxels.divergence(d, n, ("v", "v", "w")).select(*ZYX, "div")
 
 
-@query(VOX + ", pts AS (SELECT event_id AS pid, (event_id % 23) + 0.25 AS pz, (event_id % 19) + 0.5 AS py, (event_id % 17) + 0.75 AS px FROM events WHERE event_id % 10 = 0), k AS (SELECT pid, (CASE WHEN a = 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END) * (CASE WHEN b = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN c = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w, floor(pz) + a AS z, floor(py) + b AS y, floor(px) + c AS x FROM pts, (VALUES (0), (1)) aa(a), (VALUES (0), (1)) bb(b), (VALUES (0), (1)) cc(c)) SELECT pid, round(sum(w * coalesce(v, 0)), 6)::DOUBLE AS v FROM k LEFT JOIN vox USING (z, y, x) GROUP BY pid")
+@query(VOX + ", pts AS (SELECT event_id AS pid, (event_id % 23) + 0.25 AS pz, (event_id % 19) + 0.5 AS py, (event_id % 17) + 0.75 AS px FROM events), k AS (SELECT pid, (CASE WHEN a = 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END) * (CASE WHEN b = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN c = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w, floor(pz) + a AS z, floor(py) + b AS y, floor(px) + c AS x FROM pts, (VALUES (0), (1)) aa(a), (VALUES (0), (1)) bb(b), (VALUES (0), (1)) cc(c)) SELECT pid, round(sum(w * coalesce(v, 0)), 6)::DOUBLE AS v FROM k LEFT JOIN vox USING (z, y, x) GROUP BY pid")
 def trilinear_sample(spark, sf_dir):
     v, _ = vox(spark, sf_dir)
     e = F.col("event_id")
-    pts = table(spark, sf_dir, "events").filter("event_id % 10 = 0").select(e.alias("pid"), (e % 23 + 0.25).alias("pz"), (e % 19 + 0.5).alias("py"), (e % 17 + 0.75).alias("px"))
+    pts = table(spark, sf_dir, "events").select(e.alias("pid"), (e % 23 + 0.25).alias("pz"), (e % 19 + 0.5).alias("py"), (e % 17 + 0.75).alias("px"))
     return voxels.trilinear(pts, v).withColumn("v", F.round("v", 6))
 
 
@@ -339,8 +339,7 @@ def _caught(spark, sf_dir):
     box = v.filter("v >= 45").groupBy(F.col("c").alias("column_id")).agg(*(f(a).alias(f"{a}{i}") for a in ZYX for i, f in ((0, F.min), (1, F.max))))
     e = F.col("event_id")
     cam = table(spark, sf_dir, "events").select(e.alias("t"), (e % 41 - 8).alias("z"), (e % 37 - 6).alias("y"), (e % 31 - 4).alias("x"))
-    inside = (F.col("z").between(F.col("z0") - 1, F.col("z1") + 1)) & (F.col("y").between(F.col("y0") - 1, F.col("y1") + 1)) & (F.col("x").between(F.col("x0") - 1, F.col("x1") + 1))
-    return cam.join(box, inside).groupBy("column_id").agg(F.min("t").alias("caught_at"))
+    return scene.caught(cam, box, 1).groupBy("column_id").agg(F.min("t").alias("caught_at"))
 
 
 @query(_BOX + ", b AS (SELECT column_id, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cells WHERE time_id >= 45 GROUP BY column_id), cam AS (SELECT event_id AS t, event_id % 41 - 8 AS z, event_id % 37 - 6 AS y, event_id % 31 - 4 AS x FROM events), k AS (SELECT DISTINCT column_id FROM b JOIN cam ON cam.z BETWEEN z0 - 1 AND z1 + 1 AND cam.y BETWEEN y0 - 1 AND y1 + 1 AND cam.x BETWEEN x0 - 1 AND x1 + 1) SELECT column_id, count(*) AS n FROM cells WHERE column_id NOT IN (SELECT column_id FROM k) GROUP BY column_id")
