@@ -62,9 +62,13 @@ def estimated_faces(n: Column) -> Column:
     return F.greatest(25 * F.pow(n, F.lit(2 / 3)), 2.0 * n)
 
 
-def auto_stride(n: Column, target: int) -> Column:
-    """The least stride whose expected triangles stay under the target (they fall with its square)."""
-    return F.greatest(F.lit(1), F.ceil(F.sqrt(estimated_faces(n) / float(target)))).cast("bigint")
+def auto_stride(n: Column, target: int | None, multiplier: float = 3.0, most: int = 6) -> Column:
+    """The stride at which a component of n voxels gives about `multiplier` times the target in triangles (they fall with its
+    square), rounded half to even, from 1 to `most`; 1 without a target."""
+    if not target or target <= 0:
+        return F.lit(1).cast("bigint")
+    share = estimated_faces(F.greatest(n, F.lit(1))) / (float(target) * multiplier)
+    return F.when(share <= 1, 1).otherwise(F.least(F.greatest(F.bround(F.sqrt(share)), F.lit(1)), F.lit(most))).cast("bigint")
 
 
 def dot(a: Column, b: Column) -> Column:

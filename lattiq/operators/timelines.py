@@ -114,24 +114,42 @@ def modular(df: DataFrame, frame: Column, phase: Column, life: int) -> DataFrame
     return df.withColumn("at", at.cast("bigint")).withColumn("alpha", 1 - F.abs(2 * at / F.lit(float(life)) - 1))
 
 
-def visibility(df: DataFrame, key: list[str], frame: str, mode: str, intro: int, long: int, short: int) -> DataFrame:
-    """key, start, stop, mode: from the first sight of a mode after the intro for `long` frames, from every later switch for `short`."""
-    w = ordered(key, [frame])
-    rows = df.withColumn("_p", F.lag(mode).over(w)).filter((F.col(frame) >= intro) & (F.col("_p").isNull() | (F.col("_p") != F.col(mode))))
-    rn = F.row_number().over(Window.partitionBy(*key, mode).orderBy(frame))
-    return rows.withColumn("_n", rn).select(*key, F.col(mode).alias("mode"), F.col(frame).alias("start"), (F.col(frame) + F.when(F.col("_n") == 1, long).otherwise(short)).alias("stop"))
-
-
-def gaussian_smoothed(df: DataFrame, key: list[str], by: str, value: str, sigma: float, name: str) -> DataFrame:
-    """Zero-phase Gaussian weights over rows within 4 sigma, ends repeated, as shifted columns of one window."""
-    import math
-
-    reach = int(4 * sigma + 0.5)
+def visibility(track: DataFrame, key: list[str], fps: int, intro_s: float = 35.0, fixed_mode: str = "mesh_all", fixed_s: float = 64.0, fixed_for_s: float = 5.0, mode_s: int = 6, lames_s: int = 3, calm_degrees: float = 1.0, calm_s: float = 0.3, wait_s: float = 8.0) -> DataFrame:
+    """key, kind, mode, start, stop: the frames [start, stop) in which a panel shows. track: key, frame (0, 1, ...), mode, lames
+    (boolean), turn (degrees since the frame before).
+
+    mode: from the first frame of each mode after the intro, but for the fixed one. lames: from every frame after the intro where
+    lames appear, put off to the first calm_s of little turning that begin there within wait_s. fixed: from fixed_s on. No
+    interval goes beyond the track."""
+    w, last = ordered(key, ["frame"]), Window.partitionBy(*key)
+    calm_n, wait = max(1, round(fps * calm_s)), round(fps * wait_s)
+    rows = track.withColumn("_n", F.max("frame").over(last) + 1)
+    late = F.col("frame") / fps >= intro_s
+    first = rows.filter(late & F.col("mode").isNotNull() & (F.col("mode") != "") & (F.col("mode") != fixed_mode))
+    modes = first.groupBy(*key, "mode").agg(F.min("frame").alias("start"), F.first("_n").alias("_n")).select(*key, F.lit("mode").alias("kind"), "mode", "start", F.least(F.col("start") + mode_s * fps, "_n").alias("stop"))
+    # how many calm frames in a row end here, and the next frame that ends enough of them
+    calm = F.coalesce(F.col("turn"), F.lit(0.0)) < calm_degrees
+    rows = rows.withColumn("_calm", calm).withColumn("_break", F.max(F.when(~calm, F.col("frame"))).over(so_far(key, ["frame"])))
+    enough = F.when(F.col("frame") - F.coalesce("_break", F.lit(-1)) >= calm_n, F.col("frame"))
+    rows = rows.withColumn("_next", F.min(enough).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_end", F.lead("_next", calm_n - 1).over(w)).withColumn("_up", F.col("lames") & ~F.coalesce(F.lag("lames").over(w), F.lit(False)))
+    start = F.when(F.col("_end") < F.col("frame") + wait, F.col("_end") - calm_n + 1).otherwise(F.col("frame"))
+    lames = rows.filter(late & F.col("_up")).select(*key, F.lit("lames").alias("kind"), "mode", start.alias("start"), F.least(start + lames_s * fps, "_n").alias("stop"))
+    t = F.col("frame") / fps
+    fixed = rows.filter(late & (t >= fixed_s) & (t < fixed_s + fixed_for_s)).groupBy(*key).agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("stop")).select(*key, F.lit("fixed").alias("kind"), F.lit(fixed_mode).alias("mode"), "start", "stop")
+    return modes.unionByName(lames).unionByName(fixed)
+
+
+def gaussian_smoothed(df: DataFrame, key: list[str], by: str, value: str, sigma: int, name: str) -> DataFrame:
+    """A Gaussian cut at 2 sigma run forwards and then backwards, the ends repeated: its kernel with itself, as shifted columns
+    of one window."""
+    import numpy as np
+
+    one = np.exp(-0.5 * (np.arange(-2 * sigma, 2 * sigma + 1) / sigma) ** 2)
+    weights = np.convolve(one / one.sum(), one / one.sum()).tolist()
+    reach = 4 * sigma
     w = ordered(key, [by])
     whole = Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     rows = df.withColumn("_a", F.first(value).over(whole)).withColumn("_z", F.last(value).over(whole))
-    terms = [F.lit(g / sum(weights)) * (F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w) if k else F.col(value)) for k, g in zip(range(-reach, reach + 1), weights, strict=True)]
-    ends = [F.lit(g / sum(weights)) * (F.col("_a") if k < 0 else F.col("_z")) for k, g in zip(range(-reach, reach + 1), weights, strict=True)]
-    total = sum((F.coalesce(t, e) for t, e in zip(terms, ends, strict=True)), F.lit(0.0))
-    return rows.withColumn(name, total).drop("_a", "_z")
+    terms = [F.lit(g) * F.coalesce(F.lag(value, -k).over(w), F.col("_a")) if k < 0 else F.lit(g) * F.coalesce(F.lead(value, k).over(w), F.col("_z")) if k else F.lit(g) * F.col(value) for k, g in zip(range(-reach, reach + 1), weights, strict=True)]
+    return rows.withColumn(name, sum(terms, F.lit(0.0))).drop("_a", "_z")

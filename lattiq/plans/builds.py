@@ -1,18 +1,24 @@
-"""Compositions: strategies of grouping, the field bundle, membranes."""
+"""Compositions: strategies of grouping, field bundles, arrows, crown tracks, membranes, shells, camera tracks."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.operators import fields, geometry, graph, profiles, voxels
-from lattiq.operators.tables import Workspace
+from lattiq.functions.shaping import clip01, glow
+from lattiq.operators import fields, geometry, graph, paths, profiles, timelines, voxels
+from lattiq.operators.profiles import HALF_TURN
+from lattiq.operators.tables import Workspace, quantiles
 from lattiq.operators.voxels import AXES
 
+#: Fixed value: how much faster than one segment in its frames a camera cruises, to make up for its ramps.
+CRUISE = 1.4885
+
 
 def full_mask(mask: DataFrame, n: int, least: int = 1) -> DataFrame:
     """The whole mask as one group."""
@@ -57,8 +63,7 @@ def field_bundle(area: DataFrame, source: DataFrame, target: DataFrame, n: int,
     smooth = fields.masked_gaussian(u, area, sigma).join(ends.select(*AXES, F.col("u").alias("f")), list(AXES), "left").select(*AXES, F.coalesce("f", "v").alias("v"))
     grid = space.keep(voxels.gradient(voxels.dense(smooth, n), n).join(area, list(AXES), "left_semi"))
     size = F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in AXES), F.lit(0.0)))
-    spine = area.sparkSession.range(n**3).select((F.col("id") / (n * n)).cast("bigint").alias("z"), ((F.col("id") / n).cast("bigint") % n).alias("y"), (F.col("id") % n).alias("x"))
-    wall = fields.squared_distance(spine.join(area, list(AXES), "left_anti"), n)
+    wall = fields.squared_distance(fields.grid_of(area.sparkSession, n).join(area, list(AXES), "left_anti"), n)
     out = grid.join(wall, list(AXES)).withColumn("speed", size)
     return out.select(*AXES, F.col("v").alias("u"), *(F.when(F.col("speed") > 1e-9, F.col(f"g{a}") / F.col("speed")).otherwise(0.0).alias(f"v{a}") for a in AXES), "speed", F.sqrt("d2").alias("wall"))
 
@@ -116,3 +121,198 @@ def periodic_zoom(grid: np.ndarray, factor: int, sigma: float) -> np.ndarray:
     down = np.pad(big, ((reach, reach), (0, 0)), "edge")
     big = sum(k * down[i : i + len(big)] for i, k in enumerate(w))
     return sum(k * np.roll(big, reach - i, axis=1) for i, k in enumerate(w))
+
+
+def boosted(df: DataFrame, value: str, low: float = 0.7, high: float = 0.99) -> DataFrame:
+    """Adds boost: log(1 + value) (0 below 0) between two of its percentiles, cut to [0, 1]; 0 where there is but one row."""
+    df = df.withColumn("_log", F.log1p(F.greatest(value, F.lit(0.0))))
+    a, b = quantiles(df, "_log", [low, high])
+    if a is None or df.limit(2).count() < 2:
+        return df.withColumn("boost", F.lit(0.0)).drop("_log")
+    return df.withColumn("boost", F.least(F.greatest((F.col("_log") - a) / max(b - a, 1e-6), F.lit(0.0)), F.lit(1.0))).drop("_log")
+
+
+def inward(axis: str, centre: dict[str, float], at: dict) -> tuple[dict, object]:
+    """The unit direction from a place to the central axis (along `axis`), and its length before."""
+    d = {a: F.lit(0.0) if a == axis else F.lit(centre[a]) - at[a] for a in AXES}
+    size = F.sqrt(sum((d[a] * d[a] for a in AXES), F.lit(0.0)))
+    return {a: d[a] / size for a in AXES}, size
+
+
+def arrow_field(distance: DataFrame, n: int, fine: int = 2, step: int = 1, long_step: int = 2, axis: str = "z") -> DataFrame:
+    """z, y, x, vz, vy, vx, score, boost: arrows along the unit gradient of a distance on an n**3 grid.
+
+    The gradient and the convergence (minus the divergence of the unit gradient) are taken on every `fine`-th voxel; arrows
+    stand at every `step`-th of those (`long_step`-th along the axis), inside the object (distance above 0.001), where the
+    gradient does not vanish. Those that point away from the central axis go. score: the angle to the inward direction over
+    a right angle. boost: the convergence's, see boosted()."""
+    m = -(-n // fine)
+    space = Workspace(distance.sparkSession, "arrows")
+    sub = distance.filter(" and ".join(f"{a} % {fine} = 0" for a in AXES)).select(*((F.col(a) / fine).cast("bigint").alias(a) for a in AXES), "v")
+    g = voxels.gradient(voxels.dense(sub, m), m)
+    size = F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in AXES), F.lit(0.0))) / fine
+    unit = g.withColumn("_s", size).select(*AXES, "v", *(F.when(F.col("_s") > 1e-9, F.col(f"g{a}") / fine / F.col("_s")).otherwise(0.0).alias(f"v{a}") for a in AXES))
+    field = space.keep(voxels.divergence(space.keep(unit), m, tuple(f"v{a}" for a in AXES)).withColumn("convergence", -F.col("div") / fine).drop("div"))
+    steps = {a: long_step if a == axis else step for a in AXES}
+    drawn = field.filter(" and ".join(f"{a} % {k} = 0" for a, k in steps.items())).filter((F.col("v") > 1e-3) & (sum((F.col(f"v{a}") * F.col(f"v{a}") for a in AXES), F.lit(0.0)) > 1e-12))
+    drawn = drawn.withColumns({a: (F.col(a) * fine).cast("double") for a in AXES})
+    centre = {a: 0.5 * (-(-m // steps[a]) - 1) * steps[a] * fine for a in AXES}
+    to, far = inward(axis, centre, {a: F.col(a) for a in AXES})
+    dot = sum((F.col(f"v{a}") * to[a] for a in AXES), F.lit(0.0))
+    kept = space.keep(drawn.withColumn("_far", far).filter("_far > 1e-9").withColumn("dot", dot).filter("dot >= 0"))
+    score = F.acos(F.least(F.greatest(F.col("dot"), F.lit(0.0)), F.lit(1.0))) / (HALF_TURN / 2)
+    return boosted(kept.withColumn("score", score), "convergence").select(*AXES, "vz", "vy", "vx", "score", "boost")
+
+
+def crown_tracks(domain: DataFrame, source: DataFrame, target: DataFrame, n: int, axis: str = "z") -> DataFrame:
+    """path_id, step, z, y, x, cost, score: the cheapest way of every reachable source voxel to a target through the domain.
+
+    Steps go to any of 26 neighbours and cost their length times the mean of both voxels' costs, which fall from 1 at the
+    wall to 0.95 in the middle of the domain. step counts from the source. score: the angle of the step that starts here
+    to the inward direction over a right angle (null at the end of a way)."""
+    space = Workspace(domain.sparkSession, "crown")
+    domain = space.keep(domain.select(*AXES).distinct())
+    outside = fields.grid_of(domain.sparkSession, n).join(domain, list(AXES), "left_anti")
+    depth = fields.squared_distance(outside, n).join(domain, list(AXES), "left_semi").withColumn("d", F.when(F.col("d2") < float("inf"), F.sqrt("d2")).otherwise(0.0))
+    most = depth.agg(F.max("d")).first()[0] or 1.0
+    cells = space.keep(depth.select(*AXES, graph.linear(n).alias("u"), (1 - 0.05 * F.col("d") / most).alias("c")))
+    there = cells.select(*AXES, F.col("u").alias("v"), F.col("c").alias("c2"))
+    steps = None
+    for squared in (1, 2, 3):
+        offsets = [o for o in voxels.TWENTY_SIX if sum(k * k for k in o) == squared]
+        part = voxels.moved(cells, offsets, ["u", "c"]).join(there, list(AXES)).select("u", "v", ((F.col("c") + F.col("c2")) / 2 * math.sqrt(squared)).alias("w"))
+        steps = part if steps is None else steps.unionByName(part)
+    start = target.join(domain, list(AXES), "left_semi").select(graph.linear(n).alias("node"), F.lit(0.0).alias("cost")).distinct()
+    ways = graph.cheapest(steps, start, block=lambda c: graph.blocked(c, n))
+    ends = source.select(graph.linear(n).alias("node")).distinct().join(ways, "node").filter("via >= 0").select(F.col("node").alias("path_id"), "node")
+    way = graph.traced(ways, ends).join(ways.select("node", "cost"), "node")
+    place = way.select("path_id", "step", F.floor(F.col("node") / (n * n)).cast("double").alias("z"), (F.floor(F.col("node") / n) % n).cast("double").alias("y"), (F.col("node") % n).cast("double").alias("x"), "cost")
+    w = Window.partitionBy("path_id").orderBy("step")
+    nxt = {a: F.lead(a).over(w) for a in AXES}
+    rows = place.withColumns({f"_{a}": nxt[a] - F.col(a) for a in AXES})
+    to, far = inward(axis, {a: n / 2 for a in AXES}, {a: F.col(a) + F.col(f"_{a}") / 2 for a in AXES})
+    long = F.sqrt(sum((F.col(f"_{a}") * F.col(f"_{a}") for a in AXES), F.lit(0.0)))
+    dot = F.when(far > 1e-9, sum((F.col(f"_{a}") / long * to[a] for a in AXES), F.lit(0.0))).otherwise(0.0)
+    score = F.when(F.col("_z").isNotNull(), F.acos(F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0))) / (HALF_TURN / 2))
+    return rows.select("path_id", "step", *AXES, "cost", score.alias("score"))
+
+
+def shell_surfaces(cells: DataFrame, shells: DataFrame, n: int) -> DataFrame:
+    """column_id, time_id, cell, tri, corner, z, y, x: the surface of F = (d - d0) (d1 - d) at 0 for each shell (column_id,
+    time_id, d0, d1) of each column (cells: column_id, z, y, x, d); what lies outside a column or a shell's bounds is background."""
+    f = (F.col("d") - F.col("d0")) * (F.col("d1") - F.col("d"))
+    members = cells.join(shells, "column_id").withColumn("v", f).filter("v > 0").select("column_id", "time_id", *AXES, "v")
+    return geometry.sparse_iso_triangles(members, ["column_id", "time_id"], n)
+
+
+def lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, levels: int, width: float, steps: int, fade: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Packed triangles (fid, column_id, time_id, step_id, glow) of thick shells that run through the columns of an object, and
+    a row of meta a column (t0, tlast, tstart).
+
+    Columns are basins of far seeds. Levels cut the range of distances into equal steps; a shell is as thick as width times
+    the level's thickening (see profiles.thickening), its lower bounds rise by half a step at least. A column starts at a step of
+    its own, and steps go round."""
+    space = Workspace(area.sparkSession, "lames")
+    cells = space.keep(basins(area, distance, n, seeds))
+    low, high = cells.agg(F.min("d"), F.max("d")).first()
+    if low is None:
+        empty = cells.select(F.lit(0).cast("bigint").alias("fid"), "column_id", F.lit(0).cast("bigint").alias("time_id"), F.lit(0).cast("bigint").alias("step_id"), F.lit(0.0).alias("glow")).limit(0)
+        return empty, empty.select("column_id", F.col("time_id").alias("t0"), F.col("time_id").alias("tlast"), F.col("step_id").alias("tstart"))
+    step = max((high - low) / levels, 1e-9)
+    alpha = profiles.thickening(profiles.level_histogram(cells, low, high, levels, "d")).select(F.col("bin").alias("time_id"), "alpha")
+    ranges = cells.groupBy("column_id").agg(F.min("d").alias("c0"), F.max("d").alias("c1"))
+    rows = ranges.join(F.broadcast(alpha))  # a row a level, `levels` in all
+    middle, half = F.lit(low) + (F.col("time_id") + 0.5) * step, F.col("alpha") * width * step / 2
+    rows = rows.withColumn("lo", middle - half).withColumn("d1", middle + half).filter("d1 > c0 and lo < c1")
+    shells = timelines.monotone_bounds(rows, ["column_id"], "time_id", "lo", step / 2).select("column_id", "time_id", F.col("lo").alias("d0"), F.greatest("d1", F.col("lo") + step / 2).alias("d1"))
+    corners = space.keep(shell_surfaces(cells, shells, n))
+    tri = corners.select("column_id", "time_id", "cell", "tri").distinct().withColumn("fid", F.xxhash64("column_id", "time_id", "cell", "tri"))
+    spans = tri.groupBy("column_id").agg(F.min("time_id").alias("t0"), F.max("time_id").alias("tlast"))
+    meta = space.keep(spans.withColumn("tstart", F.pmod(F.xxhash64("column_id"), F.lit(steps))))
+    local = F.col("time_id") - F.col("t0")
+    out = tri.join(meta, "column_id").withColumn("step_id", F.pmod(F.col("tstart") + local, F.lit(steps))).withColumn("glow", glow(local, F.col("tlast") - F.col("t0"), fade))
+    return out.select("fid", "column_id", "time_id", "step_id", "glow").repartitionByRange("step_id", "fid").sortWithinPartitions("step_id", "fid"), meta
+
+
+def phased_lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, growth: float, hold: float, steps: int, fade: int = 4) -> DataFrame:
+    """Packed voxels (column_id, frame, phase, step_id, z, y, x, glow): each column fills, rests and empties (see
+    fields.shell_schedules); distances count from the column's least; a column starts at a step of its own."""
+    space = Workspace(area.sparkSession, "phased")
+    cells = basins(area, distance, n, seeds)
+    least = cells.groupBy("column_id").agg(F.min("d").alias("_least"))
+    cells = space.keep(cells.join(least, "column_id").withColumn("d", F.col("d") - F.col("_least")).drop("_least"))
+    schedule = space.keep(fields.shell_schedules(cells.groupBy("column_id").agg(F.max("d").alias("most")), growth, hold))
+    counts = schedule.groupBy("column_id").agg(*(F.count_if(F.col("phase") == k).alias(f"n{k}") for k in range(3)))
+    rows = fields.shell_members(cells, schedule).join(counts, "column_id")
+    part = F.col("frame") - F.col("n0") - F.col("n1")
+    fading = float(max(1, fade))
+    shine = F.when(F.col("phase") == 0, clip01(1 - F.col("frame") / fading)).when(F.col("phase") == 1, 0.0).otherwise(clip01(1 - (F.col("n2") - 1 - part) / fading))
+    step = F.pmod(F.xxhash64("column_id"), F.lit(steps)) + F.col("frame")
+    return rows.select("column_id", "frame", "phase", (step % steps).alias("step_id"), *AXES, shine.alias("glow"))
+
+
+def camera_track(keyframes: DataFrame, frames_per_segment: int = 12, ease: int = 2, dense: int = 512) -> DataFrame:
+    """track, frame, keyframe, pz, py, px, fz, fy, fx, uz, uy, ux: the camera's way through the keyframes (track, i, position p*,
+    focal point f*, view-up u*).
+
+    Splines run over the chord lengths; the speed rises and falls by at most a_max a frame, never exceeds the cruise
+    speed, and is bounded in curves; frames are equal steps of time; view-ups are made upright. A track is a group of its own:
+    keyframes are saved by hand."""
+    names = [f"{k}{a}" for k in "pfu" for a in AXES]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        p, f, u = (pdf[[f"{k}{a}" for a in AXES]].to_numpy(float) for k in "pfu")
+        n = len(p)
+        chord = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(p, axis=0), axis=1))])
+        if n == 1 or chord[-1] <= 1e-12:
+            at, keyframe = np.zeros(frames_per_segment * max(1, n - 1)), np.zeros(frames_per_segment * max(1, n - 1))
+            out = [np.repeat(v[:1], len(at), axis=0) for v in (p, f, u)]
+        else:
+            distinct = np.flatnonzero(np.concatenate([[True], np.diff(chord) > 0]))
+            knots = chord[distinct] / chord[-1]
+            spline = lambda v, t: paths.cubic(knots, v[distinct], t, "not-a-knot")
+            t = np.linspace(0, 1, dense)
+            way = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(spline(p, t), axis=0), axis=1))])
+            long, s = way[-1], np.linspace(0, way[-1], dense)
+            cruise = long / ((n - 1) * frames_per_segment) * CRUISE
+            a_max = cruise / max(1, ease * frames_per_segment)
+            line = spline(p, np.interp(s, way, t))
+            ds = long / (dense - 1)
+            bend = np.linalg.norm(np.gradient(np.gradient(line, ds, axis=0), ds, axis=0), axis=1)
+            limit = np.minimum(cruise, np.sqrt(2 * a_max / np.maximum(bend, 1e-12)))
+            limit[[0, -1]] = 0
+            i = np.arange(dense)
+            squared = np.minimum.accumulate(limit**2 - 2 * a_max * ds * i) + 2 * a_max * ds * i
+            squared = (np.minimum.accumulate((squared + 2 * a_max * ds * i)[::-1])[::-1]) - 2 * a_max * ds * i
+            v = np.sqrt(np.maximum(squared, 0))
+            times = np.concatenate([[0.0], np.cumsum(ds / np.maximum((v[1:] + v[:-1]) / 2, 1e-15))])
+            s_out = np.interp(np.linspace(0, times[-1], max(2, int(np.ceil(times[-1])) + 1)), times, s)
+            at = np.interp(s_out, way, t)
+            keyframe = np.interp(s_out, np.interp(chord / chord[-1], t, way), np.arange(n))
+            out = [spline(v, at) for v in (p, f, u)]
+        p, f, u = out
+        look = f - p
+        look = look / np.maximum(np.linalg.norm(look, axis=1), 1e-12)[:, None]
+        u = u - (u * look).sum(1)[:, None] * look
+        size = np.linalg.norm(u, axis=1)
+        u = np.where(size[:, None] > 1e-9, u / np.maximum(size, 1e-12)[:, None], [0.0, 1.0, 0.0])
+        whole = np.hstack([p, f, u])
+        return pd.DataFrame({"track": pdf["track"].iloc[0], "frame": np.arange(len(whole)), "keyframe": keyframe, **{c: whole[:, k] for k, c in enumerate(names)}})
+
+    return keyframes.select("track", "i", *names).groupBy("track").applyInPandas(one, "track bigint, frame bigint, keyframe double, " + ", ".join(f"{c} double" for c in names))
+
+
+def ui_track(frames: DataFrame, keyframes: DataFrame, smooth: list[str], sticky: list[str]) -> DataFrame:
+    """frames (track, frame, keyframe) with the settings of the keyframes around: those of `smooth` blended by smootherstep,
+    those of `sticky` from the nearer one (the later one from the middle on); a setting that a keyframe lacks is the last one before."""
+    rows = keyframes.select("track", "i", *smooth, *sticky)
+    for c in (*smooth, *sticky):
+        rows = timelines.carried(rows, ["track"], ["i"], c, f"_{c}").drop(c).withColumnRenamed(f"_{c}", c)
+    near = timelines.bracketed(rows.withColumn("at", F.row_number().over(Window.partitionBy("track").orderBy("i")) - 1), ["track"], "at", [*smooth, *sticky])
+    both = frames.withColumn("at", F.floor("keyframe").cast("int")).join(near, ["track", "at"])
+    t = F.col("keyframe") - F.col("at")
+    e = timelines.smootherstep(t)
+    blended = [F.when(F.col(f"next_{c}").isNull(), F.col(c)).otherwise(F.col(c) + e * (F.col(f"next_{c}") - F.col(c))).alias(c) for c in smooth]
+    nearer = [F.when((t >= 0.5) & F.col(f"next_{c}").isNotNull(), F.col(f"next_{c}")).otherwise(F.col(c)).alias(c) for c in sticky]
+    return both.select("track", "frame", *blended, *nearer)

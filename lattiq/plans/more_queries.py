@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import shaping
-from lattiq.operators import paths, profiles, timelines, voxels
+from lattiq.operators import fields, paths, profiles, timelines, voxels
 from lattiq.plans import builds
-from lattiq.plans.base import VOX, query, table, vox
+from lattiq.plans.base import REC, VOX, query, table, vox
 from lattiq.plans.track_queries import _PTS, _points
+from lattiq.plans.volume_queries import _N26, _labels
 
 ZYX = ["z", "y", "x"]
 
@@ -153,7 +156,18 @@ def smoothed_grid(spark, sf_dir):
     return c.select("l", "t", "ratio", (F.col("l") * 0).alias("all")).groupBy("all").applyInPandas(draw, "r bigint, k bigint, v double")
 
 
-@query()
+def _of_label(v: int) -> str:
+    """CTEs m, e, cc and lab of the 26-connected parts of one label, named by it."""
+    text = _labels(_N26, f"v = {v}").removeprefix(REC).lstrip(", ")
+    for name in ("m", "e", "cc", "lab"):
+        text = re.sub(rf"\b{name}\b(?=(\(id, cid\))? (USING KEY \(id\) )?AS \()", f"{name}{v}", text)
+        text = re.sub(rf"(?<=FROM |JOIN )(recurring\.)?{name}\b", rf"\g<1>{name}{v}", text)
+        text = re.sub(rf"(FROM |JOIN )(recurring\.)?{name}{v}(?= (a|b|JOIN|ON|USING|r\b))", rf"\1\2{name}{v}", text)
+    return re.sub(r"(?<![\w.])(cc|e|m)\.", rf"\g<1>{v}.", text)
+
+
+@query(REC + ", " + _of_label(49) + ", " + _of_label(50) + """, st AS (SELECT cid, count(*) AS k, bool_or(least(z, y, x) = 0 OR greatest(z, y, x) = n - 1) AS edge FROM lab50, p GROUP BY cid)
+SELECT 48::BIGINT AS label, 0::BIGINT AS cid, z, y, x FROM vox WHERE v = 48 UNION ALL SELECT 49, cid, z, y, x FROM lab49 WHERE cid IN (SELECT cid FROM lab49 GROUP BY cid HAVING count(*) >= 2) UNION ALL SELECT 50, cid, z, y, x FROM lab50 WHERE cid IN (SELECT cid FROM st WHERE NOT edge)""")
 def label_strategies(spark, sf_dir):
     v, n = vox(spark, sf_dir)
     config = {48: {"processing": "full_mask"}, 49: {"processing": "all_cc", "min_voxels": 2}, 50: {"processing": "interior_cc"}}
@@ -162,14 +176,14 @@ def label_strategies(spark, sf_dir):
 
 @query()
 def field_bundle(spark, sf_dir):
-    v, _ = vox(spark, sf_dir)
-    cube = spark.range(8**3).select((F.col("id") / 64).cast("bigint").alias("z"), ((F.col("id") / 8).cast("bigint") % 8).alias("y"), (F.col("id") % 8).alias("x"))
-    area = cube.join(v.filter("v >= 49").select(*ZYX), ZYX, "left_anti")
-    return builds.field_bundle(area, area.filter("z = 0"), area.filter("z = 7"), 8)
+    """The potential through the voxels below 49 (absent ones too), from the first plane to the last."""
+    v, n = vox(spark, sf_dir)
+    area = fields.grid_of(spark, n).join(v.filter("v >= 49").select(*ZYX), ZYX, "left_anti")
+    return builds.field_bundle(area, area.filter("z = 0"), area.filter(F.col("z") == n - 1), n)
 
 
 @query()
 def membrane_build(spark, sf_dir):
-    v, _ = vox(spark, sf_dir)
-    small = v.filter("z < 10 and y < 10 and x < 10 and v >= 15")
-    return builds.membranes(small, small, 10, 4, 6, 24)
+    v, n = vox(spark, sf_dir)
+    inner = v.filter("v >= 15")
+    return builds.membranes(inner, inner, n, 12, 6, 24)

@@ -57,11 +57,12 @@ def path_bins(spark, sf_dir):
     return paths.axis_bin(_points(spark, sf_dir), "path_id", "pz", 97.0, 8)
 
 
-@query(f"SELECT event_id, user_id, sum(CASE WHEN epoch(ts) - epoch(p) > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (SELECT *, lag(ts) OVER {_W} AS p FROM events)")
+@query(f"WITH s AS (SELECT *, event_id % 3 AS a, (event_id + user_id) % 3 AS b FROM events) SELECT event_id, user_id, sum(CASE WHEN a <> p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (SELECT *, lag(b) OVER {_W} AS p FROM s)")
 def infer_paths(spark, sf_dir):
-    """A new path begins after a gap of more than 30 minutes."""
-    e = _events(spark, sf_dir).withColumn("gap", F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(timelines.ordered(U, T)).cast("timestamp").cast("double"))
-    return timelines.islands(e, U, T, F.col("gap") > 1800).select("event_id", "user_id", "island")
+    """A new path begins where a segment does not start at the end of the one before."""
+    e = _events(spark, sf_dir).withColumn("a", F.col("event_id") % 3).withColumn("b", (F.col("event_id") + F.col("user_id")) % 3)
+    e = e.withColumn("p", F.lag("b").over(timelines.ordered(U, T)))
+    return timelines.islands(e, U, T, F.col("a") != F.col("p")).select("event_id", "user_id", "island")
 
 
 @query(f"WITH {_PTS} SELECT path_id, i FROM pts WHERE path_id % 3 = 0")
@@ -79,11 +80,14 @@ def arc_length_cum(spark, sf_dir):
     return timelines.chord_lengths(_points(spark, sf_dir), ["path_id"], ["i"], ["pz", "py", "px"]).select("path_id", "i", F.round("cum", 6).alias("cum"))
 
 
-@query(f"WITH d AS (SELECT user_id, abs(value - lag(value) OVER {_W}) AS s FROM events) SELECT user_id, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95, round(max(s), 6) AS v_max, round(sum(s), 6) AS length, count(*) FILTER (s < 1) AS frozen FROM d GROUP BY user_id")
+@query("""WITH f AS (SELECT user_id, event_id, value AS z, (event_id % 3)::DOUBLE AS y, event_id % 7 <> 0 AS alive FROM events), d AS (SELECT user_id, sqrt((z - lag(z) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d, alive AND lag(alive) OVER w AS both_ FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT user_id, CASE WHEN both_ THEN d END AS s FROM d WHERE d IS NOT NULL), t AS (SELECT user_id, coalesce(sum(s), 0) AS way FROM s GROUP BY user_id)
+SELECT count(s) AS n_alive, count(*) AS n_steps, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.05), 6) AS p5, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95, round(max(s), 6) AS v_max, (SELECT round(avg(way), 5) FROM t) AS path_mean, (SELECT round(max(way), 5) FROM t) AS path_max, round(100.0 * count(*) FILTER (s < 0.01) / count(s), 6) AS frozen_pct FROM s""")
 def particle_stats(spark, sf_dir):
-    d = timelines.differenced(_events(spark, sf_dir), U, T, "value", "s").withColumn("s", F.abs("s"))
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return d.groupBy("user_id").agg(r(F.avg("s"), "mean"), r(F.percentile("s", F.lit(0.5)), "p50"), r(F.percentile("s", F.lit(0.95)), "p95"), r(F.max("s"), "v_max"), r(F.sum("s"), "length"), F.count_if(F.col("s") < 1).alias("frozen"))
+    k = F.col("event_id")
+    f = _events(spark, sf_dir).select("user_id", "event_id", F.col("value").alias("z"), (k % 3).cast("double").alias("y"), (k % 7 != 0).alias("alive"))
+    out = profiles.particle_stats(f, "user_id", "event_id", ["z", "y"], "alive")
+    return out.select("n_alive", "n_steps", *(F.round(c, 5 if c.startswith("path") else 6).alias(c) for c in out.columns[2:]))
 
 
 @query("""WITH v AS (SELECT o_custkey AS k, o_orderkey AS i, o_totalprice % 50 + 1 AS lim, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::DOUBLE AS rn FROM orders),
@@ -125,10 +129,20 @@ def crossfade(spark, sf_dir):
     return timelines.crossfade(marks, ticks, U, 20).select("user_id", "frame", "at", F.round("ramp", 6).alias("ramp"))
 
 
-@query("""WITH r AS (SELECT user_id, event_id AS frame, event_type AS mode, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, mode ORDER BY frame) AS n FROM r WHERE frame >= 100 AND (p IS NULL OR p <> mode))
-SELECT user_id, mode, frame AS start, frame + CASE WHEN n = 1 THEN 150 ELSE 75 END AS stop FROM k""")
+@query("""WITH tr AS (SELECT user_id % 4 AS track, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS frame, CASE WHEN event_type = 'view' THEN 'mesh_all' ELSE event_type END AS mode, event_id % 60 < 25 AS lames, (event_id % 5) * 0.3::DOUBLE AS turn FROM events),
+r AS (SELECT *, count(*) OVER (PARTITION BY track) AS n, lames AND NOT coalesce(lag(lames) OVER (PARTITION BY track ORDER BY frame), false) AS up, frame / 2.0 >= 35 AS late FROM tr),
+calm AS (SELECT a.track, a.frame FROM r a JOIN r b ON b.track = a.track AND b.frame BETWEEN a.frame AND a.frame + 1 GROUP BY a.track, a.frame, a.n HAVING max(b.turn) < 1 AND count(*) = 2),
+wait AS (SELECT r.track, r.frame, r.n, r.mode, min(c.frame) AS s FROM r LEFT JOIN calm c ON c.track = r.track AND c.frame >= r.frame AND c.frame + 1 < r.frame + 16 WHERE up AND late GROUP BY ALL)
+SELECT track, 'mode' AS kind, mode, min(frame) AS start, least(min(frame) + 12, any_value(n)) AS stop FROM r WHERE late AND mode <> 'mesh_all' GROUP BY track, mode
+UNION ALL SELECT track, 'lames', mode, coalesce(s, frame), least(coalesce(s, frame) + 6, n) FROM wait
+UNION ALL SELECT track, 'fixed', 'mesh_all', min(frame), max(frame) + 1 FROM r WHERE frame / 2.0 >= 64 AND frame / 2.0 < 69 GROUP BY track""")
 def visibility_schedule(spark, sf_dir):
-    return timelines.visibility(_events(spark, sf_dir), U, "event_id", "event_type", 100, 150, 75)
+    """When panels show along four tracks at two frames a second."""
+    k = F.col("event_id")
+    w = Window.partitionBy("track").orderBy("event_id")
+    e = _events(spark, sf_dir).withColumn("track", F.col("user_id") % 4)
+    rows = e.select("track", (F.row_number().over(w) - 1).cast("bigint").alias("frame"), F.when(F.col("event_type") == "view", "mesh_all").otherwise(F.col("event_type")).alias("mode"), (k % 60 < 25).alias("lames"), (k % 5 * 0.3).alias("turn"))
+    return timelines.visibility(rows, ["track"], 2, calm_s=1.0)
 
 
 @query("""WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, ts, max(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
@@ -162,11 +176,11 @@ def modular_lookup(spark, sf_dir):
 
 @query("""WITH e AS (SELECT event_id, value, event_id % 90 AS s FROM events) SELECT event_id, round(greatest(least(greatest(1 - s / 12.0, 0), 1), least(greatest(1 - (80 - s) / 12.0, 0), 1)), 6)::DOUBLE AS glow,
 round(CASE WHEN s < 30 THEN least(greatest(1 - s / 12.0, 0), 1) WHEN s < 60 THEN 0 ELSE least(greatest(1 - (29 - (s - 60)) / 12.0, 0), 1) END, 6)::DOUBLE AS glow3, round(CASE WHEN s <= 10 THEN 0.2 WHEN s <= 50 THEN 0.2 + (s - 10) / 40.0 * 0.6 WHEN s <= 80 THEN 0.8 - (s - 50) / 30.0 * 0.5 ELSE 0.3 END, 6)::DOUBLE AS ramp,
-greatest(1, ceil(sqrt(greatest(25 * pow(s + 1, 2.0 / 3), 2.0 * (s + 1)) / 50.0)))::BIGINT AS stride FROM e""")
+CASE WHEN greatest(25 * pow(s + 1, 2.0 / 3), 2.0 * (s + 1)) <= 6 THEN 1 ELSE greatest(1, least(6, round_even(sqrt(greatest(25 * pow(s + 1, 2.0 / 3), 2.0 * (s + 1)) / 6), 0))) END::BIGINT AS stride FROM e""")
 def shaping_curves(spark, sf_dir):
     s = F.col("event_id") % 90
     e = _events(spark, sf_dir)
-    return e.select("event_id", F.round(shaping.glow(s, 80, 12), 6).alias("glow"), F.round(shaping.glow_phases(s, 30, 30, 30, 12), 6).alias("glow3"), F.round(shaping.ramp(s, [(10, 0.2), (50, 0.8), (80, 0.3)]), 6).alias("ramp"), shaping.auto_stride(s + 1, 50).alias("stride"))
+    return e.select("event_id", F.round(shaping.glow(s, 80, 12), 6).alias("glow"), F.round(shaping.glow_phases(s, 30, 30, 30, 12), 6).alias("glow3"), F.round(shaping.ramp(s, [(10, 0.2), (50, 0.8), (80, 0.3)]), 6).alias("ramp"), shaping.auto_stride(s + 1, 2).alias("stride"))
 
 
 @query("""WITH v AS (SELECT event_id, [(event_id % 7 - 3)::DOUBLE, (event_id % 5 - 2)::DOUBLE, (event_id % 3 + 1)::DOUBLE] AS a, [1.0::DOUBLE, (event_id % 4)::DOUBLE, 2.0::DOUBLE] AS b FROM events)
@@ -195,33 +209,60 @@ def catmull_rom(spark, sf_dir):
     return q.select("path_id", "i", "k", F.round(paths.catmull_rom(*(F.col(f"p{j}") for j in range(4)), F.col("k") / 5.0), 6).alias("px"))
 
 
-@query()
+_TURN = lambda a, b, c: f"""CASE WHEN sqrt(({b}x - {a}x) ** 2 + ({b}y - {a}y) ** 2) < 1e-9 OR sqrt(({c}x - {b}x) ** 2 + ({c}y - {b}y) ** 2) < 1e-9 THEN 0 ELSE degrees(acos(least(greatest((({b}x - {a}x) * ({c}x - {b}x) + ({b}y - {a}y) * ({c}y - {b}y)) / (sqrt(({b}x - {a}x) ** 2 + ({b}y - {a}y) ** 2) * sqrt(({c}x - {b}x) ** 2 + ({c}y - {b}y) ** 2)), -1), 1))) END"""
+_SPLINE = lambda c: f"0.5 * (2 * q2{c} + (q3{c} - q1{c}) * t + (2 * q1{c} - 5 * q2{c} + 4 * q3{c} - q4{c}) * t * t + (3 * q2{c} - q1{c} - 3 * q3{c} + q4{c}) * t * t * t)"
+
+
+@query(f"""WITH {_PTS}, r AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY path_id) AS n, px, py FROM pts),
+q AS (SELECT r.path_id, r.i, {", ".join(f"q{d + 2}.px AS q{d + 2}x, q{d + 2}.py AS q{d + 2}y" for d in (-2, -1, 0, 1, 2))} FROM r {" ".join(f"JOIN r q{d + 2} ON q{d + 2}.path_id = r.path_id AND q{d + 2}.i = (r.i + {d} + 2 * r.n) % r.n" for d in (-2, -1, 0, 1, 2))}),
+s AS (SELECT q.*, k.range AS k, k.range / 5.0::DOUBLE AS t FROM q, range(5) k WHERE k.range = 0 OR ({_TURN("q1", "q2", "q3")} <= 40 AND {_TURN("q2", "q3", "q4")} <= 40))
+SELECT path_id, i, k, round(CASE WHEN k = 0 THEN q2x ELSE {_SPLINE("x")} END, 6) AS px, round(CASE WHEN k = 0 THEN q2y ELSE {_SPLINE("y")} END, 6) AS py FROM s""")
 def polygon_smoothing(spark, sf_dir):
-    return paths.smoothed_polygon(_points(spark, sf_dir).select("path_id", "i", "px", "py"), "path_id", "i")
+    out = paths.smoothed_polygon(_points(spark, sf_dir).select("path_id", "i", "px", "py"), "path_id", "i")
+    return out.select("path_id", F.col("i").cast("bigint").alias("i"), F.col("k").cast("bigint").alias("k"), F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PTS}, r AS (SELECT path_id, i, row_number() OVER (PARTITION BY path_id ORDER BY i) AS rn, pz, py, px FROM pts),
+seg(path_id, a, b) AS (SELECT path_id, min(rn), max(rn) FROM r GROUP BY path_id UNION ALL SELECT path_id, unnest([a, k]), unnest([k, b]) FROM (
+SELECT path_id, a, b, rn AS k, d FROM (SELECT s.path_id, s.a, s.b, m.rn, sqrt((m.pz - p.pz - f * (q.pz - p.pz)) ** 2 + (m.py - p.py - f * (q.py - p.py)) ** 2 + (m.px - p.px - f * (q.px - p.px)) ** 2) AS d FROM seg s JOIN r p ON p.path_id = s.path_id AND p.rn = s.a JOIN r q ON q.path_id = s.path_id AND q.rn = s.b JOIN r m ON m.path_id = s.path_id AND m.rn > s.a AND m.rn < s.b,
+LATERAL (SELECT CASE WHEN (q.pz - p.pz) ** 2 + (q.py - p.py) ** 2 + (q.px - p.px) ** 2 > 0 THEN least(greatest(((m.pz - p.pz) * (q.pz - p.pz) + (m.py - p.py) * (q.py - p.py) + (m.px - p.px) * (q.px - p.px)) / ((q.pz - p.pz) ** 2 + (q.py - p.py) ** 2 + (q.px - p.px) ** 2), 0), 1) ELSE 0 END AS f) t)
+QUALIFY row_number() OVER (PARTITION BY path_id, a, b ORDER BY round(d, 9) DESC, rn) = 1) WHERE d > 20.0), k AS (SELECT DISTINCT path_id, unnest([a, b]) AS rn FROM seg)
+SELECT path_id, i, pz, py, px FROM k JOIN r USING (path_id, rn)""")
 def douglas_peucker(spark, sf_dir):
     return paths.simplified(_points(spark, sf_dir), "path_id", "i", ["pz", "py", "px"], 20.0)
 
 
-@query()
+_KB = lambda c: f"(2 * t * t * t - 3 * t * t + 1) * {c} + (t * t * t - 2 * t * t + t) * 0.35 * ({c}1 - {c}0) + (3 * t * t - 2 * t * t * t) * {c}1 + (t * t * t - t * t) * 0.35 * ({c}2 - {c})"
+
+
+@query(f"""WITH {_PTS}, r AS (SELECT path_id, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY path_id) AS n, {", ".join(f"{c}, coalesce(lag({c}) OVER w, {c}) AS {c}0, lead({c}) OVER w AS {c}1, coalesce(lead({c}, 2) OVER w, lead({c}) OVER w) AS {c}2" for c in ("pz", "py", "px"))} FROM pts WINDOW w AS (PARTITION BY path_id ORDER BY i)),
+s AS (SELECT r.*, k.range AS k, k.range / 8.0::DOUBLE AS t FROM r, range(8) k WHERE pz1 IS NOT NULL)
+SELECT path_id, rn * 8 + k AS i, {", ".join(f"round({_KB(c)}, 11) AS {c}" for c in ("pz", "py", "px"))} FROM s UNION ALL SELECT path_id, rn * 8, pz, py, px FROM r WHERE rn = n - 1""")
 def kochanek_splines(spark, sf_dir):
-    return paths.splined(_points(spark, sf_dir), "path_id", "i", ["pz", "py", "px"], 8)
+    out = paths.splined(_points(spark, sf_dir), "path_id", "i", ["pz", "py", "px"], 8)
+    return out.select("path_id", "i", *(F.round(c, 11).alias(c) for c in ("pz", "py", "px")))  # eighths cubed times 0.35 end after eleven decimals
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PTS}, d AS (SELECT path_id, i, row_number() OVER (PARTITION BY path_id ORDER BY i) AS rn, {", ".join(f"last_value({c}) OVER w - first_value({c}) OVER w AS v{c}" for c in ("pz", "py", "px"))} FROM pts WINDOW w AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)),
+e AS (SELECT *, sqrt(vpz * vpz + vpy * vpy + vpx * vpx) AS s FROM d), m AS (SELECT path_id, quantile_cont(s, 0.5) * 0.005 AS least_s FROM e WHERE s > 0 GROUP BY path_id),
+u AS (SELECT e.path_id, i, rn, CASE WHEN s > 0 THEN vpz / s ELSE 0 END AS uz, CASE WHEN s > 0 THEN vpy / s ELSE 0 END AS uy, CASE WHEN s > 0 THEN vpx / s ELSE 0 END AS ux, s > coalesce(least_s, 0.005) AS fast FROM e LEFT JOIN m USING (path_id)),
+v AS (SELECT *, fast AND sqrt(ux * ux + uz * uz) > 0.05 AS counts FROM u),
+h(path_id, rn, z, y, x) AS (SELECT path_id, rn, CASE WHEN counts THEN uz ELSE 1 END, CASE WHEN counts THEN uy ELSE 0 END, CASE WHEN counts THEN ux ELSE 0 END FROM v WHERE rn = 1
+UNION ALL SELECT path_id, rn, CASE WHEN NOT counts OR g <= 1e-9 THEN oz ELSE mz / g END, CASE WHEN NOT counts OR g <= 1e-9 THEN oy ELSE my / g END, CASE WHEN NOT counts OR g <= 1e-9 THEN ox ELSE mx / g END FROM (SELECT *, sqrt(mz * mz + my * my + mx * mx) AS g FROM (SELECT v.path_id, v.rn, counts, h.z AS oz, h.y AS oy, h.x AS ox, 0.88 * h.z + 0.12 * uz AS mz, 0.88 * h.y + 0.12 * uy AS my, 0.88 * h.x + 0.12 * ux AS mx FROM h JOIN v ON v.path_id = h.path_id AND v.rn = h.rn + 1)))
+SELECT v.path_id, v.i, round(z, 6) + 0.0 AS dz, round(y, 6) + 0.0 AS dy, round(x, 6) + 0.0 AS dx FROM h JOIN v USING (path_id, rn)""")
 def travel_directions(spark, sf_dir):
-    return paths.travel_directions(_points(spark, sf_dir), "path_id", "i", ["pz", "py", "px"])
+    out = paths.travel_directions(_points(spark, sf_dir), "path_id", "i", ["pz", "py", "px"])
+    return out.select("path_id", "i", *((F.round(f"dp{a}", 6) + 0.0).alias(f"d{a}") for a in ("z", "y", "x")))
 
 
-_G = [(k, math.exp(-0.5 * k * k)) for k in range(-4, 5)]
-_GSUM = " + ".join(f"{w / sum(x for _, x in _G)!r} * " + (f"coalesce(lag(px, {-k}) OVER w, first_value(px) OVER f)" if k < 0 else f"coalesce(lead(px, {k}) OVER w, last_value(px) OVER f)" if k else "px") for k, w in _G)
+_ONE = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
+_TWICE = [sum(_ONE[i] * _ONE[k - i] for i in range(5) if 0 <= k - i < 5) / sum(_ONE) ** 2 for k in range(9)]
+_GSUM = " + ".join(f"{g!r} * " + (f"coalesce(lag(px, {-k}) OVER w, first_value(px) OVER f)" if k < 0 else f"coalesce(lead(px, {k}) OVER w, last_value(px) OVER f)" if k else "px") for k, g in zip(range(-4, 5), _TWICE, strict=True))
 
 
 @query(f"WITH {_PTS} SELECT path_id, i, round({_GSUM}, 5) AS smooth FROM pts WINDOW w AS (PARTITION BY path_id ORDER BY i), f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def gaussian_positions(spark, sf_dir):
-    return timelines.gaussian_smoothed(_points(spark, sf_dir), ["path_id"], "i", "px", 1.0, "smooth").select("path_id", "i", F.round("smooth", 5).alias("smooth"))
+    return timelines.gaussian_smoothed(_points(spark, sf_dir), ["path_id"], "i", "px", 1, "smooth").select("path_id", "i", F.round("smooth", 5).alias("smooth"))
 
 
 _SC = "sc AS (SELECT event_id AS idx, event_type AS game_id, 'Player ' || (user_id % 50) || CASE WHEN user_id % 3 = 0 THEN ' ' ELSE '' END AS player_name, round(value, 1) AS score, CASE WHEN event_type IN ('click', 'view') THEN 'points_desc' ELSE 'time_asc' END AS score_type FROM events)"
