@@ -101,12 +101,15 @@ def _weight(n: str, bad: str, rate: str, of: str) -> str:
     return f"(SELECT CASE WHEN rho IS NULL THEN 10 WHEN rho <= 0.001 THEN 999 ELSE least(1000, greatest(1, (1 - rho) / rho)) END AS w FROM (SELECT {rho} AS rho FROM {of}))"
 
 
-_DOMAIN = r"CASE WHEN regexp_extract(host, '([^.]+\.example\.[^.]+)$', 1) <> '' THEN regexp_extract(host, '([^.]+\.example\.[^.]+)$', 1) ELSE regexp_extract(host, '([^.]*\.?[^.]*)$', 1) END"
+_HOST = rf"regexp_replace(host, '{url_filter._AROUND}', '', 'g')"
+_UNDER = f"regexp_extract({_HOST}, '([^.]+\\.({url_filter.listed(url_filter.SUFFIXES)}))$'"
+_DOMAIN = rf"CASE WHEN regexp_matches({_HOST}, '{url_filter._ADDRESS}') THEN {_HOST} WHEN {_UNDER}, 1) <> '' THEN {_UNDER}, 1) WHEN regexp_extract({_HOST}, '([^.]+\.[^.]+)$', 1) <> '' THEN regexp_extract({_HOST}, '([^.]+\.[^.]+)$', 1) ELSE {_HOST} END"
+_SUFFIX = rf"CASE WHEN regexp_matches({_HOST}, '{url_filter._ADDRESS}') THEN '' WHEN {_UNDER}, 2) <> '' THEN {_UNDER}, 2) ELSE regexp_extract({_HOST}, '([^.]*)$', 1) END"
 _FITS = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN" for r in sorted(RULES, key=lambda r: -len(r.name))]
 _OP8 = f"""
 WITH pg AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 lab AS (SELECT doc_id AS page_id, CASE WHEN avg(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) >= 0.5 THEN 1 ELSE 0 END AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, {_DOMAIN} AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(*) AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN lab USING (page_id) GROUP BY ALL),
+h AS (SELECT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix, count(*) AS n, sum(bad)::DOUBLE AS bad FROM pg JOIN lab USING (page_id) GROUP BY ALL),
 d AS (SELECT suffix, domain, sum(n)::DOUBLE AS dn, sum(bad) AS dbad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(dn) AS sn, sum(dbad) AS sbad FROM d GROUP BY ALL),
 t AS (SELECT coalesce((sum(sbad) + 1) / (sum(sn) + 2), 0.5) AS rate, coalesce(sum(sn), 0) AS total FROM s),
 sw AS (SELECT least(w, total + 2) AS ws FROM {_weight("sn", "sbad", "rate", "s, t")}, t), s2 AS (SELECT suffix, (sbad + ws * rate) / (sn + ws) AS smean, sn + ws AS behind FROM s, t, sw),

@@ -41,13 +41,40 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels (three under example.*, as reserved names have no registry)."""
-    return F.when(F.regexp_extract(host, r"([^.]+\.example\.[^.]+)$", 1) != "", F.regexp_extract(host, r"([^.]+\.example\.[^.]+)$", 1)).otherwise(F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1))
+#: Suffixes of more than one label under which domains are registered, and hosting domains whose
+#: subdomains belong to different owners. A parameter everywhere; one label is a suffix without being listed.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "co.za", "com.br", "com.cn", "com.mx", "com.tr", "com.ar",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "example.com", "example.org", "example.net",
+)
+#: What stands before a host proper, and after it.
+_AROUND = r"^[^@]*@|:[0-9]*$"
+_ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$"
 
 
-def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*)$", 1)
+def plain(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(host, _AROUND, "")
+
+
+def listed(suffixes: tuple[str, ...]) -> str:
+    return "|".join(s.replace(".", "\\.") for s in suffixes)
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the longest listed suffix with the label before it, else the last two labels; an address or a
+    name of one label is its own."""
+    host = plain(host)
+    under = F.regexp_extract(host, rf"([^.]+\.(?:{listed(suffixes)}))$", 1)
+    two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return F.when(host.rlike(_ADDRESS), host).when(under != "", under).when(two != "", two).otherwise(host)
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """What stands after the first label of the registered domain; an address has none."""
+    host = plain(host)
+    under = F.regexp_extract(host, rf"[^.]+\.({listed(suffixes)})$", 1)
+    return F.when(host.rlike(_ADDRESS), "").when(under != "", under).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -72,7 +99,7 @@ def _weight(n: str, bad: str, rate: Column) -> Column:
     return F.when(rho.isNull(), 10.0).otherwise(found)
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """host, n, bad, posterior, lower: of each host of labelled pages (columns url, page_id; outcomes: page_id, bad 0/1).
 
     The levels host, registered domain and suffix are sums of sums, so a host with a third of all pages is
@@ -80,12 +107,12 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> Data
     """
     labelled = pages.select("page_id", host_of(F.col("url")).alias("host")).join(outcomes, "page_id")
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("bigint").alias("bad"))
-    return shrink(Scratch(pages.sparkSession, "hosts").keep(hosts, "counts"), z)
+    return shrink(Scratch(pages.sparkSession, "hosts").keep(hosts, "counts"), z, suffixes)
 
 
-def shrink(hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def shrink(hosts: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """The posterior of each host from its counts (host, n, bad). Of the whole table only a few numbers come to the driver."""
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
     overall, total = suffixes.agg(F.coalesce((F.sum("sbad") + 1) / (F.sum("sn") + 2), F.lit(0.5)), F.coalesce(F.sum("sn"), F.lit(0))).first()
@@ -103,20 +130,22 @@ def shrink(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     return hosts.select("host", "n", "bad", mean.alias("posterior"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], tolerated: float = 0.4, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], tolerated: float = 0.4, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES, salts: int = 16) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; allow or block.
 
     The longest fitting rule decides; without one, a host is blocked if the lower bound of its posterior share
     of bad pages exceeds `tolerated`, and a host without labelled pages is allowed. Null urls, and urls without
     "://", have an empty host and path. Repeated rows stay repeated; labels of a page are averaged and count as
-    bad at a half or more; other columns are ignored; an empty table gives an empty result.
+    bad at a half or more; other columns are ignored; an empty table gives an empty result. Pages meet the blocked hosts
+    by host and one of `salts` numbers, so the pages of a frequent host spread over as many tasks.
     """
     pages = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"))
     outcomes = outcomes.groupBy("page_id").agg((F.avg("bad") >= 0.5).cast("int").alias("bad")).filter("bad is not null")
-    blocked = reputations(pages, outcomes, z).filter(F.col("lower") > tolerated).select("host", F.lit(True).alias("blocked"))
+    blocked = reputations(pages, outcomes, z, suffixes).filter(F.col("lower") > tolerated).select("host", F.lit(True).alias("blocked"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = F.lit(None).cast("string")
     for r in rules:
         ruled = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(ruled)
-    return seen.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce(ruled, F.when(F.col("blocked"), F.lit("block")), F.lit("allow")).alias("verdict"))
+    seen = seen.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+    return seen.join(blocked, ["host", "_salt"], "left").select("page_id", "host", "path", "rule", F.coalesce(ruled, F.when(F.col("blocked"), F.lit("block")), F.lit("allow")).alias("verdict"))
