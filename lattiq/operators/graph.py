@@ -65,7 +65,7 @@ def traversing(labels: DataFrame, source: DataFrame, target: DataFrame) -> DataF
     return labels.join(ids(source).intersect(ids(target)), "cid", "left_semi")
 
 
-def blocked(node: Column, n: int, side: int = 16) -> Column:
+def blocked(node: Column, n: int, side: int = 32) -> Column:
     """The number of the cube of side**3 voxels that holds a voxel of an n**3 grid (node: its scan-order index)."""
     per = -(-n // side)
     z, y, x = F.floor(node / (n * n)), F.floor(node / n) % n, node % n
@@ -147,18 +147,26 @@ def cheapest(edges: DataFrame, start: DataFrame, rounds: int | None = None, bloc
 
 
 def traced(paths: DataFrame, ends: DataFrame, rounds: int | None = None) -> DataFrame:
-    """path_id, step, node: the way from each end node (path_id, node) back to a start, by following via.
+    """path_id, step, node: the way from each end node (path_id, node) back to a start, by following via (-1 at a start).
 
-    Ways of more than `rounds` steps, or of more than there are nodes (a cycle), are an error."""
+    Ways double in each round: with the nodes 2**k steps on known for all nodes, the first 2**k nodes of a way give the next
+    2**k. Ways of more than `rounds` steps, or of more than there are nodes (a cycle), are an error."""
     space = Workspace(paths.sparkSession, "trace")
-    at = space.keep(ends.select("path_id", F.lit(0).cast("bigint").alias("step"), "node"))
-    out, done = at, 0
+    jump = space.keep(paths.filter("via >= 0").select("node", "via"))
+    out = space.keep(ends.select("path_id", F.lit(0).cast("bigint").alias("step"), "node"))
+    stride, nodes = 1, None
     while True:
-        at = space.keep(at.join(paths.select("node", "via"), "node").filter("via >= 0").select("path_id", (F.col("step") + 1).alias("step"), F.col("via").alias("node")))
-        if at.isEmpty():
+        new = space.keep(out.join(jump, "node").select("path_id", (F.col("step") + stride).alias("step"), F.col("via").alias("node")))
+        if new.isEmpty():
             return out
-        out, done = out.unionByName(at), done + 1
-        if done % 50 == 0:
-            out = space.keep(out)
-        if rounds is not None and done > rounds or done % 200 == 0 and done > paths.count():
-            raise ValueError(f"a way goes on after {done} steps")
+        if rounds is not None and stride <= rounds < 2 * stride and not new.filter(F.col("step") > rounds).isEmpty() or rounds is not None and stride > rounds:
+            raise ValueError(f"a way goes on after {rounds} steps")
+        nodes = nodes or paths.count()
+        if stride > nodes:
+            raise ValueError(f"a way goes on after {nodes} steps")
+        old, out = out, space.keep(out.unionByName(new))
+        space.drop(old)
+        space.drop(new)
+        far = space.keep(jump.join(jump.select(F.col("node").alias("via"), F.col("via").alias("_v")), "via").select("node", F.col("_v").alias("via")))
+        space.drop(jump)
+        jump, stride = far, 2 * stride
