@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.operators.blocks import advected, sampled  # noqa: F401
+from lattiq.operators.graph import linear, smallest_member
 from lattiq.operators.tables import Workspace, quantiles
 from lattiq.operators.voxels import AXES, SIX, moved
 
@@ -349,6 +350,18 @@ def opened_slices(mask: DataFrame, n: int, rounds: int = 2) -> DataFrame:
     return out.filter(F.col("y").between(0, n - 1) & F.col("x").between(0, n - 1))
 
 
+def outside_mask(mask: DataFrame, n: int, rounds: int = 2) -> DataFrame:
+    """Of each plane of z the part of the mask that the largest eight-connected component of its opening holds (the one with the
+    first voxel among equals)."""
+    opened = Workspace(mask.sparkSession, "outside").keep(opened_slices(mask, n, rounds).withColumn("id", linear(n)))
+    near = moved(opened, [(0, 0, 1), (0, 1, -1), (0, 1, 0), (0, 1, 1)], ["id"]).withColumnRenamed("id", "u").join(opened.withColumnRenamed("id", "v"), list(AXES)).select("u", "v")
+    root = smallest_member(near)
+    parts = opened.join(root.select(F.col("u").alias("id"), F.col("v").alias("cid")), "id", "left").withColumn("cid", F.coalesce("cid", "id"))
+    sizes = parts.groupBy("z", "cid").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("z").agg(F.max_by("cid", F.struct("k", -F.col("cid"))).alias("cid"))
+    return parts.join(largest, ["z", "cid"]).join(mask.select(*AXES), list(AXES), "left_semi").select(*AXES)
+
+
 def stops(first: Column, last: Column, step: float) -> Column:
     """first, first + step, ... and at its end `last`: a stop nearer to it than a quarter of a step gives way to it."""
     whole = F.greatest(F.ceil((last + 1e-6 - first) / step), F.lit(1))  # stops before `last`, itself included if it is one

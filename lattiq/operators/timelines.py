@@ -90,6 +90,16 @@ def resampled(df: DataFrame, key: list[str], by: list[str], axes: list[str], n:
     return segs.select(*key, "i", *((F.col(f"{a}0") + f * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a in axes), *(((F.col(f"{a}1") - F.col(f"{a}0")) / (F.col("c1") - F.col("c0"))).alias(f"t{a}") for a in axes))
 
 
+def spaced(df: DataFrame, key: list[str], by: list[str], axes: list[str], spacing: float) -> DataFrame:
+    """Points at every `spacing` along each polyline, its start included, by linear interpolation; each segment makes its own."""
+    line = chord_lengths(df, key, by, axes)
+    w = ordered(key, by)
+    segs = line.select(*key, F.col("cum").alias("c0"), F.lead("cum").over(w).alias("c1"), *(c for a in axes for c in (F.col(a).alias(f"{a}0"), F.lead(a).over(w).alias(f"{a}1")))).filter("c1 > c0")
+    segs = segs.withColumn("first", F.ceil(F.col("c0") / spacing)).withColumn("last", F.ceil(F.col("c1") / spacing) - 1).filter("last >= first").withColumn("i", F.explode(F.sequence("first", "last")))
+    f = (F.col("i") * spacing - F.col("c0")) / (F.col("c1") - F.col("c0"))
+    return segs.select(*key, "i", *((F.col(f"{a}0") + f * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a in axes))
+
+
 def velocity_profile(df: DataFrame, key: list[str], by: str, limit: str, twice_a_ds: float) -> DataFrame:
     """v: the greatest speed under `limit` whose square changes by at most twice_a_ds a step, forwards and backwards.
 

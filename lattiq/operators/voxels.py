@@ -189,3 +189,28 @@ def resized(df: DataFrame, size: int, n: int) -> DataFrame:
     spine = df.sparkSession.range(size * size).select((F.col("id") / size).cast("bigint").alias("i"), (F.col("id") % size).alias("j"))
     at = spine.withColumn("r", F.floor(F.col("i") * n / size)).withColumn("c", F.floor(F.col("j") * n / size))
     return at.join(df, ["r", "c"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def padded(df: DataFrame, n: int, by: int = 1) -> DataFrame:
+    """An n**3 volume in a frame of `by` voxels that lie above its greatest value, so that no surface at a level leaves the grid."""
+    top = df.agg(F.max("v")).first()[0] or 0.0
+    wide = n + 2 * by
+    grid = df.sparkSession.range(wide**3).select((F.col("id") / (wide * wide)).cast("bigint").alias("z"), ((F.col("id") / wide).cast("bigint") % wide).alias("y"), (F.col("id") % wide).alias("x"))
+    frame = grid.filter(reduce(lambda p, q: p | q, ((F.col(c) < by) | (F.col(c) >= n + by) for c in AXES))).withColumn("v", F.lit(float(top) + 1.0))
+    return df.select(*((F.col(c) + by).alias(c) for c in AXES), "v").unionByName(frame)
+
+
+def grown_crop(component: DataFrame, volume: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """The box of a component grown by one voxel each way: values of the volume on the component and its six neighbours, -1 elsewhere."""
+    grown = dilated(component, shape)
+    box = grown.agg(*(f(c).alias(f"{c}{i}") for c in AXES for i, f in ((0, F.min), (1, F.max))))
+    sides = reduce(lambda d, c: d.withColumn(c, F.explode(F.sequence(f"{c}0", f"{c}1"))), AXES, box).select(*AXES)
+    kept = grown.join(volume.select(*AXES, "v"), list(AXES), "left").select(*AXES, F.coalesce("v", F.lit(0.0)).alias("v"))
+    return sides.join(kept, list(AXES), "left").withColumn("v", F.coalesce("v", F.lit(-1.0)))
+
+
+def square_crop(df: DataFrame, row: int, column: int, side: int, n: int) -> DataFrame:
+    """The side * side square of an n * n slice (r, c, v) around a place, pushed inside the slice; r and c count from its corner."""
+    low = lambda at: max(0, min(at - side // 2, n - side))
+    r, c = low(row), low(column)
+    return df.filter(F.col("r").between(r, r + side - 1) & F.col("c").between(c, c + side - 1)).select((F.col("r") - r).alias("r"), (F.col("c") - c).alias("c"), "v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.plans import build_queries, field_queries, more_queries, track_queries, volume_queries  # noqa: F401
+from lattiq.plans import build_queries, field_queries, io_queries, more_queries, scene_queries, track_queries, volume_queries  # noqa: F401
 from lattiq.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,66 @@ def track_cache(df: DataFrame) -> DataFrame:
     """A track table of any age in today's columns: boost falls back on sat, then on 0."""
     have = [F.col(c) for c in ("boost", "sat") if c in df.columns]
     return df.withColumn("boost", F.coalesce(*have, F.lit(0.0)))
+
+
+def running_totals(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, before: the cells of each part of a mesh scan, and how many stand in the parts before it (a row a part)."""
+    n = cells.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.withColumn("before", F.sum("n").over(Window.orderBy(*keys)) - F.col("n"))
+
+
+def narrowed(bundle: DataFrame, parts: list[str]) -> DataFrame:
+    """A field bundle with its vector parts as 32-bit floats."""
+    return bundle.withColumns({c: F.col(c).cast("float") for c in parts})
+
+
+def with_optional(bundle: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The bundle with a null column for each optional one (name to type) that it lacks."""
+    return bundle.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in bundle.columns})
+
+
+def whole_tracks(segments: DataFrame, by: str) -> DataFrame:
+    """Segments of any age in today's columns: missing ends are the next start of the path, missing paths are inferred from
+    ends that meet starts, a missing boost falls back. segments: file, by, start, and maybe end, path_id, boost, sat."""
+    w = Window.partitionBy("file").orderBy(by)
+    if "path_id" not in segments.columns:
+        if "end" not in segments.columns:
+            raise ValueError("segments without ends and without paths")
+        segments = segments.withColumn("path_id", F.sum(F.when(F.col("start") != F.lag("end").over(w), 1).otherwise(0)).over(w).cast("bigint"))
+    if "end" not in segments.columns:
+        along = Window.partitionBy("file", "path_id").orderBy(by)
+        segments = segments.withColumn("end", F.coalesce(F.lead("start").over(along), F.col("start")))
+    return track_cache(segments)
+
+
+def checked_steps(cells: DataFrame, meta: DataFrame) -> DataFrame:
+    """The cells of a packed mesh whose steps hold as many cells as meta (step_id, n) says; other steps are left out."""
+    n = cells.groupBy("step_id").agg(F.count("*").alias("n"))
+    return cells.join(n.join(meta, ["step_id", "n"]).select("step_id"), "step_id", "left_semi")
+
+
+def level_ranges(cells: DataFrame) -> DataFrame:
+    """column_id, first, last: the levels that a cache partitioned by column and level lists."""
+    return cells.groupBy("column_id").agg(F.min("time_id").alias("first"), F.max("time_id").alias("last"))
+
+
+def appended(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Adds rows to a JSON session table and returns the whole of it."""
+    rows.write.mode("append").json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+def dequeued(queue: DataFrame, sent: DataFrame) -> DataFrame:
+    """What is left of an offline queue (id, ...) once the ids of `sent` are deleted, in the order of ids."""
+    return queue.join(sent.select("id"), "id", "left_anti").orderBy("id")
+
+
+def put_document(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents (keys, body, version) after writes (keys, body, expected: the version read, null for a new one): a write whose
+    version is not the current one is refused. Adds written: whether the row comes from a write. Of several writes that
+    expect the same version the least body wins, so a replay changes nothing."""
+    one = new.groupBy(*keys, "expected").agg(F.min("body").alias("new_body"))
+    both = current.join(one, keys, "full")
+    fits = F.col("new_body").isNotNull() & F.col("version").eqNullSafe(F.col("expected"))
+    rows = both.select(*keys, F.when(fits, F.col("new_body")).otherwise(F.col("body")).alias("body"), F.when(fits, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"), fits.alias("written"))
+    return rows.filter("version is not null").groupBy(*keys).agg(F.max_by(F.struct("body", "version", "written"), "version").alias("r")).select(*keys, "r.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import mmap
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lattiq.functions.shaping import axis_value
 
 #: Fixed values of the TIFF format: tags, and the bytes of each field type.
-_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 339
+_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _PREDICTOR, _FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 339
+_NONE, _LZW, _DEFLATE, _OLD_DEFLATE, _PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 
@@ -46,28 +49,75 @@ def tiff_pages(data: bytes) -> list[dict[int, tuple]]:
     return pages
 
 
-def tiff_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
-    """The samples of an uncompressed page (height, width) or (height, width, samples)."""
-    if tags.get(_COMPRESSION, (1,))[0] != 1:
-        raise ValueError("compressed TIFF pages are not supported")
+def unpackbits(data: bytes) -> bytes:
+    """PackBits: a signed count, then that many bytes and one more as they are, or one byte to repeat."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2
+    return bytes(out)
+
+
+def unlzw(data: bytes) -> bytes:
+    """LZW as TIFF writes it: codes of 9 to 12 bits, the highest bit first, each width one code short; 256 clears, 257 ends."""
+    first = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, held, bits, before, out = list(first), 9, 0, 0, b"", bytearray()
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        while bits >= width:
+            code = held >> (bits - width)
+            bits -= width
+            held &= (1 << bits) - 1
+            if code == 257:
+                return bytes(out)
+            if code == 256:
+                table, width, before = list(first), 9, b""
+                continue
+            entry = table[code] if code < len(table) else before + before[:1]
+            out += entry
+            if before:
+                table.append(before + entry[:1])
+            before = entry
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+_UNPACK = {_NONE: bytes, _LZW: unlzw, _DEFLATE: zlib.decompress, _OLD_DEFLATE: zlib.decompress, _PACKBITS: unpackbits}
+
+
+def tiff_page(data, tags: dict[int, tuple]) -> np.ndarray:
+    """The samples of a page (height, width) or (height, width, samples); data: the file, of which only the page's strips are read."""
+    unpack = _UNPACK.get(tags.get(_COMPRESSION, (_NONE,))[0])
+    if unpack is None or _OFFSETS not in tags:
+        raise ValueError("a compression or a layout of TIFF pages that is not supported")
     kind = {1: "u", 2: "i", 3: "f"}[tags.get(_FORMAT, (1,))[0]]
     dtype = np.dtype(f"{tags[0][0]}{kind}{tags.get(_BITS, (8,))[0] // 8}")
-    raw = b"".join(data[a : a + n] for a, n in zip(tags[_OFFSETS], tags[_COUNTS], strict=True))
+    raw = b"".join(unpack(bytes(data[a : a + n])) for a, n in zip(tags[_OFFSETS], tags[_COUNTS], strict=True))
     samples = tags.get(_SAMPLES, (1,))[0]
-    shape = (tags[_HEIGHT][0], tags[_WIDTH][0], *((samples,) if samples > 1 else ()))
-    return np.frombuffer(raw, dtype, int(np.prod(shape))).reshape(shape)
+    shape = (tags[_HEIGHT][0], tags[_WIDTH][0], samples)
+    page = np.frombuffer(raw, dtype, int(np.prod(shape))).reshape(shape)
+    if tags.get(_PREDICTOR, (1,))[0] == 2:
+        page = np.cumsum(page, axis=1, dtype=dtype)
+    return page if samples > 1 else page[:, :, 0]
 
 
-def write_tiff(volume: np.ndarray) -> bytes:
-    """An uncompressed multipage TIFF of a 3-D array, one page a plane."""
+def write_tiff(volume: np.ndarray, deflate: bool = False) -> bytes:
+    """A multipage TIFF of a 3-D array, one page (and one strip) a plane; a last axis of 3 beside three others makes RGB pages."""
     kind = {"u": 1, "i": 2, "f": 3}[volume.dtype.kind]
     out, at = bytearray(b"II*\0\0\0\0\0"), 4
     for plane in np.ascontiguousarray(volume.astype(volume.dtype.newbyteorder("<"))):
-        start = len(out)
-        out += plane.tobytes()
-        out += b"\0" * (len(out) % 2)
+        start, raw = len(out), plane.tobytes()
+        raw = zlib.compress(raw) if deflate else raw
+        out += raw + b"\0" * (len(raw) % 2)
+        samples = plane.shape[2] if plane.ndim == 3 else 1
         struct.pack_into("<I", out, at, len(out))
-        tags = [(_WIDTH, 4, plane.shape[1]), (_HEIGHT, 4, plane.shape[0]), (_BITS, 3, 8 * volume.dtype.itemsize), (_COMPRESSION, 3, 1), (262, 3, 1), (_OFFSETS, 4, start), (_SAMPLES, 3, 1), (_ROWS, 4, plane.shape[0]), (_COUNTS, 4, plane.nbytes), (_FORMAT, 3, kind)]
+        tags = [(_WIDTH, 4, plane.shape[1]), (_HEIGHT, 4, plane.shape[0]), (_BITS, 3, 8 * volume.dtype.itemsize), (_COMPRESSION, 3, _DEFLATE if deflate else _NONE), (262, 3, 2 if samples > 1 else 1), (_OFFSETS, 4, start), (_SAMPLES, 3, samples), (_ROWS, 4, plane.shape[0]), (_COUNTS, 4, len(raw)), (_FORMAT, 3, kind)]
         out += struct.pack("<H", len(tags))
         for tag, t, v in sorted(tags):
             out += struct.pack("<HHII" if t == 4 else "<HHIHxx", tag, t, 1, v)
@@ -76,10 +126,10 @@ def write_tiff(volume: np.ndarray) -> bytes:
     return bytes(out)
 
 
-def read_tiff(spark: SparkSession, path: str, above: float | None = None) -> DataFrame:
-    """path, z, y, x, v of the voxels of TIFF volumes; only those above a value, if given, leave the reader.
+def decoded(files: DataFrame, above: float | None = None) -> DataFrame:
+    """path, z, y, x, v of the voxels of TIFF volumes (path, content); only those above a value, if given, leave the decoder.
 
-    Files come through Spark's binary reader, so any store it knows works."""
+    Axes of length one are squeezed; what is not a volume of equal planes then is an error."""
 
     def planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,44 +143,90 @@ def read_tiff(spark: SparkSession, path: str, above: float | None = None) -> Dat
                     y, x = np.nonzero(plane > above) if above is not None else np.indices(plane.shape).reshape(2, -1)
                     yield pd.DataFrame({"path": name, "z": z, "y": y, "x": x, "v": plane[y, x].astype(float)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(planes, "path string, z bigint, y bigint, x bigint, v double")
+    return files.select("path", "content").mapInPandas(planes, "path string, z bigint, y bigint, x bigint, v double")
+
+
+def read_tiff(spark: SparkSession, path: str, above: float | None = None) -> DataFrame:
+    """path, z, y, x, v of the voxels of TIFF volumes, see decoded().
+
+    Files come through Spark's binary reader, so any store it knows works, up to 2 GB a file; larger ones go through
+    format("voxel_tiff")."""
+    return decoded(spark.read.format("binaryFile").load(path), above)
+
+
+def labels_of(volume: DataFrame) -> DataFrame:
+    """A label volume: v as a small integer (0 to 255); others are an error."""
+    label = F.when(F.col("v").between(0, 255) & (F.col("v") == F.floor("v")), F.col("v").cast("smallint"))
+    return volume.withColumn("label", F.coalesce(label, F.raise_error(F.lit("not a label volume")).cast("smallint"))).drop("v")
+
+
+def panels(files: DataFrame, height: int, width: int) -> DataFrame:
+    """path, y, x, r, g, b of RGB rasters (path, content); another shape is an error."""
+
+    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                page = tiff_page(data, tiff_pages(data)[0])
+                if page.shape != (height, width, 3):
+                    raise ValueError(f"{name} has the shape {page.shape}")
+                y, x = np.indices((height, width)).reshape(2, -1)
+                yield pd.DataFrame({"path": name, "y": y, "x": x, **{c: page[y, x, k].astype(int) for k, c in enumerate("rgb")}})
+
+    return files.select("path", "content").mapInPandas(pixels, "path string, y bigint, x bigint, r bigint, g bigint, b bigint")
 
 
 def read_roi(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, top, left, bottom, right, i, x, y of polygon records: big-endian, a header of 64 bytes, then the
-    coordinates relative to the box as int16, or absolute as float32 where option 128 is set."""
+    """The points of polygon records in files, see roi_rows()."""
+    return roi_rows(spark.read.format("binaryFile").load(path))
+
+
+def roi_rows(files: DataFrame) -> DataFrame:
+    """path, kind, top, left, bottom, right, i, x, y of polygon records (path, content): big-endian, a header of 64 bytes, then
+    all x and all y relative to the box, as float32 where option 128 is set, else as int16."""
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 yield pd.DataFrame([{"path": name, **r} for r in roi_points(data)], columns=["path", "kind", "top", "left", "bottom", "right", "i", "x", "y"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(points, "path string, kind int, top int, left int, bottom int, right int, i int, x double, y double")
+    return files.select("path", "content").mapInPandas(points, "path string, kind int, top int, left int, bottom int, right int, i int, x double, y double")
+
+
+#: Fixed places in the header of a region record: kind, box, number of points, options, and where the second header stands.
+_KIND, _BOX, _N, _OPTIONS, _SECOND, _HEAD = 6, 8, 16, 50, 60, 64
 
 
 def roi_points(data: bytes) -> list[dict]:
     if data[:4] != b"Iout":
         raise ValueError("not a region record")
-    kind = data[6]
-    top, left, bottom, right = struct.unpack(">4h", data[8:16])
-    n, options = struct.unpack(">H", data[16:18])[0], struct.unpack(">H", data[50:52])[0]
-    if options & 128:
-        at = 64 + 4 * n
-        xs, ys = np.frombuffer(data, ">f4", n, at), np.frombuffer(data, ">f4", n, at + 4 * n)
-    else:
-        xs, ys = np.frombuffer(data, ">i2", n, 64) + left, np.frombuffer(data, ">i2", n, 64 + 2 * n) + top
-    return [{"kind": kind, "top": top, "left": left, "bottom": bottom, "right": right, "i": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(zip(xs, ys, strict=True))]
-
-
-def write_roi(points: list[tuple[float, float]], kind: int = 0) -> bytes:
-    """A record of points (x, y) with its box recomputed, coordinates kept as float32 beside their integers."""
-    xs, ys = np.array([p[0] for p in points]), np.array([p[1] for p in points])
-    left, top, right, bottom = int(np.floor(xs.min())), int(np.floor(ys.min())), int(np.ceil(xs.max())), int(np.ceil(ys.max()))
-    head = bytearray(64)
-    head[:4] = b"Iout"
-    struct.pack_into(">hBx4hH", head, 4, 227, kind, top, left, bottom, right, len(points))
-    struct.pack_into(">H", head, 50, 128)
-    return bytes(head) + (xs - left).astype(">i2").tobytes() + (ys - top).astype(">i2").tobytes() + xs.astype(">f4").tobytes() + ys.astype(">f4").tobytes()
+    top, left, bottom, right, n = struct.unpack_from(">4hH", data, _BOX)
+    if not n:
+        raise ValueError("a region without points")
+    kind = ">f4" if struct.unpack_from(">H", data, _OPTIONS)[0] & 128 else ">i2"
+    xy = np.frombuffer(data, kind, 2 * n, _HEAD).astype(float).reshape(2, n) + [[left], [top]]
+    return [{"kind": data[_KIND], "top": top, "left": left, "bottom": bottom, "right": right, "i": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(xy.T)]
+
+
+def write_roi(points: list[tuple[float, float]], kind: int = 0, like: bytes | None = None, exact: bool = True) -> bytes:
+    """A record of points (x, y) with its box and their number anew; coordinates as float32, or rounded to int16.
+
+    like: a record whose header, options (which say how coordinates are kept) and second header stay."""
+    xy = np.array(points, float).T
+    left, top = np.floor(xy.min(1)).astype(int)
+    right, bottom = np.ceil(xy.max(1)).astype(int)
+    head = bytearray(like[:_HEAD] if like else _HEAD)
+    if not like:
+        head[:4] = b"Iout"
+        struct.pack_into(">hB", head, 4, 227, kind)
+        struct.pack_into(">H", head, _OPTIONS, 128 if exact else 0)
+    exact = bool(struct.unpack_from(">H", head, _OPTIONS)[0] & 128)
+    struct.pack_into(">4hH", head, _BOX, top, left, bottom, right, xy.shape[1])
+    near = xy - [[left], [top]]
+    body = near.astype(">f4").tobytes() if exact else np.round(near).astype(">i2").tobytes()
+    second = struct.unpack_from(">i", head, _SECOND)[0]
+    if second > 0:
+        struct.pack_into(">i", head, _SECOND, _HEAD + len(body))
+    return bytes(head) + body + (like[second:] if second > 0 else b"")
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -172,22 +268,23 @@ def merged_settings(defaults: DataFrame, given: DataFrame, keys: list[str]) -> D
 
 
 class _Plane(InputPartition):
-    def __init__(self, path: str, z: int):
-        self.path, self.z = path, z
+    def __init__(self, path: str, z: int, tags: dict[int, tuple]):
+        self.path, self.z, self.tags = path, z, tags
 
 
 class _Reader(DataSourceReader):
+    """Reads the directory once, and of a plane its strips alone; files are mapped, not loaded."""
+
     def __init__(self, path: str, above: float | None):
         self.path, self.above = path, above
 
     def partitions(self):
-        with open(self.path, "rb") as f:
-            return [_Plane(self.path, z) for z in range(len(tiff_pages(f.read())))]
+        with open(self.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return [_Plane(self.path, z, tags) for z, tags in enumerate(tiff_pages(data))]
 
     def read(self, part: _Plane):
-        with open(part.path, "rb") as f:
-            data = f.read()
-        plane = tiff_page(data, tiff_pages(data)[part.z])
+        with open(part.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            plane = tiff_page(data, part.tags)
         y, x = np.nonzero(plane > self.above) if self.above is not None else np.indices(plane.shape).reshape(2, -1)
         yield from zip([part.z] * len(y), y.tolist(), x.tolist(), plane[y, x].astype(float).tolist(), strict=True)
 

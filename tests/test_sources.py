@@ -110,3 +110,52 @@ def test_catch_game_stream(spark, tmp_path):
     _run(streams.catch_game(stream, boxes), tmp_path / "c")
     got = sorted((r.session, r.t, r.column_id, r.score) for r in spark.read.parquet(str(tmp_path / "c/out")).collect())
     assert got == [(7, 1.0, 1, 1), (8, 0.0, 2, 1)]
+
+
+def lzw(data):
+    """A writer of TIFF's LZW that clears its table whenever it is full."""
+    table, width, bits, before = {bytes([i]): i for i in range(256)}, 9, "", b""
+    n, bits = 258, format(256, "09b")
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if before + c in table:
+            before += c
+            continue
+        bits += format(table[before], f"0{width}b")
+        table[before + c] = n
+        n += 1
+        width = max(9, n.bit_length())
+        if n == 4094:
+            bits += format(256, "012b")
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        before = c
+    bits += format(table[before], f"0{width}b") if before else ""
+    n += 1
+    bits += format(257, f"0{min(12, max(9, n.bit_length()))}b")
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+def test_compressions():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert volumes.unpackbits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    rng = np.random.default_rng(0)
+    for data in (b"", b"aaaa", bytes(range(256)) * 3, rng.integers(0, 4, 30_000).astype(np.uint8).tobytes(), rng.integers(0, 256, 9_000).astype(np.uint8).tobytes()):
+        assert volumes.unlzw(lzw(data)) == data
+    v = rng.integers(0, 9, (3, 5, 4)).astype(np.uint16)
+    data = volumes.write_tiff(v, deflate=True)
+    assert np.array_equal(np.stack([volumes.tiff_page(data, t) for t in volumes.tiff_pages(data)]), v)
+    rgb = rng.integers(0, 255, (1, 5, 4, 3)).astype(np.uint8)
+    data = volumes.write_tiff(rgb)
+    assert np.array_equal(volumes.tiff_page(data, volumes.tiff_pages(data)[0]), rgb[0])
+
+
+def test_records_keep_their_form():
+    points = [(1.5, 2.0), (4.25, -3.0), (0.0, 7.5)]
+    exact = volumes.write_roi(points)
+    assert [(p["x"], p["y"]) for p in volumes.roi_points(exact)] == points and volumes.roi_points(exact)[0]["left"] == 0 and volumes.roi_points(exact)[0]["top"] == -3
+    whole = volumes.write_roi(points, exact=False)
+    assert [(p["x"], p["y"]) for p in volumes.roi_points(whole)] == [(2, 2), (4, -3), (0, 7)] or [(p["x"], p["y"]) for p in volumes.roi_points(whole)] == [(2, 2), (4, -3), (0, 7 + 1)]
+    tail = bytearray(exact) + b"second header"
+    tail[60:64] = len(exact).to_bytes(4, "big")
+    again = volumes.write_roi([*points, (9.0, 9.0)], like=bytes(tail))
+    assert again.endswith(b"second header") and len(volumes.roi_points(again)) == 4 and int.from_bytes(again[60:64], "big") == len(again) - len(b"second header")
