@@ -20,8 +20,10 @@ from lattiq.llm.common import Scratch, ship
 
 #: At most so many vectors are collected to fit the trees: those of the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Rows of a leaf that meet a set of queries in one piece of work.
-PIECE = 4096
+#: Rows of a leaf that lie together; of a shelf, which is a set of pieces of leaves that one task searches; and of queries it gets.
+PIECE, SHELF, ASKED = 4096, 32_768, 16_384
+#: Rows of a leaf, about, unless the table has fewer than 64 such leaves.
+LEAF = 1024
 
 
 class Forest:
@@ -92,10 +94,12 @@ def vectors(table: DataFrame) -> DataFrame:
     return rows.filter(F.size("embedding") == (most.d if most else 0))
 
 
-def fit(rows: DataFrame, trees: int, leaf_part: float, seed: int = 7) -> Forest:
+def fit(rows: DataFrame, trees: int, leaf: int, seed: int = 7) -> Forest:
+    """Trees on a sample of SAMPLE vectors at most, cut until a leaf stands for about `leaf` rows of the table (8 of the sample at least)."""
+    n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     x = np.unique(np.array([r.embedding for r in sample], np.float64), axis=0) if sample else np.zeros((0, 1))
-    return Forest(x, trees, max(8, int(len(x) * leaf_part)), seed)
+    return Forest(x, trees, max(8, int(len(x) * min(leaf, n / 64) / max(n, 1))), seed)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -103,13 +107,52 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, trees: int = 2, leaf_part: float = 1 / 64, part: float = 0.6) -> DataFrame:
+def best_of(qs: np.ndarray, q: np.ndarray, at: np.ndarray, leaf: np.ndarray, xs: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """query id, vector id, score of the k best rows (and those so near that rounding may decide) for each query.
+
+    Query row at[i] asks leaf number i of `leaf`'s list; rows (xs, x) are (leaf, vectors) sorted by leaf. Products are taken leaf by
+    leaf for all its queries at once; scores of what is left are sums rounded once."""
+    rows_leaf, asked_leaf = leaf
+    found = []
+    order = np.argsort(asked_leaf, kind="stable")
+    for n in np.unique(asked_leaf):
+        a, b = np.searchsorted(rows_leaf, [n, n + 1])
+        who = at[order[np.searchsorted(asked_leaf[order], n) : np.searchsorted(asked_leaf[order], n, "right")]]
+        if b == a:
+            continue
+        most = k * int(np.unique(xs[a:b], return_counts=True)[1].max())  # rows that hold k different ids for certain
+        for c in range(0, len(who), 1024):
+            mine = who[c : c + 1024]
+            near = q[mine] @ x[a:b].T
+            near[qs[mine][:, None] == xs[None, a:b]] = -np.inf
+            low = np.partition(near, -most, axis=1)[:, -most] if b - a > most else np.full(len(mine), -np.inf)
+            i, j = np.nonzero((near >= (low - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(low), low, 0))))[:, None]) & (near > -np.inf))
+            found.append((mine[i], a + j, near[i, j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, near = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-near, xs[j], i))
+    i, j, near = i[order], j[order], near[order]
+    ids = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (xs[j[1:]] != xs[j[:-1]])]))  # an id may come from both trees
+    ids = ids[np.lexsort((-near[ids], i[ids]))]
+    asker, first = np.unique(i[ids], return_index=True)
+    last = np.minimum(first + k, np.append(first[1:], len(ids))) - 1
+    low = np.zeros(len(qs))
+    low[asker] = near[ids[last]]
+    keep = near >= low[i] - 1e-9 * np.maximum(1.0, np.abs(low[i]))
+    i, j = i[keep], j[keep]
+    return qs[i], xs[j], np.array([math.fsum(p) for c in range(0, len(i), 4096) for p in (q[i[c : c + 4096]] * x[j[c : c + 4096]]).tolist()])
+
+
+def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, trees: int = 2, leaf: int = LEAF, part: float = 0.6) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every` its k best others found.
 
+    A query is shown leaves that hold `part` of all rows; with part = 1 every leaf is searched, so the result is exact.
     Ties go to the smaller vec_id. A query is no candidate of its own. Vectors that take no part (see vectors())
     have no rows; a vec_id that repeats counts with each of its different vectors as a candidate and once in a
     result. Equal vectors form a class whose k + 1 smallest ids stand for it (no other can be among k), so a
-    vector that a third of the rows share is no hot leaf; a leaf of more than PIECE rows is still dealt out.
+    vector that a third of the rows share is no hot leaf; a leaf of more than PIECE rows is still dealt out. Pieces of
+    leaves lie on shelves of about SHELF rows, and a task searches one shelf for ASKED queries at most.
     An empty table gives an empty result.
     """
     ship(spark)
@@ -118,46 +161,44 @@ def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20,
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     rows = scratch.keep(rows.distinct().withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k + 1).drop("_n"), "vectors")
     asked = scratch.keep(vectors(table).filter(F.col("vec_id") % every == 0).distinct(), "queries")
-    forest = spark.sparkContext.broadcast(fit(rows, trees, leaf_part))  # bounded by SAMPLE
+    forest = spark.sparkContext.broadcast(fit(rows, trees, leaf))  # bounded by SAMPLE
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = forest.value.leaves(_matrix(b.column(1)))
-            for t in range(leaf.shape[1]):
-                yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaf[:, t]), "vec_id": b.column(0), "embedding": b.column(1)})
+            found = forest.value.leaves(_matrix(b.column(1)))
+            for t in range(found.shape[1]):
+                yield pa.RecordBatch.from_pydict({"leaf": pa.array(found[:, t]), "vec_id": b.column(0), "embedding": b.column(1)})
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [forest.value.probe(q, part) for q in _matrix(b.column(1))]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_pydict({"leaf": pa.array(np.array([n for f in found for n in f], np.int64)), "vec_id": b.column(0).take(pa.array(at)), "embedding": b.column(1).take(pa.array(at))})
-
-    shape = "leaf bigint, vec_id bigint, embedding array<double>"
-    placed = scratch.keep(rows.mapInArrow(index, shape), "index")
-    parts = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PIECE).alias("parts"))  # as many rows as leaves
-    placed = placed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    wanted = asked.repartition("vec_id").mapInArrow(probes, shape).join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
-    n_blocks = asked.count() // PIECE + 1
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+            found = [forest.value.probe(q, part) if part < 1 else np.flatnonzero(forest.value.left < 0).tolist() for q in _matrix(b.column(1))]
+            yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "embedding": b.column(1), "leaves": pa.array(found, pa.list_(pa.int64()))})
+
+    placed = scratch.keep(rows.mapInArrow(index, "leaf bigint, vec_id bigint, embedding array<double>"), "index")
+    parts = scratch.keep(placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PIECE).alias("parts")), "parts")  # as many rows as leaves
+    shelves = max(1, placed.count() // SHELF)
+    n_blocks = asked.count() // ASKED + 1
+    shelf = lambda: F.pmod(F.xxhash64("leaf", "part"), F.lit(shelves))
+    placed = placed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("shelf", shelf())
     placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
+    # where a query goes: the shelves that hold a piece of one of its leaves; it travels once to each
+    ways = scratch.keep(asked.repartition("vec_id", "embedding").mapInArrow(probes, "vec_id bigint, embedding array<double>, leaves array<bigint>").withColumn("q", F.monotonically_increasing_id()), "ways")
+    wanted = ways.select("q", F.explode("leaves").alias("leaf")).join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("shelf", shelf())
+    wanted = wanted.groupBy("q", "shelf").agg(F.collect_set("leaf").alias("leaves"))  # at most the leaves of a shelf
+    wanted = wanted.join(ways.select("q", "vec_id", "embedding"), "q").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
 
     def rerank(key, queries: pa.Table, found: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if queries.num_rows and found.num_rows:
+            found = found.sort_by("leaf")
+            lists = queries.column("leaves").combine_chunks()
+            at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
             q, x = (_matrix(t.column("embedding").combine_chunks()) for t in (queries, found))
-            qs, xs = (t.column("vec_id").to_numpy() for t in (queries, found))
-            for i in range(len(q)):
-                near = x @ q[i]
-                near[xs == qs[i]] = -np.inf
-                low = np.partition(near, -k)[-k] if len(near) > k else -np.inf
-                chosen = np.flatnonzero((near >= low - 1e-9 * max(1.0, abs(low))) & (near > -np.inf)) if np.isfinite(low) else np.flatnonzero(near > -np.inf)
-                out["query_id"] += [int(qs[i])] * len(chosen)
-                out["vec_id"] += xs[chosen].tolist()
-                out["score"] += [math.fsum(p) for p in (x[chosen] * q[i]).tolist()]
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    keys = ["leaf", "part", "block"]
-    found = wanted.select(*keys, "vec_id", "embedding").groupBy(keys).cogroup(placed.select(*keys, "vec_id", "embedding").groupBy(keys)).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
+            out = best_of(queries.column("vec_id").to_numpy(), q, at, (found.column("leaf").to_numpy(), lists.flatten().to_numpy()), found.column("vec_id").to_numpy(), x, k)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    keys = ["shelf", "block"]
+    found = wanted.select(*keys, "vec_id", "embedding", "leaves").groupBy(keys).cogroup(placed.select(*keys, "leaf", "vec_id", "embedding").groupBy(keys)).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

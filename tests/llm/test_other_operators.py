@@ -32,6 +32,41 @@ def test_neighbours_reach_nine_tenths_and_rank_exactly(spark):
     assert np.mean(recall) >= 0.9
 
 
+def recall_of(got, rows, k=20):
+    """The share of true neighbours among those found (query_id: set of ids), rows: (vec_id, vector)."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    out = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        out.append(len(got[int(ids[i])] & set(ids[np.lexsort((ids, -s))[:k]].tolist())) / k)
+    return float(np.mean(out))
+
+
+def found_by(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return got
+
+
+def test_neighbours_recall_on_more_vectors_and_exact_mode(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    assert recall_of(found_by(neighbours.search(spark, table)), rows) >= 0.9
+    few = table.filter("vec_id < 600")
+    some = [r for r in rows if r[0] < 600]
+    assert recall_of(found_by(neighbours.search(spark, few, part=1.0)), some) == 1.0
+
+
+def test_neighbours_need_few_leaves_where_vectors_cluster(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 16))
+    rows = [(i, (centres[i % 40] * 4 + rng.standard_normal(16) * 0.3).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert recall_of(found_by(neighbours.search(spark, df, trees=4, part=0.15)), rows) >= 0.9
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(60, [0.0, 0.0]), (80, None), (100, [1.0, None]), (120, [float("nan"), 1.0]), (140, [float("inf"), 1.0]), (160, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<double>, leaf string, rank int")
@@ -60,6 +95,13 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), labels, queries.RULES).count() == 0
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.example.com": ("y.example.com", "example.com"), "example.com": ("example.com", "com"), "a.b.org:80": ("b.org", "org"), "10.0.0.1:8080": ("10.0.0.1", ""), "localhost": ("localhost", "localhost"), "me@a.b.net": ("b.net", "net"), "": ("", ""), "co.uk": ("co.uk", "uk"), "[::1]": ("[::1]", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", url_filter.domain_of(df.host).alias("d"), url_filter.suffix_of(df.host).alias("s")).collect()}
+    assert got == hosts
+
+
 def test_reputation_shrinks_and_blocks(spark):
     hosts = spark.createDataFrame([("bad.example.org", 200, 190), ("sub.bad.example.org", 2, 0), ("fine.example.org", 300, 3), ("new.example.net", 1, 1)], "host string, n bigint, bad bigint")
     r = {x.host: x for x in url_filter.shrink(hosts).collect()}
@@ -134,15 +176,15 @@ def test_chat_plan_is_native(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at, columns, kept = docs, docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, SF)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert at.columns == columns
-            at.write.mode("overwrite").parquet(f"/tmp/lattiq-test/{name}")
-            at = spark.read.parquet(f"/tmp/lattiq-test/{name}")
+            at.write.mode("overwrite").parquet(str(tmp_path / name))
+            at = spark.read.parquet(str(tmp_path / name))
             kept.append(at.count())
     assert kept == sorted(kept, reverse=True) and kept[4] == kept[3] and at.count() == kept[4] > 0.6 * kept[0]
     whole = corpus_pipeline.run(spark, SF)
