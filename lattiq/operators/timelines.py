@@ -112,6 +112,16 @@ def velocity_profile(df: DataFrame, key: list[str], by: str, limit: str, twice_a
     return rows.withColumn("v", F.sqrt(F.greatest(back, F.lit(0.0)))).drop("_i", "_f")
 
 
+def drifted(df: DataFrame, key: list[str], by: str, velocities: list[str], most: float = 1.0) -> DataFrame:
+    """Adds moved_<v>: the way made up to each row at the velocity each row sets, by the times between rows (column `by`, seconds);
+    times of more than `most`, or of none, move nothing."""
+    w = ordered(key, [by])
+    dt = F.col(by) - F.lag(by).over(w)
+    rows = df.withColumn("_dt", F.when((dt > 0) & (dt <= most), dt).otherwise(0.0))
+    rows = rows.withColumns({f"_{v}": F.coalesce(F.lag(v).over(w), F.lit(0.0)) * F.col("_dt") for v in velocities})
+    return rows.withColumns({f"moved_{v}": F.sum(f"_{v}").over(so_far(key, [by])) for v in velocities}).drop("_dt", *(f"_{v}" for v in velocities))
+
+
 def monotone_bounds(df: DataFrame, key: list[str], by: str, low: str, least: float) -> DataFrame:
     """lo[i] = max(low[i], lo[i-1] + least): a running maximum of low - least * i."""
     rows = df.withColumn("_i", F.row_number().over(ordered(key, [by])).cast("double"))

@@ -170,3 +170,32 @@ def shell_schedules(spark, sf_dir):
     v, _ = vox(spark, sf_dir)
     s = fields.shell_schedules(v.groupBy(F.col("c").alias("column_id")).agg(F.max("v").alias("most")), 4.0, 0.5)
     return s.filter("phase = 0").select("column_id", "frame", F.round("d1", 9).alias("d1"))
+
+
+_TICKS = "t AS (SELECT user_id % 50 AS subscriber, event_id * 0.004::DOUBLE AS t, event_id % 11 <> 0 AS enabled, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS rn FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_TICKS}, f(subscriber, rn, last_t, credit, run) AS (SELECT subscriber, rn, CASE WHEN enabled THEN t END, 0.0::DOUBLE, enabled FROM t WHERE rn = 1
+UNION ALL SELECT subscriber, rn, CASE WHEN enabled THEN t END, CASE WHEN NOT enabled OR last_t IS NULL OR t - last_t > 1 THEN 0.0 WHEN credit + (t - last_t) + 1e-9 >= 0.3 THEN least(credit + (t - last_t) - 0.3, 0.3) ELSE credit + (t - last_t) END, enabled AND (last_t IS NULL OR t - last_t <= 1 AND credit + (t - last_t) + 1e-9 >= 0.3)
+FROM (SELECT t.*, f.last_t, f.credit FROM f JOIN t ON t.subscriber = f.subscriber AND t.rn = f.rn + 1)) SELECT subscriber, t FROM f JOIN t USING (subscriber, rn) WHERE run""")
+def scheduler_runs(spark, sf_dir):
+    """When fifty subscribers run whose ticks come at odd times and who are switched off now and then."""
+    import pandas as pd
+
+    from lattiq.streaming.profiles import fired
+
+    k = F.col("event_id")
+    ticks = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("subscriber"), (k * F.lit(0.004)).alias("t"), F.lit(0.3).alias("period_s"), (k % 11 != 0).alias("enabled"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fired(pdf.sort_values("t"), None, 0.0)[0][["subscriber", "t"]]
+
+    return ticks.groupBy("subscriber").applyInPandas(one, "subscriber bigint, t double")
+
+
+@query("WITH t AS (SELECT user_id % 50 AS ship, event_id, event_id * 0.004::DOUBLE AS t, (event_id % 5 - 2)::DOUBLE AS v FROM events), d AS (SELECT *, t - lag(t) OVER w AS dt, lag(v) OVER w AS before FROM t WINDOW w AS (PARTITION BY ship ORDER BY t)) SELECT ship, event_id, round(sum(CASE WHEN dt > 0 AND dt <= 1 THEN before * dt ELSE 0 END) OVER (PARTITION BY ship ORDER BY t ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS moved FROM d")
+def inertial_ways(spark, sf_dir):
+    """How far fifty ships have drifted."""
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("ship"), "event_id", (k * F.lit(0.004)).alias("t"), (k % 5 - 2).cast("double").alias("v"))
+    return timelines.drifted(rows, ["ship"], "t", ["v"]).select("ship", "event_id", (F.round("moved_v", 6) + 0.0).alias("moved"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+AXES = ("z", "y", "x")
+
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     """A watermark needs a time with a zone; parquet's zoneless times become UTC."""
@@ -42,29 +45,58 @@ def submissions(scores: DataFrame, late: str = "1 day") -> DataFrame:
     return event_time(scores).withWatermark("ts", late).dropDuplicatesWithinWatermark(["submission_id"])
 
 
-def catch_game(positions: DataFrame, boxes: DataFrame, limit_s: float = 120.0) -> DataFrame:
+def catch_game(positions: DataFrame, boxes: DataFrame, limit_s: float = 120.0, cell: int = 16) -> DataFrame:
     """session, t, column_id, score: when a session's camera (session, t, z, y, x) is first inside the box of a column
     (column_id, z0 ... x1), while less than limit_s seconds have passed since its first position.
 
-    State per session: the first time and the set of columns caught. boxes is one row a column; it is broadcast after a
-    check of its size."""
-    rows = [tuple(r) for r in boxes.select("column_id", "z0", "z1", "y0", "y1", "x0", "x1").limit(100_001).collect()]
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 columns in one scene")
-    shared = positions.sparkSession.sparkContext.broadcast(rows)
+    Positions meet boxes in the cells of a grid, by a join with the table of boxes, however many there are. State per session:
+    the first time and the set of columns caught."""
+    b, p = boxes, positions
+    for a in AXES:
+        b = b.withColumn(f"_{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / cell), F.floor(F.col(f"{a}1") / cell))))
+        p = p.withColumn(f"_{a}", F.floor(F.col(a) / cell))
+    inside = reduce(lambda m, n: m & n, (F.col(a).between(F.col(f"{a}0"), F.col(f"{a}1")) for a in AXES))
+    met = p.join(b, [f"_{a}" for a in AXES], "left").select("session", F.col("t").cast("double").alias("t"), F.when(inside, F.col("column_id")).alias("column_id"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, before = state.get if state.exists else (None, [])
+        rows = pd.concat(list(batches))
+        start = float(rows["t"].min()) if start is None else start
+        hits = rows[(rows["t"] - start < limit_s) & rows["column_id"].notna() & ~rows["column_id"].isin(before)]
+        new = hits.sort_values(["t", "column_id"]).drop_duplicates("column_id")
+        state.update((start, sorted([*before, *new["column_id"].astype("int64").tolist()])))
+        yield pd.DataFrame({"session": key[0], "t": new["t"], "column_id": new["column_id"].astype("int64"), "score": range(len(before) + 1, len(before) + len(new) + 1)})
+
+    return met.groupBy("session").applyInPandasWithState(step, "session bigint, t double, column_id bigint, score bigint", "start double, caught array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def fired(rows: pd.DataFrame, last: float | None, credit: float, most: float = 1.0) -> tuple[pd.DataFrame, float | None, float]:
+    """The ticks (t, period_s, enabled; in the order of t) at which a subscriber runs, and its last time and credit after them.
+
+    The first tick after it is enabled runs. Later ones add the time since the last tick to its credit, and it runs when that
+    reaches a period, which it costs; what is left is cut to one period. A gap of more than `most` seconds, or time running
+    backwards, empties the credit."""
+    runs = []
+    for t, period, enabled in rows[["t", "period_s", "enabled"]].itertuples(index=False):
+        gap = None if last is None else t - last
+        run = bool(enabled) and gap is None
+        if not enabled or gap is None or not 0 <= gap <= most:
+            last, credit = (t if enabled else None), 0.0
+        else:
+            last, credit = t, credit + gap
+            if run := credit + 1e-9 >= period:
+                credit = min(credit - period, period)
+        runs.append(run)
+    return rows[runs], last, credit
+
+
+def scheduled(ticks: DataFrame) -> DataFrame:
+    """subscriber, t: when each subscriber runs, from a stream of ticks (subscriber, t in seconds, period_s, enabled)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, caught = state.get if state.exists else (None, [])
-        caught, out = set(caught), []
-        for r in pd.concat(list(batches)).sort_values("t").itertuples():
-            start = r.t if start is None else start
-            if r.t - start >= limit_s:
-                continue
-            for c, z0, z1, y0, y1, x0, x1 in shared.value:
-                if c not in caught and z0 <= r.z <= z1 and y0 <= r.y <= y1 and x0 <= r.x <= x1:
-                    caught.add(c)
-                    out.append((key[0], r.t, c, len(caught)))
-        state.update((start, sorted(caught)))
-        yield pd.DataFrame(out, columns=["session", "t", "column_id", "score"])
-
-    return positions.groupBy("session").applyInPandasWithState(step, "session bigint, t double, column_id bigint, score bigint", "start double, caught array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        last, credit = state.get if state.exists else (None, 0.0)
+        out, last, credit = fired(pd.concat(list(batches)).sort_values("t"), last, credit)
+        state.update((last, credit))
+        yield pd.DataFrame({"subscriber": key[0], "t": out["t"]})
+
+    return ticks.groupBy("subscriber").applyInPandasWithState(step, "subscriber bigint, t double", "last double, credit double", "append", GroupStateTimeout.NoTimeout)
