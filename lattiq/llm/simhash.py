@@ -95,7 +95,10 @@ def _majority(total: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprint(spark: SparkSession, docs: DataFrame, words: int = 4, seed: int = 42, name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (default: all) and the fingerprint of text as a bigint; null texts count as empty."""
+    """The columns `keep` of docs (default: all) and the fingerprint of text as a bigint.
+
+    A row for each row, repeated ones and null ids included; null texts count as empty (fingerprint 0); an empty table
+    gives an empty result; columns may have any names."""
     ship(spark)
     keep = docs.columns if keep is None else keep
     schema = T.StructType([*docs.select(keep).schema.fields, T.StructField(name, T.LongType())])

@@ -89,5 +89,8 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The histogram with its suffix sums; the texts are encoded once."""
+    """The histogram with its suffix sums; the texts are encoded once.
+
+    Null and empty texts have length 0, repeated rows count as often as they occur, ids play no part (so they may be null),
+    and an empty table gives no rows."""
     return suffix_sums(Scratch(spark, "token-counts").keep(histogram(spark, docs, path, pattern), "lengths"))

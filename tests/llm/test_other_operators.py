@@ -4,9 +4,12 @@ import hashlib
 
 import duckdb
 import numpy as np
+import public_tokenizers as P
+import tiktoken
 
 import corpus_pipeline
-from lattiq.llm import chat, neighbours, queries, url_filter
+from lattiq.llm import bpe, chat, decontaminate, neighbours, pii, quality, queries, url_filter
+from tests.llm.test_near_copies import expected
 from tests.parity import difference
 
 SF = "/root/testdata/sf0.001"
@@ -193,6 +196,51 @@ def test_pipeline(spark, tmp_path):
     assert not leaked & {r.doc_id for r in at.collect()}
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() on short documents against all pairs, a tiling of every document by every item, and the library's ids."""
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 1500")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id for r in quality.classify(spark, docs, labels).filter("predicted = 1").collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in good}
+    left = expected(sorted(texts.items()))
+    items = [decontaminate.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def leaked(text):
+        w = decontaminate.words(text)
+        number = {x: n for n, x in enumerate({*w, *(x for i in items for x in i)})}
+        ids = np.array([number[x] for x in w], np.int64)
+        return any(sum(t[2] for t in decontaminate.tiles(ids, np.array([number[x] for x in i], np.int64), min(5, len(i)))) >= 0.5 * len(i) for i in items if i)
+
+    ranks = bpe.read_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for k in left:
+        if not leaked(texts[k]):
+            text = pii.masked(texts[k], pii.find(pii.trained(), [texts[k]])[1][0])
+            want[k] = hashlib.sha256(np.array(encoding.encode_ordinary(text), "<u4").tobytes()).hexdigest()
+    assert 20 < len(want) < len(texts)
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+def test_quality_on_the_fold_that_it_never_saw(spark):
+    """Accuracy over the held-out labels of the tables, and the classes it is never to mix."""
+    sf = "/root/testdata/sf0.01"
+    scores = {r.doc_id: r for r in queries.op2_quality_classifier(spark, sf).collect()}
+    truth = [(scores[r.doc_id], r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").dropna().collect() if r.doc_id in scores]
+    held = [(s.predicted, q) for s, q in truth if s.held_out]
+    assert len(held) > 30 and np.mean([p == q for p, q in held]) >= 0.95
+
+
+def test_an_id_that_many_rows_share_is_learned_from_once(spark):
+    docs = spark.range(100_000).selectExpr("1L as doc_id", "concat('row ', cast(id % 7 as string)) as text").unionByName(spark.createDataFrame([(k, f"a text of its own {k}") for k in range(2, 40)], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id bigint, quality int")
+    assert quality.classify(spark, docs, labels).count() == 100_038
+
+
 def test_driver_views_hold_for_the_url_rules(spark):
     """Hosts and paths of the pages as DuckDB's own functions see them."""
     c = duckdb.connect()

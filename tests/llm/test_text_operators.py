@@ -318,9 +318,11 @@ def test_pii_adds_lost_spans_and_keeps_the_base(spark, odd):
     assert rows[14].spans == "card:3:19" and rows[14].n_added == 1
     assert pii.detect(spark, odd).count() == odd.count() and pii.detect(spark, odd.limit(0)).count() == 0
     test = pii.examples(200, seed=77)
-    got = pii.decoded(pii.trained(), [t for t, _ in test])
-    right = sum(len(set(g) & set(s)) for g, (_, s) in zip(got, test, strict=True))
-    assert right / sum(map(len, got)) > 0.9 and right / sum(len(s) for _, s in test) > 0.85
+    inner = lambda spans, t: {s for s in spans if s[0] > 0 and s[2] < len(t)}  # noqa: E731  an end of the text may cut the others
+    got = [inner(g, t) for g, (t, _) in zip(pii.decoded(pii.trained(), [t for t, _ in test]), test, strict=True)]
+    want = [inner(s, t) for t, s in test]
+    right = sum(len(g & s) for g, s in zip(got, want, strict=True))
+    assert right / sum(map(len, got)) > 0.9 and right / sum(map(len, want)) > 0.85
 
 
 def test_redaction(spark, odd):
@@ -367,3 +369,61 @@ def test_quality_query_shape(spark, odd):
     kept = quality.accepted(spark, docs, labels)
     assert kept.columns == docs.columns and kept.filter("doc_id >= 2000").count() == 0 and kept.filter("doc_id between 1000 and 1999").count() == 60
     assert quality.classify(spark, docs.limit(0), labels).count() == 0
+
+
+def test_tiles_of_equal_words_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert decontaminate.tiles(np.zeros(20_000, np.int64), np.zeros(5_000, np.int64), 5) == [(0, 0, 5000)]
+    assert decontaminate.tiles(np.tile([0] * 99 + [1], 200), np.tile([0] * 37 + [2], 130), 5)[:2] == [(0, 0, 37), (37, 38, 37)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
+def test_long_texts_vote_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    values = [b" ".join(b"w%d" % x for x in rng.integers(0, 500, int(rng.integers(0, 60)))) + b"  \n" * (k % 2) for k in range(60)] + [b"", b" ", b"a b", b"abc" * 50]
+    for words in (1, 4, 5):
+        want = simhash.fingerprints(values, words)
+        for part in (1, 7, 40):
+            monkeypatch.setattr(simhash, "PART", part)
+            assert np.array_equal(simhash.fingerprints(values, words), want)
+        monkeypatch.undo()
+
+
+def test_repeated_benchmark_items_count_once(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, f"so {item} it is")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item)] * 500 + [(8, None)], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, docs, bench, limit=2_000).collect()] == [(1, 7)]
+
+
+def test_the_tagger_adds_what_patterns_lose():
+    model = pii.trained()
+    adds = {
+        "Call +1 (826) 555-4081 190.137.223.204 today": ("phone", "+1 (826) 555-4081"),
+        "Write to anna.lee [at] post [dot] org now": ("email", "anna.lee [at] post [dot] org"),
+        "See 10[.]20[.]30[.]44 for more": ("ip", "10[.]20[.]30[.]44"),
+        "nun 7536784127813050 4845168114407329 da": ("card", "4845168114407329"),
+    }
+    found = 0
+    for text, (kind, value) in adds.items():
+        base, every = pii.find(model, [text])
+        assert set(base[0]) <= set(every[0]) and base[0] == pii.base_spans(text)
+        found += any(pii.KINDS[k] == kind and text[a:b] == value for a, k, b in set(every[0]) - set(base[0]))
+    assert found >= 3
+    right = wrong = lost = 0
+    for text, spans in pii.examples(600, seed=99):
+        want = {s for s in spans if s[0] >= 0 and s[2] <= len(text) and pii.plainly(s[1], text[s[0] : s[2]])}
+        base, every = (set(x[0]) for x in pii.find(model, [text]))
+        right, lost = right + len((every - base) & want), lost + len(want - every)
+        wrong += sum(a > 0 and b < len(text) for a, _, b in (every - base) - want)
+    assert right >= 0.8 * (right + lost) and wrong <= 0.05 * right
+
+
+def test_spans_cut_by_windows_are_joined():
+    whole = [(2, 0, 9, 1.0, False, False)]
+    cut = [(100, 1, 140, 2.0, False, True), (120, 1, 160, 3.0, True, True), (150, 1, 170, 1.0, True, False), (300, 2, 310, 1.0, True, False), (400, 3, 410, 1.0, False, True)]
+    assert sorted(pii.joined([*cut, *whole])) == [(2, 0, 9, 1.0), (100, 1, 170, 3.0)]
