@@ -52,29 +52,30 @@ def quantiles(df: DataFrame, value: str, shares: list[float], few: int = 10_000)
     The ranks asked for are closed in on by counts in 1,024 equal bins, again within the bin, until so few different values
     are left that they can come to the driver: no buffer ever holds all values."""
     rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
-    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    n, low, high, different = rows.agg(F.count("*"), F.min("v"), F.max("v"), F.approx_count_distinct("v")).first()
     if not n:
         return [None] * len(shares)
     places = [s * (n - 1) for s in shares]
-    wanted = sorted({int(f(p)) for p in places for f in (math.floor, math.ceil)})
     found: dict[int, float] = {}
-    todo = [(low, high, 0, wanted)]
+    todo = [(low, high, different, 0, sorted({int(f(p)) for p in places for f in (math.floor, math.ceil)}))]
     while todo:
-        a, b, before, ranks = todo.pop()
-        part = rows.filter((F.col("v") >= a) & (F.col("v") <= b)).groupBy("v").count()
-        values = part.limit(few + 1).collect()
-        if len(values) <= few:
+        a, b, different, before, ranks = todo.pop()
+        if a == b:
+            found |= dict.fromkeys(ranks, a)
+            continue
+        part = rows.filter((F.col("v") >= a) & (F.col("v") <= b))
+        values = part.groupBy("v").count().limit(few + 1).collect() if different <= few else None  # the estimate may be too low
+        if values is not None and len(values) <= few:
             at = before
             for r in sorted(values):
                 found |= {k: r.v for k in ranks if at <= k < at + r["count"]}
                 at += r["count"]
             continue
-        width = (b - a) / 1024
-        bins = part.groupBy(F.least(F.floor((F.col("v") - a) / width), F.lit(1023)).alias("k")).agg(F.sum("count").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        bins = part.groupBy(F.least(F.floor((F.col("v") - a) / ((b - a) / 1024)), F.lit(1023)).alias("k")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), F.approx_count_distinct("v").alias("d"))
         at = before
         for r in sorted(bins.collect(), key=lambda r: r.k):
             if inside := [k for k in ranks if at <= k < at + r.n]:
-                todo.append((r.a, r.b, at, inside))
+                todo.append((r.a, r.b, r.d, at, inside))
             at += r.n
     out = []
     for p in places:
