@@ -253,14 +253,15 @@ def vertex_clustering(spark, sf_dir):
     return geometry.decimated(*_mesh(spark, sf_dir), 4.0)[1].select("mesh_id", "fid")
 
 
-_LONG = _MESH.replace("l_partkey % 40 AS a, (l_partkey * 3 + 1) % 40 AS b, (l_suppkey * 7 + 2) % 40 AS c", "l_orderkey * 3 AS a, l_orderkey * 3 + l_partkey % 5 + 1 AS b, l_orderkey * 3 + l_suppkey % 4 + 6 AS c")
+_LONG = _MESH.replace("l_partkey % 40 AS a, (l_partkey * 3 + 1) % 40 AS b, (l_suppkey * 7 + 2) % 40 AS c", "l_orderkey // 9 * 27 + l_orderkey * 3 % 27 AS a, l_orderkey // 9 * 27 + (l_orderkey * 3 + l_partkey % 5 + 1) % 27 AS b, l_orderkey // 9 * 27 + (l_orderkey * 3 + l_suppkey % 4 + 6) % 27 AS c")
 
 
 @query("WITH RECURSIVE z0 AS (SELECT 1)" + _LONG + ", e AS (SELECT DISTINCT unnest([a, b, b, c, a, c]) AS u, unnest([b, a, c, b, c, a]) AS w FROM g), cc(id, part) USING KEY (id) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.w, min(cc.part) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.w WHERE cc.part < r.part GROUP BY e.w) SELECT part, count(*) AS n FROM cc GROUP BY part HAVING count(*) >= 4")
 def mesh_parts(spark, sf_dir):
     """Connected parts of a mesh and their vertices, parts under four vertices left out."""
     k, o = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") * 3
-    f = k.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fid"), F.lit(0).cast("bigint").alias("mesh_id"), o.alias("a"), (o + F.col("l_partkey") % 5 + 1).alias("b"), (o + F.col("l_suppkey") % 4 + 6).alias("c")).filter("a <> b and b <> c and a <> c")
+    at = lambda more: F.floor(F.col("l_orderkey") / 9) * 27 + (o + more) % 27  # noqa: E731  nine orders make a patch of 27 vertices
+    f = k.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fid"), F.lit(0).cast("bigint").alias("mesh_id"), at(F.lit(0)).alias("a"), at(F.col("l_partkey") % 5 + 1).alias("b"), at(F.col("l_suppkey") % 4 + 6).alias("c")).filter("a <> b and b <> c and a <> c")
     return geometry.parts(f, 4).select("part", F.explode(F.array("a", "b", "c")).alias("v")).distinct().groupBy("part").agg(F.count("*").alias("n"))
 
 
