@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, chat, decontaminate, neighbours, pii, quality, simhash, token_counts, token_files, url_filter
+from lattiq.llm import bpe, chat, codebooks, decontaminate, fill_middle, language, neighbours, pii, quality, simhash, token_counts, token_files, url_filter
 from lattiq.llm.common import table
 
 #: Fixed values of the URL rules.
@@ -70,11 +70,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(spark, table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.digests(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_quality_classifier, op3_pii, op4_byte_level_bpe, op5_nearest_neighbours,
         op6_simhash, op7_token_counts, op8_url_filter, op9_chat_format, op10_token_files,
+        op11_fill_in_middle, op12_vector_codes, op13_language_id,
     )
 }
 
@@ -119,4 +132,48 @@ r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a +
 SELECT page_id, host, path, CASE {" ".join(f"{f} '{r.name}'" for f, r in zip(_FITS, sorted(RULES, key=lambda r: -len(r.name)), strict=True))} END AS rule,
 CASE {" ".join(f"{f} '{r.verdict}'" for f, r in zip(_FITS, sorted(RULES, key=lambda r: -len(r.name)), strict=True))} WHEN lower_bound > 0.4 THEN 'block' ELSE 'allow' END AS verdict FROM pg LEFT JOIN r USING (host)
 """
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": _OP8, "op9_chat_format": _OP9}
+_H = "CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), {}, 8) AS BIGINT)"
+_OP11 = f"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{fill_middle.UNIT}') AS u, {", ".join(f"{_H.format(1 + 8 * i)} AS h{i + 1}" for i in range(4))} FROM documents),
+n AS (SELECT *, CAST(len(u) AS BIGINT) AS n FROM u), c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR {" OR ".join(f"contains(t, '{m}')" for m in fill_middle.MARKS)} OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def _op12(rounds: int = 6) -> str:
+    """Six rounds and a last assignment, each by all distances."""
+    near = "(SELECT p.vec_id, p.label, p.part, p.x, min(list_sum(list_transform(list_zip(p.x, b.c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) * 16 + b.entry) AS best FROM p JOIN b{} b USING (part) GROUP BY ALL)"
+    out = """
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS x FROM k, range(8) r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16))"""
+    for r in range(rounds):
+        out += f""",
+a{r} AS MATERIALIZED {near.format(r)},
+s{r} AS (SELECT part, best % 16 AS entry, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, len(x) + 1)) q(i) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry))"""
+    return out + f""",
+z AS MATERIALIZED {near.format(rounds)},
+f AS (SELECT vec_id, label, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM z GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM f"""
+
+
+#: crc32 of doc_id as text, a byte and its eight shifts at a time.
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda h: [CAST(ascii(h) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+_OP13 = f"""
+WITH low AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, regexp_replace(' ' || lower(text) || ' ', '[^\\p{{L}}]+', ' ', 'g') AS t FROM documents),
+pos AS MATERIALIZED (SELECT r, c, lead(c) OVER w AS c2, lead(c, 2) OVER w AS c3 FROM (SELECT r, unnest(str_split(t, '')) AS c, unnest(range(1, length(t) + 1)) AS i FROM low WHERE t <> ' ') WINDOW w AS (PARTITION BY r ORDER BY i)),
+g AS MATERIALIZED (SELECT r, gram, count(*) AS n FROM (SELECT r, unnest([CASE WHEN c <> ' ' THEN c END, c || c2, CASE WHEN c2 <> ' ' THEN c || c2 || c3 END]) AS gram FROM pos) WHERE gram IS NOT NULL GROUP BY ALL),
+q AS MATERIALIZED (SELECT r, gram, row_number() OVER (PARTITION BY r ORDER BY n DESC, gram) - 1 AS rank FROM g QUALIFY rank < 300),
+prof AS MATERIALIZED (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS place FROM g JOIN low USING (r) WHERE lang IS NOT NULL AND {_CRC} % 5 <> 0 GROUP BY lang, gram QUALIFY place < 300),
+size AS (SELECT r, count(*) AS m FROM q GROUP BY r),
+hit AS (SELECT r, lang, sum(abs(rank - place)) AS far, count(*) AS k FROM q JOIN prof USING (gram) GROUP BY ALL),
+dist AS (SELECT r, l.lang, m, CAST(coalesce(far, 0) + 300 * (m - coalesce(k, 0)) AS BIGINT) AS d FROM size CROSS JOIN (SELECT DISTINCT lang FROM prof) l LEFT JOIN hit USING (r, lang)),
+best AS (SELECT r, m, min(d) AS d, arg_min(lang, (d, lang)) AS lang FROM dist GROUP BY ALL)
+SELECT doc_id, {_CRC} % 5 = 0 AS held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - CAST(d AS DOUBLE) / (300 * m), 0) AS score FROM low LEFT JOIN best USING (r)
+"""
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": _OP8, "op9_chat_format": _OP9, "op11_fill_in_middle": _OP11, "op12_vector_codes": _op12(), "op13_language_id": _OP13}
