@@ -6,7 +6,6 @@ groups by line or block. Dense numpy kernels run inside grouped pandas functions
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -182,58 +181,6 @@ def passage_time(u: Column) -> Column:
     return F.least(F.greatest(1 - u, F.lit(0.0)), F.lit(1.0))
 
 
-def watershed(mask: np.ndarray, seeds: np.ndarray, priority: np.ndarray) -> np.ndarray:
-    """Flooding from labelled seeds in the order of priority, then of arrival, six neighbours, within the mask."""
-    out = np.where(mask, seeds, 0)
-    queue = [(float(priority[tuple(p)]), i, *map(int, p)) for i, p in enumerate(np.argwhere(out > 0))]
-    heapq.heapify(queue)
-    n = len(queue)
-    while queue:
-        _, _, *p = heapq.heappop(queue)
-        for d in SIX:
-            q = tuple(a + b for a, b in zip(p, d, strict=True))
-            if all(0 <= a < s for a, s in zip(q, mask.shape, strict=True)) and mask[q] and not out[q]:
-                out[q] = out[tuple(p)]
-                heapq.heappush(queue, (float(priority[q]), n, *q))
-                n += 1
-    return out
-
-
-def travel_times(speed: np.ndarray, area: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """First-order eikonal travel time from the source by the order of arrival; infinite where nothing arrives."""
-    t = np.where(source & area, 0.0, np.inf)
-    done = np.zeros(area.shape, bool)
-    queue = [(0.0, *map(int, p)) for p in np.argwhere(source & area)]
-    heapq.heapify(queue)
-    shape = area.shape
-    while queue:
-        value, *p = heapq.heappop(queue)
-        p = tuple(p)
-        if done[p] or value > t[p]:
-            continue
-        done[p] = True
-        for d in SIX:
-            q = tuple(a + b for a, b in zip(p, d, strict=True))
-            if not all(0 <= a < s for a, s in zip(q, shape, strict=True)) or not area[q] or done[q]:
-                continue
-            best = []
-            for k in range(3):
-                around = [tuple(c + (e if j == k else 0) for j, c in enumerate(q)) for e in (-1, 1)]
-                near = [t[r] for r in around if 0 <= r[k] < shape[k]]
-                if near and np.isfinite(m := min(near)):
-                    best.append(m)
-            best.sort()
-            cost, new = 1 / max(float(speed[q]), 1e-6), np.inf
-            for m in range(1, len(best) + 1):
-                a, b, c = m, -2 * sum(best[:m]), sum(x * x for x in best[:m]) - cost * cost
-                if b * b - 4 * a * c >= 0 and (root := (-b + math.sqrt(b * b - 4 * a * c)) / (2 * a)) >= best[m - 1]:
-                    new = root
-            if new < t[q]:
-                t[q] = new
-                heapq.heappush(queue, (new, *q))
-    return t
-
-
 def streamlines(seeds: DataFrame, field: DataFrame, n: int, step: float = 0.5, most: int = 500, arrive: float = 0.98, side: int = 32) -> DataFrame:
     """path_id, i, z, y, x: Euler steps along the trilinear direction from each seed (path_id, z, y, x), until u reaches
     `arrive`, the direction vanishes, the grid ends or `most` steps are made.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions.shaping import clip01, glow
-from lattiq.operators import fields, geometry, graph, paths, profiles, timelines, voxels
+from lattiq.operators import fields, geometry, graph, paths, profiles, relaxation, timelines, voxels
 from lattiq.operators.profiles import HALF_TURN
 from lattiq.operators.tables import Workspace, quantiles
 from lattiq.operators.voxels import AXES
@@ -77,19 +77,9 @@ def basins(area: DataFrame, distance: DataFrame, n: int, seeds: int) -> DataFram
     if first is None:
         return labels.select(F.col("cid").alias("column_id"), *AXES, "d")
     chosen = profiles.farthest_seeds(labels, seeds, list(AXES), (first.z, first.y, first.x))
-    marks = {tuple(map(int, s)): i + 1 for i, s in enumerate(chosen)}
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[list(AXES)].to_numpy()
-        low = p.min(0)
-        at = tuple((p - low).T)
-        shape = tuple(p.max(0) - low + 1)
-        mask, seed, order = np.zeros(shape, bool), np.zeros(shape, int), np.zeros(shape)
-        mask[at], order[at] = True, pdf["d"]
-        seed[at] = [marks.get(tuple(q), 0) for q in p.tolist()]
-        return pdf[[*AXES, "d"]].assign(column_id=fields.watershed(mask, seed, order)[at])
-
-    return labels.groupBy("cid").applyInPandas(flood, "z bigint, y bigint, x bigint, d double, column_id bigint").filter("column_id > 0").select("column_id", *AXES, "d")
+    marks = area.sparkSession.createDataFrame([(*map(int, s), i + 1) for i, s in enumerate(chosen)], "z bigint, y bigint, x bigint, label bigint")  # `seeds` rows at most
+    basin = relaxation.flooded(labels.select(*AXES, F.col("d").alias("priority")).join(F.broadcast(marks), list(AXES), "left"))
+    return labels.join(basin, list(AXES)).select(F.col("label").alias("column_id"), *AXES, "d")
 
 
 def membranes(area: DataFrame, distance: DataFrame, n: int, seeds: int, levels: int, steps: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattiq.operators import fields, geometry, graph, profiles, voxels
+from lattiq.operators import fields, geometry, graph, profiles, relaxation, voxels
 from lattiq.plans.base import REC, VOX, query, table, vox
 
 ZYX = ["z", "y", "x"]
@@ -134,27 +134,39 @@ def kmedoids(spark, sf_dir):
     return spark.createDataFrame([(i, *s) for i, s in enumerate(centres)], "centre int, z double, y double, x double")
 
 
-@query()
+#: Ways of a step between voxels of m (id, z, y, x, ...), six neighbours; axis of the step.
+_SIX = "e AS MATERIALIZED (SELECT a.id AS u, b.id AS w, axis FROM m a, (VALUES (1, 0, 0, 0), (-1, 0, 0, 0), (0, 1, 0, 1), (0, -1, 0, 1), (0, 0, 1, 2), (0, 0, -1, 2)) o(dz, dy, dx, axis) JOIN m b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx)"
+
+
+@query(REC + """, m AS MATERIALIZED (SELECT z, y, x, (z * n + y) * n + x AS id, -v AS p FROM vox, p WHERE v >= 46), """ + _SIX + """,
+cc(id, cid) USING KEY (id) AS (SELECT id, id FROM m UNION SELECT e.w, min(cc.cid) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.w WHERE cc.cid < r.cid GROUP BY e.w),
+s AS MATERIALIZED (SELECT cid, min(id) AS a, max(id) AS b FROM cc GROUP BY cid), seed AS MATERIALIZED (SELECT a AS id, 1 AS label FROM s UNION ALL SELECT b, 2 FROM s WHERE b > a),
+lv(id, level) USING KEY (id) AS (SELECT seed.id, m.p FROM seed JOIN m USING (id) UNION SELECT e.w, min(greatest(lv.level, m.p)) FROM lv JOIN e ON e.u = lv.id JOIN m ON m.id = e.w LEFT JOIN recurring.lv r ON r.id = e.w WHERE r.level IS NULL OR greatest(lv.level, m.p) < r.level GROUP BY e.w),
+k AS MATERIALIZED (SELECT e.u, e.w FROM e JOIN lv a ON a.id = e.u JOIN lv b ON b.id = e.w JOIN m ON m.id = e.w WHERE greatest(a.level, m.p) = b.level),
+rk(id, rank) USING KEY (id) AS (SELECT id, label FROM seed UNION SELECT k.w, min(rk.rank + 3) FROM rk JOIN k ON k.u = rk.id LEFT JOIN recurring.rk r ON r.id = k.w WHERE r.rank IS NULL OR rk.rank + 3 < r.rank GROUP BY k.w)
+SELECT cid, z, y, x, CAST(rank % 3 AS BIGINT) AS basin FROM rk JOIN cc USING (id) JOIN m USING (id)""")
 def crown_watershed(spark, sf_dir):
     """Each component of the mask flooded from its first and last voxel, on its own, in the order of descending value."""
-    import numpy as np
-    import pandas as pd
-
     v, n = vox(spark, sf_dir)
-    labels = graph.labelled(v.filter("v >= 46"), n, 6, ["v"])
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[ZYX].to_numpy()
-        at = tuple((p - p.min(0)).T)
-        shape = tuple(p.max(0) - p.min(0) + 1)
-        mask, seeds, priority = np.zeros(shape, bool), np.zeros(shape, int), np.zeros(shape)
-        mask[at], priority[at] = True, -pdf["v"]
-        order = np.lexsort(at[::-1])
-        for k, i in ((1, order[0]), (2, order[-1])) if len(p) > 1 else ((1, order[0]),):
-            seeds[tuple(a[i] for a in at)] = k
-        return pdf[["cid", *ZYX]].assign(basin=fields.watershed(mask, seeds, priority)[at])
-
-    return labels.groupBy("cid").applyInPandas(flood, "cid bigint, z bigint, y bigint, x bigint, basin bigint")
+    labels = fields.Workspace(spark, "crown").keep(graph.labelled(v.filter("v >= 46"), n, 6, ["v"]).withColumn("id", graph.linear(n)))
+    ends = labels.groupBy("cid").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    marks = ends.select(F.col("a").alias("id"), F.lit(1).alias("label")).unionByName(ends.filter("b > a").select(F.col("b").alias("id"), F.lit(2).alias("label")))
+    basin = relaxation.flooded(labels.join(marks, "id", "left").select(*ZYX, (-F.col("v")).alias("priority"), "label"))
+    return labels.join(basin, ZYX).select("cid", *ZYX, F.col("label").alias("basin"))
+
+
+@query(REC + """, m AS MATERIALIZED (SELECT z, y, x, (z * n + y) * n + x AS id, 50 / v AS cost FROM vox, p WHERE v >= 15), """ + _SIX + """,
+b(id, t) USING KEY (id) AS (SELECT id, 0::DOUBLE FROM m WHERE z < 2 UNION SELECT id, t FROM (
+  SELECT id, CASE WHEN NOT cost > l2 - l1 THEN l1 + cost WHEN NOT (l2 - l1 + sqrt(greatest(2 * cost * cost - (l2 - l1) ** 2, 0))) / 2 > l3 - l1 THEN l1 + (l2 - l1 + sqrt(greatest(2 * cost * cost - (l2 - l1) ** 2, 0))) / 2
+    ELSE l1 + (l2 - l1 + l3 - l1 + sqrt(greatest((l2 - l1 + l3 - l1) ** 2 - 3 * ((l2 - l1) ** 2 + (l3 - l1) ** 2 - cost * cost), 0))) / 3 END AS t FROM (
+      SELECT id, list_sort(list_concat(list(t), [1e200, 1e200])) AS l, l[1] AS l1, l[2] AS l2, l[3] AS l3 FROM (SELECT c.w AS id, e.axis, min(r.t) AS t FROM (SELECT DISTINCT e.w FROM b JOIN e ON e.u = b.id) c JOIN e ON e.w = c.w JOIN recurring.b r ON r.id = e.u GROUP BY ALL) GROUP BY id) JOIN m USING (id)
+  ) c LEFT JOIN (SELECT id, t AS was FROM recurring.b) r USING (id) WHERE was IS NULL OR t < was * (1 - 1e-13))
+SELECT z, y, x, round(t, 6) AS t FROM m LEFT JOIN b USING (id)""")
+def eikonal_times(spark, sf_dir):
+    """When a front from the first two planes arrives at the voxels of 15 or more, at a speed that grows with the value."""
+    v, _ = vox(spark, sf_dir)
+    cells = v.filter("v >= 15").select(*ZYX, (F.col("v") / 50).alias("speed"), (F.col("z") < 2).alias("source"))
+    return relaxation.travel_times(cells).select(*ZYX, F.round("t", 6).alias("t"))
 
 
 def _flow(spark, sf_dir):
