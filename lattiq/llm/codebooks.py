@@ -190,7 +190,8 @@ def compress(spark: SparkSession, table: DataFrame, parts: int = 8, entries: int
     start = [r.x for r in state.select("vec_id", "x").orderBy(F.asc_nulls_last("vec_id"), "x").limit(entries).collect()]
     if not start:
         return state.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("bigint").alias("error")), None
-    most = state.select(F.array_max(F.transform("x", lambda v: F.greatest(v, -(v + 1)))).alias("m")).agg(F.max("m")).first()[0] + 1
+    low, high = state.agg(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
+    most = max(high, -low)
     if most > LARGEST:
         raise ValueError(f"components of {LARGEST} or more after scaling")
     d = len(start[0]) // parts

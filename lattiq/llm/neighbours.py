@@ -34,6 +34,7 @@ class Forest:
         self.plane, self.cut, self.left, self.right, self.share, self.roots = [], [], [], [], [], []
         for _ in range(trees):
             self.roots.append(self._grow(sample, np.arange(len(sample)), leaf, rng, max(1, len(sample))))
+        self.tree = np.searchsorted(self.roots, np.arange(len(self.left)), "right") - 1  # nodes of a tree follow its root
         self.plane = np.array(self.plane, np.float64).reshape(len(self.left), -1)
         self.cut, self.left, self.right, self.share = (np.array(x) for x in (self.cut, self.left, self.right, self.share))
 
@@ -68,13 +69,14 @@ class Forest:
             out[:, t] = at
         return out
 
-    def probe(self, q: np.ndarray, part: float) -> list[int]:
-        """The leaves to search: best first over all trees, until each tree's share of the work sums to `part` a tree."""
+    def probe(self, q: np.ndarray, part: float, rows: np.ndarray, least: int) -> list[int]:
+        """The leaves to search: best first over all trees, until each tree's share of the work sums to `part` a tree and the
+        leaves of one tree hold `least` rows (rows: of each node), or no leaf is left."""
         side = self.plane @ q - self.cut
         queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
-        out, seen = [], 0.0
-        while queue and seen < part * len(self.roots):
+        out, seen, held = [], 0.0, np.zeros(len(self.roots), np.int64)
+        while queue and (seen < part * len(self.roots) or held.max() < least):
             far, n = heapq.heappop(queue)
             while self.left[n] >= 0:
                 near, other = (self.left[n], self.right[n]) if side[n] < 0 else (self.right[n], self.left[n])
@@ -82,6 +84,7 @@ class Forest:
                 n = near
             out.append(int(n))
             seen += self.share[n]
+            held[self.tree[n]] += rows[n]
         return out
 
 
@@ -147,7 +150,8 @@ def best_of(qs: np.ndarray, q: np.ndarray, at: np.ndarray, leaf: np.ndarray, xs:
 def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, trees: int = 2, leaf: int = LEAF, part: float = 0.6) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every` its k best others found.
 
-    A query is shown leaves that hold `part` of all rows; with part = 1 every leaf is searched, so the result is exact.
+    A query is shown leaves that hold `part` of all rows, and so many that k candidates are among them (all rows, if there
+    are fewer); with part = 1 every leaf is searched, so the result is exact.
     Ties go to the smaller vec_id. A query is no candidate of its own. Vectors that take no part (see vectors())
     have no rows; a vec_id that repeats counts with each of its different vectors as a candidate and once in a
     result. Equal vectors form a class whose k + 1 smallest ids stand for it (no other can be among k), so a
@@ -169,13 +173,20 @@ def search(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20,
             for t in range(found.shape[1]):
                 yield pa.RecordBatch.from_pydict({"leaf": pa.array(found[:, t]), "vec_id": b.column(0), "embedding": b.column(1)})
 
+    placed = scratch.keep(rows.mapInArrow(index, "leaf bigint, vec_id bigint, embedding array<double>"), "index")
+    parts = scratch.keep(placed.groupBy("leaf").count().select("leaf", "count", F.ceil(F.col("count") / PIECE).alias("parts")), "parts")  # as many rows as leaves
+    held = np.zeros(max(1, len(forest.value.left)), np.int64)
+    for r in parts.collect():
+        held[r.leaf] = r["count"]
+    parts = parts.drop("count")
+    # so many rows hold k ids beside the query's own for certain
+    least = (k + 1) * (rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
+
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [forest.value.probe(q, part) if part < 1 else np.flatnonzero(forest.value.left < 0).tolist() for q in _matrix(b.column(1))]
+            found = [forest.value.probe(q, part, held, least) if part < 1 else np.flatnonzero(forest.value.left < 0).tolist() for q in _matrix(b.column(1))]
             yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "embedding": b.column(1), "leaves": pa.array(found, pa.list_(pa.int64()))})
 
-    placed = scratch.keep(rows.mapInArrow(index, "leaf bigint, vec_id bigint, embedding array<double>"), "index")
-    parts = scratch.keep(placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PIECE).alias("parts")), "parts")  # as many rows as leaves
     shelves = max(1, placed.count() // SHELF)
     n_blocks = asked.count() // ASKED + 1
     shelf = lambda: F.pmod(F.xxhash64("leaf", "part"), F.lit(shelves))

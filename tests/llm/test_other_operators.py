@@ -62,6 +62,22 @@ def test_neighbours_recall_on_more_vectors_and_exact_mode(spark):
     assert recall_of(found_by(neighbours.search(spark, few, part=1.0)), some) == 1.0
 
 
+def test_neighbours_are_k_on_tables_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    for n in range(1, 65):  # what search() probes, for every query, without Spark
+        x = rng.standard_normal((n, 6))
+        forest = neighbours.Forest(np.unique(x, axis=0), 2, max(8, int(n * min(neighbours.LEAF, n / 64) / n)))
+        leaves = forest.leaves(x)
+        rows = np.bincount(leaves.ravel(), minlength=len(forest.left))
+        for i in range(n):
+            seen = np.isin(leaves, forest.probe(x[i], 0.6, rows, 21)).any(1)
+            assert seen.sum() - seen[i] >= min(20, n - 1)
+    for n in (2, 18, 22, 40):
+        df = spark.createDataFrame([(20 * i, rng.standard_normal(6).tolist()) for i in range(n)] + [(20, rng.standard_normal(6).tolist())] * 3, "vec_id bigint, embedding array<double>")
+        got = neighbours.search(spark, df).groupBy("query_id").count().collect()
+        assert len(got) == n and {r["count"] for r in got} == {min(20, n - 1)}
+
+
 def test_neighbours_need_few_leaves_where_vectors_cluster(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 16))
