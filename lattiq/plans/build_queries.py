@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from lattiq.operators import geometry, graph, meshes
 from lattiq.plans import builds
 from lattiq.plans.base import REC, VOX, query, table, vox
 
@@ -90,3 +93,62 @@ def ui_replay(spark, sf_dir):
     at = F.row_number().over(Window.partitionBy("track").orderBy("i")) - 1
     frames = k.select("track", at.alias("a")).select("track", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r"), "a").select("track", (F.col("a") * 4 + F.col("r")).cast("bigint").alias("frame"), (F.col("a") + F.col("r") / 4).alias("keyframe"))
     return builds.ui_track(frames, k, ["hue"], ["mode"]).select("track", "frame", F.round("hue", 6).alias("hue"), "mode")
+
+
+_PARTS = """, m AS MATERIALIZED (SELECT z, y, x, (z * n + y) * n + x AS id FROM vox, p WHERE v >= 46), e AS MATERIALIZED (SELECT a.id AS u, b.id AS w FROM m a, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(dz, dy, dx) JOIN m b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+cc(id, cid) USING KEY (id) AS (SELECT id, id FROM m UNION SELECT e.w, min(cc.cid) FROM cc JOIN e ON e.u = cc.id JOIN recurring.cc r ON r.id = e.w WHERE cc.cid < r.cid GROUP BY e.w)"""
+
+
+@query(REC + _PARTS + """, k AS (SELECT cid, z - dz AS cz, y - dy AS cy, x - dx AS cx, count(*) AS n FROM cc JOIN m USING (id), (VALUES (0), (1)) a(dz), (VALUES (0), (1)) b(dy), (VALUES (0), (1)) c(dx) GROUP BY ALL)
+SELECT cid AS mesh_id, count(*) AS n_cells FROM k WHERE n < 8 GROUP BY cid""")
+def component_cells(spark, sf_dir):
+    """How many cells the surface of each component of the voxels of 46 or more crosses."""
+    v, n = vox(spark, sf_dir)
+    own = graph.labelled(v.filter("v >= 46"), n, 6).select(F.col("cid").alias("mesh_id"), *ZYX, F.lit(1.0).alias("v"))
+    return geometry.sparse_iso_triangles(own, ["mesh_id"], n).select("mesh_id", "cell").distinct().groupBy("mesh_id").agg(F.count("*").alias("n_cells"))
+
+
+@query()
+def component_surfaces(spark, sf_dir):
+    """The surfaces of the components of three voxels and more of those of 46 or more, smoothed and reduced to their budgets."""
+    v, n = vox(spark, sf_dir)
+    stats, _, faces = builds.component_surfaces(v, n, 46.0, 20_000, 3, 0.0, 5)
+    return stats.join(meshes.euler_numbers(faces), "mesh_id")
+
+
+#: Heights over (y, x): the greatest value of each column of the volume, two faces between four neighbours.
+_RELIEF = """, g AS MATERIALIZED (SELECT a.range AS y, b.range AS x, coalesce(max(v), 0)::DOUBLE AS z FROM range((SELECT n FROM p)) a, range((SELECT n FROM p)) b LEFT JOIN vox ON vox.y = a.range AND vox.x = b.range GROUP BY ALL), v AS MATERIALIZED (SELECT y * n + x AS vid, z, y::DOUBLE AS y, x::DOUBLE AS x FROM g, p),
+f AS MATERIALIZED (SELECT (y * n + x) * 2 + k AS fid, y * n + x + CASE k WHEN 0 THEN 0 ELSE 1 END AS a, y * n + x + n AS b, y * n + x + CASE k WHEN 0 THEN 1 ELSE n + 1 END AS c FROM g, p, (VALUES (0), (1)) o(k) WHERE y < n - 1 AND x < n - 1)"""
+
+
+def _relief(spark, sf_dir):
+    v, n = vox(spark, sf_dir)
+    top = v.groupBy("y", "x").agg(F.max("v").alias("h"))
+    grid = spark.range(n * n).select(F.col("id").alias("vid"), (F.col("id") / n).cast("bigint").alias("y"), (F.col("id") % n).alias("x"))
+    verts = grid.join(top, ["y", "x"], "left").select(F.lit(0).cast("bigint").alias("mesh_id"), "vid", F.coalesce("h", F.lit(0)).cast("double").alias("z"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    cell = grid.filter((F.col("y") < n - 1) & (F.col("x") < n - 1)).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    faces = cell.select(F.lit(0).cast("bigint").alias("mesh_id"), (F.col("vid") * 2 + F.col("k")).alias("fid"), (F.col("vid") + F.col("k")).alias("a"), (F.col("vid") + n).alias("b"), (F.col("vid") + F.when(F.col("k") == 0, 1).otherwise(n + 1)).alias("c"))
+    return verts, faces
+
+
+@query()
+def reduced_relief(spark, sf_dir):
+    """The relief with three tenths of its faces, its rim kept: what is left of it, and the greatest height."""
+    verts, faces = _relief(spark, sf_dir)
+    targets = faces.groupBy("mesh_id").agg((F.count("*") * 3 / 10).cast("bigint").alias("target"))
+    new, left = meshes.reduced(verts, faces, targets)
+    return meshes.euler_numbers(left).join(new.groupBy("mesh_id").agg(F.round(F.max("z"), 6).alias("top")), "mesh_id")
+
+
+@query(REC + _RELIEF + """, q AS (SELECT f.*, q.z - p.z AS uz, q.y - p.y AS uy, q.x - p.x AS ux, r.z - p.z AS wz, r.y - p.y AS wy, r.x - p.x AS wx FROM f JOIN v p ON p.vid = a JOIN v q ON q.vid = b JOIN v r ON r.vid = c),
+nn AS MATERIALIZED (SELECT fid, a, b, c, uy * wx - ux * wy AS nz, ux * wz - uz * wx AS ny, uz * wy - uy * wz AS nx FROM q), s AS MATERIALIZED (SELECT *, sqrt(nz * nz + ny * ny + nx * nx) AS s FROM nn),
+sd AS (SELECT fid, least(t[1], t[2]) AS u, greatest(t[1], t[2]) AS w FROM (SELECT fid, unnest([[a, b], [b, c], [c, a]]) AS t FROM f)), pr AS (SELECT u, w, min(fid) AS f0, max(fid) AS f1 FROM sd GROUP BY u, w HAVING count(*) = 2),
+so AS MATERIALIZED (SELECT u, w, f0, f1 FROM pr JOIN s i ON i.fid = f0 JOIN s j ON j.fid = f1 WHERE i.nz * j.nz + i.ny * j.ny + i.nx * j.nx >= """ + repr(math.cos(math.radians(60.0))) + """ * i.s * j.s),
+k AS MATERIALIZED (SELECT unnest([f0, f1]) AS f, unnest([f1, f0]) AS g, vid FROM (SELECT f0, f1, unnest([u, w]) AS vid FROM so)), co AS MATERIALIZED (SELECT fid, unnest([a, b, c]) AS vid FROM f),
+cc(fid, vid, part) USING KEY (fid, vid) AS (SELECT fid, vid, fid FROM co UNION SELECT k.g, k.vid, min(cc.part) FROM cc JOIN k ON k.f = cc.fid AND k.vid = cc.vid JOIN recurring.cc r ON r.fid = k.g AND r.vid = k.vid WHERE cc.part < r.part GROUP BY k.g, k.vid),
+n3 AS (SELECT vid, part, sum(nz) AS nz, sum(ny) AS ny, sum(nx) AS nx FROM cc JOIN nn USING (fid) GROUP BY vid, part)
+SELECT vid, part, round(nz / sqrt(nz * nz + ny * ny + nx * nx), 5) + 0.0 AS nz, round(ny / sqrt(nz * nz + ny * ny + nx * nx), 5) + 0.0 AS ny, round(nx / sqrt(nz * nz + ny * ny + nx * nx), 5) + 0.0 AS nx FROM n3""")
+def split_normals(spark, sf_dir):
+    """Normals of the relief, its vertices split where faces meet at more than 60 degrees."""
+    points, _ = meshes.split_normals(*_relief(spark, sf_dir))
+    return points.select("vid", "part", *((F.round(c, 5) + 0.0).alias(c) for c in ("nz", "ny", "nx")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions.shaping import clip01, glow
-from lattiq.operators import fields, geometry, graph, paths, profiles, relaxation, timelines, voxels
+from lattiq.operators import fields, geometry, graph, meshes, paths, profiles, relaxation, timelines, voxels
 from lattiq.operators.profiles import HALF_TURN
 from lattiq.operators.tables import Workspace, quantiles
 from lattiq.operators.voxels import AXES
@@ -68,6 +68,51 @@ def field_bundle(area: DataFrame, source: DataFrame, target: DataFrame, n: int,
     return out.select(*AXES, F.col("v").alias("u"), *(F.when(F.col("speed") > 1e-9, F.col(f"g{a}") / F.col("speed")).otherwise(0.0).alias(f"v{a}") for a in AXES), "speed", F.sqrt("d2").alias("wall"))
 
 
+#: Faces per voxel of thin and compact components, faces that a surface should have before its reduction for each one
+#: after it, the widest stride, and the share of smoothing before the reduction with its most rounds.
+FACES_THIN, FACES_COMPACT, HEADROOM, WIDEST, SMOOTH_FIRST, SMOOTH_MOST = 2.0, 25.0, 3.0, 6, 0.2, 15
+
+
+def component_surfaces(volume: DataFrame, n: int, level: float, budget: int, least: int = 1, sigma: float = 0.0, smooth: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mesh_id, n_vox, target, stride), verts and faces of the surface at `level` of each six-connected component of at least
+    `least` voxels, all of them in the same jobs; mesh_id is the component's first voxel.
+
+    A component is taken with its own values and those of the voxels beside it; all else lies below the level (-1), so surfaces are
+    closed. Budgets share `budget` faces by size. A component with a far larger surface than its budget is sampled at a stride of its own. Values
+    are blurred by sigma where it is not 0, surfaces smoothed `smooth` times, a part of it before they are reduced."""
+    space = Workspace(volume.sparkSession, "surfaces")
+    volume = space.keep(volume.select(*AXES, F.col("v").cast("double").alias("v")))
+    labels = space.keep(graph.labelled(volume.filter(F.col("v") >= level), n, 6, ["v"]))
+    stats = profiles.component_budgets(graph.component_stats(labels, n).filter(F.col("n_vox") >= least), budget)
+    guess = F.greatest(FACES_COMPACT * F.pow("n_vox", F.lit(2 / 3)), FACES_THIN * F.col("n_vox")) / (HEADROOM * F.col("budget"))
+    stride = F.when(guess <= 1, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(WIDEST), F.bround(F.sqrt(guess)).cast("int"))))
+    reach = int(4 * sigma + 0.5)
+    pad = reach + 2
+    stats = space.keep(stats.select(F.col("cid").alias("mesh_id"), "n_vox", F.col("budget").alias("target"), stride.alias("stride"), *(F.col(f"{a}0").alias(f"{a}0") for a in AXES)))
+    own = labels.join(stats.select(F.col("mesh_id").alias("cid")), "cid", "left_semi").select(F.col("cid").alias("mesh_id"), *AXES, "v")
+    inside = F.lit(True)
+    for a in AXES:
+        inside = inside & F.col(a).between(0, n - 1)
+    ring = voxels.moved(own, voxels.SIX, ["mesh_id"]).filter(inside).distinct().join(own.select("mesh_id", *AXES), ["mesh_id", *AXES], "left_anti")
+    ring = ring.join(volume, list(AXES), "left").select("mesh_id", *AXES, F.coalesce("v", F.lit(0.0)).alias("v"))
+    rows = own.unionByName(ring).join(stats.drop("n_vox", "target"), "mesh_id").select("mesh_id", "stride", *((F.col(a) - F.col(f"{a}0") + pad).alias(a) for a in AXES), (F.col("v") + 1).alias("v"))
+    if reach:
+        weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+        for a in AXES:
+            taps = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-reach, reach + 1), weights, strict=True))))
+            rows = rows.withColumn("_t", taps).withColumn(a, F.col(a) + F.col("_t.k")).groupBy("mesh_id", "stride", *AXES).agg(F.sum(F.col("v") * F.col("_t.w")).alias("v"))
+    rows = rows.filter(" and ".join(f"{a} % stride = 0" for a in AXES)).select("mesh_id", *((F.col(a) / F.col("stride")).cast("bigint").alias(a) for a in AXES), (F.col("v") - 1 - level).alias("v"))
+    tri = geometry.sparse_iso_triangles(rows, ["mesh_id"], n + 2 * pad, -1.0 - level).join(stats, "mesh_id")
+    verts, faces = geometry.welded(tri.select("mesh_id", "cell", "tri", "corner", *((F.col(a) * F.col("stride") + F.col(f"{a}0") - pad).alias(a) for a in AXES)))
+    first = min(SMOOTH_MOST, max(1, round(smooth * SMOOTH_FIRST))) if smooth else 0
+    if first:
+        verts = geometry.smoothed(verts, faces, first)
+    verts, faces = meshes.reduced(verts, faces, stats)
+    if smooth > first:
+        verts = geometry.smoothed(verts, faces, smooth - first)
+    return stats.select("mesh_id", "n_vox", "target", "stride"), verts, faces
+
+
 def basins(area: DataFrame, distance: DataFrame, n: int, seeds: int) -> DataFrame:
     """column_id, z, y, x, d: each component of the area flooded from seeds far apart (of all components, at most `seeds`),
     in the order of distance; parts without a seed get none."""
