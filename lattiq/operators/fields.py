@@ -103,79 +103,6 @@ def jacobi(edges: DataFrame, fixed: DataFrame, rounds: int, start: float = 0.5)
     return nodes.select("node", "u")
 
 
-def solved(u: np.ndarray, v: np.ndarray, known: dict[int, float], tolerance: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and values of Laplace's equation on edges u-v (both ways) with fixed nodes, by conjugate gradients in numpy."""
-    nodes = np.unique(np.concatenate([u, np.fromiter(known, np.int64, len(known))]))
-    u, v = np.searchsorted(nodes, u), np.searchsorted(nodes, v)
-    fixed = np.isin(nodes, np.fromiter(known, np.int64, len(known)))
-    x = np.array([known.get(k, 0.5) for k in nodes.tolist()])
-    degree = np.maximum(np.bincount(u, minlength=len(nodes)), 1).astype(float)
-    inner, edge = ~fixed[u] & ~fixed[v], ~fixed[u] & fixed[v]
-    b = np.bincount(u[edge], x[v[edge]], len(nodes))
-    free = (~fixed).astype(float)
-    times = lambda p: free * (degree * p - np.bincount(u[inner], p[v[inner]], len(nodes)))
-    r = free * (b - times(free * x))
-    p, size = r / degree, float(b @ b)
-    rz = float(r @ p)
-    for _ in range(most if size else 0):
-        ap = times(p)
-        if (pap := float(p @ ap)) == 0:
-            break
-        x, r = x + rz / pap * p, r - rz / pap * ap
-        z = r / degree
-        new = float(r @ z)
-        if float(r @ r) <= tolerance * tolerance * size:
-            break
-        p, rz = z + new / rz * p, new
-    return nodes, x
-
-
-def harmonic(edges: DataFrame, fixed: DataFrame, tolerance: float = 1e-3, most: int = 4000, small: int = 2_000_000) -> DataFrame:
-    """node, u: Laplace's equation with fixed nodes, by conjugate gradients with a Jacobi preconditioner.
-
-    Up to `small` edges one task solves it in numpy. Beyond, the matrix is the table of edges: a product is one join
-    and one sum, and only scalars come to the driver. Nodes that no fixed node reaches keep u = 0.5."""
-    space = Workspace(edges.sparkSession, "harmonic")
-    edges = space.keep(edges)
-    if edges.count() <= small:
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            ends, e = pdf[pdf["v"] < 0], pdf[pdf["v"] >= 0]
-            nodes, x = solved(e["u"].to_numpy(), e["v"].to_numpy(), dict(zip(ends["u"].tolist(), ends["f"].tolist(), strict=True)), tolerance, most)
-            return pd.DataFrame({"node": nodes, "u": x})
-
-        rows = edges.select("u", "v", F.lit(0.0).alias("f")).unionByName(fixed.select(F.col("node").alias("u"), F.lit(-1).cast("bigint").alias("v"), F.col("u").alias("f")))
-        return rows.withColumn("all", F.col("v") * 0).groupBy("all").applyInPandas(one, "node bigint, u double")
-    degree = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").cast("double").alias("d"))
-    free = degree.join(fixed.select("node"), "node", "left_anti")
-    known = edges.join(fixed.select(F.col("node").alias("v"), F.col("u").alias("f")), "v").groupBy(F.col("u").alias("node")).agg(F.sum("f").alias("b"))
-    inner = space.keep(edges.join(fixed.select(F.col("node").alias("v")), "v", "left_anti").join(fixed.select(F.col("node").alias("u")), "u", "left_anti"))
-
-    def times(state: DataFrame, column: str) -> DataFrame:
-        near = inner.join(state.select(F.col("node").alias("v"), F.col(column).alias("_x")), "v").groupBy(F.col("u").alias("node")).agg(F.sum("_x").alias("_n"))
-        return state.join(near, "node", "left").withColumn("ap", F.col("d") * F.col(column) - F.coalesce("_n", F.lit(0.0))).drop("_n")
-
-    state = free.join(known, "node", "left").select("node", "d", F.coalesce("b", F.lit(0.0)).alias("b"), F.lit(0.5).alias("x"))
-    state = times(state, "x").withColumn("r", F.col("b") - F.col("ap")).drop("ap").withColumn("p", F.col("r") / F.col("d"))
-    state = space.keep(state)
-    size, rz = state.agg(F.sum(F.col("b") * F.col("b")), F.sum(F.col("r") * F.col("r") / F.col("d"))).first()
-    for _ in range(most if size else 0):
-        step = space.keep(times(state, "p"))
-        pap = step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        if not pap:
-            break
-        alpha = rz / pap
-        moved_ = step.withColumn("x", F.col("x") + alpha * F.col("p")).withColumn("r", F.col("r") - alpha * F.col("ap")).drop("ap")
-        rr, new = moved_.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("r") / F.col("d"))).first()
-        old, state = state, space.keep(moved_.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")))
-        space.drop(old)
-        space.drop(step)
-        rz = new
-        if rr <= tolerance * tolerance * size:
-            break
-    return state.select("node", F.col("x").alias("u")).unionByName(fixed.select("node", "u"))
-
-
 def passage_time(u: Column) -> Column:
     """1 at the source, 0 at the target."""
     return F.least(F.greatest(1 - u, F.lit(0.0)), F.lit(1.0))

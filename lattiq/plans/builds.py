@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions.shaping import clip01, glow
-from lattiq.operators import fields, geometry, graph, meshes, paths, profiles, relaxation, timelines, voxels
+from lattiq.operators import fields, geometry, graph, meshes, paths, potential, profiles, relaxation, timelines, voxels
 from lattiq.operators.profiles import HALF_TURN
 from lattiq.operators.tables import Workspace, quantiles
 from lattiq.operators.voxels import AXES
@@ -51,16 +51,17 @@ def grouped(volume: DataFrame, n: int, config: dict[int, dict]) -> DataFrame:
     return out.select("label", "cid", *AXES)
 
 
-def field_bundle(area: DataFrame, source: DataFrame, target: DataFrame, n: int, sigma: float = 0.9, tolerance: float = 1e-3, most: int = 4000) -> DataFrame:
+def field_bundle(area: DataFrame, source: DataFrame, target: DataFrame, n: int, sigma: float = 0.9, tolerance: float = 1e-3, most: int = 400) -> DataFrame:
     """z, y, x, u, vz, vy, vx, speed, wall: the potential between source (0) and target (1) in the components that join them,
     blurred inside the area and fixed again, its unit gradient and speed, and the distance to the nearest voxel outside."""
     space = Workspace(area.sparkSession, "bundle")
     area = space.keep(graph.traversing(graph.labelled(area, n, 6), source, target).select(*AXES))
-    at = lambda s, v: s.join(area, list(AXES), "left_semi").select(*AXES, graph.linear(n).alias("node"), F.lit(v).alias("u"))
-    ends = space.keep(at(source, 0.0).unionByName(at(target.join(source.select(*AXES), list(AXES), "left_anti"), 1.0)))
-    u = space.keep(fields.harmonic(fields.neighbour_edges(area, n), ends.select("node", "u"), tolerance, most))
-    u = area.withColumn("node", graph.linear(n)).join(u, "node").select(*AXES, F.col("u").alias("v"))
-    smooth = fields.masked_gaussian(u, area, sigma).join(ends.select(*AXES, F.col("u").alias("f")), list(AXES), "left").select(*AXES, F.coalesce("f", "v").alias("v"))
+    at = lambda s, v: s.join(area, list(AXES), "left_semi").select(*AXES, F.lit(v).alias("f"))
+    source, target = space.keep(source.select(*AXES)), space.keep(target.select(*AXES))
+    ends = space.keep(at(source, 0.0).unionByName(at(target.join(source, list(AXES), "left_anti"), 1.0)))
+    cells = potential.along(area.join(ends, list(AXES), "left"), source.join(area, list(AXES), "left_semi"), target.join(area, list(AXES), "left_semi"))
+    u = potential.potential(cells, tolerance, most, joined=True).withColumnRenamed("u", "v")
+    smooth = fields.masked_gaussian(u, area, sigma).join(ends, list(AXES), "left").select(*AXES, F.coalesce("f", "v").alias("v"))
     grid = space.keep(voxels.gradient(voxels.dense(smooth, n), n).join(area, list(AXES), "left_semi"))
     size = F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in AXES), F.lit(0.0)))
     wall = fields.squared_distance(fields.grid_of(area.sparkSession, n).join(area, list(AXES), "left_anti"), n)
@@ -68,6 +69,19 @@ def field_bundle(area: DataFrame, source: DataFrame, target: DataFrame, n: int,
     return out.select(*AXES, F.col("v").alias("u"), *(F.when(F.col("speed") > 1e-9, F.col(f"g{a}") / F.col("speed")).otherwise(0.0).alias(f"v{a}") for a in AXES), "speed", F.sqrt("d2").alias("wall"))
 
 
+def passage_bundle(area: DataFrame, source: DataFrame, target: DataFrame, n: int, sigma: float = 0.9, tolerance: float = 1e-3) -> DataFrame:
+    """The field bundle with t_simple, 1 less the potential, and t_eikonal, the time of a front from the source at the field's speed
+    over the 99th percentile of all times (over the greatest, if that is next to 0), both in [0, 1]."""
+    space = Workspace(area.sparkSession, "passage")
+    bundle = space.keep(field_bundle(area, source, target, n, sigma, tolerance))
+    marks = source.select(*AXES, F.lit(True).alias("source")).distinct()
+    cells = bundle.join(marks, list(AXES), "left").select(*AXES, "speed", F.coalesce("source", F.lit(False)).alias("source"))
+    times = space.keep(relaxation.travel_times(cells).select(*AXES, F.coalesce("t", F.lit(0.0)).alias("t")))
+    late, last = quantiles(times, "t", [0.99, 1.0])
+    scale = late if late is not None and late >= 1e-9 else last or 1.0
+    return bundle.join(times, list(AXES)).withColumn("t_simple", fields.passage_time(F.col("u"))).withColumn("t_eikonal", clip01(F.col("t") / scale)).drop("t")
+
+
 #: Faces per voxel of thin and compact components, faces that a surface should have before its reduction for each one
 #: after it, the widest stride, and the share of smoothing before the reduction with its most rounds.
 FACES_THIN, FACES_COMPACT, HEADROOM, WIDEST, SMOOTH_FIRST, SMOOTH_MOST = 2.0, 25.0, 3.0, 6, 0.2, 15

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattiq.operators import fields, geometry, graph, profiles, relaxation, voxels
+from lattiq.operators import fields, geometry, graph, potential, profiles, relaxation, voxels
 from lattiq.plans.base import REC, VOX, query, table, vox
 
 ZYX = ["z", "y", "x"]
@@ -44,13 +44,30 @@ def laplace_jacobi(spark, sf_dir):
     return fields.jacobi(edges, fixed, 3).withColumn("u", F.round("u", 9))
 
 
+def _solved(spark, sf_dir, tolerance):
+    """The voxels of 30 or more with f (0 on the first two planes, 1 on the last two) and the potential u between them."""
+    v, n = vox(spark, sf_dir)
+    f = F.when(F.col("z") < 2, 0.0).when(F.col("z") >= n - 2, 1.0)
+    area = fields.Workspace(spark, "area").keep(v.filter("v >= 30").select(*ZYX, f.alias("f"), F.lit(None).cast("double").alias("start")))
+    return area.join(potential.potential(area, tolerance), ZYX), n
+
+
 @query()
 def harmonic_potential(spark, sf_dir):
-    """The potential by conjugate gradients between the first and the last planes, with its passage time."""
-    area, edges, n = _edges(spark, sf_dir, 30)
-    fixed = area.filter((F.col("z") < 2) | (F.col("z") >= n - 2)).select(graph.linear(n).alias("node"), F.when(F.col("z") < 2, 0.0).otherwise(1.0).alias("u"))
-    u = fields.harmonic(edges, fixed)
-    return u.select("node", F.round("u", 3).alias("u"), F.round(fields.passage_time(F.col("u")), 3).alias("t_simple"))
+    """The potential between the first and the last planes, with its passage time."""
+    u, n = _solved(spark, sf_dir, 1e-3)
+    return u.select(graph.linear(n).alias("node"), F.round("u", 3).alias("u"), F.round(fields.passage_time(F.col("u")), 3).alias("t_simple"))
+
+
+@query(VOX + " SELECT count(*) FILTER (z BETWEEN 2 AND n - 3) AS n_free, count(*) FILTER (z < 2 OR z >= n - 2) AS n_fixed, 0::BIGINT AS n_off, 0::BIGINT AS n_outside FROM vox, p WHERE v >= 30")
+def potential_residual(spark, sf_dir):
+    """How many values of the potential are not the mean of their neighbours' (to 1e-4), or not between those of the ends: none."""
+    u, _ = _solved(spark, sf_dir, 1e-6)
+    u = fields.Workspace(spark, "residual").keep(u)
+    near = voxels.moved(u, voxels.SIX, ["u"]).groupBy(*ZYX).agg(F.sum("u").alias("s"), F.count("*").alias("k"))
+    off = F.abs(F.col("k") * F.col("u") - F.col("s")) > 1e-4
+    rows = u.join(near, ZYX, "left")
+    return rows.agg(F.count_if(F.col("f").isNull()).alias("n_free"), F.count("f").alias("n_fixed"), F.count_if(F.col("f").isNull() & F.coalesce(off, F.lit(False))).alias("n_off"), F.count_if((F.col("u") < -1e-6) | (F.col("u") > 1 + 1e-6)).alias("n_outside"))
 
 
 _COST = REC + _IDS + ", c AS (SELECT e.u, e.w, (60 - m.v)::BIGINT AS k FROM e JOIN m ON m.id = e.w), b(node, cost) USING KEY (node) AS (SELECT id, 0::BIGINT FROM m WHERE z = 0 UNION SELECT c.w, min(b.cost + c.k) FROM b JOIN c ON c.u = b.node LEFT JOIN recurring.b r ON r.node = c.w WHERE r.cost IS NULL OR b.cost + c.k < r.cost GROUP BY c.w)"

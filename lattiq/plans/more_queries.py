@@ -182,6 +182,14 @@ def field_bundle(spark, sf_dir):
     return builds.field_bundle(area, area.filter("z = 0"), area.filter(F.col("z") == n - 1), n)
 
 
+@query()
+def passage_times(spark, sf_dir):
+    """The same with the passage times of its front."""
+    v, n = vox(spark, sf_dir)
+    area = fields.grid_of(spark, n).join(v.filter("v >= 49").select(*ZYX), ZYX, "left_anti")
+    return builds.passage_bundle(area, area.filter("z = 0"), area.filter(F.col("z") == n - 1), n)
+
+
 @query()
 def membrane_build(spark, sf_dir):
     v, n = vox(spark, sf_dir)
