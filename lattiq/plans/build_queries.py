@@ -30,25 +30,34 @@ def arrow_field(spark, sf_dir):
     return out.select(*ZYX, (F.round("vz", 6) + 0.0).alias("vz"), F.round("score", 6).alias("score"), F.round("boost", 6).alias("boost"))
 
 
-@query(REC + """, dom AS (SELECT z, y, x, (z * n + y) * n + x AS id FROM vox, p WHERE v >= 40), g AS (SELECT a.range AS z, b.range AS y, c.range AS x FROM range((SELECT n FROM p)) a, range((SELECT n FROM p)) b, range((SELECT n FROM p)) c), bg AS (SELECT * FROM g ANTI JOIN dom USING (z, y, x)),
-dd AS MATERIALIZED (SELECT d.id, d.z, d.y, d.x, sqrt(min((d.z - b.z) ** 2 + (d.y - b.y) ** 2 + (d.x - b.x) ** 2)) AS d FROM dom d JOIN bg b ON abs(d.z - b.z) <= 4 AND abs(d.y - b.y) <= 4 AND abs(d.x - b.x) <= 4 GROUP BY ALL), cc AS MATERIALIZED (SELECT id, z, y, x, 1 - 0.05 * d / (SELECT max(d) FROM dd) AS c FROM dd),
-e AS MATERIALIZED (SELECT a.id AS u, b.id AS w, (a.c + b.c) / 2 * sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS k FROM cc a JOIN cc b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.id <> b.id),
-b(node, cost) USING KEY (node) AS (SELECT id, 0::DOUBLE FROM cc WHERE z < 2 UNION SELECT e.w, min(b.cost + e.k) FROM b JOIN e ON e.u = b.node LEFT JOIN recurring.b r ON r.node = e.w WHERE r.cost IS NULL OR b.cost + e.k < r.cost - 1e-12 GROUP BY e.w)
-SELECT node AS path_id, round(cost, 6) AS cost FROM b JOIN cc ON cc.id = b.node, p WHERE cc.z >= n - 4 AND cost > 0""")
+#: Voxels of 20 or more, what a step between two of 26 neighbours costs, the least cost from the first two planes, and the way on: the
+#: least of the neighbours whose cost and step give it.
+_CROWN = REC + """, dom AS (SELECT z, y, x, (z * n + y) * n + x AS id FROM vox, p WHERE v >= 20), g AS (SELECT a.range AS z, b.range AS y, c.range AS x FROM range((SELECT n FROM p)) a, range((SELECT n FROM p)) b, range((SELECT n FROM p)) c), bg AS (SELECT * FROM g ANTI JOIN dom USING (z, y, x)),
+dd AS MATERIALIZED (SELECT d.id, d.z, d.y, d.x, sqrt(min((d.z - b.z) ** 2 + (d.y - b.y) ** 2 + (d.x - b.x) ** 2)) AS d FROM dom d JOIN bg b ON abs(d.z - b.z) <= 6 AND abs(d.y - b.y) <= 6 AND abs(d.x - b.x) <= 6 GROUP BY ALL), cc AS MATERIALIZED (SELECT id, z, y, x, 1 - 0.05 * d / (SELECT max(d) FROM dd) AS c FROM dd),
+e AS MATERIALIZED (SELECT a.id AS u, b.id AS w, (a.c + b.c) / 2 * sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS k FROM cc a, (SELECT x.range AS dz, y.range AS dy, z.range AS dx FROM range(-1, 2) x, range(-1, 2) y, range(-1, 2) z) o JOIN cc b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.id <> b.id),
+b(node, cost) USING KEY (node) AS (SELECT id, 0::DOUBLE FROM cc WHERE z < 2 UNION SELECT e.w, min(b.cost + e.k) FROM b JOIN e ON e.u = b.node LEFT JOIN recurring.b r ON r.node = e.w WHERE r.cost IS NULL OR b.cost + e.k < r.cost GROUP BY e.w),
+via AS MATERIALIZED (SELECT e.w AS node, min(e.u) AS via FROM b a JOIN e ON e.u = a.node JOIN b c ON c.node = e.w WHERE a.cost + e.k = c.cost AND a.cost < c.cost GROUP BY e.w)"""
+
+
+def _crown(spark, sf_dir):
+    v, n = vox(spark, sf_dir)
+    domain = v.filter("v >= 20").select(*ZYX)
+    return builds.crown_tracks(domain, domain.filter(F.col("z") >= n - 4), domain.filter("z < 2"), n)
+
+
+@query(_CROWN + " SELECT node AS path_id, round(cost, 6) AS cost FROM b JOIN cc ON cc.id = b.node, p WHERE cc.z >= n - 4 AND cost > 0")
 def crown_tracks(spark, sf_dir):
     """What the way of each source voxel (last four planes) to the first two planes costs."""
-    v, n = vox(spark, sf_dir)
-    domain = v.filter("v >= 40").select(*ZYX)
-    tracks = builds.crown_tracks(domain, domain.filter(F.col("z") >= n - 4), domain.filter("z < 2"), n)
-    return tracks.filter("step = 0").select("path_id", F.round("cost", 6).alias("cost"))
+    return _crown(spark, sf_dir).filter("step = 0").select("path_id", F.round("cost", 6).alias("cost"))
 
 
-@query()
+@query(_CROWN + """, way(path_id, step, node) AS (SELECT node, 0::BIGINT, node FROM b JOIN cc ON cc.id = b.node, p WHERE cc.z >= n - 4 AND cost > 0 UNION ALL SELECT path_id, step + 1, via FROM way JOIN via USING (node)),
+pl AS (SELECT path_id, step, z, y, x, b.cost, lead(z) OVER w - z AS dz, lead(y) OVER w - y AS dy, lead(x) OVER w - x AS dx FROM way JOIN cc ON cc.id = way.node JOIN b ON b.node = way.node WINDOW w AS (PARTITION BY path_id ORDER BY step)),
+st AS (SELECT *, sqrt(dz * dz + dy * dy + dx * dx) AS long, n / 2.0::DOUBLE - (y + dy / 2.0::DOUBLE) AS ty, n / 2.0::DOUBLE - (x + dx / 2.0::DOUBLE) AS tx FROM pl, p)
+SELECT path_id, step, z::DOUBLE AS z, y::DOUBLE AS y, x::DOUBLE AS x, round(cost, 6) AS cost, round(CASE WHEN dz IS NOT NULL THEN acos(CASE WHEN sqrt(ty * ty + tx * tx) > 1e-9 THEN least(greatest((dy / long * ty + dx / long * tx) / sqrt(ty * ty + tx * tx), 0), 1) ELSE 0 END) / (pi() / 2) END, 5) + 0.0 AS score FROM st""")
 def crown_segments(spark, sf_dir):
     """The ways themselves, with the scores of their steps."""
-    v, n = vox(spark, sf_dir)
-    domain = v.filter("v >= 40").select(*ZYX)
-    return builds.crown_tracks(domain, domain.filter(F.col("z") >= n - 4), domain.filter("z < 2"), n)
+    return _crown(spark, sf_dir).select("path_id", "step", *ZYX, F.round("cost", 6).alias("cost"), (F.round("score", 5) + 0.0).alias("score"))
 
 
 @query()

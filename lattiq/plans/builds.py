@@ -328,7 +328,10 @@ def camera_track(keyframes: DataFrame, frames_per_segment: int = 12, ease: int =
             a_max = cruise / max(1, ease * frames_per_segment)
             line = spline(p, np.interp(s, way, t))
             ds = long / (dense - 1)
-            bend = np.linalg.norm(np.gradient(np.gradient(line, ds, axis=0), ds, axis=0), axis=1)
+            pace = np.linalg.norm(np.diff(line, axis=0), axis=1) / ds
+            pace = np.maximum((pace[1:] + pace[:-1]) / 2, 1e-9)
+            bend = np.linalg.norm(line[2:] - 2 * line[1:-1] + line[:-2], axis=1) / ds**2 / pace**2
+            bend = np.pad(bend, 1, "edge")
             limit = np.minimum(cruise, np.sqrt(2 * a_max / np.maximum(bend, 1e-12)))
             limit[[0, -1]] = 0
             i = np.arange(dense)
@@ -349,7 +352,10 @@ def camera_track(keyframes: DataFrame, frames_per_segment: int = 12, ease: int =
         whole = np.hstack([p, f, u])
         return pd.DataFrame({"track": pdf["track"].iloc[0], "frame": np.arange(len(whole)), "keyframe": keyframe, **{c: whole[:, k] for k, c in enumerate(names)}})
 
-    return keyframes.select("track", "i", *names).groupBy("track").applyInPandas(one, "track bigint, frame bigint, keyframe double, " + ", ".join(f"{c} double" for c in names))
+    def many(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        return pd.concat([one(t) for _, t in pdf.groupby("track", sort=False)])
+
+    return paths.by_track(keyframes.select("track", "i", *names), "track", ["i"], many, "track bigint, frame bigint, keyframe double, " + ", ".join(f"{c} double" for c in names))
 
 
 def ui_track(frames: DataFrame, keyframes: DataFrame, smooth: list[str], sticky: list[str]) -> DataFrame:

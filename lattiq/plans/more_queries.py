@@ -133,11 +133,11 @@ def jobs_to_do(spark, sf_dir):
 def spectrum_peaks(spark, sf_dir):
     """The strongest frequencies of each path's coordinate."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        peaks = paths.spectrum_peaks(pdf.sort_values("i")["px"].to_numpy(), 25.0)
-        return pd.DataFrame([(pdf["path_id"].iloc[0], k, f, a) for k, (f, a) in enumerate(peaks)], columns=["path_id", "k", "freq", "amp"])
+    def many(pdf: pd.DataFrame, begins) -> pd.DataFrame:
+        tracks = [t for _, t in pdf.groupby("path_id", sort=False)]
+        return pd.DataFrame([(t["path_id"].iloc[0], k, f, a) for t in tracks for k, (f, a) in enumerate(paths.spectrum_peaks(t["px"].to_numpy(), 25.0))], columns=["path_id", "k", "freq", "amp"])
 
-    return _points(spark, sf_dir).select("path_id", "i", "px").groupBy("path_id").applyInPandas(one, "path_id bigint, k bigint, freq double, amp double")
+    return paths.by_track(_points(spark, sf_dir).select("path_id", "i", "px"), "path_id", ["i"], many, "path_id bigint, k bigint, freq double, amp double")
 
 
 @query()
