@@ -65,37 +65,53 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], few: int = 10_000) -> list[float | None]:
+def quantiles(df: DataFrame, value: str, shares: list[float], few: int = 10_000, known: tuple | None = None) -> list[float | None]:
     """Exact quantiles of a column, between two values by linear interpolation; nulls are left out, None without values.
 
     The ranks asked for are closed in on by counts in 1,024 equal bins, again within the bin, until so few different values
-    are left that they can come to the driver: no buffer ever holds all values."""
+    are left that they can come to the driver: no buffer ever holds all values. The column is written first, so what it is
+    made of is computed once, and a pass looks at all ranks together. known: count, least, greatest and different values, if the
+    caller has counted them on a table that is already written."""
     rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
-    n, low, high, different = rows.agg(F.count("*"), F.min("v"), F.max("v"), F.approx_count_distinct("v")).first()
+    if known is None:
+        rows = Workspace(df.sparkSession, "quantiles").keep(rows)
+    n, low, high, different = known or rows.agg(F.count("*"), F.min("v"), F.max("v"), F.approx_count_distinct("v")).first()
     if not n:
         return [None] * len(shares)
     places = [s * (n - 1) for s in shares]
     found: dict[int, float] = {}
-    todo = [(low, high, different, 0, sorted({int(f(p)) for p in places for f in (math.floor, math.ceil)}))]
+    todo = [(float(low), float(high), different, 0, sorted({int(f(p)) for p in places for f in (math.floor, math.ceil)}))]
     while todo:
-        a, b, different, before, ranks = todo.pop()
-        if a == b:
-            found |= dict.fromkeys(ranks, a)
-            continue
-        part = rows.filter((F.col("v") >= a) & (F.col("v") <= b))
-        values = part.groupBy("v").count().limit(few + 1).collect() if different <= few else None  # the estimate may be too low
-        if values is not None and len(values) <= few:
-            at = before
-            for r in sorted(values):
-                found |= {k: r.v for k in ranks if at <= k < at + r["count"]}
-                at += r["count"]
-            continue
-        bins = part.groupBy(F.least(F.floor((F.col("v") - a) / ((b - a) / 1024)), F.lit(1023)).alias("k")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), F.approx_count_distinct("v").alias("d"))
-        at = before
-        for r in sorted(bins.collect(), key=lambda r: r.k):
-            if inside := [k for k in ranks if at <= k < at + r.n]:
-                todo.append((r.a, r.b, r.d, at, inside))
-            at += r.n
+        for a, b, _, _, ranks in todo:
+            found |= dict.fromkeys(ranks, a) if a == b else {}
+        todo = [t for t in todo if t[0] < t[1]]
+        small, large = ([t for t in todo if (t[2] <= few) == s] for s in (True, False))
+        todo = []
+        if small:
+            inside = F.lit(False)
+            for a, b, *_ in small:
+                inside = inside | F.col("v").between(a, b)
+            most = (few + 1) * len(small)
+            values = rows.filter(inside).groupBy("v").count().limit(most).collect()
+            if len(values) < most:
+                values.sort(key=lambda r: r.v)
+                for a, b, _, at, ranks in small:
+                    for r in (r for r in values if a <= r.v <= b):
+                        found |= {k: r.v for k in ranks if at <= k < at + r["count"]}
+                        at += r["count"]
+            else:  # the estimate was too low
+                large += small
+        if large:
+            bin_of = None
+            for i, (a, b, *_) in enumerate(large):
+                here = F.struct(F.lit(i).alias("i"), F.least(F.floor((F.col("v") - a) / ((b - a) / 1024)), F.lit(1023)).cast("int").alias("k"))
+                bin_of = (F if bin_of is None else bin_of).when(F.col("v").between(a, b), here)
+            bins = rows.select("v", bin_of.alias("at")).filter("at is not null").groupBy("at").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), F.approx_count_distinct("v").alias("d")).collect()
+            for i, (_, _, _, at, ranks) in enumerate(large):
+                for r in sorted((r for r in bins if r["at"].i == i), key=lambda r: r["at"].k):
+                    if inside := [k for k in ranks if at <= k < at + r.n]:
+                        todo.append((r.a, r.b, r.d, at, inside))
+                    at += r.n
     out = []
     for p in places:
         x, y = found[math.floor(p)], found[math.ceil(p)]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.operators.tables import quantiles
+from lattiq.operators.tables import Workspace, quantiles
 
 AXES = ("z", "y", "x")
 
@@ -20,9 +20,13 @@ def same_extent(a: DataFrame, b: DataFrame) -> bool:
 
 def profile(df: DataFrame, value: str = "v") -> DataFrame:
     """One row: count, least, greatest, mean, median, 95th percentile, positive values, distinct values."""
-    c = F.col(value)
-    p50, p95 = (F.lit(q).cast("double").alias(f"p{s}") for s, q in zip((50, 95), quantiles(df, value, [0.5, 0.95]), strict=True))
-    return df.agg(F.count("*").alias("n"), F.min(c).alias("v_min"), F.max(c).alias("v_max"), F.avg(c).alias("v_mean"), F.count_if(c > 0).alias("n_pos"), F.countDistinct(c).alias("n_values")).select("n", "v_min", "v_max", "v_mean", p50, p95, "n_pos", "n_values")
+    df = Workspace(df.sparkSession, "profile").keep(df.select(F.col(value).alias("v")))
+    row = df.agg(F.count("*").alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"), F.count_if(F.col("v") > 0).alias("n_pos"), F.countDistinct("v").alias("n_values"), F.count("v").alias("_n"))
+    r = row.first()
+    p50, p95 = quantiles(df, "v", [0.5, 0.95], known=(r["_n"], r.v_min, r.v_max, r.n_values))
+    kinds = {f.name: f.dataType for f in row.schema.fields} | {"p50": "double", "p95": "double"}
+    values = r.asDict() | {"p50": p50, "p95": p95}
+    return df.sparkSession.range(1).select(*(F.lit(values[c]).cast(kinds[c]).alias(c) for c in ("n", "v_min", "v_max", "v_mean", "p50", "p95", "n_pos", "n_values")))
 
 
 def combined(a: DataFrame, b: DataFrame, name: str, check: bool = True) -> DataFrame:
@@ -33,7 +37,11 @@ def combined(a: DataFrame, b: DataFrame, name: str, check: bool = True) -> DataF
 
 
 def excluded(df: DataFrame, outer: DataFrame, sentinel: float = -1.0) -> DataFrame:
-    """Values of voxels that outer (a set of voxels) holds become the sentinel."""
+    """Values of voxels that outer (a set of voxels of the same volume) holds become the sentinel. Voxels of outer beyond the volume are
+    an error: they come of another one."""
+    last, far = ends(df), ends(outer)
+    if any(far[c] > last[c] for c in AXES):
+        raise ValueError("volumes of different extents")
     marks = outer.select(*AXES, F.lit(True).alias("_out")).distinct()
     return df.join(marks, list(AXES), "left").withColumn("v", F.when(F.col("_out"), F.lit(sentinel)).otherwise(F.col("v"))).drop("_out")
 
