@@ -62,13 +62,14 @@ def estimated_faces(n: Column) -> Column:
     return F.greatest(25 * F.pow(n, F.lit(2 / 3)), 2.0 * n)
 
 
-def auto_stride(n: Column, target: int | None, multiplier: float = 3.0, most: int = 6) -> Column:
+def auto_stride(n: Column, target: Column | int | None, multiplier: float = 3.0, most: int = 6) -> Column:
     """The stride at which a component of n voxels gives about `multiplier` times the target in triangles (they fall with its
     square), rounded half to even, from 1 to `most`; 1 without a target."""
-    if not target or target <= 0:
+    if target is None:
         return F.lit(1).cast("bigint")
-    share = estimated_faces(F.greatest(n, F.lit(1))) / (float(target) * multiplier)
-    return F.when(share <= 1, 1).otherwise(F.least(F.greatest(F.bround(F.sqrt(share)), F.lit(1)), F.lit(most))).cast("bigint")
+    target = target if isinstance(target, Column) else F.lit(target)
+    share = estimated_faces(F.greatest(n, F.lit(1))) / (target * multiplier)
+    return F.when((target <= 0) | (share <= 1), 1).otherwise(F.least(F.greatest(F.bround(F.sqrt(share)), F.lit(1)), F.lit(most))).cast("bigint")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -103,8 +104,8 @@ def upright(up: Column, forward: Column) -> Column:
 
 
 def parsed_ints(text: Column) -> Column:
-    """The distinct positive integers of a text in order of appearance."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+)"), 1), lambda x: F.try_to_number(x, F.lit("999999999")).cast("bigint")), lambda x: x > 0))
+    """The distinct positive integers of a text in order of appearance; null in place of one beyond 64 bits."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+)"), 1), lambda x: x.try_cast("bigint")), lambda x: x.isNull() | (x > 0)))
 
 
 def axis_value(text: Column, key: str) -> Column:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lattiq.functions import rotations
 from lattiq.operators import geometry, graph, meshes
+from lattiq.operators.tables import shared_root
 from lattiq.plans import builds
 from lattiq.plans.base import REC, VOX, query, table, vox
+from lattiq.sources import sinks
 
 ZYX = ["z", "y", "x"]
 
@@ -96,8 +101,6 @@ b AS (SELECT *, lead(hue) OVER (PARTITION BY track ORDER BY a) AS h1, lead(mode)
 SELECT track, frame, round(CASE WHEN h1 IS NULL THEN hue ELSE hue + t * t * t * (t * (t * 6 - 15) + 10) * (h1 - hue) END, 6) AS hue, CASE WHEN t >= 0.5 AND m1 IS NOT NULL THEN m1 ELSE mode END AS mode FROM f""")
 def ui_replay(spark, sf_dir):
     """Settings along tracks of four frames a keyframe: hue blended, mode switched in the middle."""
-    from pyspark.sql import Window
-
     k = _keyframes(spark, sf_dir)
     at = F.row_number().over(Window.partitionBy("track").orderBy("i")) - 1
     frames = k.select("track", at.alias("a")).select("track", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r"), "a").select("track", (F.col("a") * 4 + F.col("r")).cast("bigint").alias("frame"), (F.col("a") + F.col("r") / 4).alias("keyframe"))
@@ -161,3 +164,87 @@ def split_normals(spark, sf_dir):
     """Normals of the relief, its vertices split where faces meet at more than 60 degrees."""
     points, _ = meshes.split_normals(*_relief(spark, sf_dir))
     return points.select("vid", "part", *((F.round(c, 5) + 0.0).alias(c) for c in ("nz", "ny", "nx")))
+
+
+@query(REC + _PARTS + ", k AS (SELECT cid, count(*) AS n FROM cc GROUP BY cid) SELECT cid, CASE WHEN n % 5 = 3 THEN 'failed' ELSE 'done' END AS status, CASE WHEN n % 5 = 3 THEN NULL ELSE n END AS n_vox FROM k")
+def component_jobs(spark, sf_dir):
+    """A job for each component of the voxels of 46 or more, which refuses sizes of 3, 8, 13 ...: half of the batches in one run, the rest, and
+    what failed, in the next."""
+    v, n = vox(spark, sf_dir)
+    planes = graph.labelled(v.filter("v >= 46"), n, 6).groupBy("cid", "z").agg(F.count("*").alias("n"))
+
+    def work(key, pdf):
+        if pdf["n"].sum() % 5 == 3:
+            raise ValueError("a size that this job refuses")
+        return pdf.groupby("cid", as_index=False).agg(n_vox=("n", "sum"))
+
+    path = f"{shared_root(spark)}/jobs-{uuid.uuid4().hex}"
+    for most in (2, None):
+        found, state = sinks.resumed(planes, ["cid"], work, "n_vox bigint", path, 4, most)
+    return state.select("cid", "status").join(found, "cid", "left")
+
+
+def _half(x: str) -> str:
+    power = f"greatest(floor(log2(greatest(abs({x}), 1e-30))), -14)"
+    return f"(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * round_even(abs({x}) * pow(2, 10 - {power}), 0) / pow(2, 10 - {power}))"
+
+
+@query(VOX + f" SELECT z, y, x, v AS u, {_half('(v / 7)')} + 0.0 AS vz, {_half('(-v * v / 30)')} + 0.0 AS vy, {_half('(v * 1e-6)')} + 0.0 AS vx, CAST(v / 3 AS FLOAT)::DOUBLE AS speed, CASE WHEN c % 2 = 0 THEN v END AS t_eikonal, n AS side FROM vox, p")
+def half_bundle(spark, sf_dir):
+    """A field bundle written with its vector in half precision and its speed in single precision, and read back with its parameters."""
+    v, n = vox(spark, sf_dir)
+    x = F.col("v").cast("double")
+    bundle = v.select(*ZYX, x.alias("u"), (x / 7).alias("vz"), (-x * x / 30).alias("vy"), (x * 1e-6).alias("vx"), (x / 3).alias("speed"), F.when(F.col("c") % 2 == 0, x).alias("t_eikonal"), F.floor(F.col("z") / 8).alias("slab"))
+    path = f"{shared_root(spark)}/bundle-{uuid.uuid4().hex}"
+    sinks.written_bundle(bundle, path, {"side": n}, ["vz", "vy", "vx"], ["speed"], ["slab"])
+    back, parameters = sinks.read_bundle(spark, path)
+    return back.select(*ZYX, "u", *((F.col(c) + F.lit(0.0)).alias(c) for c in ("vz", "vy", "vx")), F.col("speed").cast("double").alias("speed"), "t_eikonal", F.lit(parameters["side"]).cast("bigint").alias("side"))
+
+
+_SPECIES = "CASE WHEN o_custkey % 2 = 0 THEN 'o2' ELSE 'ch4' END"
+
+
+@query(f"WITH t AS (SELECT {_SPECIES} AS species, o_custkey AS template_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame, CAST(o_orderkey % 97 / 7.0::DOUBLE AS FLOAT)::DOUBLE AS z, o_orderkey % 5 > 0 AS alive FROM orders) SELECT species, template_id, frame, z, alive, CASE species WHEN 'o2' THEN 1.0 ELSE -1.0 END::DOUBLE AS direction_sign, (SELECT count(DISTINCT template_id) FROM t s WHERE s.species = t.species) AS n_templates FROM t")
+def particle_templates(spark, sf_dir):
+    """Templates of both species written a folder a species with their parameters, and read back."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 2 == 0, "o2").otherwise("ch4").alias("species"), F.col("o_custkey").alias("template_id"), k, (k % 97 / 7).alias("z"), (k % 5 > 0).alias("alive"))
+    w = Window.partitionBy("template_id").orderBy("o_orderkey")
+    rows = rows.withColumn("frame", (F.row_number().over(w) - 1).cast("bigint")).drop("o_orderkey")
+    many = {r.species: r.n for r in rows.groupBy("species").agg(F.countDistinct("template_id").alias("n")).collect()}
+    path = f"{shared_root(spark)}/templates-{uuid.uuid4().hex}"
+    sinks.written_bundle(rows, path, {s: {"n_templates": n, "direction_sign": 1.0 if s == "o2" else -1.0} for s, n in many.items()}, [], ["z"], ["species"])
+    back, parameters = sinks.read_bundle(spark, path)
+    about = spark.createDataFrame([(s, p["direction_sign"], p["n_templates"]) for s, p in parameters.items()], "species string, direction_sign double, n_templates bigint")
+    return back.join(F.broadcast(about), "species").select("species", "template_id", "frame", F.col("z").cast("double").alias("z"), "alive", "direction_sign", "n_templates")
+
+
+_FRAMES = """k AS (SELECT o_custkey AS track, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS a, radians(o_orderkey % 180)::DOUBLE / 2 AS ax, radians(o_orderkey * 7 % 160 - 80)::DOUBLE / 2 AS ay, radians(o_orderkey * 3 % 360)::DOUBLE / 2 AS az FROM orders),
+q0 AS (SELECT track, a, cos(ax) * cos(ay) * cos(az) + sin(ax) * sin(ay) * sin(az) AS w, sin(ax) * cos(ay) * cos(az) - cos(ax) * sin(ay) * sin(az) AS x, cos(ax) * sin(ay) * cos(az) + sin(ax) * cos(ay) * sin(az) AS y, cos(ax) * cos(ay) * sin(az) - sin(ax) * sin(ay) * cos(az) AS z FROM k)"""
+_BLEND = ", ".join(f"CASE WHEN w1 IS NULL THEN {c} WHEN d > 0.9995 THEN {c} + t * (s * {c}1 - {c}) ELSE (sin((1 - t) * acos(d)) * {c} + sin(t * acos(d)) * s * {c}1) / sin(acos(d)) END AS {c}" for c in "wxyz")
+
+
+@query(f"WITH {_FRAMES}, q1 AS (SELECT *, {', '.join(f'lead({c}) OVER o AS {c}1' for c in 'wxyz')} FROM q0 WINDOW o AS (PARTITION BY track ORDER BY a)), q2 AS (SELECT q1.*, r.range AS r, r.range / 4.0::DOUBLE AS t, CASE WHEN w * w1 + x * x1 + y * y1 + z * z1 < 0 THEN -1 ELSE 1 END AS s, least(abs(w * w1 + x * x1 + y * y1 + z * z1), 1.0) AS d FROM q1, range(4) r), q3 AS (SELECT track, a * 4 + r AS frame, {_BLEND} FROM q2), n AS (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS g FROM q3) SELECT track, frame, round(1 - 2 * (y * y + z * z) / (g * g), 6) + 0.0 AS lx, round(2 * (x * y + w * z) / (g * g), 6) + 0.0 AS ly, round(2 * (x * z - w * y) / (g * g), 6) + 0.0 AS lz FROM n")
+def orientation_slerp(spark, sf_dir):
+    """Where the x axis of an object points in each frame of its track, its orientation blended on the shorter arc."""
+    k = F.col("o_orderkey")
+    q = rotations.of_angles([k % 180, k * 7 % 160 - 80, k * 3 % 360])
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), k.alias("i"), q.alias("q"))
+    a = F.row_number().over(Window.partitionBy("track").orderBy("i")) - 1
+    frames = keys.select("track", a.alias("a")).select("track", "a", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r")).select("track", (F.col("a") * 4 + F.col("r")).cast("bigint").alias("frame"), (F.col("a") + F.col("r") / 4).alias("keyframe"))
+    look = rotations.turned(F.col("q"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    out = rotations.oriented(frames, keys).select("track", "frame", look.alias("l"))
+    return out.select("track", "frame", *((F.round(F.get("l", F.lit(i)), 6) + 0.0).alias(c) for i, c in enumerate(("lx", "ly", "lz"))))
+
+
+@query("""WITH k AS (SELECT o_custkey AS track, o_orderkey AS i, [o_orderkey % 97, o_orderkey * 3 % 89, o_orderkey * 7 % 83]::DOUBLE[] AS p, [o_orderkey % 7, o_orderkey % 11, o_orderkey % 13 + 100]::DOUBLE[] AS f, [o_orderkey % 3, 1, o_orderkey % 2]::DOUBLE[] AS u FROM orders),
+b AS (SELECT track, i, p, first_value(p) OVER w AS p0, first_value(f) OVER w AS f0, first_value(u) OVER w AS u0 FROM k WINDOW w AS (PARTITION BY track ORDER BY i)), d AS (SELECT *, [f0[1] - p0[1], f0[2] - p0[2], f0[3] - p0[3]] AS d FROM b),
+l AS (SELECT *, sqrt(d[1] * d[1] + d[2] * d[2] + d[3] * d[3]) AS g FROM d), e AS (SELECT *, (u0[1] * d[1] + u0[2] * d[2] + u0[3] * d[3]) / g AS h FROM l), s AS (SELECT *, [u0[1] - h * d[1] / g, u0[2] - h * d[2] / g, u0[3] - h * d[3] / g] AS v FROM e), n AS (SELECT *, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS m FROM s)
+SELECT track, i, p[1] + d[1] AS fz, p[2] + d[2] AS fy, p[3] + d[3] AS fx, round(v[1] / m, 6) + 0.0 AS uz, round(v[2] / m, 6) + 0.0 AS uy, round(v[3] / m, 6) + 0.0 AS ux FROM n""")
+def rigid_lock(spark, sf_dir):
+    """Tracks that keep the look and the view-up of their first frame while their place moves."""
+    k = F.col("o_orderkey")
+    d = lambda *c: F.array(*(x.cast("double") for x in c))
+    track = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), k.alias("i"), d(k % 97, k * 3 % 89, k * 7 % 83).alias("place"), d(k % 7, k % 11, k % 13 + 100).alias("focus"), d(k % 3, F.lit(1), k % 2).alias("up"))
+    out = rotations.locked(track, "track", "i")
+    return out.select("track", "i", *(F.get("focus", F.lit(i)).alias(f"f{a}") for i, a in enumerate("zyx")), *((F.round(F.get("up", F.lit(i)), 6) + 0.0).alias(f"u{a}") for i, a in enumerate("zyx")))

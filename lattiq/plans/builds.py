@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.functions.shaping import clip01, glow
+from lattiq.functions.shaping import auto_stride, clip01, glow
 from lattiq.operators import fields, geometry, graph, meshes, paths, potential, profiles, relaxation, timelines, voxels
 from lattiq.operators.profiles import HALF_TURN
 from lattiq.operators.tables import Workspace, quantiles
@@ -82,9 +82,8 @@ def passage_bundle(area: DataFrame, source: DataFrame, target: DataFrame, n: int
     return bundle.join(times, list(AXES)).withColumn("t_simple", fields.passage_time(F.col("u"))).withColumn("t_eikonal", clip01(F.col("t") / scale)).drop("t")
 
 
-#: Faces per voxel of thin and compact components, faces that a surface should have before its reduction for each one
-#: after it, the widest stride, and the share of smoothing before the reduction with its most rounds.
-FACES_THIN, FACES_COMPACT, HEADROOM, WIDEST, SMOOTH_FIRST, SMOOTH_MOST = 2.0, 25.0, 3.0, 6, 0.2, 15
+#: The share of smoothing that comes before a surface's reduction, and its most rounds.
+SMOOTH_FIRST, SMOOTH_MOST = 0.2, 15
 
 
 def component_surfaces(volume: DataFrame, n: int, level: float, budget: int, least: int = 1, sigma: float = 0.0, smooth: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,11 +97,9 @@ def component_surfaces(volume: DataFrame, n: int, level: float, budget: int, lea
     volume = space.keep(volume.select(*AXES, F.col("v").cast("double").alias("v")))
     labels = space.keep(graph.labelled(volume.filter(F.col("v") >= level), n, 6, ["v"]))
     stats = profiles.component_budgets(graph.component_stats(labels, n).filter(F.col("n_vox") >= least), budget)
-    guess = F.greatest(FACES_COMPACT * F.pow("n_vox", F.lit(2 / 3)), FACES_THIN * F.col("n_vox")) / (HEADROOM * F.col("budget"))
-    stride = F.when(guess <= 1, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(WIDEST), F.bround(F.sqrt(guess)).cast("int"))))
     reach = int(4 * sigma + 0.5)
     pad = reach + 2
-    stats = space.keep(stats.select(F.col("cid").alias("mesh_id"), "n_vox", F.col("budget").alias("target"), stride.alias("stride"), *(F.col(f"{a}0").alias(f"{a}0") for a in AXES)))
+    stats = space.keep(stats.select(F.col("cid").alias("mesh_id"), "n_vox", F.col("budget").alias("target"), auto_stride(F.col("n_vox"), F.col("budget")).alias("stride"), *(F.col(f"{a}0").alias(f"{a}0") for a in AXES)))
     own = labels.join(stats.select(F.col("mesh_id").alias("cid")), "cid", "left_semi").select(F.col("cid").alias("mesh_id"), *AXES, "v")
     inside = F.lit(True)
     for a in AXES:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattiq.functions import halves
+
 
 def cache_path(base: str, parameters: dict) -> str:
     """A folder named by its parameters, numbers rounded to six decimals: other parameters never meet stale rows."""
@@ -110,3 +114,74 @@ def put_document(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     fits = F.col("new_body").isNotNull() & F.col("version").eqNullSafe(F.col("expected"))
     rows = both.select(*keys, F.when(fits, F.col("new_body")).otherwise(F.col("body")).alias("body"), F.when(fits, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"), fits.alias("written"))
     return rows.filter("version is not null").groupBy(*keys).agg(F.max_by(F.struct("body", "version", "written"), "version").alias("r")).select(*keys, "r.*")
+
+
+def written_bundle(df: DataFrame, path: str, parameters: dict, half: list[str] = (), single: list[str] = (), by: list[str] = ()) -> None:
+    """Writes a bundle: its columns of `half` as bits of half precision, those of `single` as 32-bit floats, a folder a value of `by`, and its
+    parameters beside them. The parameters come last: a bundle without them is not finished."""
+    packed = df.withColumns({c: halves.half(F.col(c)) for c in half} | {c: F.col(c).cast("float") for c in single})
+    packed.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/cells")
+    about = json.dumps({"parameters": parameters, "half": list(half)}, sort_keys=True)
+    df.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """A bundle's rows, halves as doubles, and its parameters."""
+    about = json.loads(spark.read.text(f"{path}/about").first().value)
+    cells = spark.read.parquet(f"{path}/cells")
+    return cells.withColumns({c: halves.whole(F.col(c)) for c in about["half"]}), about["parameters"]
+
+
+def resumed(rows: DataFrame, keys: list[str], work: Callable[[tuple, pd.DataFrame], pd.DataFrame], shape: str, path: str, batches: int = 8, most: int | None = None, after_data: Callable[[int], None] = lambda batch: None) -> tuple[DataFrame, DataFrame]:
+    """(what the jobs gave, a row a job: keys, status, n_rows, error) of one job for each value of keys over its rows.
+
+    Jobs are dealt to `batches`. A batch's rows are written first and then its lines of the manifest, so rows of a run that ended between
+    the two count for nothing. A run leaves out the jobs that the manifest calls done; those that failed are tried again, and an
+    exception of one job is its line, not the end of the others. `most` batches are run at most. work gets the keys and a job's rows
+    and returns rows of `shape`."""
+    spark = rows.sparkSession
+    data, manifest = f"{path}/data", f"{path}/manifest"
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    about = "run string, status string, n_rows bigint, error string"
+
+    def lines() -> DataFrame:
+        there = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            return spark.createDataFrame([], f"{kinds}, {about}, at bigint")
+        return spark.read.schema(f"{kinds}, {about}, at bigint").parquet(manifest)
+
+    def newest() -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(F.desc("at"), "run")
+        return lines().withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+    batch_of = F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int")
+    todo = rows.select(*keys).distinct().join(newest().filter("status = 'done'").select(*keys), keys, "left_anti").select(*keys, batch_of.alias("_batch"))
+    waiting = sorted(r["_batch"] for r in todo.select("_batch").distinct().collect())  # `batches` numbers at most
+    names = [f.strip().split(" ")[0] for f in shape.split(",")]
+
+    for batch in waiting[:most]:
+        run = uuid.uuid4().hex
+
+        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # it is sent with this batch's run before the next begins
+            line = dict(zip(keys, key, strict=True)) | {"run": run}
+            try:
+                out = work(key, pdf)
+                line |= {"status": "done", "n_rows": len(out), "error": None}
+            except Exception as e:  # noqa: BLE001  a job's failure is a row
+                out, line = pd.DataFrame(columns=names), line | {"status": "failed", "n_rows": 0, "error": f"{type(e).__name__}: {e}"}
+            kept = out[names].assign(**{k: v for k, v in zip(keys, key, strict=True) if k not in names}, run=run, status=None, n_rows=None, error=None)
+            return pd.concat([kept.astype(object), pd.DataFrame([line])])[[*keys, *(c for c in names if c not in keys), "run", "status", "n_rows", "error"]]
+
+        others = ", ".join(f for f in shape.split(",") if f.strip().split(" ")[0] not in keys)
+        mine = rows.join(todo.filter(F.col("_batch") == batch).drop("_batch"), keys, "left_semi")
+        mine.groupBy(*keys).applyInPandas(one, f"{kinds}, {others}, {about}").write.mode("append").parquet(data)
+        after_data(batch)
+        new = spark.read.schema(f"{kinds}, {others}, {about}").parquet(data).filter((F.col("run") == run) & F.col("status").isNotNull())
+        new.select(*keys, "run", "status", "n_rows", "error", F.unix_micros(F.current_timestamp()).alias("at")).coalesce(1).write.mode("append").parquet(manifest)
+    state = newest()
+    others = ", ".join(f for f in shape.split(",") if f.strip().split(" ")[0] not in keys)
+    if lines().isEmpty():
+        return spark.createDataFrame([], f"{kinds}, {others}"), state.drop("run", "at")
+    found = spark.read.schema(f"{kinds}, {others}, {about}").parquet(data).filter("status is null")
+    done = state.filter("status = 'done'").select(*keys, "run")
+    return found.join(done, [*keys, "run"], "left_semi").drop("run", "status", "n_rows", "error"), state.drop("run", "at")
