@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import by_bytes, ship, unused
+from lattiq.llm.common import Scratch, by_bytes, ship, unused
 
 WORD = re.compile(r"[^\W_]+")
 #: Texts of more characters have their words counted one by one.
 LONG = 1 << 20
 #: Bytes of benchmark text that one broadcast may hold.
 SLICE_BYTES = 16 << 20
+#: Broadcasts that one stage looks for.
+SLICES = 4
 
 
 def words(text: str) -> list[str]:
@@ -210,6 +212,12 @@ def slices(spark: SparkSession, benchmark: DataFrame, least: int, limit: int = S
         yield spark.sparkContext.broadcast(Items(rows, least))
 
 
+def together(parts: Iterator, n: int = SLICES) -> Iterator[list]:
+    """Slices in lists of n: one function looks for those of a list, so a task has one worker that holds n slices at most."""
+    while some := list(islice(parts, n)):
+        yield some
+
+
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, limit: int = SLICE_BYTES) -> DataFrame:
     """doc_id, item_id, coverage, n_covered, n_words, tiles: each document with each item that leaked into it.
 
@@ -220,13 +228,13 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = None
-    for items in slices(spark, benchmark, least, limit):
+    for some in together(slices(spark, benchmark, least, limit)):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("doc_start", pa.int64()), ("item_start", pa.int64()), ("length", pa.int64())]))
             for whole in batches:
                 for batch in by_bytes(whole):
-                    found = items.value.matches(batch.column(1), coverage)
+                    found = [f for items in some for f in items.value.matches(batch.column(1), coverage)]
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": pc.take(batch.column(0), pa.array([f[0] for f in found], pa.int64())), "item_id": pa.array([f[1] for f in found], pa.int64()), "coverage": pa.array([f[2] for f in found], pa.float64()),
                         "n_covered": pa.array([f[3] for f in found], pa.int64()), "n_words": pa.array([f[4] for f in found], pa.int64()),
@@ -241,19 +249,25 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, limit: int = SLICE_BYTES) -> DataFrame:
     """docs without the rows into which an item leaked; columns as in docs, no shuffle.
 
+    A benchmark of more than SLICES slices takes a pass for each SLICES of them, with a table between.
     Null and empty texts stay, as do all rows if the benchmark is empty; repeated rows stay or go together; an empty table
     stays empty; columns may have any names."""
     ship(spark)
     columns, schema = docs.columns, docs.schema
-    for items in slices(spark, benchmark, least, limit):
+    groups, scratch = list(together(slices(spark, benchmark, least, limit))), Scratch(spark, "clean")
+    for i, some in enumerate(groups):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in by_bytes(whole, len(columns)):
                     keep = np.ones(batch.num_rows, bool)
-                    keep[[f[0] for f in items.value.matches(batch.column(len(columns)), coverage)]] = False
+                    for items in some:
+                        left = np.flatnonzero(keep)
+                        keep[left[[f[0] for f in items.value.matches(batch.column(len(columns)).take(pa.array(left)), coverage)]]] = False
                     kept = batch.filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=columns)
 
         docs = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(unused(columns, "text_"))).mapInArrow(run, schema)
+        if i + 1 < len(groups):
+            docs = scratch.keep(docs)  # the next stage begins anew, with workers of its own
     return docs

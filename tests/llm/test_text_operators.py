@@ -427,3 +427,32 @@ def test_spans_cut_by_windows_are_joined():
     whole = [(2, 0, 9, 1.0, False, False)]
     cut = [(100, 1, 140, 2.0, False, True), (120, 1, 160, 3.0, True, True), (150, 1, 170, 1.0, True, False), (300, 2, 310, 1.0, True, False), (400, 3, 410, 1.0, False, True)]
     assert sorted(pii.joined([*cut, *whole])) == [(2, 0, 9, 1.0), (100, 1, 170, 3.0)]
+
+
+def test_many_slices_leave_what_one_slice_leaves(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(40)]
+    docs = [(i, f"before it {items[i][1]} and after" if i % 3 else f"nothing of the kind {i} here at all", "x", i) for i in range(40)] + [(None, items[5][1], "y", 1), (41, None, "z", 2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, text_ string, item_id int")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(repr, decontaminate.clean(spark, df, bench).collect()))
+    n = len(list(decontaminate.slices(spark, bench, 5, 400)))
+    assert n > 2 * decontaminate.SLICES
+    assert sorted(map(repr, decontaminate.clean(spark, df, bench, limit=400).collect())) == one
+    assert len(one) == sum(i % 3 == 0 for i in range(40)) + 1
+    plan = decontaminate.clean(spark, df, bench, limit=400)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 1
+    found = decontaminate.leaks(spark, df, bench, limit=400)
+    assert sorted(r.item_id for r in found.collect()) == sorted([i for i in range(40) if i % 3] + [5])
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == -(-n // decontaminate.SLICES)
+
+
+def test_the_first_look_knows_all_white_space():
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spaces = [chr(c) for c in range(0x110000) if re.match(r"\s", chr(c))]
+    texts = [f"a{s}dot{s}b" for s in spaces] + [f"x [at{s}] y" for s in spaces]
+    assert all(pc.match_substring_regex(pa.array(texts), pii._MAYBE).to_pylist())
+    assert not any(pc.match_substring_regex(pa.array(["a dotted line", "at home", "plain words"]), pii._MAYBE).to_pylist())
