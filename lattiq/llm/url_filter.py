@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import Scratch
@@ -77,6 +77,36 @@ def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     return F.when(host.rlike(_ADDRESS), "").when(under != "", under).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
 
 
+#: Suffix rules up to this many are broadcast; beyond it they are joined by shuffle.
+FEW_RULES = 100_000
+
+
+def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """tail, kind of the rules in a file of public suffixes: a rule a line, up to its first white space; lines that are empty or begin with
+    "//" are none. kind: 0 the tail itself, 1 any label before it ("*."), 2 an exception ("!"). Repeated rules count once."""
+    line = F.translate(F.regexp_extract("value", r"^\s*(\S*)", 1), UPPER, LOWER)
+    rows = spark.read.text(path).select(line.alias("r")).filter("r <> '' and not startswith(r, '//')")
+    kind = F.when(F.col("r").startswith("!"), 2).when(F.col("r").startswith("*."), 1).otherwise(0)
+    return rows.select(F.regexp_replace("r", r"^(!|\*\.|\.)", "").alias("tail"), kind.alias("kind")).distinct()
+
+
+def with_domains(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """hosts (host, ...) with domain and suffix by rules (see read_suffixes): an exception decides, else the rule of the most labels, else the
+    last label; the domain has one label more. A host that is a suffix itself, an address and a name of one label are their own domain."""
+    names = hosts.select("host").distinct().withColumn("_l", F.split(plain(F.col("host")), r"\."))
+    tails = names.select("host", "_l", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_l")), lambda i: F.array_join(F.slice("_l", i, F.size("_l")), "."))).alias("_i", "tail"))
+    near = F.broadcast(rules) if rules.count() <= FEW_RULES else rules
+    start = F.col("_i") - F.when(F.col("kind") == 1, 1).when(F.col("kind") == 2, -1).otherwise(0)
+    fits = tails.join(near, "tail").withColumn("_s", start).filter("_s >= 0").groupBy("host").agg(F.min(F.struct((F.col("kind") != 2).alias("k"), F.col("_s").alias("s"))).alias("_b"))
+    rows = names.join(fits, "host", "left").withColumn("_n", F.size("_l"))
+    at = F.least(F.greatest(F.coalesce(F.col("_b.s"), F.col("_n") - 1), F.lit(1)), F.greatest(F.col("_n") - 1, F.lit(1)))
+    rest = lambda k: F.array_join(F.slice("_l", k + 1, F.col("_n")), ".")
+    address = plain(F.col("host")).rlike(_ADDRESS)
+    domain = F.when(address | (F.col("_n") == 1), plain(F.col("host"))).otherwise(rest(at - 1))
+    suffix = F.when(address, "").when(F.col("_n") == 1, plain(F.col("host"))).otherwise(rest(at))
+    return hosts.join(rows.select("host", domain.alias("domain"), suffix.alias("suffix")), "host")
+
+
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The name of the longest rule that fits, or null."""
     out = F.lit(None).cast("string")
@@ -99,7 +129,7 @@ def _weight(n: str, bad: str, rate: Column) -> Column:
     return F.when(rho.isNull(), 10.0).otherwise(found)
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """host, n, bad, posterior, lower: of each host of labelled pages (columns url, page_id; outcomes: page_id, bad 0/1).
 
     The levels host, registered domain and suffix are sums of sums, so a host with a third of all pages is
@@ -110,9 +140,14 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixe
     return shrink(Scratch(pages.sparkSession, "hosts").keep(hosts, "counts"), z, suffixes)
 
 
-def shrink(hosts: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """The posterior of each host from its counts (host, n, bad). Of the whole table only a few numbers come to the driver."""
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
+def shrink(hosts: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
+    """The posterior of each host from its counts (host, n, bad). Of the whole table only a few numbers come to the driver.
+
+    suffixes: names, or a table of rules as read_suffixes() gives it. Hosts are to be there once and not null; an empty table gives an empty result."""
+    if isinstance(suffixes, DataFrame):
+        hosts = with_domains(hosts, suffixes)
+    else:
+        hosts = hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
     overall, total = suffixes.agg(F.coalesce((F.sum("sbad") + 1) / (F.sum("sn") + 2), F.lit(0.5)), F.coalesce(F.sum("sn"), F.lit(0))).first()
@@ -130,7 +165,7 @@ def shrink(hosts: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = SUFFI
     return hosts.select("host", "n", "bad", mean.alias("posterior"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], tolerated: float = 0.4, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES, salts: int = 16) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], tolerated: float = 0.4, z: float = 1.645, suffixes: tuple[str, ...] | DataFrame = SUFFIXES, salts: int = 16) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; allow or block.
 
     The longest fitting rule decides; without one, a host is blocked if the lower bound of its posterior share

@@ -262,3 +262,27 @@ def test_driver_views_hold_for_the_url_rules(spark):
     c = duckdb.connect()
     want = {r[0]: r[1:] for r in c.execute(rf"SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1), regexp_extract(url, '://[^/?#]*([^?#]*)', 1) FROM read_parquet('{SF}/pages.parquet')").fetchall()}
     assert all(want[r.page_id] == (r.host, r.path) for r in queries.op8_url_filter(spark, SF).collect())
+
+
+def test_suffix_rules_of_a_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("// rules\ncom\nCO.uk  // said\n\nuk\n*.ck\n!www.ck\n*.city.jp\n!city.city.jp\njp\ngithub.io\ncom\n")
+    rules = url_filter.read_suffixes(spark, f"file://{tmp_path}/rules.txt")
+    assert rules.count() == 9
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.uk": ("b.uk", "uk"), "co.uk": ("co.uk", "uk"), "x.y.foo.ck": ("y.foo.ck", "foo.ck"), "a.www.ck": ("www.ck", "ck"), "www.ck": ("www.ck", "ck"), "foo.ck": ("foo.ck", "ck"),
+        "p.q.r.city.jp": ("q.r.city.jp", "r.city.jp"), "p.city.city.jp": ("city.city.jp", "city.jp"), "me.github.io": ("me.github.io", "github.io"), "u@a.nowhere.zz:80": ("nowhere.zz", "zz"), "single": ("single", "single"),
+        "10.0.0.1": ("10.0.0.1", ""), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h, 2, 1) for h in want], "host string, n bigint, bad bigint")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.with_domains(df, rules).collect()}
+    assert got == want
+    few, url_filter.FEW_RULES = url_filter.FEW_RULES, 0
+    try:
+        assert {r.host: (r.domain, r.suffix) for r in url_filter.with_domains(df, rules).collect()} == want
+    finally:
+        url_filter.FEW_RULES = few
+    assert url_filter.shrink(df, suffixes=rules).count() == len(want) and url_filter.shrink(df.limit(0), suffixes=rules).count() == 0
+    named = url_filter.SUFFIXES
+    table = spark.createDataFrame([(s, 0) for s in named], "tail string, kind int")
+    both = [sorted((r.host, round(r.lower, 9)) for r in url_filter.shrink(df, suffixes=x).collect()) for x in (named, table)]
+    assert both[0] == both[1]
