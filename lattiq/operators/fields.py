@@ -108,7 +108,7 @@ def passage_time(u: Column) -> Column:
     return F.least(F.greatest(1 - u, F.lit(0.0)), F.lit(1.0))
 
 
-def streamlines(seeds: DataFrame, field: DataFrame, n: int, step: float = 0.5, most: int = 500, arrive: float = 0.98, side: int = 32) -> DataFrame:
+def streamlines(seeds: DataFrame, field: DataFrame, n: int, step: float = 0.5, most: int = 5000, arrive: float = 0.98, side: int = 32) -> DataFrame:
     """path_id, i, z, y, x: Euler steps along the trilinear direction from each seed (path_id, z, y, x), until u reaches
     `arrive`, the direction vanishes, the grid ends or `most` steps are made.
 

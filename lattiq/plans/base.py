@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import wraps
 
@@ -34,8 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def side(spark: SparkSession, sf_dir: str) -> int:
-    """The side of the pseudo-volume: 24, or 64 from 100,000 rows of lineitem on (a count of the files' footers)."""
-    return 64 if table(spark, sf_dir, "lineitem").count() > 100_000 else 24
+    """The side of the pseudo-volume: 24 up to 100,000 rows of lineitem (a count of the files' footers), then about eight tenths of
+    the cube root of their number, in steps of 8 and 64 at least, so that a volume grows with the table."""
+    rows = table(spark, sf_dir, "lineitem").count()
+    return max(64, 8 * math.floor(math.cbrt(rows) / 10)) if rows > 100_000 else 24
 
 
 def vox(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -47,7 +50,7 @@ def vox(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return rows.groupBy("z", "y", "x").agg(F.max("l_quantity").alias("v"), F.count("*").alias("c")), n
 
 
-VOX = """WITH p AS (SELECT CASE WHEN count(*) > 100000 THEN 64 ELSE 24 END::BIGINT AS n FROM lineitem),
+VOX = """WITH p AS (SELECT CASE WHEN count(*) > 100000 THEN greatest(64, 8 * floor(cbrt(count(*)) / 10)) ELSE 24 END::BIGINT AS n FROM lineitem),
 vox AS (SELECT l_orderkey % n AS z, l_partkey % n AS y, (l_suppkey * 7 + l_linenumber * 5 + l_orderkey) % n AS x, max(l_quantity) AS v, count(*) AS c FROM lineitem, p GROUP BY ALL)
 """
 REC = VOX.replace("WITH p", "WITH RECURSIVE p", 1)

@@ -233,14 +233,25 @@ def crown_tracks(domain: DataFrame, source: DataFrame, target: DataFrame, n: int
     ends = source.select(graph.linear(n).alias("node")).distinct().join(ways, "node").filter("via >= 0").select(F.col("node").alias("path_id"), "node")
     way = graph.traced(ways, ends).join(ways.select("node", "cost"), "node")
     place = way.select("path_id", "step", F.floor(F.col("node") / (n * n)).cast("double").alias("z"), (F.floor(F.col("node") / n) % n).cast("double").alias("y"), (F.col("node") % n).cast("double").alias("x"), "cost")
+    return inward_scores(place, n, axis).select("path_id", "step", *AXES, "cost", "score")
+
+
+def inward_scores(points: DataFrame, n: int, axis: str = "z") -> DataFrame:
+    """Adds score to the points (path_id, step, z, y, x) of tracks: the angle of the step that starts there to the direction towards the
+    grid's central axis over a right angle, 1 where it leads away; null at the end of a track."""
     w = Window.partitionBy("path_id").orderBy("step")
-    nxt = {a: F.lead(a).over(w) for a in AXES}
-    rows = place.withColumns({f"_{a}": nxt[a] - F.col(a) for a in AXES})
+    rows = points.withColumns({f"_{a}": F.lead(a).over(w) - F.col(a) for a in AXES})
     to, far = inward(axis, {a: n / 2 for a in AXES}, {a: F.col(a) + F.col(f"_{a}") / 2 for a in AXES})
     long = F.sqrt(sum((F.col(f"_{a}") * F.col(f"_{a}") for a in AXES), F.lit(0.0)))
-    dot = F.when(far > 1e-9, sum((F.col(f"_{a}") / long * to[a] for a in AXES), F.lit(0.0))).otherwise(0.0)
+    dot = F.when((far > 1e-9) & (long > 0), sum((F.col(f"_{a}") / long * to[a] for a in AXES), F.lit(0.0))).otherwise(0.0)
     score = F.when(F.col("_z").isNotNull(), F.acos(F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0))) / (HALF_TURN / 2))
-    return rows.select("path_id", "step", *AXES, "cost", score.alias("score"))
+    return rows.withColumn("score", score).drop(*(f"_{a}" for a in AXES))
+
+
+def streamline_tracks(seeds: DataFrame, field: DataFrame, n: int, step: float = 0.5, most: int = 5000) -> DataFrame:
+    """path_id, step, z, y, x, score of the streamlines from the seeds through a field (see fields.streamlines), the seeds as step 0."""
+    lines = Workspace(field.sparkSession, "lines").keep(fields.streamlines(seeds, field, n, step, most))
+    return inward_scores(lines.withColumnRenamed("i", "step"), n)
 
 
 def shell_surfaces(cells: DataFrame, shells: DataFrame, n: int) -> DataFrame:

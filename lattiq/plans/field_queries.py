@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattiq.operators import fields, geometry, graph, potential, profiles, relaxation, voxels
+from lattiq.plans import builds
 from lattiq.plans.base import REC, VOX, query, table, vox
 
 ZYX = ["z", "y", "x"]
@@ -187,26 +188,24 @@ def eikonal_times(spark, sf_dir):
 
 
 def _flow(spark, sf_dir):
-    """Directions, speed and area of a smooth field on the grid: towards growing z, swirling a little."""
+    """The field bundle of the voxels below 49 between the first and the last plane, and the grid's side."""
     v, n = vox(spark, sf_dir)
-    z, y, x = (F.col(a).cast("double") for a in ZYX)
-    grid = voxels.dense(v, n)
-    last, middle = float(n - 1), (n - 1) / 2
-    vy, vx = (x - middle) / 40, (F.lit(middle) - y) / 40
-    return grid.select(*ZYX, F.lit(0.9).alias("vz"), vy.alias("vy"), vx.alias("vx"), (z / (n - 1)).alias("u"), F.sqrt(0.81 + vy * vy + vx * vx).alias("speed"), F.lit(1.0).alias("area"), F.least(y, F.lit(last) - y, x, F.lit(last) - x).alias("wall")), n
+    area = fields.grid_of(spark, n).join(v.filter("v >= 49").select(*ZYX), ZYX, "left_anti")
+    bundle = builds.field_bundle(area, area.filter("z = 0"), area.filter(F.col("z") == n - 1), n)
+    return fields.Workspace(spark, "flow").keep(bundle.withColumn("area", F.lit(1.0))), n
 
 
 @query()
 def streamlines(spark, sf_dir):
-    """Lines through the whole field from every voxel of 40 or more in its second plane."""
+    """Lines through the solved field from every voxel of 40 or more in its second plane, with the scores of their steps."""
     field, n = _flow(spark, sf_dir)
-    seeds = vox(spark, sf_dir)[0].filter("z = 1 and v >= 40").select((F.col("y") * max(n, 64) + F.col("x")).alias("path_id"), *ZYX)
-    return fields.streamlines(seeds, field, n)
+    seeds = vox(spark, sf_dir)[0].filter("z = 1 and v >= 40").join(field.select(*ZYX), ZYX, "left_semi").select((F.col("y") * max(n, 64) + F.col("x")).alias("path_id"), *ZYX)
+    return builds.streamline_tracks(seeds, field, n)
 
 
 @query()
 def particles(spark, sf_dir):
-    """200 o2 particles of three lives each, which may end at the walls."""
+    """200 o2 particles of three lives each in the solved field, which may end at the walls."""
     field, n = _flow(spark, sf_dir)
     seeds = fields.seeded(fields.seed_weights(field, "o2"), 600)
     return fields.particles(seeds, field, n, frames=20, lives=3, kill=fields.WALL_KILL["o2"])
