@@ -33,14 +33,16 @@ def ease_out(x: Column, power: float) -> Column:
     return 1 - F.pow(1 - clip01(x), F.lit(power))
 
 
-def hue_shifted(r: Column, g: Column, b: Column, shift: float) -> Column:
-    """struct(r, g, b) of a colour in [0, 1] whose hue is turned by shift (1 is a full turn)."""
+def hue_shifted(r: Column, g: Column, b: Column, shift: Column | float, brighter: Column | float = 0.0) -> Column:
+    """struct(r, g, b) of a colour in [0, 1] whose hue is turned by shift (1 is a full turn) and whose brightest part is raised by `brighter`."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     d = top - low
     h = F.when(d == 0, 0.0).when(top == r, (g - b) / d).when(top == g, 2 + (b - r) / d).otherwise(4 + (r - g) / d) / 6
     h = h + shift
     h = h - F.floor(h)
     s = F.when(top == 0, 0.0).otherwise(d / top)
+    if isinstance(brighter, Column) or brighter:
+        top = clip01(top + brighter)
 
     def part(n: int) -> Column:
         k = (n + h * 6) % 6
@@ -49,6 +51,17 @@ def hue_shifted(r: Column, g: Column, b: Column, shift: float) -> Column:
     return F.struct(part(5).alias("r"), part(3).alias("g"), part(1).alias("b"))
 
 
+#: The colour of all columns, and how far the hue and the brightness of one may lie from it.
+COLUMN_RGB, HUE_JITTER, VALUE_JITTER = (140, 195, 255), 0.04, 0.05
+
+
+def column_colour(column: Column) -> Column:
+    """struct(r, g, b), 0 to 255, of a column (from 1 on): the common colour, its hue and brightness moved by draws from its number; white for 0."""
+    draw = lambda factor, m: (column * factor % m) / (m - 1) * 2 - 1
+    c = hue_shifted(*(F.lit(v / 255) for v in COLUMN_RGB), draw(7919, 1009) * HUE_JITTER, draw(104729, 1013) * VALUE_JITTER)
+    return F.struct(*(F.when(column > 0, F.bround(c[k] * 255)).otherwise(255).cast("int").alias(k) for k in "rgb"))
+
+
 def ramp(x: Column, stops: list[tuple[float, float]]) -> Column:
     """Piecewise linear through (position, value) stops in ascending order, constant beyond them."""
     out = F.lit(float(stops[-1][1]))

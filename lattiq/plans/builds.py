@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.functions.shaping import auto_stride, clip01, glow
+from lattiq.functions.shaping import auto_stride, clip01, column_colour, glow
 from lattiq.operators import fields, geometry, graph, meshes, paths, potential, profiles, relaxation, timelines, voxels
 from lattiq.operators.profiles import HALF_TURN
 from lattiq.operators.tables import Workspace, quantiles
@@ -138,18 +138,39 @@ def basins(area: DataFrame, distance: DataFrame, n: int, seeds: int) -> DataFram
     return labels.join(basin, list(AXES)).select(F.col("label").alias("column_id"), *AXES, "d")
 
 
-def membranes(area: DataFrame, distance: DataFrame, n: int, seeds: int, levels: int, steps: int) -> DataFrame:
-    """fid, column_id, time_id, step_id of the sides of voxels that separate a level's inside from its outside, in each
-    column; a column starts at a step of its own, and steps go round."""
-    cells = basins(area, distance, n, seeds)
-    top = cells.agg(F.max("d")).first()[0] or 1.0
-    level = F.least(F.floor(F.col("d") / top * levels).cast("bigint"), F.lit(levels - 1))
-    cells = Workspace(area.sparkSession, "levels").keep(cells.withColumn("time_id", level))
-    upper = cells.select(F.col("column_id").alias("c2"), *AXES, F.col("time_id").alias("t2"))
-    sides = voxels.moved(cells, voxels.SIX, ["column_id", "time_id"]).join(upper, list(AXES)).filter("c2 = column_id and t2 > time_id")
-    faces = sides.select(F.xxhash64(*AXES, "time_id", "column_id").alias("fid"), "column_id", "time_id").distinct()
-    starts = faces.select("column_id").distinct().withColumn("tstart", F.pmod(F.col("column_id") * 7, F.lit(steps)))
-    return geometry.packed(faces, starts, steps)
+#: How far above its range an object's background lies, where its first level begins, and the most levels.
+ABOVE, FIRST_LEVEL, MOST_LEVELS = 10.0, 1e-3, 300
+
+
+def membranes(area: DataFrame, distance: DataFrame, n: int, seeds: int, level_step: float, target: int | None = None, least: float = 1.0, phases: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Packed triangles (fid, a, b, c, column_id, time_id, step_id, red, green, blue) of the surfaces at even steps of the distance inside an object, and its
+    vertices (time_id, vid, z, y, x).
+
+    Columns are basins of far seeds. Each surface is reduced to `target` faces; those nearer than `least` to the outside of the object, or
+    with a corner in no column, go, and the others take the column that two of their corners share. A column starts at a step of its own, and
+    the steps, `phases` times as many as levels, go round."""
+    space = Workspace(area.sparkSession, "membranes")
+    cells = space.keep(basins(area, distance, n, seeds))
+    low, high = cells.filter("d > 0").agg(F.min("d"), F.max("d")).first()
+    if low is None:
+        raise ValueError("the distance is positive nowhere inside the object")
+    level_step = max(level_step, (high - low) / MOST_LEVELS)
+    count = max(0, math.ceil((high - low - FIRST_LEVEL) / level_step))
+    if not count:
+        raise ValueError(f"no level between {low} and {high}")
+    tri = geometry.level_triangles(cells.select(*AXES, F.col("d").alias("v")), n, low + FIRST_LEVEL, level_step, count, high + ABOVE)
+    verts, faces = geometry.welded(tri)
+    verts, faces = space.keep(verts), space.keep(faces)
+    if target:
+        verts, faces = meshes.reduced(verts, faces, faces.select("mesh_id").distinct().withColumn("target", F.lit(target).cast("bigint")))
+    outside = fields.grid_of(area.sparkSession, n).join(area.select(*AXES), list(AXES), "left_anti")
+    far = fields.squared_distance(outside, n).select(*AXES, F.sqrt("d2").alias("far"))
+    labels = space.keep(cells.join(far, list(AXES)).select(*AXES, F.col("column_id").alias("label"), "far"))
+    kept = space.keep(geometry.voted(verts, faces, labels, least).withColumnRenamed("mesh_id", "time_id"))
+    starts = kept.select("column_id").distinct().withColumn("tstart", F.pmod(F.xxhash64("column_id"), F.lit(phases * count)))
+    packed = geometry.packed(kept, starts, phases * count)
+    colour = column_colour(F.col("column_id"))
+    return packed.withColumns({"red": colour["r"], "green": colour["g"], "blue": colour["b"]}), verts.withColumnRenamed("mesh_id", "time_id")
 
 
 def periodic_zoom(grid: np.ndarray, factor: int, sigma: float) -> np.ndarray:
