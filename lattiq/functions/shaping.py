@@ -59,7 +59,7 @@ def column_colour(column: Column) -> Column:
     """struct(r, g, b), 0 to 255, of a column (from 1 on): the common colour, its hue and brightness moved by draws from its number; white for 0."""
     draw = lambda factor, m: (column * factor % m) / (m - 1) * 2 - 1
     c = hue_shifted(*(F.lit(v / 255) for v in COLUMN_RGB), draw(7919, 1009) * HUE_JITTER, draw(104729, 1013) * VALUE_JITTER)
-    return F.struct(*(F.when(column > 0, F.bround(c[k] * 255)).otherwise(255).cast("int").alias(k) for k in "rgb"))
+    return F.struct(*(F.when(column > 0, F.bround(F.round(c[k] * 255, 9))).otherwise(255).cast("int").alias(k) for k in "rgb"))
 
 
 def ramp(x: Column, stops: list[tuple[float, float]]) -> Column:

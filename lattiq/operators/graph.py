@@ -45,7 +45,7 @@ def linear(n: int):
 
 def labelled(mask: DataFrame, n: int, connectivity: int = 6, keep: list[str] = ()) -> DataFrame:
     """The mask's voxels with cid, the least scan-order index of their component (6 or 26 neighbours)."""
-    voxels = mask.select(*AXES, *keep).withColumn("id", linear(n))
+    voxels = Workspace(mask.sparkSession, "labelled").keep(mask.select(*AXES, *keep).withColumn("id", linear(n)))  # it is read three times
     forward = [o for o in (SIX if connectivity == 6 else TWENTY_SIX) if o > (0, 0, 0)]
     near = moved(voxels, forward, ["id"]).withColumnRenamed("id", "u")
     edges = near.join(voxels.select(*AXES, F.col("id").alias("v")), list(AXES)).select("u", "v")

@@ -90,14 +90,19 @@ def resampled(df: DataFrame, key: list[str], by: list[str], axes: list[str], n:
     return segs.select(*key, "i", *((F.col(f"{a}0") + f * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a in axes), *(((F.col(f"{a}1") - F.col(f"{a}0")) / (F.col("c1") - F.col("c0"))).alias(f"t{a}") for a in axes))
 
 
-def spaced(df: DataFrame, key: list[str], by: list[str], axes: list[str], spacing: float) -> DataFrame:
-    """Points at every `spacing` along each polyline, its start included, by linear interpolation; each segment makes its own."""
-    line = chord_lengths(df, key, by, axes)
+def rings(df: DataFrame, key: list[str], by: list[str], axes: list[str], spacing: float, up: dict, offset: float = 0.0) -> DataFrame:
+    """key, i, axes, t<axis>: places at one, two, ... spacings along each polyline moved by `offset` along `up` (axis to column), before its end,
+    and the unit direction there, from the point before the segment's first to its last."""
+    moved = df.select(*key, *by, *((F.col(a) + up[a] * offset).alias(a) for a in axes))
+    line = chord_lengths(moved, key, by, axes)
     w = ordered(key, by)
-    segs = line.select(*key, F.col("cum").alias("c0"), F.lead("cum").over(w).alias("c1"), *(c for a in axes for c in (F.col(a).alias(f"{a}0"), F.lead(a).over(w).alias(f"{a}1")))).filter("c1 > c0")
-    segs = segs.withColumn("first", F.ceil(F.col("c0") / spacing)).withColumn("last", F.ceil(F.col("c1") / spacing) - 1).filter("last >= first").withColumn("i", F.explode(F.sequence("first", "last")))
+    segs = line.select(*key, F.max("cum").over(Window.partitionBy(*key)).alias("total"), F.col("cum").alias("c0"), F.lead("cum").over(w).alias("c1"), *(c for a in axes for c in (F.col(a).alias(f"{a}0"), F.lead(a).over(w).alias(f"{a}1"), F.coalesce(F.lag(a).over(w), F.col(a)).alias(f"{a}_"))))
+    segs = segs.filter("c1 > c0").withColumn("first", F.floor(F.col("c0") / spacing) + 1).withColumn("last", F.floor(F.col("c1") / spacing)).filter("last >= first")
+    segs = segs.withColumn("i", F.explode(F.sequence("first", "last"))).filter(F.col("i") * spacing < F.col("total"))
     f = (F.col("i") * spacing - F.col("c0")) / (F.col("c1") - F.col("c0"))
-    return segs.select(*key, "i", *((F.col(f"{a}0") + f * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a in axes))
+    way = {a: F.col(f"{a}1") - F.col(f"{a}_") for a in axes}
+    long = F.sqrt(sum((d * d for d in way.values()), F.lit(0.0)))
+    return segs.select(*key, "i", *((F.col(f"{a}0") + f * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a in axes), *(F.when(long > 0, d / long).otherwise(0.0).alias(f"t{a}") for a, d in way.items()))
 
 
 def velocity_profile(df: DataFrame, key: list[str], by: str, limit: str, twice_a_ds: float) -> DataFrame:

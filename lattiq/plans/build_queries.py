@@ -67,10 +67,10 @@ def crown_segments(spark, sf_dir):
 
 @query()
 def lame_build(spark, sf_dir):
-    """Thick shells through twelve columns, packed by step."""
+    """Thick shells through twelve columns, each of 2,000 faces at most, packed by step."""
     v, n = vox(spark, sf_dir)
     inner = v.filter("v >= 15")
-    return builds.lames(inner, inner, n, 12, 6, 1.0, 24)[0]
+    return builds.lames(inner, inner, n, 12, 6, 1.0, 24, target=2000)[0]
 
 
 @query()

@@ -283,7 +283,26 @@ def shell_surfaces(cells: DataFrame, shells: DataFrame, n: int) -> DataFrame:
     return geometry.sparse_iso_triangles(members, ["column_id", "time_id"], n)
 
 
-def lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, levels: int, width: float, steps: int, fade: int = 4) -> tuple[DataFrame, DataFrame]:
+#: Shells of a column are numbered within this many.
+SHELLS = 1 << 20
+
+
+def shell_meshes(cells: DataFrame, shells: DataFrame, n: int, target: int | None = None, smooth: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Vertices (mesh_id, vid, z, y, x) and faces (mesh_id, fid, a, b, c, column_id, time_id) of the surfaces of shells (see shell_surfaces), each
+    reduced to `target` faces and smoothed `smooth` times; mesh_id is made of column and time."""
+    corners = shell_surfaces(cells, shells, n).withColumn("mesh_id", F.col("column_id") * SHELLS + F.col("time_id"))
+    verts, faces = geometry.welded(corners.select("mesh_id", "cell", "tri", "corner", *AXES))
+    space = Workspace(cells.sparkSession, "shells")
+    verts, faces = space.keep(verts), space.keep(faces)
+    if target:
+        verts, faces = meshes.reduced(verts, faces, faces.select("mesh_id").distinct().withColumn("target", F.lit(target).cast("bigint")))
+    if smooth:
+        verts = geometry.smoothed(verts, faces, smooth)
+    named = faces.select("mesh_id", F.xxhash64("mesh_id", "fid").alias("fid"), "a", "b", "c", F.floor(F.col("mesh_id") / SHELLS).alias("column_id"), (F.col("mesh_id") % SHELLS).alias("time_id"))
+    return verts, space.keep(named)
+
+
+def lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, levels: int, width: float, steps: int, fade: int = 4, target: int | None = None, smooth: int = 0) -> tuple[DataFrame, DataFrame]:
     """Packed triangles (fid, column_id, time_id, step_id, glow) of thick shells that run through the columns of an object, and
     a row of meta a column (t0, tlast, tstart).
 
@@ -303,8 +322,7 @@ def lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, levels: int,
     middle, half = F.lit(low) + (F.col("time_id") + 0.5) * step, F.col("alpha") * width * step / 2
     rows = rows.withColumn("lo", middle - half).withColumn("d1", middle + half).filter("d1 > c0 and lo < c1")
     shells = timelines.monotone_bounds(rows, ["column_id"], "time_id", "lo", step / 2).select("column_id", "time_id", F.col("lo").alias("d0"), F.greatest("d1", F.col("lo") + step / 2).alias("d1"))
-    corners = space.keep(shell_surfaces(cells, shells, n))
-    tri = corners.select("column_id", "time_id", "cell", "tri").distinct().withColumn("fid", F.xxhash64("column_id", "time_id", "cell", "tri"))
+    _, tri = shell_meshes(cells, shells, n, target, smooth)
     spans = tri.groupBy("column_id").agg(F.min("time_id").alias("t0"), F.max("time_id").alias("tlast"))
     meta = space.keep(spans.withColumn("tstart", F.pmod(F.xxhash64("column_id"), F.lit(steps))))
     local = F.col("time_id") - F.col("t0")
@@ -312,21 +330,26 @@ def lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, levels: int,
     return out.select("fid", "column_id", "time_id", "step_id", "glow").repartitionByRange("step_id", "fid").sortWithinPartitions("step_id", "fid"), meta
 
 
-def phased_lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, growth: float, hold: float, steps: int, fade: int = 4) -> DataFrame:
-    """Packed voxels (column_id, frame, phase, step_id, z, y, x, glow): each column fills, rests and empties (see
-    fields.shell_schedules); distances count from the column's least; a column starts at a step of its own."""
+def phased_lames(area: DataFrame, distance: DataFrame, n: int, seeds: int, growth: float, hold: float, steps: int, fade: int = 4, target: int | None = None, smooth: int = 0) -> DataFrame:
+    """Packed triangles (fid, column_id, frame, phase, step_id, glow) of shells: each column fills, rests and empties (see
+    fields.shell_schedules); distances count from the column's least; a column starts at a step of its own. Frames with the same shell
+    share one surface, which is made once."""
     space = Workspace(area.sparkSession, "phased")
     cells = basins(area, distance, n, seeds)
     least = cells.groupBy("column_id").agg(F.min("d").alias("_least"))
     cells = space.keep(cells.join(least, "column_id").withColumn("d", F.col("d") - F.col("_least")).drop("_least"))
     schedule = space.keep(fields.shell_schedules(cells.groupBy("column_id").agg(F.max("d").alias("most")), growth, hold))
     counts = schedule.groupBy("column_id").agg(*(F.count_if(F.col("phase") == k).alias(f"n{k}") for k in range(3)))
-    rows = fields.shell_members(cells, schedule).join(counts, "column_id")
+    same = Window.partitionBy("column_id", "d0", "d1")
+    frames = space.keep(schedule.withColumn("time_id", F.min("frame").over(same)))
+    _, tri = shell_meshes(cells, frames.select("column_id", "time_id", "d0", "d1").distinct(), n, target, smooth)
+    rows = tri.select("fid", "column_id", "time_id").join(frames.select("column_id", "time_id", "frame", "phase"), ["column_id", "time_id"]).join(counts, "column_id")
     part = F.col("frame") - F.col("n0") - F.col("n1")
     fading = float(max(1, fade))
     shine = F.when(F.col("phase") == 0, clip01(1 - F.col("frame") / fading)).when(F.col("phase") == 1, 0.0).otherwise(clip01(1 - (F.col("n2") - 1 - part) / fading))
     step = F.pmod(F.xxhash64("column_id"), F.lit(steps)) + F.col("frame")
-    return rows.select("column_id", "frame", "phase", (step % steps).alias("step_id"), *AXES, shine.alias("glow"))
+    out = rows.select("fid", "column_id", "frame", "phase", (step % steps).alias("step_id"), shine.alias("glow"))
+    return out.repartitionByRange("step_id", "fid").sortWithinPartitions("step_id", "fid")
 
 
 def camera_track(keyframes: DataFrame, frames_per_segment: int = 12, ease: int = 2, dense: int = 512) -> DataFrame:

@@ -200,7 +200,7 @@ def membrane_build(spark, sf_dir):
 
 @query("""WITH k AS (SELECT o_orderkey AS column_id, (o_orderkey * 7919 % 1009) / 1008.0::DOUBLE * 2 - 1 AS a, (o_orderkey * 104729 % 1013) / 1012.0::DOUBLE * 2 - 1 AS b FROM orders),
 h AS (SELECT column_id, (4 + (140 / 255.0::DOUBLE - 195 / 255.0::DOUBLE) / (115 / 255.0::DOUBLE)) / 6 + a * 0.04 AS h0, least(greatest(1 + b * 0.05, 0), 1) AS v, 115 / 255.0::DOUBLE AS s FROM k), q AS (SELECT *, (h0 - floor(h0)) * 6 AS h FROM h)
-SELECT column_id, """ + ", ".join(f"CASE WHEN column_id > 0 THEN round_even((v - v * s * greatest(0, least(({k} + h) - 6 * floor(({k} + h) / 6), 4 - (({k} + h) - 6 * floor(({k} + h) / 6)), 1))) * 255, 0) ELSE 255 END::INTEGER AS {c}" for k, c in ((5, "r"), (3, "g"), (1, "b"))) + " FROM q")
+SELECT column_id, """ + ", ".join(f"CASE WHEN column_id > 0 THEN round_even(round((v - v * s * greatest(0, least(({k} + h) - 6 * floor(({k} + h) / 6), 4 - (({k} + h) - 6 * floor(({k} + h) / 6)), 1))) * 255, 9), 0) ELSE 255 END::INTEGER AS {c}" for k, c in ((5, "r"), (3, "g"), (1, "b"))) + " FROM q")
 def column_colours(spark, sf_dir):
     """The colour of a column for each order."""
     c = shaping.column_colour(F.col("o_orderkey"))

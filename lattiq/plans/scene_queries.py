@@ -99,12 +99,21 @@ def level_sweep(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("species"), (F.col("event_id") % 6).alias("level")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("v_max"))
 
 
-@query(f"""WITH {_PTS}, s AS (SELECT *, coalesce(sqrt((pz - lag(pz) OVER w) ** 2 + (py - lag(py) OVER w) ** 2), 0) AS seg FROM pts WINDOW w AS (PARTITION BY path_id ORDER BY i)), c AS (SELECT *, sum(seg) OVER (PARTITION BY path_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c0 FROM s),
-g AS (SELECT path_id, c0, lead(c0) OVER w AS c1, pz AS pz0, lead(pz) OVER w AS pz1 FROM c WINDOW w AS (PARTITION BY path_id ORDER BY i)) SELECT path_id, r.range AS i, round(pz0 + (r.range * 25.0 - c0) / (c1 - c0) * (pz1 - pz0), 4) AS pz FROM g, range(200) r WHERE c1 > c0 AND r.range * 25.0 >= c0 AND r.range * 25.0 < c1""")
+_MOVED = ", ".join(f"p{a} + 2.0::DOUBLE * ({a} / greatest(sqrt(z * z + y * y + x * x), 1e-9)) AS p{a}" for a in "zyx")
+
+
+@query(f"""WITH {_PTS}, u AS (SELECT path_id, avg(pz) AS z, avg(py) AS y, avg(px) AS x FROM pts GROUP BY path_id), mv AS (SELECT path_id, i, {_MOVED} FROM pts JOIN u USING (path_id)),
+s AS (SELECT *, coalesce(sqrt((pz - lag(pz) OVER w) ** 2 + (py - lag(py) OVER w) ** 2 + (px - lag(px) OVER w) ** 2), 0) AS seg FROM mv WINDOW w AS (PARTITION BY path_id ORDER BY i)), c AS (SELECT *, sum(seg) OVER (PARTITION BY path_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c0 FROM s),
+g AS (SELECT path_id, c0, lead(c0) OVER w AS c1, max(c0) OVER (PARTITION BY path_id) AS total, {", ".join(f"p{a} AS {a}0, lead(p{a}) OVER w AS {a}1, coalesce(lag(p{a}) OVER w, p{a}) AS {a}b" for a in "zyx")} FROM c WINDOW w AS (PARTITION BY path_id ORDER BY i)),
+r AS (SELECT g.*, k.range AS i, (k.range * 25.0::DOUBLE - c0) / (c1 - c0) AS f, sqrt((z1 - zb) ** 2 + (y1 - yb) ** 2 + (x1 - xb) ** 2) AS t FROM g, range(1, 400) k WHERE c1 > c0 AND k.range * 25.0 > c0 AND k.range * 25.0 <= c1 AND k.range * 25.0 < total)
+SELECT path_id, i, {", ".join(f"round({a}0 + f * ({a}1 - {a}0), 4) + 0.0 AS p{a}, round(CASE WHEN t > 0 THEN ({a}1 - {a}b) / t ELSE 0 END, 4) + 0.0 AS t{a}" for a in "zyx")} FROM r""")
 def path_rings(spark, sf_dir):
-    """Ornaments every 25 along each path."""
-    out = timelines.spaced(_points(spark, sf_dir), ["path_id"], ["i"], ["pz", "py"], 25.0)
-    return out.select("path_id", F.col("i").cast("bigint").alias("i"), F.round("pz", 4).alias("pz"))
+    """Rings every 25 along each path, which is moved by two along its own up, and their directions."""
+    pts = _points(spark, sf_dir)
+    mean = pts.groupBy("path_id").agg(*(F.avg(f"p{a}").alias(a) for a in ZYX))
+    size = F.greatest(F.sqrt(sum((F.col(a) * F.col(a) for a in ZYX), F.lit(0.0))), F.lit(1e-9))
+    out = timelines.rings(pts.join(mean, "path_id").select("path_id", "i", "pz", "py", "px", *((F.col(a) / size).alias(f"u{a}") for a in ZYX)), ["path_id"], ["i"], ["pz", "py", "px"], 25.0, {f"p{a}": F.col(f"u{a}") for a in ZYX}, 2.0)
+    return out.select("path_id", F.col("i").cast("bigint").alias("i"), *((F.round(f"p{a}", 4) + 0.0).alias(f"p{a}") for a in ZYX), *((F.round(f"tp{a}", 4) + 0.0).alias(f"t{a}") for a in ZYX))
 
 
 @query(VOX + ", t AS (SELECT max(v) + 1 AS top FROM vox), g AS (SELECT a.range AS z, b.range AS y, c.range AS x FROM range((SELECT n + 2 FROM p)) a, range((SELECT n + 2 FROM p)) b, range((SELECT n + 2 FROM p)) c) SELECT z + 1 AS z, y + 1 AS y, x + 1 AS x, v FROM vox UNION ALL SELECT z, y, x, top FROM g, t, p WHERE least(z, y, x) < 1 OR greatest(z, y, x) > n")
