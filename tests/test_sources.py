@@ -1,9 +1,11 @@
 """Readers, writers and streams."""
 
 import json
+import os
 import shutil
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lattiq.operators import ranking
@@ -112,6 +114,27 @@ def test_catch_game_stream(spark, tmp_path):
     assert got == [(7, 1.0, 1, 1), (8, 0.0, 2, 1)]
 
 
+def test_scheduler_stream_equals_its_batch(spark, tmp_path):
+    rows = [(s, round(0.1 * k + (3.0 if k > 40 else 0.0), 6), 0.25 + 0.1 * s, (k + s) % 9 != 0) for s in range(3) for k in range(80)]
+    shape = "subscriber bigint, t double, period_s double, enabled boolean"
+    for i, part in enumerate((rows[:0], [r for r in rows if r[1] < 2.0], [r for r in rows if 2.0 <= r[1] < 6.5], [r for r in rows if r[1] >= 6.5])):
+        if part:
+            spark.createDataFrame(part, shape).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+            (tmp_path / "in").mkdir(exist_ok=True)
+            (f,) = (tmp_path / f"p{i}").glob("*.parquet")
+            shutil.copy(f, tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = _run(streams.scheduled(stream), tmp_path / "s")
+    assert q.lastProgress is not None and q.exception() is None
+    got = sorted((r.subscriber, r.t) for r in spark.read.parquet(str(tmp_path / "s/out")).collect())
+    want = []
+    for s in range(3):
+        pdf = pd.DataFrame([r for r in rows if r[0] == s], columns=["subscriber", "t", "period_s", "enabled"]).sort_values("t")
+        want += [(s, t) for t in streams.fired(pdf, None, 0.0)[0]["t"]]
+    assert got == want and len({s for s, _ in got}) == 3 and len(want) < len(rows)
+
+
 def lzw(data):
     """A writer of TIFF's LZW that clears its table whenever it is full."""
     table, width, bits, before = {bytes([i]): i for i in range(256)}, 9, "", b""
