@@ -25,7 +25,8 @@ def blend_weights(spark: SparkSession, size: int, bounds: tuple[float, float, fl
 
 
 def blended(panels: DataFrame, weights: DataFrame) -> DataFrame:
-    """panels: panel, y, x, r, g, b. The weighted sum of the four, cut to 0 ... 255 and truncated."""
+    """panels: panel, y, x, r, g, b. The weighted sum of the four, cut to 0 ... 255 and truncated (after a rounding to nine decimals, so that sums
+    of shares that add up to a whole number stay one). A pixel that a panel lacks is black there."""
     w = weights.select("y", "x", F.explode(F.create_map(*(v for i in (1, 2, 3, 4) for v in (F.lit(i), F.col(f"w{i}"))))).alias("panel", "w"))
     out = panels.join(w, ["panel", "y", "x"]).groupBy("y", "x").agg(*(F.sum(F.col(k) * F.col("w")).alias(k) for k in "rgb"))
-    return out.select("y", "x", *(F.floor(F.least(F.greatest(F.col(k), F.lit(0.0)), F.lit(255.0))).cast("int").alias(k) for k in "rgb"))
+    return out.select("y", "x", *(F.floor(F.round(F.least(F.greatest(F.col(k), F.lit(0.0)), F.lit(255.0)), 9)).cast("int").alias(k) for k in "rgb"))

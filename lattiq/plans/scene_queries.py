@@ -173,12 +173,19 @@ def progress_eta(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", shaping.eta(F.col("event_id").cast("double")).alias("eta"))
 
 
-@query(VOX + ", s(column_id, frame, d1) AS (SELECT c.column_id, k.range, CASE WHEN k.range = c.n - 1 THEN c.top ELSE 0.2 + 4.0 * k.range END FROM (SELECT column_id, top, w + CASE WHEN top - (0.2 + 4.0 * (w - 1)) >= 1.0 THEN 1 ELSE 0 END AS n FROM (SELECT c AS column_id, max(v) - 0.1 AS top, greatest(ceil((max(v) - 0.1 + 1e-6 - 0.2) / 4.0), 1) AS w FROM vox GROUP BY c HAVING max(v) - 0.1 >= 0.3)) c, range(100) k WHERE k.range < c.n) SELECT column_id, frame::BIGINT AS frame, round(d1, 9)::DOUBLE AS d1 FROM s")
+_WHOLE = "greatest(ceil(({last} + 1e-6 - {first}) / 4.0::DOUBLE), 1)"
+_STOPS = f"{_WHOLE} + CASE WHEN {{last}} - ({{first}} + 4.0::DOUBLE * ({_WHOLE} - 1)) >= 1.0 THEN 1 ELSE 0 END"
+
+
+@query(VOX + f""", c AS (SELECT c AS column_id, max(v) - 0.1::DOUBLE AS top FROM vox GROUP BY c HAVING max(v) - 0.1::DOUBLE >= 0.3),
+s AS (SELECT *, {_STOPS.format(first="0.2::DOUBLE", last="top")} AS n0, CASE WHEN top - 0.1::DOUBLE > 0.1::DOUBLE + 1e-6 THEN {_STOPS.format(first="4.1::DOUBLE", last="(top - 0.1::DOUBLE)")} ELSE 0 END AS n2 FROM c), r AS (SELECT *, round_even((n0 + n2) * 0.5, 0) AS n1 FROM s)
+SELECT column_id, k.range AS frame, CASE WHEN k.range < n0 THEN 0 WHEN k.range < n0 + n1 THEN 1 ELSE 2 END::INTEGER AS phase,
+  round(CASE WHEN k.range < n0 + n1 THEN 0.1::DOUBLE WHEN k.range = n0 + n1 + n2 - 1 THEN top - 0.1::DOUBLE ELSE 4.1::DOUBLE + 4.0::DOUBLE * (k.range - n0 - n1) END, 9) AS d0, round(CASE WHEN k.range < n0 - 1 THEN 0.2::DOUBLE + 4.0::DOUBLE * k.range ELSE top END, 9) AS d1 FROM r, range(200) k WHERE k.range < n0 + n1 + n2""")
 def shell_schedules(spark, sf_dir):
-    """The first phase of the shells of each column, by steps of 4."""
+    """All three phases of the shells of each column, by steps of 4."""
     v, _ = vox(spark, sf_dir)
     s = fields.shell_schedules(v.groupBy(F.col("c").alias("column_id")).agg(F.max("v").alias("most")), 4.0, 0.5)
-    return s.filter("phase = 0").select("column_id", "frame", F.round("d1", 9).alias("d1"))
+    return s.select("column_id", "frame", F.col("phase").cast("int").alias("phase"), F.round("d0", 9).alias("d0"), F.round("d1", 9).alias("d1"))
 
 
 _TICKS = "t AS (SELECT user_id % 50 AS subscriber, event_id * 0.004::DOUBLE AS t, event_id % 11 <> 0 AS enabled, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS rn FROM events)"

@@ -368,11 +368,27 @@ def doc_label_dimension_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query("""WITH px AS (SELECT a.range AS y, b.range AS x FROM range(60) a, range(60) b), g AS (SELECT y, x, sqrt((y - 29.5) * (y - 29.5) + (x - 29.5) * (x - 29.5)) AS r, CASE WHEN degrees(atan2(29.5 - y, x - 29.5)) < 0 THEN degrees(atan2(29.5 - y, x - 29.5)) + 360 ELSE degrees(atan2(29.5 - y, x - 29.5)) END AS a FROM px),
+_PANELS = """WITH px AS (SELECT a.range AS y, b.range AS x FROM range(60) a, range(60) b), g AS (SELECT y, x, sqrt((y - 29.5) * (y - 29.5) + (x - 29.5) * (x - 29.5)) AS r, CASE WHEN degrees(atan2(29.5 - y, x - 29.5)) < 0 THEN degrees(atan2(29.5 - y, x - 29.5)) + 360 ELSE degrees(atan2(29.5 - y, x - 29.5)) END AS a FROM px),
 t AS (SELECT *, 40 - 25 * least(greatest(r / 29.5, 0), 1) AS t, CASE WHEN a > 180 THEN a - 360 ELSE a END AS d FROM g),
-w AS (SELECT *, CASE WHEN abs(d) < t / 2 THEN 0 ELSE least(greatest((a - 90 + t / 2) / t, 0), 1) END AS a43, least(greatest((a - 190 + t / 2) / t, 0), 1) AS a32, CASE WHEN abs(d) < t / 2 THEN 1 ELSE least(greatest((a - 280 + t / 2) / t, 0), 1) END AS a21, least(greatest((d + t / 2) / t, 0), 1) AS a14 FROM t)
+w AS (SELECT *, CASE WHEN abs(d) < t / 2 THEN 0 ELSE least(greatest((a - 90 + t / 2) / t, 0), 1) END AS a43, least(greatest((a - 190 + t / 2) / t, 0), 1) AS a32, CASE WHEN abs(d) < t / 2 THEN 1 ELSE least(greatest((a - 280 + t / 2) / t, 0), 1) END AS a21, least(greatest((d + t / 2) / t, 0), 1) AS a14 FROM t)"""
+
+
+@query(_PANELS + """
 SELECT y, x, round(a14 * (1 - a43), 6)::DOUBLE AS w4, round(a43 * (1 - a32), 6)::DOUBLE AS w3, round(a32 * (1 - a21), 6)::DOUBLE AS w2, round(a21 * (1 - a14), 6)::DOUBLE AS w1 FROM w""")
 def panel_blend_weights(spark, sf_dir):
     from lattiq.operators.rasters import blend_weights
 
     return blend_weights(spark, 60, (90.0, 190.0, 280.0), 40.0, 15.0).select("y", "x", *(F.round(f"w{i}", 6).alias(f"w{i}") for i in (4, 3, 2, 1)))
+
+
+@query(_PANELS + """, ww AS (SELECT y, x, a14 * (1 - a43) AS w4, a43 * (1 - a32) AS w3, a32 * (1 - a21) AS w2, a21 * (1 - a14) AS w1 FROM w), pn AS (SELECT l_linenumber % 4 + 1 AS panel, l_orderkey % 60 AS y, l_partkey % 60 AS x, max(l_quantity) * 5 AS r, (min(l_suppkey) * 7 % 256)::DOUBLE AS g, (count(*) * 40 % 256)::DOUBLE AS b FROM lineitem GROUP BY ALL),
+j AS (SELECT y, x, r, g, b, CASE panel WHEN 1 THEN w1 WHEN 2 THEN w2 WHEN 3 THEN w3 ELSE w4 END AS k FROM pn JOIN ww USING (y, x))
+SELECT y, x, floor(round(least(greatest(sum(r * k), 0), 255), 9))::INTEGER AS r, floor(round(least(greatest(sum(g * k), 0), 255), 9))::INTEGER AS g, floor(round(least(greatest(sum(b * k), 0), 255), 9))::INTEGER AS b FROM j GROUP BY y, x""")
+def panel_mosaic(spark, sf_dir):
+    """Four panels drawn from the lines of orders, blended by azimuth into one raster."""
+    from lattiq.operators.rasters import blend_weights, blended
+
+    k = table(spark, sf_dir, "lineitem")
+    at = (F.col("l_linenumber") % 4 + 1).cast("int").alias("panel"), (F.col("l_orderkey") % 60).alias("y"), (F.col("l_partkey") % 60).alias("x")
+    panels = k.groupBy(*at).agg((F.max("l_quantity") * 5).alias("r"), (F.min("l_suppkey") * 7 % 256).alias("g"), (F.count("*") * 40 % 256).alias("b"))
+    return blended(panels, blend_weights(spark, 60, (90.0, 190.0, 280.0), 40.0, 15.0))
