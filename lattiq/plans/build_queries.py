@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import rotations
-from lattiq.operators import geometry, graph, meshes
+from lattiq.operators import geometry, graph, meshes, paths
 from lattiq.operators.tables import shared_root
 from lattiq.plans import builds
 from lattiq.plans.base import REC, VOX, query, table, vox
@@ -248,3 +248,17 @@ def rigid_lock(spark, sf_dir):
     track = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), k.alias("i"), d(k % 97, k * 3 % 89, k * 7 % 83).alias("place"), d(k % 7, k % 11, k % 13 + 100).alias("focus"), d(k % 3, F.lit(1), k % 2).alias("up"))
     out = rotations.locked(track, "track", "i")
     return out.select("track", "i", *(F.get("focus", F.lit(i)).alias(f"f{a}") for i, a in enumerate("zyx")), *((F.round(F.get("up", F.lit(i)), 6) + 0.0).alias(f"u{a}") for i, a in enumerate("zyx")))
+
+
+@query("""WITH k AS (SELECT o_custkey AS path_id, o_orderkey AS i, (o_orderkey % 97)::DOUBLE AS z, (o_orderkey * 3 % 89)::DOUBLE AS y, (o_orderkey * 7 % 83)::DOUBLE AS x, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 10)::DOUBLE END AS score, (o_orderkey % 7)::DOUBLE AS boost FROM orders),
+s AS (SELECT *, coalesce(sqrt((z - lag(z) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (x - lag(x) OVER w) ** 2), 0) AS seg FROM k WINDOW w AS (PARTITION BY path_id ORDER BY i)), a AS (SELECT path_id, count(*) AS n, sum(seg) AS length, avg(score) AS score, avg(boost) AS boost FROM s GROUP BY path_id)
+SELECT path_id, n, round(length, 6) AS length, round(score, 6) AS score, round(boost, 6) AS boost, (SELECT count(*) FROM k WHERE k.path_id = a.path_id) AS n_points FROM a""")
+def track_attributes(spark, sf_dir):
+    """A track table with the length and the mean score and boost of each path, written and read back."""
+    k = F.col("o_orderkey")
+    d = lambda c: c.cast("double")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path_id"), k.alias("i"), d(k % 97).alias("z"), d(k * 3 % 89).alias("y"), d(k * 7 % 83).alias("x"), F.when(k % 4 > 0, d(k % 10)).alias("score"), d(k % 7).alias("boost"))
+    path = f"{shared_root(spark)}/tracks-{uuid.uuid4().hex}"
+    sinks.written_tracks(rows, paths.attributes(rows, "path_id", "i", ZYX, ["score", "boost"]), path)
+    points, about = sinks.read_tracks(spark, path, "path_id")
+    return about.join(points.groupBy("path_id").agg(F.count("*").alias("n_points")), "path_id").select("path_id", "n", *(F.round(c, 6).alias(c) for c in ("length", "score", "boost")), "n_points")

@@ -116,6 +116,18 @@ def put_document(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return rows.filter("version is not null").groupBy(*keys).agg(F.max_by(F.struct("body", "version", "written"), "version").alias("r")).select(*keys, "r.*")
 
 
+def written_tracks(points: DataFrame, paths: DataFrame, path: str) -> None:
+    """Writes a track table: its points, and beside them a row of attributes a path, which comes last."""
+    points.write.mode("overwrite").parquet(f"{path}/points")
+    paths.write.mode("overwrite").parquet(f"{path}/paths")
+
+
+def read_tracks(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Points and paths of a track table; points of paths without attributes are left out, as of an unfinished write."""
+    paths = spark.read.parquet(f"{path}/paths")
+    return spark.read.parquet(f"{path}/points").join(paths.select(key), key, "left_semi"), paths
+
+
 def written_bundle(df: DataFrame, path: str, parameters: dict, half: list[str] = (), single: list[str] = (), by: list[str] = ()) -> None:
     """Writes a bundle: its columns of `half` as bits of half precision, those of `single` as 32-bit floats, a folder a value of `by`, and its
     parameters beside them. The parameters come last: a bundle without them is not finished."""
