@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.operators.tables import quantiles
+from lattiq.operators.tables import Workspace, quantiles
 
 AXES = ("z", "y", "x")
 
@@ -96,9 +96,15 @@ def scattered(points: DataFrame, key: str, by: str, per_path: DataFrame) -> Data
 
 
 def path_starts(points: DataFrame, key: str) -> DataFrame:
-    """key, first: how many points stand before each path (a row a path)."""
+    """key, first: how many points stand before each path.
+
+    Paths are dealt to ranges of the key, which are summed first (a row a range), then counted inside each: no task sees all paths."""
     n = points.groupBy(key).agg(F.count("*").alias("n"))
-    return n.select(key, (F.sum("n").over(Window.orderBy(key)) - F.col("n")).alias("first"))
+    ranged = Workspace(points.sparkSession, "starts").keep(n.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))  # written, so ranges stay
+    totals = ranged.groupBy("_range").agg(F.sum("n").alias("_t"))
+    before = totals.select("_range", (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(key)
+    return ranged.withColumn("_in", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(before), "_range").select(key, (F.col("_before") + F.col("_in")).alias("first"))
 
 
 def average_rate(packets: DataFrame, low: float, high: float) -> DataFrame:
