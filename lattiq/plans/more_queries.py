@@ -129,7 +129,9 @@ def jobs_to_do(spark, sf_dir):
     return to_do(jobs, table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderstatus").alias("k")), ["k"])
 
 
-@query()
+@query(f"""WITH {_PTS}, r AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY i) - 1 AS j, px - avg(px) OVER (PARTITION BY path_id) AS d, count(*) OVER (PARTITION BY path_id) AS n FROM pts),
+s AS (SELECT path_id, n, k.range AS f, sqrt(sum(d * cos(2 * pi() * k.range * j / n)) ** 2 + sum(d * sin(2 * pi() * k.range * j / n)) ** 2) AS amp FROM r JOIN range(1, (SELECT max(n) // 2 + 1 FROM r)) k ON k.range <= n // 2 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY round(amp, 6) DESC, f) - 1 AS k FROM s) SELECT path_id, k, round(f * 25.0::DOUBLE / n, 6) AS freq, round(amp, 5) + 0.0 AS amp FROM o WHERE k < 6""")
 def spectrum_peaks(spark, sf_dir):
     """The strongest frequencies of each path's coordinate."""
 
@@ -137,7 +139,7 @@ def spectrum_peaks(spark, sf_dir):
         tracks = [t for _, t in pdf.groupby("path_id", sort=False)]
         return pd.DataFrame([(t["path_id"].iloc[0], k, f, a) for t in tracks for k, (f, a) in enumerate(paths.spectrum_peaks(t["px"].to_numpy(), 25.0))], columns=["path_id", "k", "freq", "amp"])
 
-    return paths.by_track(_points(spark, sf_dir).select("path_id", "i", "px"), "path_id", ["i"], many, "path_id bigint, k bigint, freq double, amp double")
+    return paths.by_track(_points(spark, sf_dir).select("path_id", "i", "px"), "path_id", ["i"], many, "path_id bigint, k bigint, freq double, amp double").select("path_id", "k", F.round("freq", 6).alias("freq"), (F.round("amp", 5) + 0.0).alias("amp"))
 
 
 @query()
