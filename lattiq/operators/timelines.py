@@ -156,7 +156,8 @@ def visibility(track: DataFrame, key: list[str], fps: int, intro_s: float = 35.0
     calm = F.coalesce(F.col("turn"), F.lit(0.0)) < calm_degrees
     rows = rows.withColumn("_calm", calm).withColumn("_break", F.max(F.when(~calm, F.col("frame"))).over(so_far(key, ["frame"])))
     enough = F.when(F.col("frame") - F.coalesce("_break", F.lit(-1)) >= calm_n, F.col("frame"))
-    rows = rows.withColumn("_next", F.min(enough).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    backwards = so_far(key, [F.desc("frame")])  # a running minimum; a frame to the end would be gone through anew for every row
+    rows = rows.withColumn("_next", F.min(enough).over(backwards))
     rows = rows.withColumn("_end", F.lead("_next", calm_n - 1).over(w)).withColumn("_up", F.col("lames") & ~F.coalesce(F.lag("lames").over(w), F.lit(False)))
     start = F.when(F.col("_end") < F.col("frame") + wait, F.col("_end") - calm_n + 1).otherwise(F.col("frame"))
     lames = rows.filter(late & F.col("_up")).select(*key, F.lit("lames").alias("kind"), "mode", start.alias("start"), F.least(start + lames_s * fps, "_n").alias("stop"))

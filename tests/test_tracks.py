@@ -153,3 +153,11 @@ def test_camera_slows_in_curves_and_stands_at_its_ends(spark):
     assert (np.diff(straight) >= -1e-9).all()
     s = got[got.track == 2]
     assert len(s) == 24 and (s.px == 1).all()
+
+
+def test_visibility_runs_no_window_to_the_end_of_a_track(spark):
+    """Such a frame is gone through anew for each row: a track of a million frames would never end."""
+    rows = spark.createDataFrame([(0, i, "a", i > 80, 0.0 if i % 9 > 2 else 5.0) for i in range(200)], "track bigint, frame bigint, mode string, lames boolean, turn double")
+    out = timelines.visibility(rows, ["track"], 2, calm_s=1.0)
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().analyzed().toString()
+    assert {(r.kind, r.start, r.stop) for r in out.collect()} == {("mode", 70, 82), ("lames", 84, 90), ("fixed", 128, 138)}
