@@ -182,3 +182,20 @@ def test_records_keep_their_form():
     tail[60:64] = len(exact).to_bytes(4, "big")
     again = volumes.write_roi([*points, (9.0, 9.0)], like=bytes(tail))
     assert again.endswith(b"second header") and len(volumes.roi_points(again)) == 4 and int.from_bytes(again[60:64], "big") == len(again) - len(b"second header")
+
+
+def test_small_files_are_sent_together():
+    """Rasters and records of one batch come in a few tables, not in one each."""
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):
+            return f
+
+    rasters = [volumes.write_tiff(np.full((1, 2, 1, 3), k, np.uint8)) for k in range(300)]
+    out = list(volumes.panels(Caught(), 2, 1)(iter([pd.DataFrame({"path": [str(k) for k in range(300)], "content": rasters})])))
+    assert len(out) == 1 and out[0]["path"].tolist() == [str(k) for k in range(300) for _ in range(2)] and out[0]["g"].tolist() == [k % 256 for k in range(300) for _ in range(2)]
+    records = [volumes.write_roi([(k, 1.5), (k + 2, 3)]) for k in range(300)]
+    out = list(volumes.roi_rows(Caught())(iter([pd.DataFrame({"path": [str(k) for k in range(300)], "content": records})])))
+    assert len(out) == 1 and out[0]["x"].tolist() == [x for k in range(300) for x in (k, k + 2)] and out[0]["i"].tolist() == [0, 1] * 300
