@@ -193,7 +193,7 @@ def test_small_files_are_sent_together():
         def mapInPandas(self, f, _):
             return f
 
-    rasters = [volumes.write_tiff(np.full((1, 2, 1, 3), k, np.uint8)) for k in range(300)]
+    rasters = [volumes.write_tiff(np.full((1, 2, 1, 3), k % 256, np.uint8)) for k in range(300)]
     out = list(volumes.panels(Caught(), 2, 1)(iter([pd.DataFrame({"path": [str(k) for k in range(300)], "content": rasters})])))
     assert len(out) == 1 and out[0]["path"].tolist() == [str(k) for k in range(300) for _ in range(2)] and out[0]["g"].tolist() == [k % 256 for k in range(300) for _ in range(2)]
     records = [volumes.write_roi([(k, 1.5), (k + 2, 3)]) for k in range(300)]
