@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -174,19 +175,44 @@ def resumed(rows: DataFrame, keys: list[str], work: Callable[[tuple, pd.DataFram
     for batch in waiting[:most]:
         run = uuid.uuid4().hex
 
-        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # it is sent with this batch's run before the next begins
-            line = dict(zip(keys, key, strict=True)) | {"run": run}
-            try:
-                out = work(key, pdf)
-                line |= {"status": "done", "n_rows": len(out), "error": None}
-            except Exception as e:  # noqa: BLE001  a job's failure is a row
-                out, line = pd.DataFrame(columns=names), line | {"status": "failed", "n_rows": 0, "error": f"{type(e).__name__}: {e}"}
-            kept = out[names].assign(**{k: v for k, v in zip(keys, key, strict=True) if k not in names}, run=run, status=None, n_rows=None, error=None)
-            return pd.concat([kept.astype(object), pd.DataFrame([line])])[[*keys, *(c for c in names if c not in keys), "run", "status", "n_rows", "error"]]
+        columns = [*keys, *(c for c in names if c not in keys), "run", "status", "n_rows", "error"]
+
+        def some(pdf: pd.DataFrame) -> list[pd.DataFrame]:  # whole jobs; it is sent with this batch's run before the next begins
+            ends = np.flatnonzero((pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(1)) + 1
+            kept, ended = [], []
+            for a, b in zip([0, *ends], [*ends, len(pdf)], strict=True):
+                mine = pdf.iloc[a:b].reset_index(drop=True)
+                key = tuple(mine[k].iloc[0] for k in keys)
+                try:
+                    out = work(key, mine)
+                    about_it = ("done", len(out), None)
+                except Exception as e:  # noqa: BLE001  a job's failure is a row
+                    out, about_it = None, ("failed", 0, f"{type(e).__name__}: {e}")
+                if out is not None and len(out):
+                    kept.append(out[names].assign(**{k: v for k, v in zip(keys, key, strict=True) if k not in names}))
+                ended.append((*key, run, *about_it))
+            blank = dict.fromkeys(("status", "n_rows", "error"))
+            rows_of = [pd.concat(kept).assign(run=run, **blank)[columns].astype(object)] if kept else []
+            return [*rows_of, pd.DataFrame(ended, columns=[*keys, "run", "status", "n_rows", "error"]).reindex(columns=columns).astype(object)]
+
+        def many(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                other = np.flatnonzero((pdf[keys].to_numpy() != pdf[keys].to_numpy()[-1]).any(1))
+                last = int(other[-1]) + 1 if len(other) else 0
+                if last or held and tuple(held[-1][keys].iloc[-1]) != tuple(pdf[keys].iloc[-1]):
+                    yield from some(pd.concat([*held, pdf.iloc[:last]], ignore_index=True))
+                    held = []
+                held.append(pdf.iloc[last:])  # a job that may go on
+            if held:
+                yield from some(pd.concat(held, ignore_index=True))
 
         others = ", ".join(f for f in shape.split(",") if f.strip().split(" ")[0] not in keys)
         mine = rows.join(todo.filter(F.col("_batch") == batch).drop("_batch"), keys, "left_semi")
-        mine.groupBy(*keys).applyInPandas(one, f"{kinds}, {others}, {about}").write.mode("append").parquet(data)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        mine.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(many, f"{kinds}, {others}, {about}").write.mode("append").parquet(data)
         after_data(batch)
         new = spark.read.schema(f"{kinds}, {others}, {about}").parquet(data).filter((F.col("run") == run) & F.col("status").isNotNull())
         new.select(*keys, "run", "status", "n_rows", "error", F.unix_micros(F.current_timestamp()).alias("at")).coalesce(1).write.mode("append").parquet(manifest)

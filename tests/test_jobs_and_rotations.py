@@ -1,5 +1,6 @@
 """Jobs that go on where a run ended, bundles in half precision, and quaternions, against numpy."""
 
+import time
 import uuid
 
 import numpy as np
@@ -61,6 +62,29 @@ def test_a_killed_run_goes_on_with_the_rest(spark, tmp_path):
     assert found.count() == 20 and state.count() == 12
 
 
+def test_many_small_jobs_share_tasks_and_a_job_spans_batches(spark, tmp_path):
+    jobs = 20_000
+    rows = spark.range(jobs).selectExpr("id % 2 as kind", "id as job", "id as v").unionByName(spark.range(5000).selectExpr("0L as kind", "-1L as job", "id as v"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+
+    def work(key, pdf):
+        if key[1] == 3:
+            raise ValueError("no")
+        assert (pdf["job"] == key[1]).all() and (pdf["kind"] == key[0]).all()
+        return pd.DataFrame({"total": [pdf["v"].sum()]})
+
+    try:
+        begun = time.time()
+        found, state = sinks.resumed(rows, ["kind", "job"], work, "total bigint", f"file://{tmp_path}/many", 2)
+        got = {(r.kind, r.job): r.total for r in found.collect()}
+        assert time.time() - begun < 60  # a group of its own for each job took longer
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(i % 2, i): i for i in range(jobs) if i != 3} | {(0, -1): sum(range(5000))}
+    assert [tuple(r) for r in state.filter("status = 'failed'").select("kind", "job", "error").collect()] == [(1, 3, "ValueError: no")] and state.count() == jobs + 1
+
+
 def test_jobs_of_nothing(spark, tmp_path):
     rows = spark.createDataFrame([], "job bigint, v bigint")
     found, state = sinks.resumed(rows, ["job"], lambda k, p: p, "job bigint, v bigint", f"file://{tmp_path}/none")
