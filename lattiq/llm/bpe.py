@@ -187,6 +187,8 @@ def _gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray, of: np.ndar
     return pool[at + np.arange(len(at))], ends
 
 
+#: Chunks that a worker keeps between slices: some 100 MB with what looks them up. Workers stay for the whole application, two a core at times.
+REMEMBER = 250_000
 _encoders: dict[tuple, tuple[MergeReplay, ChunkEncoder]] = {}
 
 
@@ -195,7 +197,7 @@ def encoder(data: bytes, pattern: str) -> tuple[MergeReplay, ChunkEncoder]:
     key = (hashlib.md5(data).digest(), pattern)
     if key not in _encoders:
         replay = MergeReplay(read_ranks(data), pattern)
-        _encoders[key] = replay, ChunkEncoder(replay.encode_chunks, pattern)
+        _encoders[key] = replay, ChunkEncoder(replay.encode_chunks, pattern, REMEMBER)
     return _encoders[key]
 
 

@@ -32,7 +32,10 @@ BLOCKS_4 = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 BLOCKS_7 = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
 #: Rows of an anchor that meet in one piece of work; an anchor with more is dealt out to a grid of pieces.
 PIECE = 8192
-PAIRS = 1 << 21
+#: Pairs that a task looks at together: each takes some 100 bytes for that time.
+PAIRS = 1 << 18
+#: Bits by which rows that surely meet nothing are left out before a shuffle: at most 2^18 words, whatever the corpus.
+BITS = 1 << 24
 #: Bytes of a text beyond which its words are taken part by part.
 PART = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -454,6 +457,16 @@ def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
+def possibly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of df whose value of `column` may be one of ids (one column of that type), nulls like values: all that are, and of the
+    others about as many as the share of the bits that the ids set."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 64).cast("int"))
+    words = ids.select(at(F.col(ids.columns[0])).alias("_h")).groupBy(F.floor(F.col("_h") / 64).alias("_w")).agg(F.bit_or(bit(F.col("_h"))).alias("_b"))
+    met = (F.floor(at(F.col(column)) / 64) == F.col("_w")) & (F.col("_b").bitwiseAND(bit(at(F.col(column)))) != 0)
+    return df.join(F.broadcast(words), met, "left_semi")
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id; one of equal rows stays. Columns as in docs.
 
@@ -480,8 +493,10 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
     text = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct().join(nodes.select("nid", "doc_id"), "nid")
-        t = _words_hashed(ids.join(text.hint("merge"), ids.doc_id.eqNullSafe(text["_d"])).select("nid", "text"), "words").filter("words = nid")
+        ids = pairs.select(F.col("u").alias("nid")).union(pairs.select(F.col("v").alias("nid"))).distinct()
+        ids = scratch.keep(ids.join(nodes.select("nid", "doc_id"), "nid"), "ids")
+        few = possibly_in(text, "_d", ids.select("doc_id"))  # a round shuffles the texts it compares, not all
+        t = _words_hashed(ids.join(few.hint("merge"), ids.doc_id.eqNullSafe(few["_d"])).select("nid", "text"), "words").filter("words = nid")
         t = scratch.keep(t.select("nid", F.col("text").alias("t")), "texts")
         one = t.dropDuplicates(["nid"])
         both = pairs.join(one.select(F.col("nid").alias("u"), F.col("t").alias("tu")).hint("merge"), "u").join(one.select(F.col("nid").alias("v"), F.col("t").alias("tv")).hint("merge"), "v")

@@ -94,3 +94,18 @@ def test_pipeline_stage_equals_brute_force(spark):
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     stage = dict(corpus_pipeline.STAGES)["simhash"]
     assert sorted(r.doc_id for r in stage(spark, table, "/root/testdata/sf0.001").collect()) == expected(rows)
+
+
+def test_only_texts_that_may_be_compared_are_shuffled(spark):
+    rows = spark.range(-5, 20_000).selectExpr("id as d").union(spark.sql("select cast(null as bigint)"))
+    ids = spark.range(0, 20_000, 50).selectExpr("id as doc_id").union(spark.sql("select cast(null as bigint)"))
+    found = [r.d for r in simhash.possibly_in(rows, "d", ids).collect()]
+    assert {r.doc_id for r in ids.collect()} <= set(found) and len(found) < 450  # 401 ids
+    crowded = simhash.possibly_in(rows, "d", ids, bits=64).collect()
+    assert {r.doc_id for r in ids.collect()} <= {r.d for r in crowded}
+
+
+def test_a_step_of_pairs_is_small():
+    key, part = np.zeros(3000, np.int64), np.arange(3000)
+    steps = [len(i) for i, _ in simhash.across(key, part)]
+    assert sum(steps) == 3000 * 2999 // 2 and max(steps) * 100 <= 32 << 20  # about 100 bytes a pair
