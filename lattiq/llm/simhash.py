@@ -457,14 +457,15 @@ def verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
-def possibly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of df whose value of `column` may be one of ids (one column of that type), nulls like values: all that are, and of the
-    others about as many as the share of the bits that the ids set."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+def possibly_in(df: DataFrame, column: str, ids: DataFrame, bits: int = BITS, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose value of `column` may be one of ids (one column of bigint, as this one), nulls like values: all that are, and
+    of the others about as many as the share of the bits that the ids set. With how="left_anti", the rest of df."""
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(bits))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 64).cast("int"))
-    words = ids.select(at(F.col(ids.columns[0])).alias("_h")).groupBy(F.floor(F.col("_h") / 64).alias("_w")).agg(F.bit_or(bit(F.col("_h"))).alias("_b"))
-    met = (F.floor(at(F.col(column)) / 64) == F.col("_w")) & (F.col("_b").bitwiseAND(bit(at(F.col(column)))) != 0)
-    return df.join(F.broadcast(words), met, "left_semi")
+    word, held = unused(df.columns, "_w"), unused(df.columns, "_b")
+    words = ids.select(at(ids.columns[0]).alias("_h")).groupBy(F.floor(F.col("_h") / 64).alias(word)).agg(F.bit_or(bit(F.col("_h"))).alias(held))
+    met = (F.floor(at(column) / 64) == F.col(word)) & (F.col(held).bitwiseAND(bit(at(column))) != 0)
+    return df.join(F.broadcast(words), met, how)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -524,7 +525,10 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nid")).alias("f"))
     kept = scratch.keep(first.select(F.col("f.doc_id").alias("_d")).distinct(), "kept")
     # rows that share an id: only the first of equal texts, or of different ones, can be the group's; see below
-    out = docs.join(kept.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(kept["_d"]), "left_semi")
+    of_kept = lambda df, how: df.join(kept.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(kept["_d"]), how)
+    gone = scratch.keep(of_kept(docs.select("doc_id"), "left_anti").select(F.col("doc_id").cast("bigint").alias("_d")).distinct(), "gone")
+    # only rows that may be gone meet the ids; the others are not shuffled
+    out = possibly_in(docs, "doc_id", gone, how="left_anti").unionByName(of_kept(possibly_in(docs, "doc_id", gone), "left_semi"))
     if repeated:
         out = _one_of_equal(out, first)
     return out.select(columns)

@@ -101,6 +101,8 @@ def test_only_texts_that_may_be_compared_are_shuffled(spark):
     ids = spark.range(0, 20_000, 50).selectExpr("id as doc_id").union(spark.sql("select cast(null as bigint)"))
     found = [r.d for r in simhash.possibly_in(rows, "d", ids).collect()]
     assert {r.doc_id for r in ids.collect()} <= set(found) and len(found) < 450  # 401 ids
+    rest = [r.d for r in simhash.possibly_in(rows, "d", ids, how="left_anti").collect()]
+    assert len(rest) + len(found) == rows.count() and not set(rest) & set(found)
     crowded = simhash.possibly_in(rows, "d", ids, bits=64).collect()
     assert {r.doc_id for r in ids.collect()} <= {r.d for r in crowded}
 
