@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import shaping
 from lattiq.operators import fields, paths, profiles, timelines, voxels
+from lattiq.operators.tables import apart
 from lattiq.plans import builds
 from lattiq.plans.base import REC, VOX, query, table, vox
 from lattiq.plans.track_queries import _PTS, _points
@@ -180,7 +181,7 @@ def label_strategies(spark, sf_dir):
 def field_bundle(spark, sf_dir):
     """The potential through the voxels below 49 (absent ones too), from the first plane to the last."""
     v, n = vox(spark, sf_dir)
-    area = fields.grid_of(spark, n).join(v.filter("v >= 49").select(*ZYX), ZYX, "left_anti")
+    area = fields.grid_of(spark, n).join(apart(v.filter("v >= 49").select(*ZYX)), ZYX, "left_anti")
     return builds.field_bundle(area, area.filter("z = 0"), area.filter(F.col("z") == n - 1), n)
 
 
@@ -188,7 +189,7 @@ def field_bundle(spark, sf_dir):
 def passage_times(spark, sf_dir):
     """The same with the passage times of its front."""
     v, n = vox(spark, sf_dir)
-    area = fields.grid_of(spark, n).join(v.filter("v >= 49").select(*ZYX), ZYX, "left_anti")
+    area = fields.grid_of(spark, n).join(apart(v.filter("v >= 49").select(*ZYX)), ZYX, "left_anti")
     return builds.passage_bundle(area, area.filter("z = 0"), area.filter(F.col("z") == n - 1), n)
 
 

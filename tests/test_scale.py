@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
-from lattiq.operators import tables
+from lattiq.operators import fields, tables
+from lattiq.plans import builds
 
 
 @pytest.mark.parametrize("keep", [lambda spark, df: tables.Workspace(spark, "t").keep(df), lambda spark, df: common.Scratch(spark, "t").keep(df)])
@@ -23,3 +24,20 @@ def test_a_kept_table_leaves_no_shuffle_files(spark, keep):
     while files() > before and time.time() < end:
         time.sleep(0.1)
     assert files() <= before and kept.count() == 7
+
+
+def test_a_field_bundle_sends_no_voxels_to_every_executor(spark, monkeypatch):
+    """Its area is a small file of many rows, which a join with a few voxels would send through the driver."""
+    plans, put = [], tables.written
+
+    def noted(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        put(df, path)
+
+    monkeypatch.setattr(tables, "written", noted)
+    n = 6
+    area = fields.grid_of(spark, n)
+    out = builds.field_bundle(area, area.filter("z = 0"), area.filter(F.col("z") == n - 1), n)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "BroadcastHashJoin [z" in p]
+    assert out.count() == n**3
