@@ -2,11 +2,13 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
 from lattiq.operators import fields, tables
+from lattiq.operators.blocks import BLOCK
 from lattiq.plans import builds
 
 
@@ -30,9 +32,9 @@ def test_a_field_bundle_sends_no_voxels_to_every_executor(spark, monkeypatch):
     """Its area is a small file of many rows, which a join with a few voxels would send through the driver."""
     plans, put = [], tables.written
 
-    def noted(df, path):
+    def noted(df, *rest):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        put(df, path)
+        put(df, *rest)
 
     monkeypatch.setattr(tables, "written", noted)
     n = 6
@@ -41,3 +43,15 @@ def test_a_field_bundle_sends_no_voxels_to_every_executor(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert not [p for p in plans if "BroadcastHashJoin [z" in p]
     assert out.count() == n**3
+
+
+def test_blocks_of_a_potential_are_not_shuffled(spark):
+    """What a bucketed table holds meets its faces where it lies; only these are dealt out."""
+    space = tables.Workspace(spark, "t")
+    own = space.bucketed(spark.range(40).selectExpr("id % 5 bz", "id % 3 by", "id % 2 bx", "id v"), BLOCK)
+    near = space.keep(spark.range(9).selectExpr("id % 5 bz", "id % 3 by", "id % 2 bx", "id w"))
+    both = own.groupBy(*BLOCK).cogroup(near.groupBy(*BLOCK)).applyInPandas(lambda a, b: pd.DataFrame({"n": [len(a) * len(b)]}), "n bigint")
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert both.agg(F.sum("n")).first()[0] == sum(1 for i in range(40) for j in range(9) if (i % 5, i % 3, i % 2) == (j % 5, j % 3, j % 2))
+    space.drop(own)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lattiq_")]
