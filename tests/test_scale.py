@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
-from lattiq.operators import fields, tables
+from lattiq.operators import fields, graph, tables
 from lattiq.operators.blocks import BLOCK
 from lattiq.plans import builds
 
@@ -55,3 +55,17 @@ def test_blocks_of_a_potential_are_not_shuffled(spark):
     assert both.agg(F.sum("n")).first()[0] == sum(1 for i in range(40) for j in range(9) if (i % 5, i % 3, i % 2) == (j % 5, j % 3, j % 2))
     space.drop(own)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lattiq_")]
+
+
+def test_traced_ways_are_written_once(spark, monkeypatch):
+    rows, put = [], tables.Workspace.keep
+
+    def keep(self, df, *rest):
+        out = put(self, df, *rest)
+        rows.append(out.count() if "step" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(tables.Workspace, "keep", keep)
+    line = spark.range(9).selectExpr("id node", "id - 1 via")
+    out = graph.traced(line, spark.range(9).selectExpr("id path_id", "id node"))
+    assert out.count() == sum(rows) == 45
